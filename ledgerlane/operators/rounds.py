@@ -1,3 +1,272 @@
-"""placeholder"""
-def assign_rounds(lines, config):
-    raise NotImplementedError
+"""Best-first assignment for groups too large to score inside one row.
+
+Lines of equal side, supplier, number, tax and date form a cell. Each round finds, for every
+cell, its nearest acceptable partner cell, and takes the cell pairs that are each other's best:
+no other pairing can come before such a pair in the global order, so taking it at once gives the
+answer of the one-by-one walk. Where neither cell has a second partner at the same distance, all
+their lines are paired by id at once; otherwise only the first line of each.
+
+Nearest partners are searched in blocks of one tax band by one date band. Amounts are whole
+hundredths, so a block has a bounded number of cells however many lines share the key, and no
+list of pairs is ever made.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlane.config import ReconConfig
+from ledgerlane.functions import money
+from ledgerlane.operators.scale import cut, lookup, rank_in_group
+
+CELL = ["side", "gstin_key", "num_key", "total_tax", "invoice_date"]
+BLOCK = ["gstin_key", "join_key", "relation", "tax_band", "date_band"]
+SAME, BOOK_LONGER, PORTAL_LONGER = 0, 1, 2
+NEAREST_TYPES = (
+    "cell_id string, neg_affinity double, delta long, gap int, partner string, ties long"
+)
+_FAR = np.iinfo(np.int64).max
+
+
+def nearest_partners(
+    seekers: pd.DataFrame, targets: pd.DataFrame, allowed_from: str, window: int
+) -> pd.DataFrame:
+    """For each seeker cell: smallest (tax gap, day gap), first partner there, partners there.
+
+    Per day of the window only the next target above and below in tax can be nearest: the
+    allowance grows more slowly than the tax it is derived from.
+    """
+    reps, codes = np.unique(targets["rep"].to_numpy(dtype=object), return_inverse=True)
+    grouped = (
+        targets.assign(code=codes)
+        .groupby(["day", "paise"], sort=True)
+        .agg(code=("code", "min"), cells=("code", "size"), allowed=("allowed", "first"))
+        .reset_index()
+    )
+    day, paise = seekers["day"].to_numpy(), seekers["paise"].to_numpy()
+    own_allowed = seekers["allowed"].to_numpy()
+    level = np.full(len(seekers), _FAR)
+    first = np.full(len(seekers), _FAR)
+    ties = np.zeros(len(seekers), dtype=np.int64)
+
+    for target_day, slice_ in grouped.groupby("day", sort=True):
+        near = np.flatnonzero(np.abs(day - target_day) <= window)
+        if not len(near):
+            continue
+        taxes = slice_["paise"].to_numpy()
+        above = np.searchsorted(taxes, paise[near], "left")
+        for position in (above, above - 1):
+            inside = (position >= 0) & (position < len(taxes))
+            rows, at = near[inside], position[inside]
+            delta = np.abs(paise[rows] - taxes[at])
+            limit = slice_["allowed"].to_numpy()[at] if allowed_from == "target" else (
+                own_allowed[rows]
+            )
+            fits = delta <= limit
+            rows, at, delta = rows[fits], at[fits], delta[fits]
+            here = delta * (window + 1) + np.abs(day[rows] - target_day)
+            code = slice_["code"].to_numpy()[at]
+            cells = slice_["cells"].to_numpy()[at]
+            closer, equal = here < level[rows], here == level[rows]
+            first[rows] = np.where(
+                closer, code, np.where(equal, np.minimum(first[rows], code), first[rows])
+            )
+            ties[rows] = np.where(closer, cells, np.where(equal, ties[rows] + cells, ties[rows]))
+            level[rows] = np.minimum(level[rows], here)
+
+    found = np.flatnonzero(level < _FAR)
+    return pd.DataFrame(
+        {
+            "cell_id": seekers["cell_id"].to_numpy(dtype=object)[found],
+            "delta": level[found] // (window + 1),
+            "gap": (level[found] % (window + 1)).astype("int32"),
+            "partner": reps[first[found]],
+            "ties": ties[found],
+        }
+    )
+
+
+def _search_block(window: int):
+    def search(block: pd.DataFrame) -> pd.DataFrame:
+        sides = [block[block["side"] == side] for side in (0, 1)]
+        out = []
+        for side, allowed_from in ((0, "target"), (1, "seeker")):
+            seekers, targets = sides[side][sides[side]["home"]], sides[1 - side]
+            if len(seekers) and len(targets):
+                out.append(nearest_partners(seekers, targets, allowed_from, window))
+        if not out:
+            return pd.DataFrame(columns=["cell_id", "neg_affinity", "delta", "gap", "partner", "ties"])
+        found = pd.concat(out)
+        same = int(block["relation"].iloc[0]) == SAME
+        found.insert(1, "neg_affinity", -1.0 if same else -0.9)
+        return found
+
+    return search
+
+
+def _offers(cells: DataFrame, config: ReconConfig) -> DataFrame:
+    """Every live cell under each key it can meet a partner on, in its own and neighbour bands."""
+
+    def offer(relation: int, key):
+        return F.struct(F.lit(relation).alias("relation"), key.alias("join_key"))
+
+    is_book = F.col("side") == 0
+    number, parent = F.col("num_key"), F.col("parent_key")
+    offers = F.array(
+        offer(SAME, number),
+        offer(BOOK_LONGER, F.when(is_book, parent).otherwise(number)),
+        offer(PORTAL_LONGER, F.when(is_book, number).otherwise(parent)),
+    )
+    width = int(max(config.tax_cap, config.tax_slack) * 100)
+    days = max(config.date_window_days, 1)
+    paise = (F.col("total_tax") * 100).cast("long")
+    day = F.unix_date("invoice_date")
+    steps = F.array(*[F.lit(step) for step in (-1, 0, 1)])
+    return (
+        cells.select("*", F.inline(offers))
+        .where("join_key is not null")
+        .select(
+            "gstin_key",
+            "join_key",
+            "relation",
+            "side",
+            "cell_id",
+            "rep",
+            paise.alias("paise"),
+            day.alias("day"),
+            (money.allowed_difference(F.col("total_tax"), config) * 100)
+            .cast("long")
+            .alias("allowed"),
+        )
+        .withColumn("tax_step", F.explode(steps))
+        .withColumn("date_step", F.explode(steps))
+        .withColumn("home", (F.col("tax_step") == 0) & (F.col("date_step") == 0))
+        .withColumn("tax_band", F.floor(F.col("paise") / width) + F.col("tax_step"))
+        .withColumn("date_band", F.floor(F.col("day") / days) + F.col("date_step"))
+        .drop("tax_step", "date_step")
+    )
+
+
+def _best(cells: DataFrame, config: ReconConfig) -> DataFrame:
+    """Per cell: best level, first partner line there, number of partner cells there."""
+    found = (
+        _offers(cells, config)
+        .groupBy(*BLOCK)
+        .applyInPandas(_search_block(config.date_window_days), NEAREST_TYPES)
+    )
+    level = ("neg_affinity", "delta", "gap")
+    merged = found.groupBy("cell_id").agg(
+        F.min(F.struct(*level, "partner")).alias("best"),
+        # At most one entry per relation.
+        F.collect_list(F.struct(F.struct(*level).alias("level"), "ties")).alias("entries"),
+    )
+    at_best = F.filter(
+        "entries",
+        lambda e: e["level"] == F.struct(*[F.col(f"best.{name}").alias(name) for name in level]),
+    )
+    return merged.select(
+        "cell_id",
+        "best.*",
+        F.aggregate(at_best, F.lit(0).cast("long"), lambda n, e: n + e["ties"]).alias("ties"),
+    )
+
+
+def assign_rounds(lines: DataFrame, config: ReconConfig) -> DataFrame:
+    """Assignment of all ``lines`` (a cut table) in rounds of mutually best cells."""
+    ranked = rank_in_group(lines, CELL, ["line_id"], "place", config.hot_key_rows)
+    first = lines.groupBy(*CELL, "parent_key").agg(
+        F.min("line_id").alias("cell_id"), F.count(F.lit(1)).alias("size")
+    )
+    cells = cut(first.withColumn("used", F.lit(0).cast("long")).withColumn("rep", F.col("cell_id")))
+    places = cut(
+        lookup(
+            ranked.select(*CELL, "line_id", "place"),
+            cells.select(*CELL, "cell_id"),
+            CELL,
+            "inner",
+            config.hot_key_rows,
+        ).select("cell_id", "side", "place", "line_id")
+    )
+    done: DataFrame | None = None
+    while True:
+        taken = cut(_take_mutual(cells, config))
+        if taken.isEmpty():
+            break
+        done = taken if done is None else done.unionByName(taken)
+        cells = _use(cells, taken, places)
+    if done is None:
+        done = taken
+    return _expand(done, places, config)
+
+
+def _take_mutual(cells: DataFrame, config: ReconConfig) -> DataFrame:
+    live = cells.where("used < size")
+    best = live.join(_best(live, config), "cell_id")
+
+    def side(number: int, prefix: str) -> DataFrame:
+        return best.where(F.col("side") == number).select(
+            *[
+                F.col(name).alias(f"{prefix}_{name}")
+                for name in ("cell_id", "rep", "partner", "ties", "used", "size", "num_key")
+            ],
+            *([] if number else ["neg_affinity", "delta", "gap"]),
+        )
+
+    alone = (F.col("b_ties") == 1) & (F.col("p_ties") == 1)
+    both = F.least(F.col("b_size") - F.col("b_used"), F.col("p_size") - F.col("p_used"))
+    longer = F.when(
+        F.length("b_num_key") > F.length("p_num_key"), F.col("b_num_key")
+    ).otherwise(F.col("p_num_key"))
+    meet = (F.col("b_partner") == F.col("p_rep")) & (F.col("p_partner") == F.col("b_rep"))
+    return side(0, "b").join(side(1, "p"), meet).select(
+        "neg_affinity",
+        (F.col("delta") / 100).cast(money.MONEY).alias("delta"),
+        "gap",
+        F.when(F.col("neg_affinity") > -1.0, F.regexp_extract(longer, "[A-Z]+$", 0)).alias(
+            "suffix"
+        ),
+        "b_cell_id",
+        "b_used",
+        "p_cell_id",
+        "p_used",
+        F.when(alone, both).otherwise(F.lit(1).cast("long")).alias("lines"),
+    )
+
+
+def _use(cells: DataFrame, taken: DataFrame, places: DataFrame) -> DataFrame:
+    """Advance used counts and point each touched cell at its next free line."""
+    spent = taken.select(F.col("b_cell_id").alias("cell_id"), "lines").union(
+        taken.select(F.col("p_cell_id").alias("cell_id"), "lines")
+    )
+    moved = cells.join(spent, "cell_id").withColumn("used", F.col("used") + F.col("lines"))
+    following = places.select("cell_id", "place", F.col("line_id").alias("next"))
+    moved = (
+        moved.where("used < size")
+        .withColumn("place", F.col("used") + 1)
+        .join(following, ["cell_id", "place"])
+        .withColumn("rep", F.col("next"))
+    )
+    still = cells.join(spent, "cell_id", "left_anti")
+    return cut(still.unionByName(moved.select(*still.columns)))
+
+
+def _expand(taken: DataFrame, places: DataFrame, config: ReconConfig) -> DataFrame:
+    """Cell pairs back to line pairs: the k-th free line of one with the k-th of the other."""
+    pair = ["b_cell_id", "b_used", "p_cell_id", "p_used"]
+
+    def side(prefix: str, name: str) -> DataFrame:
+        spans = taken.select(
+            *pair, "lines", F.col(f"{prefix}_cell_id").alias("cell_id")
+        )
+        met = lookup(places, spans, ["cell_id"], "inner", config.hot_key_rows)
+        offset = F.col("place") - F.col(f"{prefix}_used")
+        return met.where((offset >= 1) & (offset <= F.col("lines"))).select(
+            *pair, offset.alias("offset"), F.col("line_id").alias(name)
+        )
+
+    levels = taken.select(*pair, "neg_affinity", "delta", "gap", "suffix")
+    books = lookup(side("b", "book_id"), levels, pair, "inner", config.hot_key_rows)
+    return books.join(side("p", "portal_id"), [*pair, "offset"])

@@ -1,6 +1,6 @@
 """One DuckDB statement per registered query."""
 
-from checks.oracle_base import *  # noqa: F403
+from checks import oracle_decisions
 from checks.oracle_base import with_ctes
 
 MATCH = {
@@ -44,4 +44,10 @@ SELECT side, times_in, times_out, count(*) AS lines FROM (
 
 
 def oracle_sql():
-    return {name: with_ctes(sql) for name, sql in MATCH.items()}
+    out = {name: with_ctes(sql) for name, sql in MATCH.items()}
+    for module in (oracle_decisions,):
+        out.update({name: with_ctes(sql, EXTRA) for name, sql in module.SQL.items()})
+    return out
+
+
+EXTRA = {**oracle_decisions.EXTRA}

@@ -123,9 +123,29 @@ def append_chain(entries: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFr
     chained = halves.groupBy("chain_id", "segment").applyInPandas(
         _chain_segment, "chain_id string, sequence bigint, previous_digest string, digest string"
     )
-    return entries.join(chained, ["chain_id", "sequence"]).withColumn(
-        "superseded_by", F.lit(None).cast("bigint")
+    if "superseded_by" not in entries.columns:
+        entries = entries.withColumn("superseded_by", F.lit(None).cast("bigint"))
+    return entries.join(chained, ["chain_id", "sequence"])
+
+
+def extend_chain(
+    log: DataFrame, entries: DataFrame, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """Append entries (numbered on from the log) to a chained log.
+
+    Full segments stay as they are; only each chain's open segment is chained again.
+    """
+    lengths = log.groupBy("chain_id").agg(
+        (F.floor(F.count(F.lit(1)) / segment_rows) * segment_rows).alias("open_from")
+    )
+    placed = log.join(lengths, "chain_id")
+    is_open = F.col("sequence") >= F.col("open_from")
+    plain = [name for name in log.columns if name not in ("previous_digest", "digest")]
+    tail = placed.where(is_open).select(*plain).unionByName(
+        entries.withColumn("superseded_by", F.lit(None).cast("bigint")).select(*plain)
     )
+    kept = placed.where(~is_open).select(*log.columns)
+    return kept.unionByName(append_chain(tail, segment_rows).select(*log.columns))
 
 
 def segment_heads(chained: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:

@@ -151,14 +151,12 @@ def apply_reviews(
         F.col("name").alias("approver"),
         "amount_at_risk",
     )
-    bare = log.select(*entries.columns).unionByName(entries)
     pointers = numbered.select(
         "chain_id",
         F.col("audit_sequence").alias("sequence"),
-        F.col("place").alias("_place"),
         (F.col("length") + F.col("place")).alias("replaced_by"),
-    ).drop("_place")
-    tables.write_audit(audit.supersede(audit.append_chain(bare), pointers), folder)
+    )
+    tables.write_audit(audit.supersede(audit.extend_chain(log, entries), pointers), folder)
 
     wanted = numbered.where(F.col("final_action").isin("ACCEPT", "REJECT")).select(
         "exception_id", F.col("final_action").alias("action"), F.col("ord").alias("seq")

@@ -1,5 +1,5 @@
 """All registered queries by name."""
 
-from ledgerlane.plans import ledger_queries
+from ledgerlane.plans import decision_queries, ledger_queries
 
-QUERIES = {**ledger_queries.QUERIES}
+QUERIES = {**ledger_queries.QUERIES, **decision_queries.QUERIES}

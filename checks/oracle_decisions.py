@@ -129,8 +129,8 @@ SELECT line_id, abs(date_diff('day', invoice_date, {AS_OF})) AS days_apart, {fy_
   strftime(invoice_date, '%Y-%m') || '-14' AS period_cutoff FROM portal_all""",
     "tolerance_band": f"""
 SELECT o_orderkey, abs(l - r)::DOUBLE AS difference, {allowed('r')}::DOUBLE AS allowed, abs(l - r) <= {allowed('r')} AS within_tolerance
-FROM (SELECT o_orderkey, round(x, 2)::VARCHAR::DECIMAL(28,2) AS r, round(round(x, 2) + (o_orderkey % 240 - 20) / 2.0::DOUBLE, 2)::VARCHAR::DECIMAL(28,2) AS l
-  FROM (SELECT o_orderkey, o_totalprice / 10 AS x FROM orders))""",
+FROM (SELECT o_orderkey, r, r + (o_orderkey % 240 - 20) * 0.50::DECIMAL(3,2) AS l
+  FROM (SELECT o_orderkey, round(round(o_totalprice, 2)::DECIMAL(28,2) * 0.1::DECIMAL(2,1), 2)::DECIMAL(28,2) AS r FROM orders))""",
     "drc01c_exposure": """
 SELECT return_period, c::DOUBLE AS claimed_itc, a::DOUBLE AS available_itc, (c - a)::DOUBLE AS excess, t::DOUBLE AS threshold,
   (t - (c - a))::DOUBLE AS headroom, c - a > t AS fires

@@ -67,7 +67,8 @@ def ascii_json(text: Column) -> Column:
     return F.when(text.rlike(r"^[ -~]*$"), text).otherwise(F.array_join(chars, ""))
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """Compact JSON object with sorted keys and explicit nulls."""
+def canonical_json(fields: dict[str, Column], escape: bool = True) -> Column:
+    """Compact JSON object with sorted keys and explicit nulls, ASCII only unless told not to."""
     ordered = [fields[name].alias(name) for name in sorted(fields)]
-    return ascii_json(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}))
+    text = F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
+    return ascii_json(text) if escape else text

@@ -47,7 +47,8 @@ def _fetch(
             requests.select(*REQUEST, *keys), summary, keys, "left", config.hot_key_rows
         ).select(*REQUEST, "match_count", "rows")
 
-    cells = summarise(rows, [*keys, amount], order, [*order, *shown], config).withColumn(
+    kept = list(dict.fromkeys([*order, *shown]))
+    cells = summarise(rows, [*keys, amount], order, kept, config).withColumn(
         "_band", F.floor(amount).cast("long")
     )
     low, high = F.col("amount") - F.col("slack"), F.col("amount") + F.col("slack")
@@ -70,8 +71,9 @@ def _fetch(
         )
     )
     in_order = F.array_sort(
-        F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in dict.fromkeys(order)],
-                                               r.alias("row")))
+        F.transform(
+            "rows", lambda r: F.struct(*[r[c].alias(c) for c in order], r.alias("row"))
+        )
     )
     first = F.slice(in_order, 1, config.probe_rows)
     shown_rows = F.transform(

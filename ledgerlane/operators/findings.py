@@ -218,8 +218,8 @@ def trace_termination(responses: DataFrame, config: ReconConfig = DEFAULTS) -> D
 
 
 def request_fingerprint(fields: dict[str, Column]) -> Column:
-    """Digest of everything that can change an answer."""
-    return digests.sha256_hex(digests.canonical_json(fields))
+    """Digest of everything that can change an answer, over UTF-8 so long texts stay cheap."""
+    return digests.sha256_hex(digests.canonical_json(fields, escape=False))
 
 
 def first_requests(requests: DataFrame, fields: list[str], order: str) -> DataFrame:

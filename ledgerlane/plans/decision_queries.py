@@ -139,12 +139,10 @@ def statutory_dates(spark, sf_dir) -> DataFrame:
 
 def tolerance_band(spark, sf_dir) -> DataFrame:
     orders = derived.table(spark, sf_dir, "orders")
-    right = F.round(F.col("o_totalprice") / 10, 2)
-    left = F.round(right + (F.col("o_orderkey") % 240 - 20) / 2.0, 2)
-    return orders.select(
-        "o_orderkey",
-        evidence.probe_tolerance(left.cast("string"), right.cast("string")).alias("t"),
-    ).select(
+    price = F.round("o_totalprice", 2).cast(money.MONEY)
+    right = F.round(price * F.lit("0.1").cast("decimal(2,1)"), 2).cast(money.MONEY)
+    left = right + (F.col("o_orderkey") % 240 - 20) * F.lit("0.50").cast("decimal(3,2)")
+    return orders.select("o_orderkey", evidence.probe_tolerance(left, right).alias("t")).select(
         "o_orderkey",
         F.col("t.difference").cast("double").alias("difference"),
         F.col("t.allowed").cast("double").alias("allowed"),

@@ -1,5 +1,15 @@
 """All registered queries by name."""
 
-from ledgerlane.plans import decision_queries, ledger_queries
+from ledgerlane.plans import (
+    decision_queries,
+    evaluation_queries,
+    evidence_queries,
+    ledger_queries,
+)
 
-QUERIES = {**ledger_queries.QUERIES, **decision_queries.QUERIES}
+QUERIES = {
+    **ledger_queries.QUERIES,
+    **decision_queries.QUERIES,
+    **evidence_queries.QUERIES,
+    **evaluation_queries.QUERIES,
+}

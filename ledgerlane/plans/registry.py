@@ -4,6 +4,7 @@ from ledgerlane.plans import (
     decision_queries,
     evaluation_queries,
     evidence_queries,
+    ingest_queries,
     ledger_queries,
 )
 
@@ -12,4 +13,5 @@ QUERIES = {
     **decision_queries.QUERIES,
     **evidence_queries.QUERIES,
     **evaluation_queries.QUERIES,
+    **ingest_queries.QUERIES,
 }

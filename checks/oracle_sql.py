@@ -1,6 +1,12 @@
 """One DuckDB statement per registered query."""
 
-from checks import oracle_decisions, oracle_evaluation, oracle_evidence, oracle_ingest
+from checks import (
+    oracle_decisions,
+    oracle_evaluation,
+    oracle_evidence,
+    oracle_ingest,
+    oracle_streams,
+)
 from checks.oracle_base import with_ctes
 
 MATCH = {
@@ -45,14 +51,10 @@ SELECT side, times_in, times_out, count(*) AS lines FROM (
 
 def oracle_sql():
     out = {name: with_ctes(sql) for name, sql in MATCH.items()}
-    for module in (oracle_decisions, oracle_evidence, oracle_evaluation, oracle_ingest):
+    for module in MODULES:
         out.update({name: with_ctes(sql, EXTRA) for name, sql in module.SQL.items()})
     return out
 
 
-EXTRA = {
-    **oracle_decisions.EXTRA,
-    **oracle_evidence.EXTRA,
-    **oracle_evaluation.EXTRA,
-    **oracle_ingest.EXTRA,
-}
+MODULES = (oracle_decisions, oracle_evidence, oracle_evaluation, oracle_ingest, oracle_streams)
+EXTRA = {name: text for module in MODULES for name, text in module.EXTRA.items()}

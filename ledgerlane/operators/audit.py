@@ -18,7 +18,7 @@ from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.fixed_values import GENESIS_DIGEST
 from ledgerlane.functions import digests, money
 from ledgerlane.operators.policy import route
-from ledgerlane.operators.scale import rank_in_group
+from ledgerlane.operators.scale import lookup, rank_in_group
 
 CHAIN_TYPES = (
     "chain_id string, sequence bigint, exception_id string, action string, "
@@ -129,7 +129,10 @@ def append_chain(entries: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFr
 
 
 def extend_chain(
-    log: DataFrame, entries: DataFrame, segment_rows: int = SEGMENT_ROWS
+    log: DataFrame,
+    entries: DataFrame,
+    segment_rows: int = SEGMENT_ROWS,
+    config: ReconConfig = DEFAULTS,
 ) -> DataFrame:
     """Append entries (numbered on from the log) to a chained log.
 
@@ -138,7 +141,7 @@ def extend_chain(
     lengths = log.groupBy("chain_id").agg(
         (F.floor(F.count(F.lit(1)) / segment_rows) * segment_rows).alias("open_from")
     )
-    placed = log.join(lengths, "chain_id")
+    placed = lookup(log, lengths, ["chain_id"], "inner", config.hot_key_rows)
     is_open = F.col("sequence") >= F.col("open_from")
     plain = [name for name in log.columns if name not in ("previous_digest", "digest")]
     tail = placed.where(is_open).select(*plain).unionByName(

@@ -19,7 +19,7 @@ from ledgerlane.fixed_values import (
     TEXT_RCM_PORTAL,
 )
 from ledgerlane.functions import dates, identifiers, money
-from ledgerlane.operators.scale import global_index, lookup, rank_zip
+from ledgerlane.operators.scale import broadcast_if_small, global_index, lookup, rank_zip
 
 DOCUMENT_KEY = ["gstin_key", "num_key"]
 STAGE_COLUMNS = (
@@ -151,7 +151,10 @@ def gstin_mismatches(pairs: DataFrame) -> DataFrame:
 
 
 def known_originals(
-    residue: DataFrame, all_books: DataFrame, all_portal: DataFrame
+    residue: DataFrame,
+    all_books: DataFrame,
+    all_portal: DataFrame,
+    config: ReconConfig = DEFAULTS,
 ) -> DataFrame:
     """Original numbers cited by left-over credit notes that occur on either side."""
     cited = (
@@ -166,10 +169,14 @@ def known_originals(
     numbers = (
         all_books.select("num_key")
         .union(all_portal.select("num_key"))
-        .distinct()
         .withColumnRenamed("num_key", "original_key")
     )
-    return cited.join(numbers, "original_key", "left_semi").withColumn("known", F.lit(True))
+    # Few numbers are cited; broadcasting them keeps both whole sides out of a shuffle.
+    return (
+        numbers.join(broadcast_if_small(cited, config.broadcast_rows), "original_key", "left_semi")
+        .distinct()
+        .withColumn("known", F.lit(True))
+    )
 
 
 def classify_portal_residue(
@@ -182,7 +189,7 @@ def classify_portal_residue(
     """Cancelled, then duplicate, then unlinked credit note, then missing in books.
 
     A duplicate repeats a key some earlier pass consumed, or a smaller-id left-over line that is
-    not cancelled. Both are group minima or maxima, so no ordered pass over a key is needed.
+    not cancelled. Both are group minima or maxima, combined map-side, so no key is gathered.
     """
     live = F.coalesce(F.col("irn_status") != "CANCELLED", F.lit(True))
     seen = (
@@ -213,7 +220,7 @@ def classify_portal_residue(
     )
     looked_up = lookup(
         looked_up,
-        known_originals(residue, all_books, all_portal),
+        known_originals(residue, all_books, all_portal, config),
         ["original_key"],
         "left",
         config.hot_key_rows,

@@ -51,20 +51,26 @@ def _fetch(
     cells = summarise(rows, [*keys, amount], order, kept, config).withColumn(
         "_band", F.floor(amount).cast("long")
     )
+    # Equal questions are asked once, so a band of one key holds a bounded number of them too.
     low, high = F.col("amount") - F.col("slack"), F.col("amount") + F.col("slack")
-    windows = requests.select(
-        *REQUEST,
-        *keys,
-        low.alias("_low"),
-        high.alias("_high"),
-        F.explode(
-            F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long"))
-        ).alias("_band"),
+    window = [*keys, "amount", "slack"]
+    questions = (
+        requests.select(*window)
+        .distinct()
+        .select(
+            *window,
+            low.alias("_low"),
+            high.alias("_high"),
+            F.explode(
+                F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long"))
+            ).alias("_band"),
+        )
+        .withColumnsRenamed({"amount": "_asked", "slack": "_slack"})
     )
     met = (
-        windows.join(cells, [*keys, "_band"])
+        questions.join(cells, [*keys, "_band"])
         .where((F.col(amount) >= F.col("_low")) & (F.col(amount) <= F.col("_high")))
-        .groupBy(*REQUEST)
+        .groupBy(*keys, "_asked", "_slack")
         .agg(
             F.sum("match_count").alias("match_count"),
             F.flatten(F.collect_list("rows")).alias("rows"),
@@ -78,13 +84,18 @@ def _fetch(
     first = F.slice(in_order, 1, config.probe_rows)
     shown_rows = F.transform(
         first,
-        lambda r: F.struct(
-            F.lit(0).alias("_rank"), *[r["row"][c].alias(c) for c in shown]
-        ),
+        lambda r: F.struct(F.lit(0).alias("_rank"), *[r["row"][c].alias(c) for c in shown]),
     )
-    return requests.select(*REQUEST).join(
-        met.select(*REQUEST, "match_count", shown_rows.alias("rows")), REQUEST, "left"
+    answers = met.select(
+        *keys,
+        F.col("_asked").alias("amount"),
+        F.col("_slack").alias("slack"),
+        "match_count",
+        shown_rows.alias("rows"),
     )
+    return lookup(
+        requests.select(*REQUEST, *window), answers, window, "left", config.hot_key_rows
+    ).select(*REQUEST, "match_count", "rows")
 
 
 def _probe(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.config import DEFAULTS, ReconConfig
-from ledgerlane.operators.scale import broadcast_if_small
 
 DIMENSIONS = 256
 
@@ -103,9 +102,9 @@ def search_precedents(
         .withColumn("q_vector", hash_embed(precedent_text(F.col("exception_class"), F.col("gstin"))))
     )
     vectors = asked.select("exception_class", "q_vector").distinct()
-    vectors = broadcast_if_small(
-        vectors.withColumn("q_norm", norm_squared(F.col("q_vector"))), config.broadcast_rows
-    )
+    vectors = vectors.withColumn("q_norm", norm_squared(F.col("q_vector")))
+    few = vectors.count() <= config.broadcast_rows
+    vectors = F.broadcast(vectors) if few else vectors
     scored = precedents.join(vectors, "exception_class").select(
         "exception_class",
         "q_vector",
@@ -121,6 +120,8 @@ def search_precedents(
     best = scored.withColumn("place", F.row_number().over(order)).where(
         F.col("place") <= config.precedents_per_query
     )
+    # At most k rows per distinct vector, so as small as the vectors were.
+    best = F.broadcast(best) if few else best
     return asked.join(best, ["exception_class", "q_vector"]).select(
         "exception_class",
         "gstin",

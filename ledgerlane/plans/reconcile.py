@@ -75,13 +75,16 @@ def run_passes(
         by_gstin.select(F.col("portal.line_id").alias("line_id")), "line_id", "left_anti"
     )
 
-    # Whole-side lookups read the written table, pruned to the columns they need. Only consumed
-    # lines whose key also occurs in the residue can make a duplicate.
+    # Whole-side lookups read the written table, pruned to the columns they need. Consumed lines
+    # are the exact partners plus what left the residue since; no join with the whole side.
     all_portal = zipped.where("portal is not null").select("portal.*")
     all_books = zipped.where("book is not null").select("book.*")
-    consumed = all_portal.join(
-        portal_rest.select(*classify.DOCUMENT_KEY).distinct(), classify.DOCUMENT_KEY, "left_semi"
-    ).join(portal_rest.select("line_id"), "line_id", "left_anti")
+    since = exact.left_over(zipped, "portal").join(
+        portal_rest.select("line_id"), "line_id", "left_anti"
+    )
+    partners = zipped.where("book is not null and portal is not null").select("portal.*")
+    key_and_id = [*classify.DOCUMENT_KEY, "line_id"]
+    consumed = partners.select(*key_and_id).unionByName(since.select(*key_and_id))
 
     return Passes(
         books=books,

@@ -6,6 +6,7 @@ from ledgerlane.plans import (
     evidence_queries,
     ingest_queries,
     ledger_queries,
+    stream_queries,
 )
 
 QUERIES = {
@@ -14,4 +15,5 @@ QUERIES = {
     **evidence_queries.QUERIES,
     **evaluation_queries.QUERIES,
     **ingest_queries.QUERIES,
+    **stream_queries.QUERIES,
 }

@@ -1,7 +1,6 @@
 """Worksheet rows from .xlsx bytes, with the standard library only.
 
-A worksheet is streamed row by row, so a task holds one workbook's shared strings and a batch of
-rows. Values stay the stored text; only date-formatted numbers are turned into ISO dates.
+Values stay the stored text; only date-formatted numbers are turned into ISO dates.
 """
 
 from __future__ import annotations
@@ -134,11 +133,12 @@ class Workbook:
 
 
 def sheet_rows(content: bytes, name: str, sheet: str | None) -> Iterator[tuple[int, list[str]]]:
-    """Rows from 1 to the last one with text; rows the file omits come back empty."""
-    expected, waiting = 1, []
-    for number, cells in sorted(Workbook(content, name).rows(sheet), key=lambda r: r[0]):
-        waiting.extend((gap, []) for gap in range(expected + len(waiting), number))
-        waiting.append((number, cells))
-        if any(c.strip() for c in cells):
-            yield from waiting
-            waiting, expected = [], number + 1
+    """Rows 1 to the last one with text; rows the file omits come back empty.
+
+    Rows are placed by the number the file gives them. The format itself limits a sheet to about
+    a million rows, which is what a task holds at most.
+    """
+    stored = dict(Workbook(content, name).rows(sheet))
+    last = max((n for n, row in stored.items() if any(c.strip() for c in row)), default=0)
+    for number in range(1, last + 1):
+        yield number, stored.get(number, [])

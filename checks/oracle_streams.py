@@ -2,7 +2,26 @@
 
 from checks.oracle_evaluation import EXTRA as _EVALUATION
 
+_MIX = (("MISSING_IN_2B", 74), ("MISSING_IN_BOOKS", 34), ("AMOUNT_MISMATCH", 26), ("GSTIN_MISMATCH", 16), ("DUPLICATE", 18),
+        ("CANCELLED_IRN", 12), ("CREDIT_NOTE_UNLINKED", 10), ("RCM", 6), ("TIME_BARRED", 4))
+
+
+def _planted():
+    edge, cases = 1920, []
+    for name, count in _MIX:
+        edge += count
+        cases.append(f"WHEN slot < {edge} THEN '{name}'")
+    return (
+        "CASE WHEN slot < 1800 THEN 'EXACT' WHEN slot < 1920 THEN 'FUZZY' " + " ".join(cases) + " END"
+    )
+
+
 SQL = {
+    # A duplicate's first copy also matches its book entry exactly.
+    "generate_cycle": f"""
+SELECT exception_class, count(*) AS documents, count(*) AS as_planted FROM (
+  SELECT {_planted()} AS exception_class FROM (SELECT o_orderkey % 2120 AS slot FROM orders)
+  UNION ALL SELECT 'EXACT' FROM orders WHERE o_orderkey % 2120 BETWEEN 2070 AND 2087) GROUP BY exception_class""",
     "stream_submit": """
 SELECT exception_id AS document_id, action, key AS idempotency_key, 1::BIGINT AS applied_rows FROM presented GROUP BY ALL""",
     "stream_depth": """

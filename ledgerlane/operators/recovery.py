@@ -18,6 +18,8 @@ from ledgerlane.functions.digests import canonical_json
 QUOTE_CHARS = 200
 RULE_QUOTE_CHARS = 80
 TRANSCRIPT_CHARS = 2000
+FIRST_SUBJECT = "Subject: GSTR-1 filing for invoice under exception "
+DOCUMENTS_SUBJECT = "Subject: Documents for exception "
 
 
 def _contains_any(text: Column, markers: tuple[str, ...]) -> Column:
@@ -80,7 +82,7 @@ def parse_reply_label(output: Column, text: Column) -> Column:
 
 def first_contact_draft(exception_id: Column) -> Column:
     return F.concat(
-        F.lit("Subject: GSTR-1 filing for invoice under exception "),
+        F.lit(FIRST_SUBJECT),
         exception_id,
         F.lit("\n\n" + TEXT_FIRST_CONTACT_BODY),
     )
@@ -88,7 +90,7 @@ def first_contact_draft(exception_id: Column) -> Column:
 
 def documents_draft(exception_id: Column) -> Column:
     return F.concat(
-        F.lit("Subject: Documents for exception "),
+        F.lit(DOCUMENTS_SUBJECT),
         exception_id,
         F.lit("\n\n" + TEXT_DOCUMENTS_BODY),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ledgerlane.operators import review
 from ledgerlane.operators.scale import shared_dir
+from ledgerlane.plans import reconcile
 from ledgerlane.plans.decision_queries import (
     decisions,
     derived_approvals,
     presented_submissions,
 )
 from ledgerlane.plans.ledger_queries import as_double
-from ledgerlane.sources import derived, tables
+from ledgerlane.sources import derived, generated, tables
 from ledgerlane.streaming import conversations, depth, submissions
 
 STREAM_FILES = 4
@@ -68,7 +70,11 @@ def stream_recovery(spark, sf_dir) -> DataFrame:
     """All conversations through the stateful stream, straight from the given table."""
     folder = _folder(spark, "conversations")
     table = derived.table(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/conversations*.parquet")
+    stream = (
+        spark.readStream.schema(table.schema)
+        .option("maxFilesPerTrigger", STREAM_FILES)
+        .parquet(f"{sf_dir}/conversations*.parquet")
+    )
     query = (
         conversations.conversation_stream(conversation_messages(stream))
         .writeStream.format("parquet")
@@ -100,7 +106,45 @@ def stream_depth(spark, sf_dir) -> DataFrame:
     )
 
 
+BASE_DATE = dt.date(2026, 7, 14)
+
+
+def generate_cycle(spark, sf_dir) -> DataFrame:
+    """A generated cycle with one document per order, reconciled and held against its truth."""
+    orders = derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    made = generated.generate_cycle(
+        derived.spread(orders, "id"),
+        seed=20260726,
+        period="07-2026",
+        base_date=BASE_DATE,
+        vendor_count=400,
+    )
+    result = reconcile.reconcile(made.books, made.portal, as_of=BASE_DATE)
+    truth = made.truth.select("exception_key", F.col("exception_class").alias("planted"))
+    anchor = F.regexp_extract("exception_id", "^E[0-9]+-(.*)$", 1)
+    labelled = result.exceptions.withColumn("exception_key", anchor).join(
+        truth, "exception_key", "left"
+    )
+    classes = labelled.groupBy("exception_class").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("planted") == F.col("exception_class")).alias("as_planted"),
+    )
+    caught = result.matched.join(
+        made.near_misses.withColumn("near", F.lit(True)),
+        ["book_line_id", "portal_line_id"],
+        "left",
+    )
+    kinds = caught.groupBy(
+        F.when(F.col("exact"), "EXACT").otherwise("FUZZY").alias("exception_class")
+    ).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.coalesce("near", F.lit(False)) != F.col("exact")).alias("as_planted"),
+    )
+    return classes.unionByName(kinds)
+
+
 QUERIES = {
+    "generate_cycle": generate_cycle,
     "stream_submit": stream_submit,
     "stream_recovery": stream_recovery,
     "stream_depth": stream_depth,

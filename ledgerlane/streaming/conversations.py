@@ -1,12 +1,13 @@
 """Supplier conversations as a keyed stateful stream.
 
 Replies are classified as columns before the state step, so the state function only moves a small
-record. A conversation is sequential: its messages of one trigger are taken in order.
+record of fixed size. What was said is written out message by message (``transcript``) and not
+carried in state, so a long conversation costs no more per message than a short one. Messages of
+one trigger are taken in order; the source's trigger limit bounds how many there are.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,16 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlane.config import DEFAULTS
-from ledgerlane.fixed_values import TEXT_DOCUMENTS_BODY
-from ledgerlane.operators.recovery import REASONS, TRANSCRIPT_CHARS, classify_reply_rules
+from ledgerlane.fixed_values import TEXT_DOCUMENTS_BODY, TEXT_FIRST_CONTACT_BODY
+from ledgerlane.operators.recovery import (
+    DOCUMENTS_SUBJECT,
+    FIRST_SUBJECT,
+    REASONS,
+    TRANSCRIPT_CHARS,
+    classify_reply_rules,
+)
 
 MESSAGE_FIELDS = ("exception_id", "vendor_gstin", "cycle", "contacted", "ord", "text")
-STATE_TYPES = (
-    "stage string, cycle int, sent int, contacted boolean, last_kind string, transcript string"
-)
+STATE_TYPES = "stage string, cycle int, sent int, contacted boolean, last_kind string"
 OUTPUT_TYPES = (
-    "exception_id string, ord bigint, reply_kind string, flagged boolean, action string, "
-    "requires_human boolean, reason string, stage string, sent int, state_json string"
+    "exception_id string, vendor_gstin string, ord bigint, reply_kind string, flagged boolean, "
+    "text string, action string, requires_human boolean, reason string, draft string, "
+    "stage string, cycle int, sent int, contacted boolean"
 )
 
 
@@ -59,49 +65,60 @@ def advance(
 ) -> Iterator[pd.DataFrame]:
     """Take one conversation's messages of this trigger through the state machine."""
     (exception_id,) = key
-    if state.exists:
-        stage, cycle, sent, contacted, last_kind, stored = state.get
-        transcript = json.loads(stored)
-    else:
-        stage, cycle, sent, contacted, last_kind, transcript = "DRAFTED", 0, 0, False, None, []
+    stage, cycle, sent, contacted, last_kind = (
+        state.get if state.exists else ("DRAFTED", 0, 0, False, None)
+    )
     out = []
     for message in pd.concat(list(batches)).sort_values("ord").itertuples(index=False):
         if message.cycle > cycle:
             cycle, sent = int(message.cycle), 0
         contacted = bool(contacted or message.contacted)
         last_kind = message.kind
-        if message.kind != "NO_REPLY":
-            transcript.append(
-                {"direction": "in", "kind": message.kind, "text": message.text[:TRANSCRIPT_CHARS]}
-            )
         kind, human, reason = next_step(stage, sent, contacted, cycle, message.kind)
+        draft = ""
         if kind == "send" and human:
             stage = "AWAITING_APPROVAL"
+            draft = f"{FIRST_SUBJECT}{exception_id}\n\n{TEXT_FIRST_CONTACT_BODY}"
         elif kind == "send":
             sent, stage = sent + 1, "AWAITING_REPLY"
-            draft = f"Subject: Documents for exception {exception_id}\n\n{TEXT_DOCUMENTS_BODY}"
-            transcript.append({"direction": "out", "kind": "SENT", "text": draft})
+            draft = f"{DOCUMENTS_SUBJECT}{exception_id}\n\n{TEXT_DOCUMENTS_BODY}"
         else:
             stage = STAGE_AFTER.get(kind, stage)
-        record = {
-            "contacted_before": contacted,
-            "cycle": cycle,
-            "exception_id": exception_id,
-            "last_reply_kind": last_kind,
-            "messages_sent_this_cycle": sent,
-            "stage": stage,
-            "transcript": transcript,
-            "vendor_gstin": message.vendor_gstin,
-        }
+        text = "" if message.kind == "NO_REPLY" else message.text[:TRANSCRIPT_CHARS]
         out.append(
-            (exception_id, message.ord, message.kind, bool(message.flagged), kind, human, reason,
-             stage, sent, json.dumps(record, sort_keys=True))
-        )
-    state.update((stage, cycle, sent, contacted, last_kind, json.dumps(transcript)))
+            (exception_id, message.vendor_gstin, message.ord, message.kind, bool(message.flagged),
+             text, kind, human, reason, draft, stage, cycle, sent, contacted)
+        )
+    state.update((stage, cycle, sent, contacted, last_kind))
     columns = [part.split()[0] for part in OUTPUT_TYPES.split(", ")]
     yield pd.DataFrame(out, columns=columns)
 
 
+def transcript(steps: DataFrame) -> DataFrame:
+    """One row per message of a conversation, in and out, from the written steps."""
+    said = F.when(
+        F.col("reply_kind") != "NO_REPLY",
+        F.struct(
+            F.lit(0).alias("part"),
+            F.lit("in").alias("direction"),
+            F.col("reply_kind").alias("kind"),
+            F.col("text").alias("text"),
+        ),
+    )
+    sent = F.when(
+        (F.col("action") == "send") & ~F.col("requires_human"),
+        F.struct(
+            F.lit(1).alias("part"),
+            F.lit("out").alias("direction"),
+            F.lit("SENT").alias("kind"),
+            F.col("draft").alias("text"),
+        ),
+    )
+    return steps.select(
+        "exception_id", "ord", F.inline(F.array_compact(F.array(said, sent)))
+    )
+
+
 def conversation_stream(messages: DataFrame) -> DataFrame:
     """Decisions for a stream of messages with ``MESSAGE_FIELDS``."""
     reply = classify_reply_rules(F.col("text"))

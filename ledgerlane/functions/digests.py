@@ -58,7 +58,7 @@ def ascii_json(text: Column) -> Column:
     def escape(char: Column) -> Column:
         units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
         return F.when(char.rlike("^[ -~]$"), char).otherwise(
-            F.regexp_replace(units, "([0-9a-f]{4})", r"\\\\u$1")
+            F.regexp_replace(units, "([0-9a-f]{4})", r"\\u$1")
         )
 
     chars = F.transform(

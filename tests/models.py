@@ -106,3 +106,99 @@ def to_df(spark, lines):
         f"taxable {money}, cgst {money}, sgst {money}, igst {money}, cess {money}, "
         "kind string, reverse_charge boolean",
     )
+
+
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def check_char(body):
+    total = 0
+    for i, ch in enumerate(body):
+        product = ALPHABET.index(ch) * (1 + i % 2)
+        total += product // 36 + product % 36
+    return ALPHABET[-total % 36]
+
+
+def valid_gstin(gstin):
+    shape = "ddaaaaadddda?Za"
+    if len(gstin) != 15 or gstin[0] not in "0123" or gstin[12] == "0":
+        return False
+    for ch, kind in zip(gstin, shape):
+        if kind == "d" and not ch.isdigit():
+            return False
+    if not (gstin[2:7].isalpha() and gstin[7:11].isdigit() and gstin[11].isalpha()):
+        return False
+    return gstin[13] == "Z" and check_char(gstin[:14]) == gstin[14]
+
+
+def reconcile_walk(books, portal, as_of):
+    """Whole reconciliation as (matched pairs, [(id, class, book, portal, candidates)])."""
+    key = lambda x: (x["supplier_gstin"], tokens(x["invoice_number"]))
+    by_id = lambda x: x["line_id"]
+    rcm_b = sorted((x for x in books if x["reverse_charge"]), key=by_id)
+    rcm_p = sorted((x for x in portal if x["reverse_charge"]), key=by_id)
+    books = [x for x in books if not x["reverse_charge"]]
+    portal = [x for x in portal if not x["reverse_charge"]]
+    matched = exact_walk(books, portal)
+    free_b = {x["line_id"]: x for x in books}
+    free_p = {x["line_id"]: x for x in portal}
+
+    def use(pairs):
+        for b, p in pairs:
+            del free_b[b], free_p[p]
+
+    use(matched)
+    tolerant = tolerant_walk(list(free_b.values()), list(free_p.values()))
+    use(tolerant)
+    out = []
+
+    def emit(cls, book, line, candidates=()):
+        anchor = line or book
+        out.append((f"E{len(out) + 1:05d}-{anchor['line_id']}", cls,
+                    book and book["line_id"], line and line["line_id"], tuple(candidates)))
+
+    last = {key(x): x for x in rcm_p}
+    paired = set()
+    for b in rcm_b:
+        p = last.get(key(b))
+        if p:
+            paired.add(p["line_id"])
+        emit("RCM", b, p)
+    for p in rcm_p:
+        if p["line_id"] not in paired:
+            emit("RCM", None, p)
+    for b in sorted(free_b.values(), key=by_id):
+        for p in sorted(free_p.values(), key=by_id):
+            if key(b) == key(p):
+                emit("AMOUNT_MISMATCH", b, p)
+                use([(b["line_id"], p["line_id"])])
+                break
+    for b in sorted(free_b.values(), key=by_id):
+        if valid_gstin(b["supplier_gstin"]):
+            continue
+        for p in sorted(free_p.values(), key=by_id):
+            if tokens(b["invoice_number"]) == tokens(p["invoice_number"]) and b["igst"] == p["igst"]:
+                emit("GSTIN_MISMATCH", b, p, [p["line_id"]])
+                use([(b["line_id"], p["line_id"])])
+                break
+    known = {tokens(x["invoice_number"]) for x in books + portal}
+    seen = {}
+    for p in sorted(portal, key=by_id):
+        if p["line_id"] not in free_p:
+            seen[key(p)] = p["line_id"]
+    for p in sorted(free_p.values(), key=by_id):
+        original = p["original_invoice_number"]
+        if p["irn_status"] == "CANCELLED":
+            emit("CANCELLED_IRN", None, p)
+        elif key(p) in seen:
+            emit("DUPLICATE", None, p, [seen[key(p)]])
+        else:
+            seen[key(p)] = p["line_id"]
+            unlinked = original is None or tokens(original) not in known
+            credit = p["kind"] == "CREDIT_NOTE"
+            emit("CREDIT_NOTE_UNLINKED" if credit and unlinked else "MISSING_IN_BOOKS", None, p)
+    for b in sorted(free_b.values(), key=by_id):
+        day = b["invoice_date"]
+        start = day.year - (day.month < 4)
+        emit("TIME_BARRED" if as_of > dt.date(start + 1, 11, 30) else "MISSING_IN_2B", b, None)
+    return sorted(matched + tolerant), out

@@ -169,8 +169,4 @@ def apply_reviews(
         )
     )
     tables.append_ledger(submit.ledger_rows(sent), folder)
-    return judged.join(
-        sent.select(F.col("document_id").alias("exception_id"), "outcome", "portal_reference"),
-        "exception_id",
-        "left",
-    )
+    return judged.join(sent.select("ord", "outcome", "portal_reference"), "ord", "left")

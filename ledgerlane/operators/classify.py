@@ -73,22 +73,36 @@ def pair_reverse_charge(
 
     Many books may share one portal line. The key's last portal line (by id) is the counterpart.
     """
-    counterpart = portal.groupBy(*DOCUMENT_KEY).agg(
-        F.max_by(whole_row(portal), "line_id").alias("portal")
+    no_portal = _no_line(portal)
+    marks = books.select(
+        *DOCUMENT_KEY, F.lit(True).alias("is_book"), "line_id", no_portal.alias("portal")
+    ).unionByName(
+        portal.select(
+            *DOCUMENT_KEY, F.lit(False).alias("is_book"), "line_id", whole_row(portal).alias("portal")
+        )
+    )
+    per_key = marks.groupBy(*DOCUMENT_KEY).agg(
+        F.max("is_book").alias("has_book"),
+        F.max_by("portal", F.when(~F.col("is_book"), F.col("line_id"))).alias("portal"),
     )
     paired = lookup(
         books.select(*DOCUMENT_KEY, whole_row(books).alias("book")),
-        counterpart,
+        per_key.where("portal is not null").select(*DOCUMENT_KEY, "portal"),
         DOCUMENT_KEY,
         "left",
         config.hot_key_rows,
     )
-    used = (
-        counterpart.join(books.select(*DOCUMENT_KEY).distinct(), DOCUMENT_KEY, "left_semi")
-        .select(F.col("portal.line_id").alias("line_id"))
-    )
-    alone = portal.join(used, "line_id", "left_anti").select(
-        _no_line(books).alias("book"), whole_row(portal).alias("portal")
+    used = per_key.where("has_book").select(*DOCUMENT_KEY, F.col("portal.line_id").alias("used_id"))
+    alone = (
+        lookup(
+            portal.select(*DOCUMENT_KEY, whole_row(portal).alias("portal")),
+            used,
+            DOCUMENT_KEY,
+            "left",
+            config.hot_key_rows,
+        )
+        .where(F.coalesce(F.col("portal.line_id") != F.col("used_id"), F.lit(True)))
+        .select(_no_line(books).alias("book"), "portal")
     )
     rcm = F.lit("RCM")
     return _stage(
@@ -103,7 +117,12 @@ def pair_amount_mismatches(
 ) -> DataFrame:
     """Every left-over line once, zipped on the document key."""
     zipped = rank_zip(books, portal, DOCUMENT_KEY, "line_id", config.hot_key_rows)
-    return zipped.select(F.col("left").alias("book"), F.col("right").alias("portal"))
+    return zipped.select(
+        F.col("left.line_id").alias("book_id"),
+        F.col("right.line_id").alias("portal_id"),
+        F.col("left").alias("book"),
+        F.col("right").alias("portal"),
+    )
 
 
 def amount_mismatches(zipped: DataFrame) -> DataFrame:
@@ -111,7 +130,7 @@ def amount_mismatches(zipped: DataFrame) -> DataFrame:
     detail = F.concat(
         F.lit("tax differs by "), money.plain(delta), F.lit(", beyond configured tolerance")
     )
-    both = zipped.where(F.col("book").isNotNull() & F.col("portal").isNotNull())
+    both = zipped.where("book_id is not null and portal_id is not null")
     return _stage(both, STAGE_AMOUNT, F.col("book.line_id"), F.lit("AMOUNT_MISMATCH"), detail)
 
 
@@ -151,12 +170,9 @@ def gstin_mismatches(pairs: DataFrame) -> DataFrame:
 
 
 def known_originals(
-    residue: DataFrame,
-    all_books: DataFrame,
-    all_portal: DataFrame,
-    config: ReconConfig = DEFAULTS,
+    residue: DataFrame, numbers: DataFrame, config: ReconConfig = DEFAULTS
 ) -> DataFrame:
-    """Original numbers cited by left-over credit notes that occur on either side."""
+    """Original numbers cited by left-over credit notes that occur among ``numbers``."""
     cited = (
         residue.where("kind = 'CREDIT_NOTE' and original_invoice_number is not null")
         .select(
@@ -166,14 +182,10 @@ def known_originals(
         )
         .distinct()
     )
-    numbers = (
-        all_books.select("num_key")
-        .union(all_portal.select("num_key"))
-        .withColumnRenamed("num_key", "original_key")
-    )
     # Few numbers are cited; broadcasting them keeps both whole sides out of a shuffle.
     return (
-        numbers.join(broadcast_if_small(cited, config.broadcast_rows), "original_key", "left_semi")
+        numbers.select(F.col("num_key").alias("original_key"))
+        .join(broadcast_if_small(cited, config.broadcast_rows), "original_key", "left_semi")
         .distinct()
         .withColumn("known", F.lit(True))
     )
@@ -182,12 +194,14 @@ def known_originals(
 def classify_portal_residue(
     residue: DataFrame,
     consumed: DataFrame,
-    all_books: DataFrame,
-    all_portal: DataFrame,
+    numbers: DataFrame,
+    books: DataFrame,
     config: ReconConfig = DEFAULTS,
 ) -> DataFrame:
     """Cancelled, then duplicate, then unlinked credit note, then missing in books.
 
+    ``consumed``: document keys and ids of portal lines earlier passes used. ``numbers``: number
+    keys of all lines of both sides. ``books`` only gives the shape of a book line.
     A duplicate repeats a key some earlier pass consumed, or a smaller-id left-over line that is
     not cancelled. Both are group minima or maxima, combined map-side, so no key is gathered.
     """
@@ -220,7 +234,7 @@ def classify_portal_residue(
     )
     looked_up = lookup(
         looked_up,
-        known_originals(residue, all_books, all_portal, config),
+        known_originals(residue, numbers, config),
         ["original_key"],
         "left",
         config.hot_key_rows,
@@ -264,7 +278,7 @@ def classify_portal_residue(
     )
     duplicate = live & earlier.isNotNull()
     return _stage(
-        looked_up.withColumn("book", _no_line(all_books)),
+        looked_up.withColumn("book", _no_line(books)),
         STAGE_PORTAL,
         F.col("line_id"),
         cls,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlane.fixed_values import REFERENCE_PROBES, TEXT_NOT_MEASURED
 from ledgerlane.functions.statistics import claim_is_grounded, rounded, wilson
 from ledgerlane.operators.policy import route
+from ledgerlane.operators.scale import side_by_side
 
 
 def per_resolution(amount: Column, resolved: Column) -> Column:
@@ -60,7 +61,7 @@ def tiering_ablation(trajectories: DataFrame, documents: DataFrame) -> DataFrame
     )
     interval = rounded(wilson(F.col("resolved"), F.col("exceptions")))
     return (
-        counted.join(documents, how="cross")
+        side_by_side(counted, documents)
         .select("documents", "exceptions", F.inline(arms))
         .select(
             "arm",

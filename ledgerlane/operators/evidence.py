@@ -167,11 +167,9 @@ def probe_prior_2b(
         identifiers.normalise_invoice_number(F.col("invoice_number")).alias("num_key"),
     )
     shown = ["return_period", "line_id", "invoice_number", "total_tax"]
-    periods = prior.select("return_period").distinct().agg(
-        F.count(F.lit(1)).alias("period_count")
-    )
+    periods = prior.select("return_period").distinct().count()
     found = _probe(asked, lines, ["return_period", "line_id"], shown, None, config)
-    return found.join(F.broadcast(periods), how="cross")
+    return found.withColumn("period_count", F.lit(periods).cast("long"))
 
 
 def probe_vendor_master(

@@ -24,16 +24,28 @@ MATCHED_COLUMNS = (
 
 
 def zip_exact(books: DataFrame, portal: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
-    """Every line of both sides once: ``book`` and ``portal`` structs, paired where exact."""
+    """Every line of both sides once, paired where exact.
+
+    Output: document keys, ``book_id`` and ``portal_id``, and the whole line (``book`` or
+    ``portal``) only where it is left over. Paired lines are needed by id alone from here on, so
+    the table is small even though every document is in it.
+    """
     zipped = rank_zip(books, portal, KEY_COLUMNS, "line_id", config.hot_key_rows)
-    return zipped.select(F.col("left").alias("book"), F.col("right").alias("portal"))
+    alone = F.col("left").isNull() | F.col("right").isNull()
+    return zipped.select(
+        "gstin_key",
+        "num_key",
+        F.col("left.line_id").alias("book_id"),
+        F.col("right.line_id").alias("portal_id"),
+        F.when(alone, F.col("left")).alias("book"),
+        F.when(alone, F.col("right")).alias("portal"),
+    )
 
 
 def exact_matches(zipped: DataFrame) -> DataFrame:
-    both = F.col("book").isNotNull() & F.col("portal").isNotNull()
-    return zipped.where(both).select(
-        F.col("book.line_id").alias("book_line_id"),
-        F.col("portal.line_id").alias("portal_line_id"),
+    return zipped.where("book_id is not null and portal_id is not null").select(
+        F.col("book_id").alias("book_line_id"),
+        F.col("portal_id").alias("portal_line_id"),
         F.lit("exact").alias("rule"),
         F.lit(TEXT_EXACT).alias("detail"),
         F.lit(0).cast(MONEY).alias("tax_delta"),
@@ -46,4 +58,6 @@ def exact_matches(zipped: DataFrame) -> DataFrame:
 def left_over(zipped: DataFrame, side: str) -> DataFrame:
     """Lines of one side the pass did not pair."""
     other = "portal" if side == "book" else "book"
-    return zipped.where(F.col(other).isNull()).select(f"{side}.*")
+    return zipped.where(F.col(f"{side}_id").isNotNull() & F.col(f"{other}_id").isNull()).select(
+        f"{side}.*"
+    )

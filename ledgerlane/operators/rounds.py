@@ -212,7 +212,7 @@ def _take_mutual(cells: DataFrame, config: ReconConfig) -> DataFrame:
                 F.col(name).alias(f"{prefix}_{name}")
                 for name in ("cell_id", "rep", "partner", "ties", "used", "size", "num_key")
             ],
-            *([] if number else ["neg_affinity", "delta", "gap"]),
+            *([] if number else ["neg_affinity", "delta", "gap", "gstin_key"]),
         )
 
     alone = (F.col("b_ties") == 1) & (F.col("p_ties") == 1)
@@ -228,6 +228,8 @@ def _take_mutual(cells: DataFrame, config: ReconConfig) -> DataFrame:
         F.when(F.col("neg_affinity") > -1.0, F.regexp_extract(longer, "[A-Z]+$", 0)).alias(
             "suffix"
         ),
+        "gstin_key",
+        F.col("p_num_key").alias("portal_num_key"),
         "b_cell_id",
         "b_used",
         "p_cell_id",
@@ -267,6 +269,8 @@ def _expand(taken: DataFrame, places: DataFrame, config: ReconConfig) -> DataFra
             *pair, offset.alias("offset"), F.col("line_id").alias(name)
         )
 
-    levels = taken.select(*pair, "neg_affinity", "delta", "gap", "suffix")
+    levels = taken.select(
+        *pair, "neg_affinity", "delta", "gap", "suffix", "gstin_key", "portal_num_key"
+    )
     books = lookup(side("b", "book_id"), levels, pair, "inner", config.hot_key_rows)
     return books.join(side("p", "portal_id"), [*pair, "offset"])

@@ -182,3 +182,10 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast a side only after counting it."""
     return F.broadcast(df) if df.count() <= limit else df
 
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row. No join is involved."""
+    stacked = rows[0]
+    for more in rows[1:]:
+        stacked = stacked.unionByName(more, allowMissingColumns=True)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])

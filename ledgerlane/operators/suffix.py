@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.functions import dates, identifiers, money
 from ledgerlane.operators import rounds
-from ledgerlane.operators.scale import cut, split_hot
+from ledgerlane.operators.scale import broadcast_if_small, cut, split_hot
 
 GROUP = ["gstin_key", "root_key"]
-EDGE_FIELDS = ("neg_affinity", "delta", "gap", "book_id", "portal_id", "suffix")
+EDGE_FIELDS = (
+    "neg_affinity",
+    "delta",
+    "gap",
+    "book_id",
+    "portal_id",
+    "suffix",
+    "gstin_key",
+    "portal_num_key",
+)
 
 
 def _narrow(df: DataFrame, side: int) -> DataFrame:
@@ -34,21 +43,6 @@ def _narrow(df: DataFrame, side: int) -> DataFrame:
     )
 
 
-def two_sided_lines(books: DataFrame, portal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(narrow lines of both sides, groups that have lines on both sides with their size)."""
-    lines = _narrow(books, 0).unionByName(_narrow(portal, 1))
-    groups = (
-        lines.groupBy(*GROUP)
-        .agg(
-            F.sum(1 - F.col("side")).alias("book_lines"),
-            F.sum("side").alias("portal_lines"),
-        )
-        .where("book_lines > 0 and portal_lines > 0")
-        .select(*GROUP, (F.col("book_lines") + F.col("portal_lines")).alias("group_lines"))
-    )
-    return lines, groups
-
-
 def candidate_edges(
     books: DataFrame, portal: DataFrame, config: ReconConfig = DEFAULTS
 ) -> DataFrame:
@@ -136,6 +130,8 @@ def _edges_in_row(config: ReconConfig) -> Column:
                 b["line_id"].alias("book_id"),
                 p["line_id"].alias("portal_id"),
                 F.when(~same, F.regexp_extract(longer, "[A-Z]+$", 0)).alias("suffix"),
+                F.col("gstin_key").alias("gstin_key"),
+                p["num_key"].alias("portal_num_key"),
             ),
         )
 
@@ -169,6 +165,7 @@ def _assign_in_rows(lines: DataFrame, config: ReconConfig) -> DataFrame:
             F.collect_list(F.when(F.col("side") == 0, line)).alias("book_lines"),
             F.collect_list(F.when(F.col("side") == 1, line)).alias("portal_lines"),
         )
+        .where((F.size("book_lines") > 0) & (F.size("portal_lines") > 0))
         .select(_edges_in_row(config).alias("edges"))
         .where(F.size("edges") > 0)
         .select(F.inline(F.expr(_TAKE_IN_ORDER)))
@@ -181,24 +178,23 @@ def assign_best_first(
 ) -> DataFrame:
     """One-to-one matches, taken by (affinity, tax gap, day gap, book id, portal id).
 
-    The inputs should be cut tables: they are read once to size the groups and once to match.
+    The inputs should be cut tables: a narrow count sizes the groups before any is gathered, and
+    only where some group is too large are the lines split by the size of their group.
     """
-    lines, groups = two_sided_lines(books, portal)
+    lines = _narrow(books, 0).unionByName(_narrow(portal, 1))
+    sizes = lines.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("group_lines"))
+    largest = sizes.agg(F.max("group_lines")).first()[0] or 0
+    if largest <= config.pair_group_lines:
+        return _assign_in_rows(lines, config)
+
     ordinary, hot = split_hot(lines, GROUP, config.hot_key_rows)
-    sized = cut(lookup_groups(ordinary, groups))
-    small = sized.where(F.col("group_lines") <= config.pair_group_lines).drop("group_lines")
-    taken = _assign_in_rows(small, config)
-    large = sized.where(F.col("group_lines") > config.pair_group_lines).drop("group_lines")
+    sized = cut(ordinary.join(sizes, GROUP))
+    is_small = F.col("group_lines") <= config.pair_group_lines
+    large = sized.where(~is_small).drop("group_lines")
     if hot is not None:
         large = large.unionByName(hot.select(large.columns))
-    if hot is not None or not large.isEmpty():
-        taken = taken.unionByName(rounds.assign_rounds(cut(large), config).select(*EDGE_FIELDS))
-    return taken
-
-
-def lookup_groups(lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """Lines of two-sided groups with their group size. No key here is hot."""
-    return lines.join(groups, GROUP)
+    taken = _assign_in_rows(sized.where(is_small).drop("group_lines"), config)
+    return taken.unionByName(rounds.assign_rounds(cut(large), config).select(*EDGE_FIELDS))
 
 
 def tolerant_matches(taken: DataFrame) -> DataFrame:
@@ -214,6 +210,6 @@ def tolerant_matches(taken: DataFrame) -> DataFrame:
     )
 
 
-def remove_taken(df: DataFrame, taken: DataFrame, side: str) -> DataFrame:
-    used = taken.select(F.col(f"{side}_id").alias("line_id"))
-    return df.join(used, "line_id", "left_anti")
+def remove_lines(df: DataFrame, used: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
+    """Lines whose id is not in ``used`` (a cut table of ``line_id``, so counting it is cheap)."""
+    return df.join(broadcast_if_small(used, config.broadcast_rows), "line_id", "left_anti")

@@ -14,16 +14,20 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def match_summary(matched: DataFrame, exceptions: DataFrame) -> DataFrame:
-    counts = matched.agg(
-        F.count_if("exact").alias("exact_count"), F.count_if(~F.col("exact")).alias("fuzzy_count")
-    )
-    other = exceptions.agg(F.count(F.lit(1)).alias("exceptions"))
-    documents = F.col("exact_count") + F.col("fuzzy_count") + F.col("exceptions")
-    return counts.join(other, how="cross").select(
-        documents.alias("documents"),
-        "exact_count",
-        "fuzzy_count",
-        "exceptions",
+    kinds = matched.select(F.when(F.col("exact"), "exact").otherwise("fuzzy").alias("kind"))
+    kinds = kinds.union(exceptions.select(F.lit("exception").alias("kind")))
+
+    def count(kind: str) -> Column:
+        return F.count_if(F.col("kind") == kind)
+
+    documents = F.col("documents")
+    return kinds.agg(
+        F.count(F.lit(1)).alias("documents"),
+        count("exact").alias("exact_count"),
+        count("fuzzy").alias("fuzzy_count"),
+        count("exception").alias("exceptions"),
+    ).select(
+        "*",
         rate(F.col("exact_count"), documents).alias("exact_rate"),
         rate(F.col("fuzzy_count"), documents).alias("fuzzy_rate"),
     )

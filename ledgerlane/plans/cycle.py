@@ -17,7 +17,7 @@ from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.fixed_values import DEFAULT_TAXPAYER
 from ledgerlane.functions import dates, digests
 from ledgerlane.operators import audit, findings, policy, review, submit, summaries
-from ledgerlane.operators.scale import cut, global_index
+from ledgerlane.operators.scale import cut, global_index, side_by_side
 from ledgerlane.plans.reconcile import Reconciliation
 from ledgerlane.sources import tables
 
@@ -74,9 +74,7 @@ def cycle_outcome(
         F.count(F.lit(1)).alias("exactly_once_violations")
     )
     return (
-        summary.join(counts, how="cross")
-        .join(sent, how="cross")
-        .join(violations, how="cross")
+        side_by_side(summary, counts, sent, violations)
         .withColumn("period", F.lit(period))
         .withColumn("days_to_cutoff", dates.days_to_cutoff(F.lit(as_of), config))
     )
@@ -131,9 +129,10 @@ def apply_reviews(
     judged = cut(review.resolve_approvals(cycle.queue, approvals, config))
     resolved = global_index(judged.where("status = 'resolved'"), ["ord"], "place")
     log = cycle.audit
-    heads = log.groupBy("chain_id").agg(F.count(F.lit(1)).alias("length"))
-    numbered = resolved.join(heads, how="cross").withColumn(
-        "sequence", F.col("length") + F.col("place")
+    # A cycle has one chain; its length is where the new entries go on.
+    (head,) = log.groupBy("chain_id").count().collect()
+    numbered = resolved.withColumn("chain_id", F.lit(head["chain_id"])).withColumn(
+        "sequence", F.col("place") + head["count"]
     )
     entries = numbered.select(
         "chain_id",
@@ -154,7 +153,7 @@ def apply_reviews(
     pointers = numbered.select(
         "chain_id",
         F.col("audit_sequence").alias("sequence"),
-        (F.col("length") + F.col("place")).alias("replaced_by"),
+        (F.col("place") + head["count"]).alias("replaced_by"),
     )
     tables.write_audit(audit.supersede(audit.extend_chain(log, entries), pointers), folder)
 

@@ -11,7 +11,7 @@ from ledgerlane.config import DEFAULTS
 from ledgerlane.fixed_values import DEFAULT_TAXPAYER
 from ledgerlane.functions import dates, digests, identifiers, money
 from ledgerlane.operators import audit, evidence, findings, policy, review, submit, summaries
-from ledgerlane.operators.scale import cut, rank_in_group
+from ledgerlane.operators.scale import cut, rank_in_group, side_by_side
 from ledgerlane.operators.sides import prepare_side
 from ledgerlane.plans import cycle as cycle_plan
 from ledgerlane.plans.ledger_queries import as_double, ledger, listed
@@ -224,16 +224,12 @@ def exactly_once(spark, sf_dir) -> DataFrame:
         F.count_if(F.col("applied_rows") > 1).alias("duplicates"),
         F.sum("applied_rows").alias("applied_rows"),
     )
-    return totals.join(
-        inbox.agg(
-            F.count(F.lit(1)).alias("documents"),
-            F.count_if(F.col("current_action") == "REJECT").alias("rejected_documents"),
-        ),
-        how="cross",
-    ).join(
-        submit.exactly_once_violations(sent).agg(F.count(F.lit(1)).alias("violations")),
-        how="cross",
+    documents = inbox.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("current_action") == "REJECT").alias("rejected_documents"),
     )
+    violations = submit.exactly_once_violations(sent).agg(F.count(F.lit(1)).alias("violations"))
+    return side_by_side(totals, documents, violations)
 
 
 def _entries(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions import statistics
 from ledgerlane.operators import evaluation, recovery, summaries
+from ledgerlane.operators.scale import side_by_side
 from ledgerlane.plans.decision_queries import decisions, order_key
 from ledgerlane.plans.ledger_queries import ledger
 from ledgerlane.sources import derived
@@ -77,11 +78,11 @@ def wilson(spark, sf_dir) -> DataFrame:
     lines = derived.table(spark, sf_dir, "lineitem").where("l_suppkey is not null")
     returned = F.count_if(F.col("l_returnflag") == "R")
     per = lines.groupBy("l_suppkey").agg(returned.alias("s"), F.count(F.lit(1)).alias("n"))
-    whole = lines.agg(returned.alias("all_s"), F.count(F.lit(1)).alias("all_n"))
+    all_returned, everything = lines.agg(returned, F.count(F.lit(1))).first()
     own = statistics.wilson(F.col("s"), F.col("n"))
-    overall = statistics.wilson(F.col("all_s"), F.col("all_n"))
+    overall = statistics.wilson(F.lit(all_returned), F.lit(everything))
     shown = statistics.rounded(own)
-    return per.join(whole, how="cross").select(
+    return per.select(
         "l_suppkey",
         shown["successes"].alias("successes"),
         shown["trials"].alias("trials"),
@@ -193,7 +194,7 @@ def spend_and_cache(spark, sf_dir) -> DataFrame:
             F.when(kind == "view", "hit").when(kind == "click", "miss").otherwise("write").alias("operation")
         )
     )
-    return spend.join(cache, how="cross")
+    return side_by_side(spend, cache)
 
 
 def reply_texts(spark, sf_dir) -> DataFrame:

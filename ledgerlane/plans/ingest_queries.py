@@ -103,6 +103,10 @@ def loaded(spark, sf_dir) -> ingest.Ingest:
     return _loaded[key]
 
 
+def forget_runs() -> None:
+    _loaded.clear()
+
+
 def ingest_headers(spark, sf_dir) -> DataFrame:
     headers = sheet_rows(spark, sf_dir).where("row_number = 1")
     mapped = ingest.map_headers(headers)

@@ -55,52 +55,58 @@ def run_passes(
 
     config = for_row_count(config, books.count() + portal.count())
     zipped = cut(exact.zip_exact(books, portal, config))
-    matched_exact = exact.exact_matches(zipped)
     book_rest = exact.left_over(zipped, "book")
     portal_rest = exact.left_over(zipped, "portal")
 
     taken = cut(suffix.assign_best_first(book_rest, portal_rest, config))
-    book_rest = suffix.remove_taken(book_rest, taken, "book")
-    portal_rest = suffix.remove_taken(portal_rest, taken, "portal")
+    book_rest = suffix.remove_lines(book_rest, _ids(taken, "book_id"), config)
+    portal_rest = suffix.remove_lines(portal_rest, _ids(taken, "portal_id"), config)
 
     by_amount = cut(classify.pair_amount_mismatches(book_rest, portal_rest, config))
     book_rest = exact.left_over(by_amount, "book")
     portal_rest = exact.left_over(by_amount, "portal")
 
     by_gstin = cut(classify.pair_gstin_mismatches(book_rest, portal_rest, config))
-    book_rest = book_rest.join(
-        by_gstin.select(F.col("book.line_id").alias("line_id")), "line_id", "left_anti"
-    )
-    portal_rest = portal_rest.join(
-        by_gstin.select(F.col("portal.line_id").alias("line_id")), "line_id", "left_anti"
-    )
+    book_rest = suffix.remove_lines(book_rest, _ids(by_gstin, "book.line_id"), config)
+    portal_rest = suffix.remove_lines(portal_rest, _ids(by_gstin, "portal.line_id"), config)
 
-    # Whole-side lookups read the written table, pruned to the columns they need. Consumed lines
-    # are the exact partners plus what left the residue since; no join with the whole side.
-    all_portal = zipped.where("portal is not null").select("portal.*")
-    all_books = zipped.where("book is not null").select("book.*")
-    since = exact.left_over(zipped, "portal").join(
-        portal_rest.select("line_id"), "line_id", "left_anti"
-    )
-    partners = zipped.where("book is not null and portal is not null").select("portal.*")
+    # Portal lines the passes used, as keys and ids; every pass wrote what it took.
+    both = F.col("book_id").isNotNull() & F.col("portal_id").isNotNull()
     key_and_id = [*classify.DOCUMENT_KEY, "line_id"]
-    consumed = partners.select(*key_and_id).unionByName(since.select(*key_and_id))
+    paired = zipped.where(both).select(
+        *classify.DOCUMENT_KEY, F.col("portal_id").alias("line_id")
+    )
+    consumed = (
+        paired.unionByName(
+            taken.select(
+                "gstin_key",
+                F.col("portal_num_key").alias("num_key"),
+                F.col("portal_id").alias("line_id"),
+            )
+        )
+        .unionByName(by_amount.where(both).select("portal.*").select(*key_and_id))
+        .unionByName(by_gstin.select("portal.*").select(*key_and_id))
+    )
 
     return Passes(
         books=books,
         portal=portal,
         reverse_charge=classify.pair_reverse_charge(rcm_books, rcm_portal, config),
-        exact=matched_exact,
+        exact=exact.exact_matches(zipped),
         tolerant=suffix.tolerant_matches(taken),
         amount=classify.amount_mismatches(by_amount),
         gstin=classify.gstin_mismatches(by_gstin),
         portal_residue=classify.classify_portal_residue(
-            portal_rest, consumed, all_books, all_portal, config
+            portal_rest, consumed, zipped.select("num_key"), book_rest, config
         ),
         book_residue=classify.classify_book_residue(book_rest, portal_rest, as_of, config),
     )
 
 
+def _ids(table: DataFrame, column: str) -> DataFrame:
+    return table.select(F.col(column).alias("line_id"))
+
+
 def reconcile(
     books: DataFrame,
     portal: DataFrame,

@@ -19,7 +19,7 @@ from ledgerlane.fixed_values import (
     TEXT_RCM_PORTAL,
 )
 from ledgerlane.functions import dates, identifiers, money
-from ledgerlane.operators.scale import broadcast_if_small, global_index, lookup, rank_zip
+from ledgerlane.operators.scale import global_index, lookup, rank_zip
 
 DOCUMENT_KEY = ["gstin_key", "num_key"]
 STAGE_COLUMNS = (
@@ -169,26 +169,30 @@ def gstin_mismatches(pairs: DataFrame) -> DataFrame:
     )
 
 
-def known_originals(
-    residue: DataFrame, numbers: DataFrame, config: ReconConfig = DEFAULTS
+def with_known_originals(
+    lines: DataFrame, residue: DataFrame, numbers: DataFrame, config: ReconConfig = DEFAULTS
 ) -> DataFrame:
-    """Original numbers cited by left-over credit notes that occur among ``numbers``."""
+    """Add ``known`` where a line's original number occurs among ``numbers``.
+
+    Only numbers cited by left-over credit notes matter. While they are few they are broadcast,
+    which keeps both whole sides and the lines out of a shuffle.
+    """
+    original = identifiers.normalise_invoice_number(F.col("original_invoice_number"))
     cited = (
         residue.where("kind = 'CREDIT_NOTE' and original_invoice_number is not null")
-        .select(
-            identifiers.normalise_invoice_number(F.col("original_invoice_number")).alias(
-                "original_key"
-            )
-        )
+        .select(original.alias("original_key"))
         .distinct()
     )
-    # Few numbers are cited; broadcasting them keeps both whole sides out of a shuffle.
-    return (
+    few = cited.count() <= config.broadcast_rows
+    known = (
         numbers.select(F.col("num_key").alias("original_key"))
-        .join(broadcast_if_small(cited, config.broadcast_rows), "original_key", "left_semi")
+        .join(F.broadcast(cited) if few else cited, "original_key", "left_semi")
         .distinct()
         .withColumn("known", F.lit(True))
     )
+    if few:
+        return lines.join(F.broadcast(known), "original_key", "left")
+    return lookup(lines, known, ["original_key"], "left", config.hot_key_rows)
 
 
 def classify_portal_residue(
@@ -232,13 +236,7 @@ def classify_portal_residue(
         "left",
         config.hot_key_rows,
     )
-    looked_up = lookup(
-        looked_up,
-        known_originals(residue, numbers, config),
-        ["original_key"],
-        "left",
-        config.hot_key_rows,
-    )
+    looked_up = with_known_originals(looked_up, residue, numbers, config)
     earlier = F.coalesce(
         F.col("consumed_id"),
         F.when(F.col("line_id") > F.col("first_id"), F.col("first_id")),

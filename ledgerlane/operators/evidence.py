@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.config import DEFAULTS, ReconConfig
+from ledgerlane.config import DEFAULTS, ReconConfig, for_row_count
 from ledgerlane.fixed_values import TEXT_UNKNOWN_IRN, TEXT_UNKNOWN_VENDOR
 from ledgerlane.functions import identifiers, money
-from ledgerlane.operators.scale import lookup, rank_in_group
+from ledgerlane.operators.scale import cut, lookup, rank_in_group
 
 REQUEST = ["exception_id", "call_id"]
 
@@ -23,14 +23,12 @@ def summarise(
     rows: DataFrame, keys: list[str], order: list[str], shown: list[str], config: ReconConfig
 ) -> DataFrame:
     """Per key: ``match_count`` and the first ``probe_rows`` rows in ``order``."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("match_count"))
     ranked = rank_in_group(rows, keys, order, "_rank", config.hot_key_rows)
-    first = (
-        ranked.where(F.col("_rank") <= config.probe_rows)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", *shown))).alias("rows"))
+    shown_first = F.when(F.col("_rank") <= config.probe_rows, F.struct("_rank", *shown))
+    return ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("match_count"),
+        F.array_sort(F.collect_list(shown_first)).alias("rows"),
     )
-    return counts.join(first, keys)
 
 
 def _fetch(
@@ -115,6 +113,11 @@ def _probe(
     ).withColumn("by_gstin", F.col("gstin_key") != "")
     by_amount = F.col("amount").isNotNull() if amount else F.lit(False)
     requests = requests.withColumn("by_amount", by_amount)
+    # Several kinds of question read the same rows; they are computed once.
+    needed = dict.fromkeys(["gstin_key", *(["num_key"] if "num_key" in rows.columns else []),
+                            *([amount] if amount else []), *order, *shown])
+    rows = cut(rows.select(*needed))
+    config = for_row_count(config, max(rows.count(), requests.count()))
     flags = ["by_gstin", "by_number", "by_amount"]
     answers: DataFrame | None = None
     for shape in requests.select(*flags).distinct().collect():  # at most eight shapes

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlane.config import DEFAULTS, ReconConfig
 
 DIMENSIONS = 256
+QUERY_ENTRIES = 3
+"""A query is a class and an id, normally two tokens; that many entries are looked up directly."""
 
 
 def hash_embed(text: Column) -> Column:
@@ -44,14 +46,29 @@ def norm_squared(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0), lambda n, e: n + e["weight"] * e["weight"])
 
 
-def sparse_dot(left: Column, right: Column) -> Column:
-    """Integer dot product of two sparse vectors; iterates the left one."""
+def dense_weights(vector: Column) -> Column:
+    """The sparse vector as an array of all 256 integer weights."""
+    filled = F.map_from_entries(vector)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(filled[i], F.lit(0))
+    )
+
+
+def lookup_dot(query: Column, weights: Column, entries: int) -> Column:
+    """Integer dot product of a sparse query with a dense vector.
+
+    The first ``entries`` query entries are plain array lookups, which compile; a query with
+    more of them is folded.
+    """
 
     def term(e: Column) -> Column:
-        mate = F.filter(right, lambda r: r["idx"] == e["idx"])
-        return F.when(F.size(mate) > 0, e["weight"] * mate[0]["weight"]).otherwise(F.lit(0))
+        return e["weight"] * F.get(weights, e["idx"])
 
-    return F.aggregate(F.transform(left, term), F.lit(0), lambda n, x: n + x)
+    short = F.lit(0)
+    for i in range(entries):
+        short = short + F.coalesce(term(F.get(query, F.lit(i))), F.lit(0))
+    long = F.aggregate(query, F.lit(0), lambda n, e: n + term(e))
+    return F.when(F.size(query) <= entries, short).otherwise(long)
 
 
 def sparse_cosine(dot: Column, left_norm: Column, right_norm: Column) -> Column:
@@ -81,8 +98,10 @@ def add_precedents(incoming: DataFrame, existing: DataFrame | None = None) -> Da
     if existing is not None:
         fresh = fresh.join(existing.select("precedent_id"), "precedent_id", "left_anti")
     text = precedent_text(F.col("exception_class"), F.col("gstin"), F.col("summary"))
-    return fresh.withColumn("vector", hash_embed(text)).withColumn(
-        "norm_squared", norm_squared(F.col("vector"))
+    return (
+        fresh.withColumn("vector", hash_embed(text))
+        .withColumn("norm_squared", norm_squared(F.col("vector")))
+        .withColumn("weights", dense_weights(F.col("vector")))
     )
 
 
@@ -94,7 +113,7 @@ def search_precedents(
     Queries are reduced to distinct vectors first. A class and one id token can only give
     2 x 256 different vectors per class, so the distinct ones are few, are broadcast after being
     counted, and meet the precedents where those lie. The top-k window keeps only its first rows
-    per input partition before any shuffle.
+    per input partition before any shuffle, and texts are fetched for the hits alone.
     """
     asked = (
         queries.select("exception_class", "gstin")
@@ -102,36 +121,53 @@ def search_precedents(
         .withColumn("q_vector", hash_embed(precedent_text(F.col("exception_class"), F.col("gstin"))))
     )
     vectors = asked.select("exception_class", "q_vector").distinct()
-    vectors = vectors.withColumn("q_norm", norm_squared(F.col("q_vector")))
+    vectors = vectors.withColumn("q_norm", norm_squared(F.col("q_vector"))).withColumn(
+        "q_id", F.xxhash64("exception_class", "q_vector")
+    )
     few = vectors.count() <= config.broadcast_rows
     vectors = F.broadcast(vectors) if few else vectors
-    scored = precedents.join(vectors, "exception_class").select(
+    scored = precedents.select(
+        "exception_class", "precedent_id", "weights", "norm_squared"
+    ).join(vectors, "exception_class")
+    scored = scored.select(
         "exception_class",
+        "q_id",
         "q_vector",
         "precedent_id",
         sparse_cosine(
-            sparse_dot(F.col("q_vector"), F.col("vector")), F.col("q_norm"), F.col("norm_squared")
+            lookup_dot(F.col("q_vector"), F.col("weights"), QUERY_ENTRIES),
+            F.col("q_norm"),
+            F.col("norm_squared"),
         ).alias("score"),
-        F.struct("gstin", "summary", "probe_sequence", "resolution").alias("precedent"),
-    )
-    order = Window.partitionBy("exception_class", "q_vector").orderBy(
-        F.desc("score"), "precedent_id"
     )
-    best = scored.withColumn("place", F.row_number().over(order)).where(
-        F.col("place") <= config.precedents_per_query
+    order = Window.partitionBy("q_id", "q_vector").orderBy(F.desc("score"), "precedent_id")
+    best = (
+        scored.withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= config.precedents_per_query)
+        .drop("q_id")
     )
     # At most k rows per distinct vector, so as small as the vectors were.
     best = F.broadcast(best) if few else best
-    return asked.join(best, ["exception_class", "q_vector"]).select(
-        "exception_class",
-        "gstin",
-        "place",
+    told = precedents.select(
         "precedent_id",
-        F.round("score", 4).alias("similarity"),
-        F.col("precedent.summary").alias("summary"),
-        F.col("precedent.probe_sequence").alias("probe_sequence"),
-        F.col("precedent.resolution").alias("resolution"),
-        (F.col("precedent.gstin") == F.col("gstin")).alias("same_vendor"),
+        F.col("gstin").alias("p_gstin"),
+        "summary",
+        "probe_sequence",
+        "resolution",
+    )
+    return (
+        asked.join(told.join(best, "precedent_id"), ["exception_class", "q_vector"])
+        .select(
+            "exception_class",
+            "gstin",
+            "place",
+            "precedent_id",
+            F.round("score", 4).alias("similarity"),
+            "summary",
+            "probe_sequence",
+            "resolution",
+            (F.col("p_gstin") == F.col("gstin")).alias("same_vendor"),
+        )
     )
 
 

@@ -42,7 +42,7 @@ class ReconConfig:
     hot_key_rows: int | None = 1_000_000
     """Groups with more rows than this are ranked by a range sort, not one window task.
     None states that no group can be that large, which saves the checks."""
-    pair_group_lines: int = 400
+    pair_group_lines: int = 200
     """Suffix-variant groups with more lines than this are assigned in distributed rounds."""
     broadcast_rows: int = 100_000
     """Largest counted side that may be broadcast."""

@@ -258,8 +258,18 @@ def load_registers(
     mapping = map_headers(sheet_rows.where(is_header))
     sizes = sheet_rows.groupBy("source").agg(F.max("row_number").alias("sheet_rows"))
 
-    mapped = lookup(body, mapping.where(F.size("problems") == 0).select("source", "columns"),
-                    ["source"], "inner", config.hot_key_rows)
+    # One row per file. While the files are few (counted) what is known about them is
+    # broadcast, and rows are parsed where they were read.
+    few = sheet_rows.where(is_header).count() <= config.broadcast_rows
+
+    def per_file(rows: DataFrame, files: DataFrame, how: str) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(files), "source", how)
+        return lookup(rows, files, ["source"], how, config.hot_key_rows)
+
+    mapped = per_file(
+        body, mapping.where(F.size("problems") == 0).select("source", "columns"), "inner"
+    )
     orders = infer_date_order(
         mapped.select("source", "row_number", cell("invoice_date").alias("date_text"))
     )
@@ -276,7 +286,7 @@ def load_registers(
 
     not_blank = F.exists("cells", lambda c: F.coalesce(read.strip(c) != "", F.lit(False)))
     readable = gated.where("refusal is null").select("source", "columns", "order")
-    rows = lookup(body.where(not_blank), readable, ["source"], "inner", config.hot_key_rows)
+    rows = per_file(body.where(not_blank), readable, "inner")
     # Parsed once and written: counts, lines and rejections all read it, and a filter on the
     # reason must not be pushed below the parsing.
     built = cut(build_lines(rows, strict_currency))
@@ -289,7 +299,7 @@ def load_registers(
     )
     report = _report(gated.join(counted, "source", "left"))
     loaded = report.where("refusal is null").select("source")
-    kept = lookup(built, loaded, ["source"], "left_semi", config.hot_key_rows)
+    kept = per_file(built, loaded, "left_semi")
     return Ingest(
         lines=kept.where(~bad).drop("cells", "row_number", "reason"),
         rejected=kept.where(bad).select(

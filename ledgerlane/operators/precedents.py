@@ -6,40 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.config import DEFAULTS, ReconConfig
+from ledgerlane.operators.scale import fan_out
 
 DIMENSIONS = 256
 QUERY_ENTRIES = 3
 """A query is a class and an id, normally two tokens; that many entries are looked up directly."""
 
 
-def hash_embed(text: Column) -> Column:
-    """Sparse bag-of-tokens vector: array of struct(idx, weight), integer weights, by index.
+def with_embedding(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the sparse bag-of-tokens vector of ``text``: array of struct(idx, weight), by index.
 
     Each token's SHA-256 picks an index (first four bytes) and a sign (fifth byte). The unit
-    vector is the weights over ``norm_squared``'s root; keeping integers keeps ties exact.
+    vector is the weights over ``norm_squared``'s root; keeping integers keeps ties exact. Steps
+    are separate columns so that each token is hashed once.
     """
     cleaned = F.trim(F.regexp_replace(F.upper(F.translate(text, "/", " ")), r"(?U)\s+", " "))
     tokens = F.filter(F.split(cleaned, " "), lambda t: t != "")
 
-    def signed(token: Column) -> Column:
-        digest = F.sha2(token, 256)
+    def vote(digest: Column) -> Column:
         index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % DIMENSIONS
         even = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0
         return F.struct(
             index.cast("int").alias("idx"), F.when(even, 1).otherwise(-1).alias("weight")
         )
 
-    votes = F.transform(tokens, signed)
-    indexes = F.array_sort(F.array_distinct(F.transform(votes, lambda v: v["idx"])))
-
     def total(index: Column) -> Column:
-        mine = F.filter(votes, lambda v: v["idx"] == index)
+        mine = F.filter("_votes", lambda v: v["idx"] == index)
         return F.struct(
             index.alias("idx"),
             F.aggregate(mine, F.lit(0), lambda n, v: n + v["weight"]).alias("weight"),
         )
 
-    return F.filter(F.transform(indexes, total), lambda e: e["weight"] != 0)
+    indexes = F.array_sort(F.array_distinct(F.transform("_votes", lambda v: v["idx"])))
+    return (
+        df.withColumn("_digests", F.transform(tokens, lambda t: F.sha2(t, 256)))
+        .withColumn("_votes", F.transform("_digests", vote))
+        .withColumn(name, F.filter(F.transform(indexes, total), lambda e: e["weight"] != 0))
+        .drop("_digests", "_votes")
+    )
 
 
 def norm_squared(vector: Column) -> Column:
@@ -94,12 +98,15 @@ def precedent_text(exception_class: Column, gstin: Column, summary: Column | Non
 
 def add_precedents(incoming: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Confirmed cases not stored yet, one per id, with their vectors."""
-    fresh = incoming.where("human_confirmed").dropDuplicates(["precedent_id"])
+    # Hashing texts is much work for few bytes, so the rows are spread by a stated count; the
+    # same exchange serves the uniqueness of ids and the check against stored ones.
+    fresh = fan_out(incoming.where("human_confirmed"), "precedent_id")
+    fresh = fresh.dropDuplicates(["precedent_id"])
     if existing is not None:
         fresh = fresh.join(existing.select("precedent_id"), "precedent_id", "left_anti")
     text = precedent_text(F.col("exception_class"), F.col("gstin"), F.col("summary"))
     return (
-        fresh.withColumn("vector", hash_embed(text))
+        with_embedding(fresh, text, "vector")
         .withColumn("norm_squared", norm_squared(F.col("vector")))
         .withColumn("weights", dense_weights(F.col("vector")))
     )
@@ -115,10 +122,10 @@ def search_precedents(
     counted, and meet the precedents where those lie. The top-k window keeps only its first rows
     per input partition before any shuffle, and texts are fetched for the hits alone.
     """
-    asked = (
-        queries.select("exception_class", "gstin")
-        .distinct()
-        .withColumn("q_vector", hash_embed(precedent_text(F.col("exception_class"), F.col("gstin"))))
+    asked = with_embedding(
+        queries.select("exception_class", "gstin").distinct(),
+        precedent_text(F.col("exception_class"), F.col("gstin")),
+        "q_vector",
     )
     vectors = asked.select("exception_class", "q_vector").distinct()
     vectors = vectors.withColumn("q_norm", norm_squared(F.col("q_vector"))).withColumn(
@@ -126,9 +133,8 @@ def search_precedents(
     )
     few = vectors.count() <= config.broadcast_rows
     vectors = F.broadcast(vectors) if few else vectors
-    scored = precedents.select(
-        "exception_class", "precedent_id", "weights", "norm_squared"
-    ).join(vectors, "exception_class")
+    scoring = precedents.select("exception_class", "precedent_id", "weights", "norm_squared")
+    scored = scoring.join(vectors, "exception_class")
     scored = scored.select(
         "exception_class",
         "q_id",

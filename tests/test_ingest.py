@@ -128,7 +128,7 @@ def load(spark, files, **options):
     return done, {r.source: r for r in done.file_report.collect()}
 
 
-@pytest.mark.parametrize("config", [ReconConfig(), ReconConfig(hot_key_rows=2)], ids=["plain", "hot"])
+@pytest.mark.parametrize("config", [ReconConfig(), ReconConfig(hot_key_rows=2, broadcast_rows=0)], ids=["plain", "hot"])
 def test_files_and_rows(spark, config):
     spellings = ["GSTIN of Supplier ", "vendor_gstin", "Party GSTIN", "GSTIN No.", "GSTIN", "Seller-GSTIN"]
     files = {

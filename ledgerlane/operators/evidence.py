@@ -36,9 +36,8 @@ def _fetch(
     amount: str | None, config: ReconConfig,
 ) -> DataFrame:
     """Requests that all filter on the same things, answered from summaries."""
-    everything = F.lit(0).alias("_all")
-    requests, rows = requests.select("*", everything), rows.select("*", everything)
-    keys = ["_all", *keys]
+    if amount is None and not keys:
+        return _whole_table(requests, rows, order, shown, config)
     if amount is None:
         summary = summarise(rows, keys, order, shown, config)
         return lookup(
@@ -96,6 +95,26 @@ def _fetch(
     ).select(*REQUEST, "match_count", "rows")
 
 
+def _whole_table(
+    requests: DataFrame, rows: DataFrame, order: list[str], shown: list[str], config: ReconConfig
+) -> DataFrame:
+    """A request without any filter: the row count and the first few rows, as constants."""
+    first = rows.orderBy(*order).limit(config.probe_rows).select(*order, *_others(shown, order))
+    entry = F.struct(*order, F.struct(F.lit(0).alias("_rank"), *shown).alias("row"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"])
+    few = first.agg(listed.alias("rows"))
+    text = few.select(F.to_json("rows", {"ignoreNullFields": "false"})).first()[0]
+    return requests.select(
+        *REQUEST,
+        F.lit(rows.count()).cast("long").alias("match_count"),
+        F.from_json(F.lit(text), few.schema["rows"].dataType).alias("rows"),
+    )
+
+
+def _others(shown: list[str], order: list[str]) -> list[str]:
+    return [name for name in shown if name not in order]
+
+
 def _probe(
     requests: DataFrame, rows: DataFrame, order: list[str], shown: list[str],
     amount: str | None, config: ReconConfig,

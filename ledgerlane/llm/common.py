@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcast an object of bounded size to tasks; a worker unpacks it once and keeps it.
+
+    It is pickled by value, as executors have no copy of this package.
+    """
+    sent = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+    def get():
+        box = sent.value
+        if len(box) == 1:
+            box.append(cloudpickle.loads(box[0]))
+        return box[1]
+
+    return get
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``. NULL for a NULL id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

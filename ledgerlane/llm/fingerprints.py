@@ -206,13 +206,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     "doc_id": batch["doc_id"],
                     "n_shingles": [len(s) for s in sets],
                     "class": [set_class(s) for s in sets],
+                    "held": [len(s) for s in sets],
                     "keys": [k.view(np.int64) if len(s) else [] for k, s in zip(keys, sets)],
                 }
             )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
-        run, "doc_id string, n_shingles long, class long, keys array<long>"
+        run, "doc_id string, n_shingles long, class long, held long, keys array<long>"
     ).withColumn("doc_id", F.col("doc_id").cast("long"))
     return linked_classes(docs, bands, *LIKENESS)
 

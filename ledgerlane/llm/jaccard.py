@@ -117,6 +117,8 @@ def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     share, whole = LIKENESS
     prefix = size - -(-share * size // whole) + 1
     single = size - len(tokens)  # these come first in the order, and no other document has them
+    if single >= prefix:
+        return np.empty(0, dtype=np.int64)
     level = size.bit_length() - 1
     tokens = mix(tokens)
     often = counts > FREQUENT
@@ -160,13 +162,14 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
             "doc_id": [None if missing else str(x) for x, missing in docs[:, :2]],
             "n_shingles": docs[:, 2],
             "class": docs[:, 3],
+            "held": np.diff(edges),
             "keys": found,
         }
     )
 
 
 def prefix_index(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and index keys of every document."""
+    """doc_id, n_shingles, class, tokens held elsewhere too, and index keys of every document."""
     spark = docs.sparkSession
     (size,) = docs.agg(F.sum(F.octet_length("text"))).first()
     ranges = max(
@@ -177,7 +180,7 @@ def prefix_index(docs: DataFrame) -> DataFrame:
     sent = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(_scatter(ranges), packed)
     counted = sent.groupBy("range").applyInPandas(_count, packed)
     return counted.groupBy("block").applyInPandas(
-        _index, "doc_id string, n_shingles long, class long, keys array<long>"
+        _index, "doc_id string, n_shingles long, class long, held long, keys array<long>"
     ).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import WordHashes, shingle_set
+from ledgerlane.llm.common import WordHashes, shared, shingle_set
 from ledgerlane.operators.scale import cut
 
 STAR_ROUNDS = 2
@@ -58,11 +58,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     Texts of other documents are passed over by a filter inside the scan, not shuffled.
     """
     words, power = _filter_words(ids)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)
+    get = shared(docs.sparkSession, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, known, mask = shared.value, WordHashes(), np.int64((1 << power) - 1)
+        held, known, mask = get(), WordHashes(), np.int64((1 << power) - 1)
         for batch in batches:
             mark = batch["mark"].to_numpy(dtype=np.int64)
             hit = np.ones(len(mark), dtype=bool)
@@ -137,9 +136,15 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def _similar_sizes(share: int, whole: int):
-    """No pair with more distant sizes can have the similarity."""
-    return (F.least("n", "other_n") * whole >= F.greatest("n", "other_n") * share)
+def _possible(share: int, whole: int):
+    """Whether sizes and shared elements allow the similarity: no pair has more in common than the
+    elements of either that occur in another set at all."""
+    common = F.least("held", "other_held")
+    return whole * common >= share * (F.col("n") + F.col("other_n") - common)
+
+
+def _others(prefix: str = "") -> list:
+    return [F.col(prefix + c).alias("other" if c == "class" else f"other_{c}") for c in ("class", "comp", "n", "held")]
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -151,14 +156,15 @@ def _pairs(df: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach.
 
-    ``index`` has doc_id, n_shingles, class and the candidate keys of each document: any two sets
-    with a similarity of ``share / whole`` must have a key in common. Documents without shingles
+    ``index`` has doc_id, n_shingles, class, the number of shingles that may occur elsewhere and the
+    candidate keys of each document: any two sets with a similarity of ``share / whole`` must have a
+    key in common. Documents without shingles
     are linked with nothing; NULL ids take the least id of their component, if it has one.
     """
     index = cut(index)
     classes = index.where("n_shingles > 0")
     # Copies carry the same keys: each class enters once.
-    entries = classes.select("class", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    entries = classes.select("class", F.col("n_shingles").alias("n"), "held", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     entries = cut(
         entries.join(shared.where("lo != hi").select("key"), "key").dropDuplicates(["key", "class"])
@@ -172,14 +178,16 @@ def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) ->
         tested = None
         for turn in range(STAR_ROUNDS):
             live = entries.join(labels, "class")
-            centre = F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "comp", "n")
+            # First the class with the least of its own, as the text that others are copies of has.
+            own = (F.col("n") - F.col("held")) / F.col("n") if turn == 0 else F.lit(0.0)
+            centre = F.struct(own.alias("own"), F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "comp", "n", "held")
             centres = (
                 live.groupBy("key")
                 .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(centre).alias("at"))
                 .where("lo != hi")
-                .select("key", F.col("at.class").alias("other"), F.col("at.comp").alias("other_comp"), F.col("at.n").alias("other_n"))
+                .select("key", *_others("at."))
             )
-            near = live.join(centres, "key").where("comp != other_comp").where(_similar_sizes(share, whole))
+            near = live.join(centres, "key").where("comp != other_comp").where(_possible(share, whole))
             pairs = _pairs(near)
             pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             tested = pairs if tested is None else tested.unionByName(pairs)
@@ -192,8 +200,8 @@ def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) ->
         )
         apart = cut(live.join(largest, "key"))
         outside = apart.where("comp != top")
-        others = apart.select("key", F.col("class").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"))
-        near = outside.join(others, "key").where("comp != other_comp").where(_similar_sizes(share, whole))
+        others = apart.select("key", *_others())
+        near = outside.join(others, "key").where("comp != other_comp").where(_possible(share, whole))
         pairs = cut(_pairs(near).join(tested, ["a", "b"], "left_anti"))
         labels = merge(labels, cut(verify(pairs, sets, share, whole)))
     least = cut(

@@ -1,9 +1,28 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
-from ledgerlane.llm import fingerprints, jaccard
+from ledgerlane.llm import (
+    decontamination,
+    fingerprints,
+    jaccard,
+    language,
+    packing,
+    pii,
+    quality,
+    resharding,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_quality": quality.op2_quality,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_language": language.op7_language,
+    "op8_urls": urls.op8_urls,
+    "op9_resharding": resharding.op9_resharding,
     "op10_minhash": fingerprints.op10_minhash,
 }
 

@@ -32,7 +32,7 @@ SELECT k, CASE k % 9 WHEN 3 THEN -taxable WHEN 4 THEN -taxable WHEN 7 THEN -1 WH
   CASE WHEN k % 9 = 7 THEN '''n/a'' is not an amount' ELSE '' END AS problem FROM docs""",
     "ingest_dates": "SELECT source, date_order, evidence FROM orders_read",
     "ingest_lines": """
-SELECT source, printf('R%05d', row_number) AS line_id, gstin AS supplier_gstin, number AS invoice_number,
+SELECT source, source || '#' || printf('R%05d', row_number) AS line_id, gstin AS supplier_gstin, number AS invoice_number,
   CASE s WHEN 5 THEN replace(day::VARCHAR, '199', '209') ELSE day::VARCHAR END AS invoice_date, taxable::DOUBLE AS taxable,
   CASE WHEN interstate THEN tax WHEN k % 37 = 0 THEN half ELSE 0 END::DOUBLE AS igst, k % 5 = 0 AS reverse_charge
 FROM read_rows WHERE reason IS NULL""",

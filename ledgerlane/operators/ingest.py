@@ -202,7 +202,7 @@ def build_lines(rows: DataFrame, strict_currency: bool = False) -> DataFrame:
         "source",
         "row_number",
         "cells",
-        F.format_string("R%05d", "row_number").alias("line_id"),
+        F.concat("source", F.lit("#"), F.format_string("R%05d", "row_number")).alias("line_id"),
         "supplier_gstin",
         "invoice_number",
         "invoice_date",
@@ -225,7 +225,8 @@ def _file_gate(sources: DataFrame) -> Column:
         F.col("evidence") != "", F.concat(F.lit("and "), F.col("evidence"), F.lit(". "))
     ).otherwise(F.lit(""))
     return (
-        F.when(F.col("sheet_rows") < 2, F.concat("source", F.lit(" has a header and no rows")))
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("sheet_rows") < 2, F.concat("source", F.lit(" has a header and no rows")))
         .when(
             F.size("problems") > 0,
             F.concat(
@@ -248,15 +249,23 @@ def _file_gate(sources: DataFrame) -> Column:
 
 def load_registers(
     sheet_rows: DataFrame,
-    date_order: str | None = None,
+    date_orders: dict[str, str] | None = None,
     strict_currency: bool = False,
     config: ReconConfig = DEFAULTS,
 ) -> Ingest:
-    """All registers of a table of sheet rows. Pass a cut table: it is read several times."""
+    """All registers of a table of sheet rows. Pass a cut table: it is read several times.
+
+    A row with number 0 carries the problem of a file that could not be read; such a file is
+    refused whole. ``date_orders`` states the order for single sources; the others are inferred.
+    """
+    if "problem" not in sheet_rows.columns:
+        sheet_rows = sheet_rows.withColumn("problem", F.lit(None).cast("string"))
     is_header = F.col("row_number") == HEADER_ROW
-    body = sheet_rows.where(~is_header)
+    body = sheet_rows.where(F.col("row_number") > HEADER_ROW)
     mapping = map_headers(sheet_rows.where(is_header))
-    sizes = sheet_rows.groupBy("source").agg(F.max("row_number").alias("sheet_rows"))
+    sizes = sheet_rows.groupBy("source").agg(
+        F.max("row_number").alias("sheet_rows"), F.min("problem").alias("problem")
+    )
 
     # One row per file. While the files are few (counted) what is known about them is
     # broadcast, and rows are parsed where they were read.
@@ -273,9 +282,11 @@ def load_registers(
     orders = infer_date_order(
         mapped.select("source", "row_number", cell("invoice_date").alias("date_text"))
     )
-    if date_order is not None:
-        orders = orders.withColumn("order", F.lit(date_order)).withColumn(
-            "evidence", F.lit("supplied by the caller")
+    if date_orders:
+        stated = F.create_map(*[F.lit(x) for pair in date_orders.items() for x in pair])[F.col("source")]
+        orders = orders.withColumn("order", F.coalesce(stated, "order")).withColumn(
+            "evidence",
+            F.when(stated.isNotNull(), F.lit("supplied by the caller")).otherwise(F.col("evidence")),
         )
     gated = (
         sizes.join(mapping, "source", "left")

@@ -1,121 +1,206 @@
 """Directories of registers as sheet rows: ``source, row_number, cells, problem``.
 
-A file that cannot be read gives one row with row number 0 and the problem. Small files are read
-whole, one per task input row. Text files above a size limit are read in splits instead, so one
-huge register is spread over the cluster; there a quoted field may not contain a line break.
+``source`` is the path of a file, so equal names in two folders stay apart. A file that cannot be
+read as a whole gives one row with row number 0 and its problem; ``load_registers`` refuses it.
+
+Delimited text follows one rule at every size. Files are read as lines, wherever Spark splits them.
+Whether a line begins inside a quoted field depends on all lines before it, so each line is a map
+from two states to two states; maps are composed inside a split, then over the splits of a file,
+which gives every line its state and its record number. Only records of several lines are gathered.
 """
 
 from __future__ import annotations
 
 import csv
-import io
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.config import DEFAULTS, ReconConfig
-from ledgerlane.operators.scale import cut, rank_in_group
-from ledgerlane.sources.workbooks import WorkbookError, sheet_rows
+from ledgerlane.operators.scale import cut
+from ledgerlane.sources.workbooks import workbook_rows
 
 SHEET_TYPES = "source string, row_number bigint, cells array<string>, problem string"
-BATCH_ROWS = 10_000
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
+TEXT_SUFFIXES = ("csv", "txt")
+WORKBOOK_SUFFIXES = ("xlsx",)
+RECORD_LIMIT = 131_072
+"""Characters at most in a record of several lines; an open quote is found out by it."""
+
+NOT_TEXT = "is not UTF-8 text"
+TOO_LONG = f"has a record over several lines of more than {RECORD_LIMIT} characters: a quote may be open"
+
+_RETURN = re.compile(r"(?<=\r)(?!\n)")
+
+
+def ends_inside(line: str, inside: bool) -> bool:
+    """Whether a line ends inside a quoted field, given whether it begins in one."""
+    at = 0
+    while True:
+        if inside:
+            close = line.find('"', at)
+            if close < 0:
+                return True
+            at = close + 1
+            if line.startswith('"', at):
+                at += 1  # a doubled quote stands for one
+                continue
+            inside = False
+        elif line.startswith('"', at):
+            inside, at = True, at + 1
+            continue
+        # On to the next field: a quote within one is an ordinary letter.
+        comma = line.find(",", at)
+        if comma < 0:
+            return False
+        at = comma + 1
+
+
+def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of a split with the state and the records before and after each, for either beginning."""
+    source = block = None
+    out, into, out_records, into_records, number = False, True, 0, 0, 0
+    for batch in batches:
+        rows = []
+        for path, start, raw in zip(batch["source"], batch["block"], batch["value"]):
+            if (path, start) != (source, block):
+                source, block = path, start
+                out, into, out_records, into_records, number = False, True, 0, 0, 0
+            raw = bytes(raw)
+            if start == 0 and number == 0:
+                raw = raw.removeprefix(b"\xef\xbb\xbf")
+            try:
+                text, problem = raw.decode("utf-8"), None
+            except UnicodeDecodeError:
+                text, problem = "", NOT_TEXT
+            # A lone carriage return ends a line too.
+            for part in _RETURN.split(text + "\n"):
+                before = (out, into)
+                out_records += not out
+                into_records += not into
+                if '"' in part:
+                    out, into = ends_inside(part, out), ends_inside(part, into)
+                rows.append((path, start, number, part, *before, out, into, out_records, into_records, problem))
+                number += 1
+        yield pd.DataFrame(rows, columns=LINE_COLUMNS)
+
+
+LINE_COLUMNS = [
+    "source", "block", "line", "text", "out", "into", "out_after", "into_after", "out_records", "into_records", "problem",
+]
+LINE_TYPES = (
+    "source string, block long, line long, text string, out boolean, into boolean, out_after boolean,"
+    " into_after boolean, out_records long, into_records long, problem string"
+)
+
+
+def _starts(lines: DataFrame) -> DataFrame:
+    """Per split of a file: whether it begins inside a field, and the records begun before it."""
+    last = F.struct("line", "out_after", "into_after", "out_records", "into_records")
+    ends = lines.groupBy("source", "block").agg(F.max(last).alias("e")).select(
+        "source", "block", F.col("e.out_after").alias("a"), F.col("e.into_after").alias("b"),
+        F.col("e.out_records").alias("na"), F.col("e.into_records").alias("nb"),
+    )
+    # A split either decides the state after it (both beginnings end alike), or keeps or swaps it.
+    through = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("source").orderBy("block")
+    swaps = F.sum((F.col("a") & ~F.col("b")).cast("int")).over(through) % 2
+    decided = F.when(F.col("a") == F.col("b"), (F.col("a").cast("int") + F.col("swaps")) % 2)
+    state = (F.coalesce(F.last("decided", True).over(through), F.lit(0)) + F.col("swaps")) % 2
+    known = (
+        ends.withColumn("swaps", swaps).withColumn("decided", decided).withColumn("after", state)
+        .withColumn("inside", F.coalesce(F.lag("after").over(before), F.lit(0)) == 1)
+    )
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    records = F.when(F.col("inside"), F.col("nb")).otherwise(F.col("na"))
+    return known.withColumn("n", records).select(
+        "source", "block", "inside", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")
+    )
 
 
-def csv_rows(content: bytes, name: str, _: str | None = None) -> Iterator[tuple[int, list[str]]]:
-    text = io.StringIO(content.decode("utf-8-sig"), newline="")
-    return enumerate(csv.reader(text), start=1)
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for source, number, text in zip(batch["source"], batch["row_number"], batch["text"]):
+            try:
+                rows.append((source, number, next(csv.reader([text], strict=False), []), None))
+            except csv.Error as error:
+                rows.append((source, 0, [], f"{source} cannot be read: {error}"))
+        yield pd.DataFrame(rows, columns=["source", "row_number", "cells", "problem"])
 
 
-def _explode_files(reader: Callable, sheet: str | None):
-    """Files (path, content) to sheet rows, in batches."""
+def _suffix(path: str) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                name = path.rsplit("/", 1)[-1]
-                held: list[tuple] = []
-                try:
-                    for number, row in reader(bytes(content), name, sheet):
-                        held.append((name, number, row, None))
-                        if len(held) >= BATCH_ROWS:
-                            yield _frame(held)
-                            held = []
-                except (WorkbookError, UnicodeDecodeError, csv.Error) as error:
-                    held.append((name, 0, [], str(error)))
-                yield _frame(held)
 
-    return explode
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path``, whatever its name; contents are only read where selected."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["source", "row_number", "cells", "problem"])
+def read_register_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All ``.csv`` and ``.txt`` below ``path``, in any letter case."""
+    raw = (
+        spark.read.option("pathGlobFilter", "*.{[cC][sS][vV],[tT][xX][tT]}")
+        .option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+        .select(
+            F.col("_metadata.file_path").alias("source"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.col("value").cast("binary").alias("value"),
+        )
+    )
+    return text_rows(raw)
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
+def text_rows(raw: DataFrame) -> DataFrame:
+    """Sheet rows of lines ``source, block, value``: a block's lines come in order in one partition."""
+    lines = cut(raw.mapInPandas(_states, LINE_TYPES))
+    placed = lines.join(_starts(lines), ["source", "block"]).select(
+        "source", "block", "line", "text", "problem",
+        F.when(F.col("inside"), F.col("into")).otherwise(F.col("out")).alias("within"),
+        F.when(F.col("inside"), F.col("into_after")).otherwise(F.col("out_after")).alias("open"),
+        (F.col("earlier") + F.when(F.col("inside"), F.col("into_records")).otherwise(F.col("out_records"))).alias("row_number"),
     )
+    single = placed.where("NOT within AND NOT open").select("source", "row_number", "text")
+    parts = placed.where("within OR open")
+    sizes = parts.groupBy("source", "row_number").agg(F.sum(F.length("text")).alias("size"))
+    long = cut(sizes.where(F.col("size") > RECORD_LIMIT))  # never gathered
+    several = (
+        parts.join(long, ["source", "row_number"], "left_anti")
+        .groupBy("source", "row_number")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "text"))).alias("parts"))
+        .select("source", "row_number", F.array_join("parts.text", "").alias("text"))
+    )
+    read = single.unionByName(several).mapInPandas(_cells, SHEET_TYPES)
+    undecoded = placed.where("problem IS NOT NULL").select("source", F.lit(NOT_TEXT).alias("why"))
+    failed = undecoded.unionByName(long.select("source", F.lit(TOO_LONG).alias("why"))).groupBy("source").agg(F.min("why").alias("why"))
+    problems = failed.select(
+        "source", F.lit(0).cast("long").alias("row_number"), F.array().cast("array<string>").alias("cells"),
+        F.concat("source", F.lit(" "), "why").alias("problem"),
+    )
+    # A row that cannot be parsed refuses its file as well.
+    return read.join(failed.select("source"), "source", "left_anti").unionByName(problems)
 
 
-def read_register_xlsx(
-    spark: SparkSession, path: str, sheet_name: str | None = None
-) -> DataFrame:
-    """All ``.xlsx`` below ``path``; the first sheet of each unless one is named."""
-    files = _files(spark, path, "*.xlsx").select("path", "content")
-    return files.mapInPandas(_explode_files(sheet_rows, sheet_name), SHEET_TYPES)
-
+def read_register_xlsx(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
+    """All ``.xlsx`` below ``path``, in any letter case; the first sheet of each unless one is named."""
+    files = _paths(spark, path).where(_suffix("path").isin(*WORKBOOK_SUFFIXES))
+    return workbook_rows(files.select(F.col("path").alias("source"), "content"), sheet_name)
 
-def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        first = batch["row_number"] == 1
-        lines = batch["value"].where(~first, batch["value"].str.removeprefix("﻿"))
-        yield pd.DataFrame(
-            {
-                "source": batch["source"],
-                "row_number": batch["row_number"],
-                "cells": [next(csv.reader([line]), []) for line in lines],
-                "problem": None,
-            }
-        )
 
+def read_registers(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
+    """Every file below ``path``: registers as rows, other files as a problem.
 
-def read_register_csv(
-    spark: SparkSession,
-    path: str,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
-    config: ReconConfig = DEFAULTS,
-) -> DataFrame:
-    """All ``.csv`` and ``.txt`` below ``path``; other files are not registers."""
-    pattern = "*.{csv,txt,CSV,TXT}"
-    whole = (
-        _files(spark, path, pattern)
-        .where(F.col("length") <= whole_file_bytes)
-        .select("path", "content")
-        .mapInPandas(_explode_files(csv_rows, None), SHEET_TYPES)
-    )
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .where(F.col("_metadata.file_size") > whole_file_bytes)
-        .select(
-            F.col("_metadata.file_name").alias("source"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("in_block"),
-            "value",
-        )
-    )
-    if lines.isEmpty():
-        return whole
-    # Written once, so that positions cannot move between reads.
-    numbered = rank_in_group(
-        cut(lines), ["source"], ["block", "in_block"], "row_number", config.hot_key_rows
+    Spark does not list files without a byte; they hold nothing and are not reported.
+    """
+    known = [*TEXT_SUFFIXES, *WORKBOOK_SUFFIXES]
+    files = _paths(spark, path).select(F.col("path").alias("source"))
+    kind = _suffix("source")
+    why = F.when(~kind.isin(*known), F.concat(F.lit("files of type '"), kind, F.lit("' are not read; use "), F.lit(", ".join(known))))
+    refused = files.withColumn("why", why).where("why IS NOT NULL").select(
+        "source", F.lit(0).cast("long").alias("row_number"), F.array().cast("array<string>").alias("cells"),
+        F.concat("source", F.lit(": "), "why").alias("problem"),
     )
-    large = numbered.select("source", "row_number", "value").mapInPandas(_parse_lines, SHEET_TYPES)
-    return whole.unionByName(large)
+    text, books = read_register_csv(spark, path), read_register_xlsx(spark, path, sheet_name)
+    return text.unionByName(books).unionByName(refused)

@@ -158,11 +158,12 @@ CTES = {
       abs(date_diff('day', b.invoice_date, p.invoice_date)) AS gap,
       CASE WHEN b.n = p.n THEN NULL WHEN length(b.n) > length(p.n) THEN regexp_extract(b.n, '[A-Z]+$')
         ELSE regexp_extract(p.n, '[A-Z]+$') END AS suffix
-    FROM b1 b JOIN p1 p ON b.g = p.g AND (b.n = p.n
-      OR (starts_with(b.n, CASE WHEN p.n = '' THEN '' ELSE p.n || '|' END)
-          AND regexp_matches(substr(b.n, length(CASE WHEN p.n = '' THEN '' ELSE p.n || '|' END) + 1), '^[A-Z]+$'))
-      OR (starts_with(p.n, CASE WHEN b.n = '' THEN '' ELSE b.n || '|' END)
-          AND regexp_matches(substr(p.n, length(CASE WHEN b.n = '' THEN '' ELSE b.n || '|' END) + 1), '^[A-Z]+$')))
+    FROM (
+      SELECT b, p FROM b1 b JOIN p1 p ON b.g = p.g AND b.n = p.n
+      UNION ALL SELECT b, p FROM (SELECT *, regexp_replace(n, '(^|\\|)[A-Z]+$', '') AS up FROM b1 WHERE regexp_matches(n, '(^|\\|)[A-Z]+$')) b
+        JOIN p1 p ON b.g = p.g AND b.up = p.n
+      UNION ALL SELECT b, p FROM b1 b
+        JOIN (SELECT *, regexp_replace(n, '(^|\\|)[A-Z]+$', '') AS up FROM p1 WHERE regexp_matches(n, '(^|\\|)[A-Z]+$')) p ON b.g = p.g AND p.up = b.n)
     WHERE abs(date_diff('day', b.invoice_date, p.invoice_date)) <= 30
       AND abs(b.total_tax - p.total_tax) <= {allowed('p.total_tax')})""",
     "walk": """

@@ -3,9 +3,9 @@
 EXTRA = {
     "sheet": """
   SELECT *, row_number() OVER (PARTITION BY s ORDER BY k) + 1 AS row_number, 'register-' || s AS source,
-    CASE WHEN k % 43 = 0 AND s <> 3 THEN CASE WHEN s = 1 THEN '02/31/1998' ELSE '31/02/1998' END WHEN s = 1 THEN strftime(day, '%m/%d/%Y') WHEN s = 2 THEN day::VARCHAR
+    CASE WHEN k % 43 = 0 AND s <> 3 THEN CASE WHEN s = 1 THEN '02/31/1998' ELSE '31/02/1998' END WHEN s = 3 THEN strftime(date_trunc('month', day)::DATE + (day(day)::INT - 1) % 12, '%d/%m/%Y') WHEN s = 1 THEN strftime(day, '%m/%d/%Y') WHEN s = 2 THEN day::VARCHAR
       WHEN s = 5 THEN day(day) || '.' || month(day) || '.' || strftime(day, '%y') ELSE strftime(day, '%d/%m/%Y') END AS date_text
-  FROM (SELECT *, c % 7 AS s FROM docs) WHERE s <> 3 OR day(day) <= 12""",
+  FROM (SELECT *, c % 7 AS s FROM docs)""",
     "read_rows": """
   SELECT *, CASE WHEN k % 31 = 0 THEN 'supplier GSTIN is blank' WHEN k % 53 = 0 THEN '''n/a'' is not an amount'
     WHEN k % 37 = 0 AND NOT interstate AND half > 0 THEN 'both intra-state and inter-state tax are populated, which no single document carries -- the row is describing two supplies or the wrong columns'

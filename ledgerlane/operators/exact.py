@@ -30,15 +30,22 @@ def zip_exact(books: DataFrame, portal: DataFrame, config: ReconConfig = DEFAULT
     ``portal``) only where it is left over. Paired lines are needed by id alone from here on, so
     the table is small even though every document is in it.
     """
-    zipped = rank_zip(books, portal, KEY_COLUMNS, "line_id", config.hot_key_rows)
+    # NULL would group with NULL: a line of unknown tax gets a key of its own.
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        own = F.when(F.col("total_tax").isNull(), F.concat(F.lit(side), "line_id"))
+        return df.withColumn("own_key", F.coalesce(own, F.lit("")))
+
+    zipped = rank_zip(
+        keyed(books, "b"), keyed(portal, "p"), [*KEY_COLUMNS, "own_key"], "line_id", config.hot_key_rows
+    )
     alone = F.col("left").isNull() | F.col("right").isNull()
     return zipped.select(
         "gstin_key",
         "num_key",
         F.col("left.line_id").alias("book_id"),
         F.col("right.line_id").alias("portal_id"),
-        F.when(alone, F.col("left")).alias("book"),
-        F.when(alone, F.col("right")).alias("portal"),
+        F.when(alone, F.col("left").dropFields("own_key")).alias("book"),
+        F.when(alone, F.col("right").dropFields("own_key")).alias("portal"),
     )
 
 

@@ -18,6 +18,10 @@ from ledgerlane.fixed_values import (
 from ledgerlane.functions import digests, money
 
 EVIDENCE_TYPE = "array<struct<tool_call_id:string,tool_name:string,claim:string>>"
+FINDING_TYPE = (
+    "exception_id string, proposed_class string, proposed_action string, confidence double, "
+    f"rationale string, evidence {EVIDENCE_TYPE}"
+)
 
 
 def describe_exception() -> Column:

@@ -28,9 +28,14 @@ KEY_COLUMNS = ["gstin_key", "num_key", "total_tax"]
 
 
 def prepare_side(df: DataFrame) -> DataFrame:
-    """Common columns plus supplier key, number key and total tax, each computed once."""
+    """Common columns plus supplier key, number key and total tax, each computed once.
+
+    A tax head without a column is 0.00; a NULL in a column makes the total unknown, and a line of
+    unknown tax equals no other line.
+    """
+    absent = {name: 0 for name in ("cgst", "sgst", "igst", "cess")}
     columns = [
-        (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+        (F.col(name) if name in df.columns else F.lit(absent.get(name))).cast(kind).alias(name)
         for name, kind in LINE_TYPES.items()
     ]
     return df.select(*columns).select(

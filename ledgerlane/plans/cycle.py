@@ -42,11 +42,12 @@ def decide_all(
     config: ReconConfig = DEFAULTS,
     limit: int | None = None,
 ) -> DataFrame:
-    """Gate decisions. Proposals only count for classes that are investigated."""
+    """Gate decisions. Proposals only count for classes that are investigated; without any, every
+    investigated exception stays pending."""
     exceptions = first_exceptions(result.exceptions, limit)
     investigated = exceptions.where(policy.route(F.col("exception_class")) == "TIER_2")
     if proposals is None:
-        proposals = findings.playbook_findings(investigated)
+        proposals = exceptions.sparkSession.createDataFrame([], findings.FINDING_TYPE)
     allowed = proposals.join(investigated.select("exception_id"), "exception_id", "left_semi")
     return policy.decide(exceptions, allowed, config)
 

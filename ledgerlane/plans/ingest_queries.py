@@ -46,14 +46,16 @@ def sheet_rows(spark, sf_dir) -> DataFrame:
     """Seven registers with different headings, date styles and faults; row 1 is the heading."""
     k, source, day = F.col("k"), F.col("s"), F.col("day")
     docs = derived._documents(spark, sf_dir).withColumn("s", F.col("c") % 7)
-    docs = docs.where((source != 3) | (F.dayofmonth(day) <= 12))
+    # Register 3 shows no day past the 12th, so its dates can be read either way.
+    early = F.date_add(F.trunc(day, "month"), (F.dayofmonth(day) - 1) % 12)
     date_text = (
-        F.when(source == 1, F.date_format(day, "MM/dd/yyyy"))
+        F.when(source == 3, F.date_format(early, "dd/MM/yyyy"))
+        .when(source == 1, F.date_format(day, "MM/dd/yyyy"))
         .when(source == 2, F.date_format(day, "yyyy-MM-dd"))
         .when(source == 5, F.date_format(day, "d.M.yy"))
         .otherwise(F.date_format(day, "dd/MM/yyyy"))
     )
-    # An impossible day, in the order of its column; register 3 shows no day past the 12th.
+    # An impossible day, in the order of its column.
     impossible = F.when(source == 1, F.lit("02/31/1998")).otherwise(F.lit("31/02/1998"))
     date_text = F.when((k % 43 == 0) & (source != 3), impossible).otherwise(date_text)
     zero = F.lit("0")

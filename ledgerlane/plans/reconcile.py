@@ -41,7 +41,7 @@ def run_passes(
     *,
     as_of: dt.date,
     config: ReconConfig = DEFAULTS,
-    check_ids: bool = False,
+    check_ids: bool = True,
 ) -> Passes:
     """All passes. Three tables are written on the way, each holding what later passes reread.
 
@@ -113,7 +113,7 @@ def reconcile(
     *,
     as_of: dt.date,
     config: ReconConfig = DEFAULTS,
-    check_ids: bool = False,
+    check_ids: bool = True,
 ) -> Reconciliation:
     return number_stages(
         run_passes(books, portal, as_of=as_of, config=config, check_ids=check_ids)

@@ -21,15 +21,16 @@ from ledgerlane.sources import derived, generated, tables
 from ledgerlane.streaming import conversations, depth, submissions
 
 STREAM_FILES = 4
+"""Files that a stream reads at a time."""
 
 
 def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _as_stream(df: DataFrame, folder: str, per_trigger: int = 1) -> DataFrame:
-    """Write a table in a few files and read it as a stream of files."""
-    df.repartition(STREAM_FILES).write.parquet(folder)
+def _as_stream(df: DataFrame, folder: str, per_trigger: int = STREAM_FILES) -> DataFrame:
+    """Write a table as it is partitioned and read it as a stream of files."""
+    df.write.parquet(folder)
     return (
         df.sparkSession.readStream.schema(df.schema)
         .option("maxFilesPerTrigger", per_trigger)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import shared, table
+from ledgerlane.llm.common import shared, small_batches, table
 
 WINDOW = 4096
 END = 2
@@ -35,8 +35,8 @@ QUERY_TERMS = 24
 """Terms of a seed that are looked up: those of the greatest weight."""
 
 K1, B = 1.2, 0.75
-KNOWN_CHUNKS = 200_000
-"""Chunks and words whose ids a worker remembers; it starts anew beyond that."""
+KNOWN_CHUNKS, KNOWN_WORDS = 250_000, 500_000
+"""Chunks between blanks, and words, whose ids a worker remembers; it starts anew beyond that."""
 
 JOINED_WORDS = 400
 SLICE = 1 << 20
@@ -70,13 +70,10 @@ class Encoder:
         for k in range(0, len(words), JOINED_WORDS):
             part = words[k : k + JOINED_WORDS]
             (found,) = self._encode([" ".join(part)])
-            ids: list[list[int]] = [[] for _ in part]
-            starts = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
-            places = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") - 1
-            for place, token in zip(places, found.ids):
-                ids[place].append(token)
-            for word, own in zip(part, ids):
-                self.words[word] = np.array(own, dtype="<u2").tobytes()
+            packed = np.array(found.ids, dtype="<u2").tobytes()
+            # Each word is one piece of the split, and pieces are numbered.
+            edges = (2 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+            self.words.update(zip(part, [packed[a:b] for a, b in zip(edges, edges[1:])]))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian 16-bit numbers, SLICE characters at a time."""
@@ -102,18 +99,23 @@ class Encoder:
     def _slices(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > KNOWN_CHUNKS:
             self.chunks = {}
-        if len(self.words) > KNOWN_CHUNKS:
+        if len(self.words) > KNOWN_WORDS:
             self.words = {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.chunks}
-        simple = {c: _WORD.findall(c.lower()) for c in new if _SIMPLE.match(c) and "<|" not in c}
-        self._learn(list({w for words in simple.values() for w in words if w not in self.words}))
-        for chunk, words in simple.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in words])
-        other = [c for c in new if c not in simple]
+        new = list(set().union(*split).difference(self.chunks))
+        other = [] if _SIMPLE.match("".join(new)) else [c for c in new if not _SIMPLE.match(c)]
+        other += [c for c in new if "<|" in c or not c]
+        simple = list(set(new).difference(other))
+        lower = " ".join(simple).lower().split(" ") if simple else []
+        parts = [[low] if low.isalpha() else _WORD.findall(low) for low in lower]
+        self._learn(list({w for words in parts for w in words}.difference(self.words)))
+        known = self.words
+        for chunk, words in zip(simple, parts):
+            self.chunks[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         for chunk, found in zip(other, self._encode(other)):
             self.chunks[chunk] = np.array(found.ids, dtype="<u2").tobytes()
-        return [b"".join([self.chunks[c] for c in chunks]) for chunks in split]
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 PIECE = "doc_id string, doc_tokens long, start long, ids binary"
@@ -124,6 +126,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     ``ids`` are packed 16-bit numbers; all but a document's last piece are whole windows.
     """
+    small_batches(docs.sparkSession)
     get = shared(docs.sparkSession, Encoder(path))
     end = np.array([END], dtype="<u2").tobytes()
 

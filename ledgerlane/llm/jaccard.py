@@ -4,8 +4,9 @@ The tokens of a document are its five-word shingles, ordered from rare to freque
 the similarity share more than m tokens in their prefixes when these are m tokens longer than the
 usual prefix. Rare tokens of that extended prefix are index keys by themselves. Frequent ones are
 dealt into m classes by their hash: if two documents share frequent tokens only, two of them fall
-into one class, so pairs of frequent tokens of a class are the keys. Candidates are verified on the
-whole sets (``links``).
+into one class, so pairs of frequent tokens of a class are the keys. A key also says how much two
+documents can have in common by it: for a rare token as the first in common, what follows it; for
+pairs, the frequent tokens. Candidates are verified on the whole sets (``links``).
 
 How often a token occurs is counted over all documents. Tokens travel as packed arrays by hash
 range, are counted there, and only tokens of two or more documents travel back.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import WordHashes, mix, shingle_set, table
+from ledgerlane.llm.common import WordHashes, mix, shingle_set, small_batches, table
 from ledgerlane.llm.links import linked_classes, set_class
 
 LIKENESS = (3, 4)
@@ -34,7 +35,7 @@ LIKENESS = (3, 4)
 FREQUENT = 32
 """Tokens of more documents than this are indexed in pairs."""
 
-CLASS_SHARE = 8
+CLASS_SHARE = 16
 """A set of 2**L to 2**(L+1) tokens deals frequent tokens into 2**L / CLASS_SHARE classes."""
 
 BLOCK_TOKENS = 500_000
@@ -108,8 +109,9 @@ def classes_of(level: int) -> int:
     return max(1, (1 << level) // CLASS_SHARE)
 
 
-def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Keys of a set of ``size`` tokens, given those of two or more documents, rare ones first.
+def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of ``size`` tokens, given those of two or more documents, rare ones first; and
+    for each the tokens that a partner found by it can have in common at most.
 
     Documents of neighbouring sizes agree on the classes because each deals its tokens for its own
     level and for the next one.
@@ -118,13 +120,15 @@ def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     prefix = size - -(-share * size // whole) + 1
     single = size - len(tokens)  # these come first in the order, and no other document has them
     if single >= prefix:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     level = size.bit_length() - 1
     tokens = mix(tokens)
     often = counts > FREQUENT
     reach = max(0, min(size, prefix + classes_of(level + 1)) - single)
     keys = [tokens[:reach][~often[:reach]]]
-    for at in (level, level + 1):
+    held = [size - single - np.arange(len(keys[0]))]
+    frequent = int(often.sum())
+    for at in (level, level + 1) if whole * frequent >= share * size else ():
         groups = classes_of(at)
         reach = max(0, min(size, prefix + groups) - single)
         chosen = np.sort(tokens[:reach][often[:reach]])
@@ -139,8 +143,9 @@ def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
                 break
             first, second = chosen[:-step][same], chosen[step:][same]
             keys.append(mix(first * np.uint64(3) + mix(second + np.uint64(at))))
+            held.append(np.full(len(first), frequent))
             step += 1
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(held)
 
 
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +159,9 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
     owner, tokens, counts = owner[order], tokens[order], counts[order]
     edges = np.searchsorted(owner, np.arange(len(docs) + 1))
     found = [
-        index_keys(int(size), tokens[a:b], counts[a:b]) if a < b else []
+        [{"key": int(k), "held": int(h)} for k, h in zip(*index_keys(int(size), tokens[a:b], counts[a:b]))]
+        if a < b
+        else []
         for size, a, b in zip(docs[:, 2], edges, edges[1:])
     ]
     return pd.DataFrame(
@@ -162,15 +169,15 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
             "doc_id": [None if missing else str(x) for x, missing in docs[:, :2]],
             "n_shingles": docs[:, 2],
             "class": docs[:, 3],
-            "held": np.diff(edges),
             "keys": found,
         }
     )
 
 
 def prefix_index(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, tokens held elsewhere too, and index keys of every document."""
+    """doc_id, n_shingles, class and index keys of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     (size,) = docs.agg(F.sum(F.octet_length("text"))).first()
     ranges = max(
         2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES)
@@ -180,7 +187,7 @@ def prefix_index(docs: DataFrame) -> DataFrame:
     sent = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(_scatter(ranges), packed)
     counted = sent.groupBy("range").applyInPandas(_count, packed)
     return counted.groupBy("block").applyInPandas(
-        _index, "doc_id string, n_shingles long, class long, held long, keys array<long>"
+        _index, "doc_id string, n_shingles long, class long, keys array<struct<key: long, held: long>>"
     ).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

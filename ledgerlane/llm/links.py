@@ -137,8 +137,7 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _possible(share: int, whole: int):
-    """Whether sizes and shared elements allow the similarity: no pair has more in common than the
-    elements of either that occur in another set at all."""
+    """Whether the similarity is possible: by this key, no pair has more than ``held`` in common."""
     common = F.least("held", "other_held")
     return whole * common >= share * (F.col("n") + F.col("other_n") - common)
 
@@ -156,15 +155,15 @@ def _pairs(df: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach.
 
-    ``index`` has doc_id, n_shingles, class, the number of shingles that may occur elsewhere and the
-    candidate keys of each document: any two sets with a similarity of ``share / whole`` must have a
-    key in common. Documents without shingles
+    ``index`` has doc_id, n_shingles, class and the candidate ``keys`` of each document, each with the
+    number ``held`` of shingles at most that a partner found by it can have in common. Any two sets
+    with a similarity of ``share / whole`` must have a key in common that allows it. Documents without shingles
     are linked with nothing; NULL ids take the least id of their component, if it has one.
     """
     index = cut(index)
     classes = index.where("n_shingles > 0")
     # Copies carry the same keys: each class enters once.
-    entries = classes.select("class", F.col("n_shingles").alias("n"), "held", F.explode("keys").alias("key"))
+    entries = classes.select("class", F.col("n_shingles").alias("n"), F.inline("keys"))
     shared = entries.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     entries = cut(
         entries.join(shared.where("lo != hi").select("key"), "key").dropDuplicates(["key", "class"])

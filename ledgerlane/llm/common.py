@@ -34,6 +34,17 @@ class WordHashes(dict):
         return found
 
 
+BATCH_ROWS = 1000
+"""Documents that a Python worker gets at a time."""
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: hand them to Python workers in small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) != BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

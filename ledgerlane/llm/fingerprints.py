@@ -22,7 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlane.llm.common import WordHashes, mix, shingle_hashes, shingle_set, table, word_hashes
+from ledgerlane.llm.common import (
+    WordHashes,
+    mix,
+    shingle_hashes,
+    shingle_set,
+    small_batches,
+    table,
+    word_hashes,
+)
 from ledgerlane.llm.links import linked_classes, set_class
 
 PERMUTATIONS = 128
@@ -34,6 +42,8 @@ BLOCK = 1 << 17
 """Shingles hashed at a time; a block of them stays in the processor's cache."""
 
 BLOCKS_PER_PARTITION = 4
+PAIRS = 200
+"""Documents whose signatures are computed together."""
 
 
 def permutations(count: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +102,7 @@ def fingerprint_pairs(batch: pd.DataFrame, words: WordHashes) -> pd.DataFrame:
     own, other, new = (marks[[known[t] for t in group]] for group in (texts, nexts, changed))
     return pd.DataFrame(
         {
-            "doc_id": batch["doc_id"],
+            "doc_id": batch["doc_id"].to_numpy(),
             "n_chars": [len(t) for t in texts],
             "edited_sha256": [
                 hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed
@@ -117,12 +127,14 @@ def _block_udf(bounds: list[int]):
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows of doc_id, text and the text that follows in ascending doc_id; the first follows the last.
+    """Rows of doc_id (as text), text, block and tail in ascending doc_id, for ``_follow``.
 
     Ids are cut into ranges of about equal counts. Each range is sorted in one task and gets the
-    first row of the next range too, so a text is shuffled once and no task sees more than its range.
+    first row of the next range too (of the first one at the end), so a text is shuffled once and no
+    task sees more than its ranges.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = [i / blocks for i in range(1, blocks)]
@@ -137,7 +149,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         .collect()  # one row per range
     )
     if not heads:
-        return docs.select(F.col("doc_id").cast("string"), "text", F.col("text").alias("following"))
+        return docs.select(F.col("doc_id").cast("string"), "text", F.lit(0).alias("block"), F.lit(True).alias("tail"))
     first = [None if r["none"] else r["least"] for r in heads]
     tails = spark.createDataFrame(
         [(first[(i + 1) % len(heads)], r["block"]) for i, r in enumerate(heads)],
@@ -154,9 +166,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("block", "tail", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     )
     # Ids travel as text: pandas would turn whole numbers with gaps into floats.
-    return placed.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        _follow, "doc_id string, text string, following string"
-    )
+    return placed.withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
 def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +187,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
-        for batch in batches:
-            yield fingerprint_pairs(batch, words)
+        for batch in _follow(batches):
+            for low in range(0, len(batch), PAIRS):
+                yield fingerprint_pairs(batch.iloc[low : low + PAIRS], words)
 
     return in_order(docs).mapInPandas(
         run,
@@ -206,14 +217,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     "doc_id": batch["doc_id"],
                     "n_shingles": [len(s) for s in sets],
                     "class": [set_class(s) for s in sets],
-                    "held": [len(s) for s in sets],
-                    "keys": [k.view(np.int64) if len(s) else [] for k, s in zip(keys, sets)],
+                    "keys": [
+                        [{"key": int(x), "held": len(s)} for x in k.view(np.int64)] if len(s) else []
+                        for k, s in zip(keys, sets)
+                    ],
                 }
             )
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
-        run, "doc_id string, n_shingles long, class long, held long, keys array<long>"
+        run, "doc_id string, n_shingles long, class long, keys array<struct<key: long, held: long>>"
     ).withColumn("doc_id", F.col("doc_id").cast("long"))
     return linked_classes(docs, bands, *LIKENESS)
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import WordHashes, fold, mix, table
+from ledgerlane.llm.common import WordHashes, fold, mix, small_batches, table
 from ledgerlane.operators.scale import cut
 
 FOLDS, HELD_OUT = 7, 2
@@ -270,6 +270,7 @@ def _different(rows: pd.DataFrame) -> pd.DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     spark = docs.sparkSession
+    small_batches(spark)
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     # Ids travel as text: pandas would turn whole numbers with gaps into floats.
     rows = docs.select(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import WordHashes, fold, shared, table, word_hashes
+from ledgerlane.llm.common import WordHashes, fold, shared, small_batches, table, word_hashes
 
 MAX_LABELLED = 60_000
 """Labelled documents that the trees are fitted on, about; beyond it they are drawn by hash."""
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Trees:
 
 def score_documents(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, score and the statistics of every text."""
+    small_batches(docs.sparkSession)
     get = shared(docs.sparkSession, trees)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

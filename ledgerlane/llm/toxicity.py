@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import fold, shared, table
+from ledgerlane.llm.common import fold, shared, small_batches, table
 from ledgerlane.operators.scale import cut
 
 SLOTS = 1 << 20
@@ -325,6 +325,7 @@ def probability(evidence: np.ndarray, levels: list[tuple[float, float]]) -> np.n
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, tokens and the toxic passages (start, end, score) of every text."""
+    small_batches(docs.sparkSession)
     get = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,6 +363,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted to be toxic, with all their columns."""
     model = fit(docs, labels)
+    small_batches(docs.sparkSession)
     columns, get = docs.columns, shared(docs.sparkSession, model)
 
     @F.pandas_udf("double")

@@ -175,7 +175,7 @@ def finished(spark, tmp_path_factory):
     made = generate_cycle(spark.range(size), seed=3, period="07-2026", base_date=dt.date(2026, 7, 14))
     result = reconcile(made.books, made.portal, as_of=AS_OF)
     folder = str(tmp_path_factory.mktemp("cycle"))
-    arguments = dict(as_of=AS_OF, recorded_at=NOW, period="07-2026", approver="S. Das")
+    arguments = dict(as_of=AS_OF, recorded_at=NOW, period="07-2026", approver="S. Das", proposals=findings.playbook_findings(result.exceptions))
     return result, folder, arguments, cycle_plan.run_cycle(result, folder, **arguments)
 
 

@@ -2,13 +2,13 @@
 
 The many-row probes never join request by row. Rows are first reduced to one summary per lookup
 key (count and first rows by id), and requests fetch the summary, so a supplier with a third of
-all rows costs one summary. Amount windows go through cells of equal amount: whole hundredths
-bound how many of them a window can hold.
+all rows costs one summary. Amount windows go through cells of equal amount, found by bands as wide
+as the window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.config import DEFAULTS, ReconConfig, for_row_count
@@ -45,50 +45,49 @@ def _fetch(
         ).select(*REQUEST, "match_count", "rows")
 
     kept = list(dict.fromkeys([*order, *shown]))
-    cells = summarise(rows, [*keys, amount], order, kept, config).withColumn(
-        "_band", F.floor(amount).cast("long")
-    )
-    # Equal questions are asked once, so a band of one key holds a bounded number of them too.
+    # Bands are as wide as the power of ten above the slack, so any window meets at most four.
     low, high = F.col("amount") - F.col("slack"), F.col("amount") + F.col("slack")
     window = [*keys, "amount", "slack"]
-    questions = (
-        requests.select(*window)
-        .distinct()
-        .select(
-            *window,
-            low.alias("_low"),
-            high.alias("_high"),
-            F.explode(
-                F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long"))
-            ).alias("_band"),
-        )
-        .withColumnsRenamed({"amount": "_asked", "slack": "_slack"})
+    asked = requests.select(*window).distinct().withColumn(
+        "_digits", F.length(F.floor(F.abs(F.col("slack"))).cast("string"))
     )
+    used = [r[0] for r in asked.select("_digits").distinct().collect() if r[0]]  # at most 26
+
+    def band(value: Column) -> Column:
+        return F.floor(value.cast("double") / F.pow(F.lit(10.0), F.col("_digits"))).cast("long")
+
+    cells = (
+        summarise(rows, [*keys, amount], order, kept, config)
+        .withColumn("_digits", F.explode(F.array(*[F.lit(d) for d in used]).cast("array<int>")))
+        .withColumn("_band", band(F.col(amount)))
+    )
+    # Equal questions are asked once, so a band of one key holds a bounded number of them too.
+    questions = asked.select(
+        *window, "_digits", low.alias("_low"), high.alias("_high"),
+        F.explode(F.sequence(band(low), band(high))).alias("_band"),
+    ).withColumnsRenamed({"amount": "_asked", "slack": "_slack"})
     met = (
-        questions.join(cells, [*keys, "_band"])
+        questions.join(cells, [*keys, "_digits", "_band"])
         .where((F.col(amount) >= F.col("_low")) & (F.col(amount) <= F.col("_high")))
-        .groupBy(*keys, "_asked", "_slack")
-        .agg(
-            F.sum("match_count").alias("match_count"),
-            F.flatten(F.collect_list("rows")).alias("rows"),
-        )
-    )
-    in_order = F.array_sort(
-        F.transform(
-            "rows", lambda r: F.struct(*[r[c].alias(c) for c in order], r.alias("row"))
-        )
+        .select(*keys, "_asked", "_slack", "match_count", "rows")
     )
-    first = F.slice(in_order, 1, config.probe_rows)
-    shown_rows = F.transform(
-        first,
-        lambda r: F.struct(F.lit(0).alias("_rank"), *[r["row"][c].alias(c) for c in shown]),
+    question = [*keys, "_asked", "_slack"]
+    counts = met.groupBy(*question).agg(F.sum("match_count").alias("match_count"))
+    # Each cell holds its first rows; the first of all cells are cut before anything is gathered.
+    place = F.row_number().over(Window.partitionBy(*question).orderBy(*[f"_r.{c}" for c in order]))
+    first = (
+        met.select(*question, F.explode("rows").alias("_r"))
+        .withColumn("_rank", place)
+        .where(F.col("_rank") <= config.probe_rows)
+        .groupBy(*question)
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", *[F.col(f"_r.{c}").alias(c) for c in shown]))).alias("rows"))
     )
-    answers = met.select(
+    answers = counts.join(first, question).select(
         *keys,
         F.col("_asked").alias("amount"),
         F.col("_slack").alias("slack"),
         "match_count",
-        shown_rows.alias("rows"),
+        "rows",
     )
     return lookup(
         requests.select(*REQUEST, *window), answers, window, "left", config.hot_key_rows

@@ -103,7 +103,7 @@ def run_cycle(
     )
     log = tables.write_audit(audit.append_chain(entries), folder)
 
-    ledger = tables.read_ledger(spark, folder)
+    ledger = tables.read_ledger(spark, folder, [period])
     wanted = submit.to_submissions(policy.submittable(decisions), taxpayer, period, config)
     sent = cut(submit.submit_once(wanted, ledger, config))
     tables.append_ledger(submit.ledger_rows(sent), folder)
@@ -164,7 +164,7 @@ def apply_reviews(
     sent = cut(
         submit.submit_once(
             submit.to_submissions(wanted, taxpayer, period, config),
-            tables.read_ledger(spark, folder),
+            tables.read_ledger(spark, folder, [period]),
             config,
         )
     )

@@ -33,12 +33,14 @@ def write_audit(log: DataFrame, folder: str) -> DataFrame:
     return log.sparkSession.read.schema(log.schema).parquet(path)
 
 
-def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return _read_or_empty(spark, f"{folder}/ledger", LEDGER_TYPES)
+def read_ledger(spark: SparkSession, folder: str, periods: list[str] | None = None) -> DataFrame:
+    """Applied keys; of the given return periods only, so that other partitions are not read."""
+    ledger = _read_or_empty(spark, f"{folder}/ledger", LEDGER_TYPES)
+    return ledger if periods is None else ledger.where(F.col("return_period").isin(periods))
 
 
 def append_ledger(rows: DataFrame, folder: str) -> None:
-    """Append applied keys. Partitioned by period, so a cycle reads only its own part."""
+    """Append applied keys, partitioned by period."""
     rows.write.mode("append").partitionBy("return_period").parquet(f"{folder}/ledger")
 
 

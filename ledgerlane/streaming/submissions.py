@@ -17,7 +17,9 @@ from ledgerlane.sources import tables
 
 def submit_batch(folder: str, config: ReconConfig = DEFAULTS):
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ledger = tables.read_ledger(batch.sparkSession, folder)
+        # A key holds its period, so the batch only meets the partitions of its own periods.
+        periods = [r[0] for r in batch.select("return_period").distinct().collect()]
+        ledger = tables.read_ledger(batch.sparkSession, folder, periods)
         sent = cut(submit.submit_once(batch, ledger, config))
         tables.append_ledger(submit.ledger_rows(sent), folder)
 

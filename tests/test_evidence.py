@@ -190,3 +190,18 @@ def test_first_requests(spark):
     df = spark.createDataFrame(rows, "ord int, model string, text string")
     got = findings.first_requests(df, ["model", "text"], "ord").collect()
     assert sorted((r.ord, r.asked) for r in got) == [(0, 3), (2, 1), (4, 1)]
+
+
+def test_a_wide_tolerance_costs_no_more(spark):
+    requests = spark.createDataFrame(
+        [("E1", "c1", "", "", Decimal("100.00"), Decimal("5000000000.00")), ("E2", "c2", "", "", Decimal("100.00"), Decimal("0.50"))],
+        "exception_id string, call_id string, gstin string, invoice_number string, amount decimal(28,2), tolerance decimal(28,2)",
+    )
+    bank = spark.createDataFrame(
+        [(f"P{i:03d}", "27AAPFU0939F1ZV", Decimal(i * 1000 - 50_000) + Decimal("0.25"), None, "n") for i in range(200)]
+        + [("Q1", "x", Decimal("100.50"), None, "n")],
+        "payment_id string, counterparty_gstin string, amount decimal(28,2), value_date date, narration string",
+    )
+    wide, narrow = sorted(evidence.probe_bank_ledger(requests, bank).collect())
+    assert wide.match_count == 201 and [r.payment_id for r in wide.rows] == [f"P{i:03d}" for i in range(8)]
+    assert narrow.match_count == 1 and narrow.rows[0].payment_id == "Q1"

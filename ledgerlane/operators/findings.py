@@ -11,7 +11,7 @@ from ledgerlane.fixed_values import (
     CONFIDENCE_BASE,
     CONFIDENCE_SPAN,
     EXCEPTION_CLASSES,
-    PLAYBOOK_CONCLUSIONS,
+    PLAYBOOK_ACTIONS,
     REFERENCE_PROBES,
     TEXT_PLAYBOOK_CLAIM,
 )
@@ -72,7 +72,10 @@ def stable_confidence(exception_class: Column, text: Column) -> Column:
 
 def playbook(spark) -> DataFrame:
     """Rule table: per class the probes to run, the action and the reason. One row per class."""
-    rows = [(cls, list(REFERENCE_PROBES[cls]), *PLAYBOOK_CONCLUSIONS[cls]) for cls in REFERENCE_PROBES]
+    rows = [
+        (cls, list(probes), PLAYBOOK_ACTIONS[cls], f"rule for {cls}: {PLAYBOOK_ACTIONS[cls]}")
+        for cls, probes in REFERENCE_PROBES.items()
+    ]
     return spark.createDataFrame(
         rows, "exception_class string, probes array<string>, action string, rationale string"
     )

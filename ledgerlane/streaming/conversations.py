@@ -11,18 +11,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerlane.config import DEFAULTS
-from ledgerlane.fixed_values import TEXT_DOCUMENTS_BODY, TEXT_FIRST_CONTACT_BODY
+from ledgerlane.config import DEFAULTS, ReconConfig
+from ledgerlane.fixed_values import REPLY_KINDS, TEXT_DOCUMENTS_BODY, TEXT_FIRST_CONTACT_BODY
 from ledgerlane.operators.recovery import (
     DOCUMENTS_SUBJECT,
     FIRST_SUBJECT,
-    REASONS,
     TRANSCRIPT_CHARS,
     classify_reply_rules,
+    decide_next,
+    next_stage,
 )
 
 MESSAGE_FIELDS = ("exception_id", "vendor_gstin", "cycle", "contacted", "ord", "text")
@@ -34,64 +35,64 @@ OUTPUT_TYPES = (
 )
 
 
-def next_step(
-    stage: str, sent: int, contacted: bool, cycle: int, reply: str,
-    cap: int = DEFAULTS.max_messages_per_cycle,
-) -> tuple[str, bool, str]:
-    """(kind, requires_human, reason) for one message; the row-wise twin of ``decide_next``."""
-    if stage == "RESOLVED":
-        return "close_resolved", False, REASONS["resolved"]
-    if sent >= cap:
-        return "blocked", False, REASONS["blocked"]
-    if not contacted:
-        return "send", True, REASONS["first"]
-    if reply in ("CLAIMS_FILED", "WILL_FILE"):
-        return "wait", False, REASONS[reply]
-    if reply == "REQUESTS_DOCUMENTS":
-        return "send", False, REASONS[reply]
-    if reply.startswith("DISPUTES_"):
-        return "escalate", True, REASONS["DISPUTES"]
-    if reply == "NO_REPLY":
-        late = cycle >= 2
-        return ("escalate", True, REASONS["silent"]) if late else ("wait", False, REASONS[reply])
-    return "escalate", True, REASONS["other"]
-
-
-STAGE_AFTER = {"escalate": "ESCALATED", "wait": "VERIFYING_NEXT_2B"}
-
-
-def advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Take one conversation's messages of this trigger through the state machine."""
-    (exception_id,) = key
-    stage, cycle, sent, contacted, last_kind = (
-        state.get if state.exists else ("DRAFTED", 0, 0, False, None)
+KINDS = (*REPLY_KINDS, "UNCLEAR")
+
+
+def transitions(spark: SparkSession, config: ReconConfig = DEFAULTS) -> dict[tuple, tuple]:
+    """Every step that the rules can take, by resolved, capped, contacted, late and reply kind.
+
+    The table is what ``decide_next`` and ``next_stage`` give for each case, so the rules are
+    written once. A stage of "" leaves the conversation where it is.
+    """
+    flags = [(r, c, k, n) for r in (False, True) for c in (False, True) for k in (False, True) for n in (False, True)]
+    cases = spark.createDataFrame(
+        [(*f, kind) for f in flags for kind in KINDS],
+        "resolved boolean, capped boolean, contacted boolean, late boolean, reply string",
+    )
+    stage = F.when(F.col("resolved"), "RESOLVED").otherwise("")
+    step = decide_next(
+        stage,
+        F.when(F.col("capped"), config.max_messages_per_cycle).otherwise(config.max_messages_per_cycle - 1),
+        F.col("contacted"),
+        F.when(F.col("late"), 2).otherwise(0),
+        F.col("reply"),
+        F.lit(""),
+        config,
     )
-    out = []
-    for message in pd.concat(list(batches)).sort_values("ord").itertuples(index=False):
-        if message.cycle > cycle:
-            cycle, sent = int(message.cycle), 0
-        contacted = bool(contacted or message.contacted)
-        last_kind = message.kind
-        kind, human, reason = next_step(stage, sent, contacted, cycle, message.kind)
-        draft = ""
-        if kind == "send" and human:
-            stage = "AWAITING_APPROVAL"
-            draft = f"{FIRST_SUBJECT}{exception_id}\n\n{TEXT_FIRST_CONTACT_BODY}"
-        elif kind == "send":
-            sent, stage = sent + 1, "AWAITING_REPLY"
-            draft = f"{DOCUMENTS_SUBJECT}{exception_id}\n\n{TEXT_DOCUMENTS_BODY}"
-        else:
-            stage = STAGE_AFTER.get(kind, stage)
-        text = "" if message.kind == "NO_REPLY" else message.text[:TRANSCRIPT_CHARS]
-        out.append(
-            (exception_id, message.vendor_gstin, message.ord, message.kind, bool(message.flagged),
-             text, kind, human, reason, draft, stage, cycle, sent, contacted)
-        )
-    state.update((stage, cycle, sent, contacted, last_kind))
-    columns = [part.split()[0] for part in OUTPUT_TYPES.split(", ")]
-    yield pd.DataFrame(out, columns=columns)
+    rows = cases.withColumn("step", step).withColumn("after", next_stage(F.lit(""), F.col("step")))
+    return {tuple(r)[:5]: (r.step.kind, r.step.requires_human, r.step.reason, r.after) for r in rows.collect()}
+
+
+def advance(table: dict[tuple, tuple], cap: int):
+    """The state function over a table of steps."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stage, cycle, sent, contacted, kind = state.get if state.exists else ("DRAFTED", 0, 0, False, None)
+        columns = [part.split()[0] for part in OUTPUT_TYPES.split(", ")]
+        rows = []
+        for m in pd.concat(list(batches)).sort_values("ord").to_dict("records"):
+            if m["cycle"] > cycle:  # a new cycle starts its own count
+                cycle, sent = int(m["cycle"]), 0
+            contacted, kind = bool(contacted or m["contacted"]), m["kind"]
+            action, human, reason, after = table[stage == "RESOLVED", sent >= cap, contacted, cycle >= 2, kind]
+            goes_out = action == "send" and not human
+            sent += goes_out
+            stage = after or stage
+            heads = {(True, False): (DOCUMENTS_SUBJECT, TEXT_DOCUMENTS_BODY), (True, True): (FIRST_SUBJECT, TEXT_FIRST_CONTACT_BODY)}
+            subject, body = heads.get((action == "send", human), (None, None))
+            rows.append(
+                {
+                    **m, "reply_kind": kind, "flagged": bool(m["flagged"]), "action": action,
+                    "text": "" if kind == "NO_REPLY" else m["text"][:TRANSCRIPT_CHARS],
+                    "requires_human": human, "reason": reason, "stage": stage, "cycle": cycle,
+                    "draft": f"{subject}{key[0]}\n\n{body}" if subject else "",
+                    "sent": sent, "contacted": contacted,
+                }
+            )
+        state.update((stage, cycle, sent, contacted, kind))
+        yield pd.DataFrame(rows)[columns]
+
+    return run
 
 
 def transcript(steps: DataFrame) -> DataFrame:
@@ -119,12 +120,13 @@ def transcript(steps: DataFrame) -> DataFrame:
     )
 
 
-def conversation_stream(messages: DataFrame) -> DataFrame:
+def conversation_stream(messages: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
     """Decisions for a stream of messages with ``MESSAGE_FIELDS``."""
+    step = advance(transitions(messages.sparkSession, config), config.max_messages_per_cycle)
     reply = classify_reply_rules(F.col("text"))
     read = messages.select(*MESSAGE_FIELDS, reply.alias("r")).select(
         *MESSAGE_FIELDS, F.col("r.kind").alias("kind"), F.col("r.flagged").alias("flagged")
     )
     return read.groupBy("exception_id").applyInPandasWithState(
-        advance, OUTPUT_TYPES, STATE_TYPES, "append", GroupStateTimeout.NoTimeout
+        step, OUTPUT_TYPES, STATE_TYPES, "append", GroupStateTimeout.NoTimeout
     )

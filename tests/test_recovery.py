@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlane.fixed_values import INJECTION_MARKERS, REPLY_KINDS
+from ledgerlane.config import DEFAULTS
 from ledgerlane.operators import recovery, submit
 from ledgerlane.sources import tables
 from ledgerlane.streaming import conversations, submissions
@@ -48,7 +49,7 @@ def test_labels_outside_the_closed_set_are_unclear(spark):
     assert [(r.l.kind, len(r.l.quote), r.l.flagged) for r in got] == [c[1:] for c in cases]
 
 
-def test_next_step_is_one_rule_in_both_forms(spark):
+def test_stream_steps_are_those_of_the_rules(spark):
     grid = list(
         itertools.product(
             ["DRAFTED", "RESOLVED", "SENT"], range(4), [True, False], range(4), REPLY_KINDS
@@ -57,9 +58,12 @@ def test_next_step_is_one_rule_in_both_forms(spark):
     df = spark.createDataFrame(grid, "stage string, sent int, contacted boolean, cycle int, kind string")
     names = [F.col(c) for c in ("stage", "sent", "contacted", "cycle", "kind")]
     action = recovery.decide_next(*names, F.lit("E1"))
-    for r in df.select("*", action.alias("a")).collect():
-        want = conversations.next_step(r.stage, r.sent, r.contacted, r.cycle, r.kind)
-        assert (r.a.kind, r.a.requires_human, r.a.reason) == want
+    after = recovery.next_stage(F.col("stage"), F.col("a"))
+    table, cap = conversations.transitions(spark), DEFAULTS.max_messages_per_cycle
+    for r in df.select("*", action.alias("a")).withColumn("after", after).collect():
+        step = table[r.stage == "RESOLVED", r.sent >= cap, r.contacted, r.cycle >= 2, r.kind]
+        assert (r.a.kind, r.a.requires_human, r.a.reason) == step[:3]
+        assert r.after == (step[3] or r.stage)
         assert (r.a.draft != "") == (r.a.kind == "send")
 
 

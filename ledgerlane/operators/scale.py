@@ -6,6 +6,8 @@ helpers here find the few keys for which that matters and give them another exac
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,19 +22,29 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut tables; a temporary one only in local mode."""
+    """This application's part of the cluster's shared folder, for cut tables.
+
+    Where no folder is set, local mode makes one that goes when the process ends.
+    """
+    app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
+        return f"{configured}/{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="run-")
+        _local_dirs[app] = run_folder()
     return _local_dirs[app]
 
 
+def run_folder() -> str:
+    """A folder on this machine that goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="ledgerlane-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table once and read it back: short lineage that outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/ledgerlane-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ from ledgerlane.plans.ledger_queries import as_double, ledger, listed
 from ledgerlane.sources import derived
 
 RECORDED_AT = dt.datetime(2001, 7, 14, 9, 0, tzinfo=dt.timezone.utc)
-_decided: dict[tuple[str, str], DataFrame] = {}
+_decided: dict[tuple, DataFrame] = {}
 
 
 def order_key(anchor: Column | None = None) -> Column:
@@ -64,7 +64,7 @@ def derived_findings(spark, sf_dir) -> DataFrame:
 
 
 def decisions(spark, sf_dir) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = derived.state(spark, sf_dir)
     if key not in _decided:
         result = ledger(spark, sf_dir)[1]
         proposals = derived_findings(spark, sf_dir).drop("k")
@@ -72,6 +72,10 @@ def decisions(spark, sf_dir) -> DataFrame:
     return _decided[key]
 
 
+def forget_runs() -> None:
+    _decided.clear()
+
+
 def gstin_validation(spark, sf_dir) -> DataFrame:
     lines = derived.books(spark, sf_dir).select("line_id", "supplier_gstin")
     odd = F.conv(F.substring("line_id", 2, 10), 10, 10).cast("long") % 9

@@ -18,7 +18,7 @@ HEADINGS = (
      "Integrated Tax", "RCM", "Buyer GSTIN"),
     ("Vendor GSTIN", "Doc No", "Date", "Taxable", "CGST Amt", "GSTIN", "IGST Amt", "Rev. Chrg", ""),
 )
-_loaded: dict[tuple[str, str], ingest.Ingest] = {}
+_loaded: dict[tuple, ingest.Ingest] = {}
 
 
 def _heading_row(source: int) -> tuple[str, ...]:
@@ -99,7 +99,7 @@ def sheet_rows(spark, sf_dir) -> DataFrame:
 
 
 def loaded(spark, sf_dir) -> ingest.Ingest:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = derived.state(spark, sf_dir)
     if key not in _loaded:
         _loaded[key] = ingest.load_registers(cut(sheet_rows(spark, sf_dir)))
     return _loaded[key]

@@ -9,16 +9,16 @@ from ledgerlane.operators import suffix, summaries
 from ledgerlane.plans import reconcile as plan
 from ledgerlane.sources import derived
 
-_runs: dict[tuple[str, str], tuple[plan.Passes, plan.Reconciliation]] = {}
+_runs: dict[tuple, tuple[plan.Passes, plan.Reconciliation]] = {}
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> tuple[plan.Passes, plan.Reconciliation]:
-    """One reconciliation run per session and folder.
+    """One reconciliation run per session and state of the files.
 
     A run ends in written tables, so the many queries that inspect it read those tables instead
     of running the passes again.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = derived.state(spark, sf_dir)
     if key not in _runs:
         books, portal = derived.books(spark, sf_dir), derived.portal(spark, sf_dir)
         passes = plan.run_passes(books, portal, as_of=derived.AS_OF)

@@ -22,6 +22,16 @@ PERIOD = "07-2001"
 PATTERN_LENGTH = 40
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the tables behind the ledger are now: application, folder, files and when they changed."""
+    files = None
+    for name in ("orders", "lineitem", "customer"):
+        part = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_modification_time")
+        files = part if files is None else files.unionByName(part)
+    seen = files.agg(F.count(F.lit(1)), F.max("file_modification_time"), F.approx_count_distinct("file_path")).first()
+    return (spark.sparkContext.applicationId, sf_dir, *seen)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -156,6 +156,10 @@ SELECT cls AS chain_id, CASE WHEN cls = 'DUPLICATE' AND count(*) > 20 THEN count
   NOT ((cls = 'DUPLICATE' AND count(*) > 21) OR (cls = 'RCM' AND count(*) > 11)) AS intact,
   CASE WHEN cls = 'DUPLICATE' AND count(*) > 21 THEN 'entry at position 20 claims sequence 21'
     WHEN cls = 'RCM' AND count(*) > 11 THEN 'entry 11 does not follow entry 10' ELSE 'chain intact' END AS message
+FROM gated GROUP BY cls""",
+    "audit_segments": """
+SELECT cls AS chain_id, count(*) AS entries, NOT (cls = 'DUPLICATE' AND count(*) > 20) AS intact,
+  CASE WHEN cls = 'DUPLICATE' AND count(*) > 20 THEN 'segment 1 is not the one that was linked' ELSE 'chain intact' END AS message
 FROM gated GROUP BY cls""",
     "audit_history": """
 SELECT cls AS chain_id, place::BIGINT AS sequence, exception_id, action, place::BIGINT + 1000 AS superseded_by FROM entries WHERE place % 4 = 0""",

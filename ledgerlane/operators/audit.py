@@ -176,6 +176,44 @@ def segment_heads(chained: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataF
     )
 
 
+def link_log(chained: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The log that links the segments of a chained log; it is written with it and checked with it."""
+    return append_chain(segment_heads(chained, segment_rows), segment_rows)
+
+
+def verify_log(
+    log: DataFrame, links: DataFrame, config: ReconConfig = DEFAULTS, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """As ``verify_chain``, and every segment must be the one that was linked, and the links a chain.
+
+    A segment that is replaced as a whole is a chain in itself; only its link tells.
+    """
+    suffix = "/segments"
+    chain = F.regexp_replace("chain_id", suffix + "$", "")
+    now = segment_heads(log, segment_rows).select(
+        chain.alias("chain_id"), "sequence", F.col("exception_id").alias("head")
+    )
+    then = links.select(chain.alias("chain_id"), "sequence", F.col("exception_id").alias("linked"))
+    told = F.concat(F.lit("segment "), F.col("sequence").cast("string"), F.lit(" is not the one that was linked"))
+    segments = (
+        now.join(then, ["chain_id", "sequence"], "full")
+        .where(~F.col("head").eqNullSafe(F.col("linked")))
+        .groupBy("chain_id").agg(F.min_by(told, "sequence").alias("segment_fault"))
+    )
+    linked = verify_chain(links, config, segment_rows).select(
+        chain.alias("chain_id"), F.when(~F.col("intact"), F.concat(F.lit("links: "), "message")).alias("link_fault")
+    )
+    fault = F.coalesce(F.when(~F.col("intact"), F.col("message")), "segment_fault", "link_fault")
+    return (
+        verify_chain(log, config, segment_rows)
+        .join(segments, "chain_id", "left").join(linked, "chain_id", "left")
+        .select(
+            "chain_id", "entries", fault.isNull().alias("intact"),
+            F.coalesce(fault, F.lit("chain intact")).alias("message"),
+        )
+    )
+
+
 def verify_chain(
     log: DataFrame, config: ReconConfig = DEFAULTS, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:

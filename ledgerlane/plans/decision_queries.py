@@ -266,6 +266,19 @@ def audit_verify(spark, sf_dir) -> DataFrame:
     return audit.verify_chain(damaged)
 
 
+SEGMENT = 20
+"""Entries per segment in ``audit_segments``, so that small tables have several."""
+
+
+def audit_segments(spark, sf_dir) -> DataFrame:
+    """Chains in segments with their links; in one chain a whole segment was replaced by another."""
+    entries = _entries(spark, sf_dir)
+    links = audit.link_log(cut(audit.append_chain(entries, SEGMENT)), SEGMENT)
+    replaced = (F.col("chain_id") == "DUPLICATE") & (F.floor(F.col("sequence") / SEGMENT) == 1)
+    forged = entries.withColumn("action", F.when(replaced, F.lit("NO_ACTION")).otherwise(F.col("action")))
+    return audit.verify_log(cut(audit.append_chain(forged, SEGMENT)), cut(links), segment_rows=SEGMENT)
+
+
 def audit_history(spark, sf_dir) -> DataFrame:
     """Superseded entries and what replaced them."""
     log = audit.append_chain(_entries(spark, sf_dir))
@@ -390,6 +403,7 @@ QUERIES = {
     "exactly_once": exactly_once,
     "audit_digest": audit_digest,
     "audit_verify": audit_verify,
+    "audit_segments": audit_segments,
     "audit_history": audit_history,
     "review_queue": review_queue,
     "review_resolution": review_resolution,

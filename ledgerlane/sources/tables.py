@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ledgerlane.functions import digests, money
-from ledgerlane.operators.audit import CHAIN_TYPES, recorded_text
+from ledgerlane.operators.audit import CHAIN_TYPES, link_log, recorded_text
 from ledgerlane.operators.submit import LEDGER_TYPES
 
 AUDIT_JSON_TYPES = CHAIN_TYPES.replace("chain_id string, ", "").replace(
@@ -27,10 +27,13 @@ def _read_or_empty(spark: SparkSession, path: str, types: str) -> DataFrame:
 
 
 def write_audit(log: DataFrame, folder: str) -> DataFrame:
-    """Write a new version of the log beside the old ones and return it read back."""
-    path = f"{folder}/audit/version={uuid.uuid4().hex}"
+    """Write a new version of the log and of its links beside the old ones; return the log read back."""
+    version = uuid.uuid4().hex
+    path = f"{folder}/audit/version={version}"
     log.write.parquet(path)
-    return log.sparkSession.read.schema(log.schema).parquet(path)
+    written = log.sparkSession.read.schema(log.schema).parquet(path)
+    link_log(written).write.parquet(f"{folder}/audit_links/version={version}")
+    return written
 
 
 def read_ledger(spark: SparkSession, folder: str, periods: list[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import WordHashes, mix, shingle_set, small_batches, table
-from ledgerlane.llm.links import linked_classes, set_class
+from ledgerlane.llm.links import linked_classes, set_class, without_ids
 
 LIKENESS = (3, 4)
 """Links need this similarity or more, as a fraction."""
@@ -199,8 +199,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that link to one with a smaller id; ids must be unique."""
-    kept = jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = jaccard_join(docs).where("component_id <> doc_id")
+    return without_ids(docs, copies).select(*docs.columns)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

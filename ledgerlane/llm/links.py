@@ -35,6 +35,43 @@ def set_class(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def id_filter(ids: DataFrame):
+    """A column expression that holds for every doc_id in ``ids`` and for few others."""
+    words, power = _filter_words(ids)
+    get = shared(ids.sparkSession, words)
+
+    @F.pandas_udf("boolean")
+    def among(marks: pd.Series) -> pd.Series:
+        return pd.Series(_hits(marks.to_numpy(dtype=np.int64), get(), power))
+
+    return among(F.xxhash64(F.col("doc_id").cast("long")))
+
+
+def _hits(marks: np.ndarray, words: np.ndarray, power: int) -> np.ndarray:
+    hit, mask = np.ones(len(marks), dtype=bool), np.int64((1 << power) - 1)
+    for place in (marks & mask, (marks >> np.int64(32)) & mask):
+        hit &= ((words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return hit
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among ``ids``, without shuffling the texts that stay.
+
+    A filter of bounded size passes what is surely kept. Of the rest, the ids that it caught by
+    chance are found in a join of ids alone, and only their documents take part in a join.
+    """
+    ids = cut(ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    caught = id_filter(ids)
+    by_chance = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(caught).join(ids, "doc_id", "left_anti"))
+    kept = docs.where(~caught)
+    if by_chance.isEmpty():
+        return kept
+    again = docs.where(caught).where(id_filter(by_chance))
+    key = by_chance.select(F.col("doc_id").alias("_kept")).distinct()
+    back = again.join(key, again["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.unionByName(back)
+
+
 def _filter_words(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A Bloom filter of two bits per id, as 64-bit words; at most 16 MB whatever the input."""
     least, most = FILTER_BITS
@@ -61,13 +98,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     get = shared(docs.sparkSession, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, known, mask = get(), WordHashes(), np.int64((1 << power) - 1)
+        held, known = get(), WordHashes()
         for batch in batches:
-            mark = batch["mark"].to_numpy(dtype=np.int64)
-            hit = np.ones(len(mark), dtype=bool)
-            for place in (mark & mask, (mark >> np.int64(32)) & mask):
-                bit = held[place >> 6] >> (place & 63).astype(np.uint64)
-                hit &= (bit & np.uint64(1)).astype(bool)
+            hit = _hits(batch["mark"].to_numpy(dtype=np.int64), held, power)
             sets = [shingle_set(t, known) for t in batch["text"][hit]]
             yield pd.DataFrame(
                 {

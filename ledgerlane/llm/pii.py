@@ -12,8 +12,8 @@ Only what stands near an entity is gathered. Document counts of those terms come
 all documents, with a filter of bounded size that passes all of them and few others.
 
 Defined cases: a NULL text counts as empty and holds nothing; matches that fail their test (octets,
-Luhn, digits) are dropped without a retry; repeated documents count as documents of their own, and
-as one surrounding; extra columns are ignored; an empty table gives an empty result.
+Luhn, digits) are dropped without a retry; repeated rows are one document in the counts near
+entities and give repeated results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import shared, small_batches, table
@@ -147,11 +147,16 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+def row_key() -> Column:
+    """Names a document by its content, so that it is the same whenever a table is read again."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), F.col("text"))
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """Base spans of each document, and the terms near them. ``row`` names a row of the result."""
+    """Base spans of each document, and the terms near them. Equal documents share a ``row``."""
     # Ids travel as text: pandas would turn whole numbers with gaps into floats.
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text"
+        row_key().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text"
     )
     return rows.mapInPandas(
         _find,
@@ -280,7 +285,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with clean texts and their new n_chars; other columns stay. NULL texts stay."""
     found = find(docs)
     terms = found.where("terms IS NOT NULL").select(F.col("row").alias("_row"), "terms")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(terms, "_row", "left")
+    rows = docs.withColumn("_row", row_key()).join(terms, "_row", "left")
     empty = F.array().cast("array<struct<start: long, end: long, share: double>>")
 
     @F.pandas_udf("string")

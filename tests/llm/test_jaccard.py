@@ -99,10 +99,17 @@ def test_empty_table(documents):
 
 
 def test_first_of_each_keeps_columns_and_clean_documents(documents):
-    rows = [(1, prose(1, 50)), (2, prose(1, 50)), (3, prose(2, 50)), (4, None), (5, "")]
+    rows = [(1, prose(1, 50)), (2, prose(1, 50)), (3, prose(2, 50)), (4, None), (5, ""), (None, "x y")]
     kept = jaccard.first_of_each(documents(rows))
     assert kept.columns == documents([]).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "4", "5", "None"]
+
+
+def test_documents_caught_by_chance_come_back(documents, monkeypatch):
+    monkeypatch.setattr(links, "FILTER_BITS", (6, 6))  # catches nearly everything
+    rows = [(i, "x") for i in range(80)]
+    kept = links.without_ids(documents(rows), documents(rows[::3]).select("doc_id"))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(80) if i % 3]
 
 
 def test_words_are_split_and_lowered_in_ascii_only():

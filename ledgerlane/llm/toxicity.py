@@ -1,12 +1,12 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
 Each word, and each beginning of a word, has a lower confidence bound of its log-odds between toxic
-and clean labelled documents under an informative Dirichlet prior. A token scores the highest bound
+and clean labelled documents, in which it is counted once, under an informative Dirichlet prior. A token scores the highest bound
 of its word and beginnings, less a drift. One linear scan over a text finds all maximal scoring
 segments. A segment of score S in a text of n tokens has the expectation
 ``K * n * exp(-lambda * S)`` in clean text; lambda solves the usual moment equation, K is fitted to
-clean documents. Significant segments of a document add up to its evidence, and the evidence of the
-labelled documents is turned into a probability that never falls with it.
+clean documents. Significant segments of a document add up to its evidence. The evidence of labelled
+documents, each judged by a lexicon that it did not shape, gives a probability that never falls with it.
 
 The lexicon has 2**20 hashed token slots, so the model is bounded whatever the input. It is fitted
 on labelled documents: at most about MAX_LABELLED of them, drawn by a hash of their id. Everything
@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,7 +180,8 @@ def usable(labels: DataFrame, column: str) -> DataFrame:
     """doc_id and label of labelled rows outside the held-out fold, about MAX_LABELLED at most."""
     rows = labels.where(F.col(column).isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     rows = rows.select(
-        F.col("doc_id").cast("long").alias("label_id"), F.col(column).cast("int").alias("label")
+        F.col("doc_id").cast("long").alias("label_id"), F.col(column).cast("int").alias("label"),
+        fold("doc_id", FOLDS).cast("int").alias("fold"),
     )
     share = min(1.0, MAX_LABELLED / max(1, rows.count()))
     if share < 1:
@@ -193,8 +195,8 @@ def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for label in (0, 1):
             tokens: Counter[str] = Counter()
             for text in batch["text"][batch["label"] == label]:
-                for _, part in slices(text or ""):
-                    tokens.update(_TOKEN.findall(part.lower()))
+                # Once per document: a text that repeats a word is no more evidence about it.
+                tokens.update({t for _, part in slices(text or "") for t in _TOKEN.findall(part.lower())})
             if tokens:
                 slots = [features(t) for t in tokens]
                 times = np.repeat(list(tokens.values()), [len(f) for f in slots])
@@ -277,25 +279,36 @@ def _evidence(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """Learn lexicon, segment statistics and calibration from labelled documents."""
+    """Learn the lexicon from all labelled documents; segment statistics and calibration by thirds.
+
+    Each third is judged by a lexicon that the other two made, so what a document shaped does not
+    judge it.
+    """
     used = usable(labels, column)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(used), F.col("doc_id") == F.col("label_id")  # bounded by MAX_LABELLED
-    ).select("text", "label")
+    ).select("text", "label", "fold")
     model = Model(lexicon(joined), 1.0, 1.0, [])
-    clean = cut(
-        joined.mapInPandas(
-            _best(model),
-            "label int, tokens long, best double, scores array<struct<score: double, times: long>>",
-        ).where("label = 0")
-    )
+    thirds = [k for k in range(FOLDS) if k != HELD_OUT]
+    others = {k: Model(lexicon(joined.where(F.col("fold") != k)), 1.0, 1.0, []) for k in thirds}
+
+    def judged(function, columns: str) -> DataFrame:
+        parts = [
+            joined.where(F.col("fold") == k).mapInPandas(function(other), columns) for k, other in others.items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    found = "label int, tokens long, best double, scores array<struct<score: double, times: long>>"
+    clean = cut(judged(_best, found).where("label = 0"))
     scores = clean.select(F.explode("scores").alias("s")).groupBy("s.score").agg(F.sum("s.times").alias("times"))
     model.lam = decay([(r["score"], r["times"]) for r in scores.collect()])  # a row per score
     chance = F.col("tokens") * F.exp(-model.lam * F.col("best"))
     hits, total = clean.agg(F.count(F.when(F.col("best") > 0, 1)), F.sum(chance)).first()
     model.k = max(0.5, hits or 0) / max(total or 1.0, 1.0)
+    for other in others.values():
+        other.lam, other.k = model.lam, model.k
     found = (
-        joined.mapInPandas(_evidence(model), "label int, evidence double")
+        judged(_evidence, "label int, evidence double")
         .groupBy(F.least(F.lit(BINS), F.floor(F.col("evidence") / BIN)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
         .orderBy("bin").collect()  # a row per bin

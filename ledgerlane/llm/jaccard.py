@@ -35,7 +35,7 @@ LIKENESS = (3, 4)
 FREQUENT = 32
 """Tokens of more documents than this are indexed in pairs."""
 
-CLASS_SHARE = 16
+CLASS_SHARE = 8
 """A set of 2**L to 2**(L+1) tokens deals frequent tokens into 2**L / CLASS_SHARE classes."""
 
 BLOCK_TOKENS = 500_000
@@ -44,6 +44,9 @@ BLOCK_TOKENS = 500_000
 RANGE_BYTES = 8 << 20
 """Text bytes per hash range; bounds what one task counts."""
 
+SKETCH_BITS = 9
+"""A set's tokens mark the places of a sketch of 2**9 bits: a bound on what two sets share."""
+
 _INDEX_BITS = 16
 _TOKEN_BITS = 48
 
@@ -113,8 +116,8 @@ def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     """Keys of a set of ``size`` tokens, given those of two or more documents, rare ones first; and
     for each the tokens that a partner found by it can have in common at most.
 
-    Documents of neighbouring sizes agree on the classes because each deals its tokens for its own
-    level and for the next one.
+    Two documents agree on the classes of the larger one's level: each deals its tokens for its own
+    level, and for the next one if a partner of that level can have the similarity.
     """
     share, whole = LIKENESS
     prefix = size - -(-share * size // whole) + 1
@@ -124,11 +127,12 @@ def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     level = size.bit_length() - 1
     tokens = mix(tokens)
     often = counts > FREQUENT
-    reach = max(0, min(size, prefix + classes_of(level + 1)) - single)
+    levels = [level] if size * whole < share * (2 << level) else [level, level + 1]
+    reach = max(0, min(size, prefix + classes_of(levels[-1])) - single)
     keys = [tokens[:reach][~often[:reach]]]
     held = [size - single - np.arange(len(keys[0]))]
     frequent = int(often.sum())
-    for at in (level, level + 1) if whole * frequent >= share * size else ():
+    for at in levels if whole * frequent >= share * size else ():
         groups = classes_of(at)
         reach = max(0, min(size, prefix + groups) - single)
         chosen = np.sort(tokens[:reach][often[:reach]])
@@ -148,6 +152,13 @@ def index_keys(size: int, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return np.concatenate(keys).view(np.int64), np.concatenate(held)
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """The bits that tokens mark, as signed 64-bit words."""
+    bits = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    bits[mix(tokens) >> np.uint64(64 - SKETCH_BITS)] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
     named = rows["names"].to_numpy(dtype=bool)
     docs = np.frombuffer(rows["keys"][named].iloc[0], dtype="<i8").reshape(-1, 4)
@@ -169,6 +180,8 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
             "doc_id": [None if missing else str(x) for x, missing in docs[:, :2]],
             "n_shingles": docs[:, 2],
             "class": docs[:, 3],
+            "shared": np.diff(edges),
+            "bits": [sketch(tokens[a:b]) if found_ else None for found_, a, b in zip(found, edges, edges[1:])],
             "keys": found,
         }
     )
@@ -187,7 +200,9 @@ def prefix_index(docs: DataFrame) -> DataFrame:
     sent = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(_scatter(ranges), packed)
     counted = sent.groupBy("range").applyInPandas(_count, packed)
     return counted.groupBy("block").applyInPandas(
-        _index, "doc_id string, n_shingles long, class long, keys array<struct<key: long, held: long>>"
+        _index,
+        "doc_id string, n_shingles long, class long, shared long, bits array<long>,"
+        " keys array<struct<key: long, held: long>>",
     ).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -26,6 +26,7 @@ from ledgerlane.llm.common import WordHashes, shared, shingle_set
 from ledgerlane.operators.scale import cut
 
 STAR_ROUNDS = 2
+SKETCH_WORDS = 8
 FILTER_BITS = (16, 27)
 """Least and most bits, as powers of two, of the filter that picks documents to hash again."""
 
@@ -175,6 +176,19 @@ def _possible(share: int, whole: int):
     return whole * common >= share * (F.col("n") + F.col("other_n") - common)
 
 
+def _apart(words: int, share: int, whole: int):
+    """Whether sketches allow the similarity: a bit that one set marks and the other does not stands
+    for at least one element that is not in common."""
+    def alone(mine: str, theirs: str):
+        bits = [F.bit_count(F.col(mine)[i].bitwiseAND(F.bitwise_not(F.col(theirs)[i]))) for i in range(words)]
+        return sum(bits[1:], bits[0])
+
+    common = F.least(
+        F.col("shared") - alone("bits", "other_bits"), F.col("other_shared") - alone("other_bits", "bits")
+    )
+    return whole * common >= share * (F.col("n") + F.col("other_n") - common)
+
+
 def _others(prefix: str = "") -> list:
     return [F.col(prefix + c).alias("other" if c == "class" else f"other_{c}") for c in ("class", "comp", "n", "held")]
 
@@ -190,7 +204,8 @@ def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) ->
 
     ``index`` has doc_id, n_shingles, class and the candidate ``keys`` of each document, each with the
     number ``held`` of shingles at most that a partner found by it can have in common. Any two sets
-    with a similarity of ``share / whole`` must have a key in common that allows it. Documents without shingles
+    with a similarity of ``share / whole`` must have a key in common that allows it. It may also have
+    a sketch ``bits`` of the ``shared`` shingles that can occur in another set at all. Documents without shingles
     are linked with nothing; NULL ids take the least id of their component, if it has one.
     """
     index = cut(index)
@@ -230,10 +245,16 @@ def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) ->
             .groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
             .where("comps > 1").select("key", F.col("top.comp").alias("top"))
         )
-        apart = cut(live.join(largest, "key"))
+        apart = live.join(largest, "key")
+        allowed = _possible(share, whole)
+        more = [c for c in ("shared", "bits") if c in index.columns]
+        if more:
+            apart = apart.join(classes.where("bits IS NOT NULL").select("class", *more).dropDuplicates(["class"]), "class")
+            allowed &= _apart(SKETCH_WORDS, share, whole)
+        apart = cut(apart)
         outside = apart.where("comp != top")
-        others = apart.select("key", *_others())
-        near = outside.join(others, "key").where("comp != other_comp").where(_possible(share, whole))
+        others = apart.select("key", *_others(), *[F.col(c).alias(f"other_{c}") for c in more])
+        near = outside.join(others, "key").where("comp != other_comp").where(allowed)
         pairs = cut(_pairs(near).join(tested, ["a", "b"], "left_anti"))
         labels = merge(labels, cut(verify(pairs, sets, share, whole)))
     least = cut(

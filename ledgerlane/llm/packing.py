@@ -35,7 +35,7 @@ QUERY_TERMS = 24
 """Terms of a seed that are looked up: those of the greatest weight."""
 
 K1, B = 1.2, 0.75
-KNOWN_CHUNKS, KNOWN_WORDS = 250_000, 500_000
+KNOWN_CHUNKS, KNOWN_WORDS = 400_000, 1_000_000
 """Chunks between blanks, and words, whose ids a worker remembers; it starts anew beyond that."""
 
 JOINED_WORDS = 400

@@ -100,3 +100,23 @@ def test_sanitised_keeps_nulls_and_overlaps(documents):
     kept = pii.sanitise(documents([(1, None), (2, "+4111111111111111 x")])).collect()
     assert {r.doc_id: r.text for r in kept} == {1: None, 2: "+<CARD> x"}
     assert pii.sanitised("ab Cd9 e", [], [{"start": 3, "end": 6, "share": 0.7}]) == "ab xx0 e"
+
+
+def test_rare_entities_are_judged_by_groups_and_parts(documents):
+    """Every address and number stands in one document only."""
+    rows = [(i, f"{prose(i, 30)} mail jane{i}.doe@corp{i}.example {prose(50 + i, 40)} quokka, {prose(80 + i, 9)} quokka") for i in range(4)]
+    rows += [(10, f"{prose(90, 30)} card 4111 1111 1111 1111 {prose(91, 20)} ends in 1111 {prose(92, 5)}")]
+    rows += [(11, f"from rosalind.f@lab.example {prose(93, 40)} Rosalind {prose(94, 30)}")]
+    rows += [(100 + i, prose(200 + i, 40) + " mail") for i in range(600)]
+    got = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+
+    def found(doc_id, text):
+        return [text[t.start : t.end] for t in got[doc_id].terms or ()]
+
+    for doc_id, text in rows[:4]:
+        assert found(doc_id, text) == ["quokka", "quokka"]  # far from the address, and each time
+    assert "1111" in found(*rows[4]) and "ends" not in found(*rows[4])
+    assert found(*rows[5]) == ["Rosalind"]
+    assert all(not got[i].terms for i, _ in rows[6:])
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(rows)).collect()}
+    assert "quokka" not in clean[0] and "Rosalind" not in clean[11]

@@ -1,8 +1,10 @@
 """Lexical retrieval packing of tokenised documents into windows.
 
 A document longer than a window is cut: full windows stand alone, the rest is a remainder.
-Remainders are dealt by hash into shards of a bounded number of documents; the number of shards
-grows with the input. Each shard builds a BM25 inverted index over its remainders. The longest
+Remainders are sorted by their heaviest terms, coarse to fine, and cut into shards of a bounded
+number of documents, so that neighbours meet; the number of shards grows with the input. A group of
+like texts may fill several shards. Each shard builds a BM25 inverted index over its remainders, with
+document frequencies and mean length counted over all pieces. The longest
 unused one seeds a window and is the query; its best unused neighbours fill the window, the last of
 them is cut where the window ends, and its rest stays unused. So every window but a shard's last is
 full. The last one is split into sequences of powers of two, which need no padding.
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import shared, small_batches, table
+from ledgerlane.operators.scale import cut
 
 WINDOW = 4096
 END = 2
@@ -31,8 +34,14 @@ END = 2
 SHARD_PIECES = 1024
 """Pieces in a shard, about: bounds an index to 1024 windows of ids."""
 
-QUERY_TERMS = 24
-"""Terms of a seed that are looked up: those of the greatest weight."""
+QUERY_TERMS = None
+"""Terms of a seed that are looked up, those of the greatest weight first; None for all."""
+
+LEVELS = (1024, 64, 2)
+"""Pieces that must hold a term for it to count as the first, second or third term of a sort key."""
+
+SAMPLED = 1_000_000
+"""Sort keys, about, from which the edges of the shards are taken."""
 
 K1, B = 1.2, 0.75
 KNOWN_CHUNKS, KNOWN_WORDS = 400_000, 1_000_000
@@ -148,10 +157,50 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, PIECE)
 
 
+class Statistics:
+    """Number of pieces, their mean length, and how many hold each id."""
+
+    def __init__(self, count: int, mean: float, held: np.ndarray):
+        self.count, self.mean, self.held = count, max(1.0, mean), held
+        self.weight = np.log1p((count - held + 0.5) / (held + 0.5))
+
+    def norm(self, sizes):
+        return K1 * (1 - B + B * sizes / self.mean)
+
+    def key(self, ids: np.ndarray) -> int:
+        """The heaviest common, less common and rare term, 16 bits each: like pieces have near keys."""
+        terms, times = np.unique(ids, return_counts=True)
+        heavy = self.weight[terms] * times / (times + self.norm(len(ids)))
+        held, key = self.held[terms], 0
+        for level in LEVELS:
+            fit = np.where(held >= min(level, self.count // 2), heavy, 0.0)
+            key = key << 16 | int(terms[fit.argmax()])
+        return key
+
+
+def statistics(pieces: DataFrame) -> Statistics:
+    """Over all pieces; at most an entry per id comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for ids in batch["ids"]:
+                held[np.unique(np.frombuffer(ids, dtype="<u2"))] += 1
+        found = np.flatnonzero(held)
+        yield pd.DataFrame({"term": found, "held": held[found]})
+
+    count, octets = pieces.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
+    held = np.zeros(1 << 16, dtype=np.int64)
+    counted = pieces.select("ids").mapInPandas(run, "term long, held long")
+    for row in counted.groupBy("term").agg(F.sum("held").alias("held")).collect():
+        held[row["term"]] = row["held"]
+    return Statistics(count, (octets or 0) / 2 / max(1, count), held)
+
+
 class Index:
-    """BM25 inverted index over the pieces of one shard."""
+    """BM25 inverted index over the pieces of one shard; ``stats`` are those of all pieces."""
 
-    def __init__(self, pieces: list[np.ndarray]):
+    def __init__(self, pieces: list[np.ndarray], stats: Statistics | None = None):
         self.terms, self.counts = [], []
         for ids in pieces:
             ordered = np.sort(ids)
@@ -166,25 +215,23 @@ class Index:
         ordered = terms[order]
         self.starts = np.searchsorted(ordered, np.arange(1 << 16))
         self.starts = np.append(self.starts, len(ordered))
-        held = np.diff(self.starts)
-        self.weight = np.log1p((len(pieces) - held + 0.5) / (held + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
+        stats = stats or Statistics(len(pieces), sizes.mean(), np.diff(self.starts))
+        self.weight = stats.weight
+        norm = stats.norm(sizes)
         times = counts[order].astype(np.float64)
-        self.part = times * (K1 + 1) / (times + norm[self.owner])
+        self.part = self.weight[ordered] * times * (K1 + 1) / (times + norm[self.owner])
         self.size = len(pieces)
 
     def scores(self, piece: int) -> np.ndarray:
-        """BM25 of every piece for the heaviest terms of one."""
+        """BM25 of every piece for the terms of one."""
         terms = self.terms[piece]
         heavy = np.argsort(-self.weight[terms] * self.counts[piece], kind="stable")[:QUERY_TERMS]
-        total = np.zeros(self.size)
-        for term in terms[heavy]:
-            a, b = self.starts[term], self.starts[term + 1]
-            total[self.owner[a:b]] += self.weight[term] * self.part[a:b]  # a piece once per term
-        return total
+        places = [slice(a, b) for a, b in zip(self.starts[terms[heavy]], self.starts[terms[heavy].astype(np.int64) + 1])]
+        owners = np.concatenate([self.owner[p] for p in places])
+        return np.bincount(owners, np.concatenate([self.part[p] for p in places]), self.size)
 
 
-def pack(pieces: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack(pieces: list[np.ndarray], window: int = WINDOW, stats: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (piece, from, to): all but the last are full.
 
     Pieces are at most a window long. Parts of a piece left unused keep its place in the index.
@@ -193,7 +240,7 @@ def pack(pieces: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int,
         return []
     left = np.array([len(p) for p in pieces], dtype=np.int64)
     used = np.zeros(len(pieces), dtype=np.int64)
-    index = Index(pieces) if (left < window).any() else None
+    index = Index(pieces, stats) if (left < window).any() else None
     longest = iter(np.argsort(-left, kind="stable"))
     windows = []
     for seed in longest:
@@ -244,13 +291,13 @@ def split_last(parts: list[tuple[int, int, int]], window: int = WINDOW) -> list[
 PACKED = PIECE + ", length long, sequence_id long, offset long"
 
 
-def _pack_shard(window: int):
+def _pack_shard(window: int, get):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         rows = rows.assign(key=pd.to_numeric(rows["doc_id"]))
         rows = rows.sort_values(["key", "doc_id", "start", "ids"], kind="stable", ignore_index=True)
         pieces = [np.frombuffer(i, dtype="<u2") for i in rows["ids"]]
-        sequences = [s for w in pack(pieces, window) for s in split_last(w, window)]
+        sequences = [s for w in pack(pieces, window, get()) for s in split_last(w, window)]
         out = []
         doc_ids, tokens, starts = (rows[c].tolist() for c in ("doc_id", "doc_tokens", "start"))
         for number, sequence in enumerate(sequences):
@@ -267,17 +314,47 @@ def _pack_shard(window: int):
 def packed(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces with their place: doc_id, doc_tokens, start, ids (little-endian 32 bits), length,
     sequence_id and offset. Each token lies in exactly one piece."""
-    rows, octets = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    # A byte is less than a token: this bounds the pieces from above without encoding twice.
-    shards = -(-(rows + (octets or 0) // (2 * window)) // SHARD_PIECES) or 1
-    dealt = tokenised(docs, path, window).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards))
-    )
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(window), PACKED).withColumn(
+    # Written with a name for each piece, which differs for equal rows too.
+    name = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
+    pieces = cut(tokenised(docs, path, window).withColumn("name", name))
+    stats = statistics(pieces)
+    get = shared(docs.sparkSession, stats)
+    dealt = deal(pieces, stats, get, window).select("shard", *[f.split()[0] for f in PIECE.split(", ")])
+    return dealt.groupBy("shard").applyInPandas(_pack_shard(window, get), PACKED).withColumn(
         "doc_id", F.col("doc_id").cast("long")
     )
 
 
+def deal(pieces: DataFrame, stats: Statistics, get, window: int = WINDOW) -> DataFrame:
+    """The pieces with their shard. Full windows need no neighbours and have shards of their own."""
+
+    @F.pandas_udf("long")
+    def keyed(ids: pd.Series, names: pd.Series) -> pd.Series:
+        find = get().key
+        keys = [find(np.frombuffer(i, dtype="<u2")) << 15 for i in ids]
+        return pd.Series(np.array(keys, dtype=np.int64) | (names.to_numpy() & 0x7FFF), dtype="int64")
+
+    whole = F.octet_length("ids") == 2 * window
+    full = pieces.where(whole).count()
+    rest = stats.count - full
+    shards, full_shards = -(-rest // SHARD_PIECES), -(-full // SHARD_PIECES)
+    edges = np.empty(0, dtype=np.int64)
+    if shards > 1:
+        drawn = F.pmod(F.shiftright("name", 20), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLED / rest))
+        sample = pieces.where(~whole & drawn).select(keyed("ids", "name").alias("key")).toPandas()["key"]
+        found = np.sort(sample.to_numpy())
+        edges = found[np.arange(1, shards) * len(found) // shards]
+    cuts = shared(pieces.sparkSession, edges)
+
+    @F.pandas_udf("long")
+    def placed(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts(), keys.to_numpy(), side="right"), dtype="int64")
+
+    remainders = pieces.where(~whole).withColumn("shard", placed(keyed("ids", "name")))
+    own = F.lit(shards) + F.pmod("name", F.lit(max(1, full_shards)))
+    return remainders.unionByName(pieces.where(whole).withColumn("shard", own.cast("long")))
+
+
 def default_tokenizer() -> str:
     """Where the vocabulary file lies."""
     import public_tokenizers

@@ -98,3 +98,35 @@ def test_bm25_equals_the_formula():
             for t, _ in heavy
         )
         assert abs(index.scores(2)[k] - want) < 1e-9
+
+
+def test_like_pieces_meet_in_bounded_shards(spark):
+    """Sixteen topics that take turns, and equal rows without an id: dealt blindly, few would meet."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(6000):
+        low = 1000 * (i % 16) + 10
+        ids = np.concatenate([rng.integers(low, low + 60, 40), rng.integers(30_000, 30_500, 10)])
+        rows.append((str(i), 50, 0, ids.astype("<u2").tobytes(), int(rng.integers(-(1 << 62), 1 << 62))))
+    same = np.arange(31_000, 31_050).astype("<u2").tobytes()
+    rows += [(None, 50, 0, same, int(rng.integers(-(1 << 62), 1 << 62))) for _ in range(5000)]
+    pieces = spark.createDataFrame(rows, packing.PIECE + ", name long")
+    stats = packing.statistics(pieces)
+    assert stats.count == 11_000 and stats.mean == 50 and stats.held[31_000] == 5000
+    got = packing.deal(pieces, stats, lambda: stats).select("doc_id", "shard").collect()
+    sizes, topics = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + 1
+        if r.doc_id is not None:
+            shard = topics.setdefault(int(r.doc_id) % 16, {})
+            shard[r.shard] = shard.get(r.shard, 0) + 1
+    assert len(got) == 11_000 and max(sizes.values()) <= 2 * packing.SHARD_PIECES
+    together = sum(n * n for shard in topics.values() for n in shard.values())
+    every = sum(sum(shard.values()) ** 2 for shard in topics.values())
+    assert together / every > 0.3  # by hash: 1 of 11
+
+
+def test_every_term_of_a_seed_counts():
+    pieces = [np.arange(100, 300).astype("<u2"), np.arange(290, 300).astype("<u2"), np.arange(400, 410).astype("<u2")]
+    index = packing.Index(pieces, packing.Statistics(1000, 70.0, np.where(np.arange(1 << 16) < 290, 2, 900)))
+    assert index.scores(0)[1] > index.scores(0)[2] == 0

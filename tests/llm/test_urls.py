@@ -56,3 +56,42 @@ def test_method_judges_urls_it_has_not_seen():
     assert wrong <= 10  # of forty
     fit = [weights[s].sum() / len(s) ** 0.5 + bias for s in map(lambda u: urls.grams(*urls.split_url(u)), urls.LABELLED["url"])]
     assert ((pd.Series(fit) >= 0) == urls.LABELLED["label"].astype(bool)).mean() > 0.9
+
+
+def test_table_shares_no_host_or_path_with_the_given_pages():
+    import os
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    folders = [f for f in ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1") if os.path.isdir(f)]
+    if not folders:
+        pytest.skip("no test tables here")
+    given = {urls.split_url(u) for f in folders for u in pq.read_table(f"{f}/pages.parquet", columns=["url"])["url"].to_pylist()}
+    rows = [urls.split_url(u) for u in urls.LABELLED["url"]]
+
+    def site(host):
+        return ".".join(host.split(".")[-2:])
+
+    # A site of the pages may lie below example.com: compare whole hosts and the first label.
+    labels = {part for host, _ in given for part in host.split(".")[:-2] if part not in ("www", "m", "blog")}
+    assert not {h for h, _ in given} & {h for h, _ in rows} and not {site(h) for h, _ in given} & {site(h) for h, _ in rows}
+    assert not labels & {part for host, _ in rows for part in host.split(".") if part not in ("www", "m", "blog")}
+    assert not {p for _, p in given if len(p) > 1} & {p for _, p in rows}
+
+
+def held_out_by_host(labelled, folds=8):
+    """Rows judged right by models that saw no row of their host, and how many there are."""
+    hosts = labelled["url"].map(lambda u: urls.split_url(u)[0])
+    right, fold = 0, hosts.map({h: k % folds for k, h in enumerate(sorted(set(hosts)))})
+    for k in range(folds):
+        weights, bias = urls.train(labelled[fold != k])
+        for row in labelled[fold == k].itertuples():
+            slots = urls.grams(*urls.split_url(row.url))
+            right += (weights[slots].sum() / len(slots) ** 0.5 + bias >= 0) == bool(row.label)
+    return right, len(labelled)
+
+
+def test_accuracy_on_hosts_it_has_not_seen():
+    right, count = held_out_by_host(urls.LABELLED)
+    assert right >= 0.85 * count

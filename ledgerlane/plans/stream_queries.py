@@ -68,14 +68,13 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
 
 
 def stream_recovery(spark, sf_dir) -> DataFrame:
-    """All conversations through the stateful stream, straight from the given table."""
+    """All conversations through the stateful stream, whatever files the given table lies in.
+
+    A trigger handles the turns it has in order, so each conversation is first put whole into one file.
+    """
     folder = _folder(spark, "conversations")
     table = derived.table(spark, sf_dir, "conversations")
-    stream = (
-        spark.readStream.schema(table.schema)
-        .option("maxFilesPerTrigger", STREAM_FILES)
-        .parquet(f"{sf_dir}/conversations*.parquet")
-    )
+    stream = _as_stream(table.repartition("conv_id"), f"{folder}/input")
     query = (
         conversations.conversation_stream(conversation_messages(stream))
         .writeStream.format("parquet")

@@ -1,6 +1,7 @@
 """The registered query of each operator, and the SQL of those that SQL can express."""
 
 from ledgerlane.llm import (
+    collocations,
     decontamination,
     fingerprints,
     jaccard,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_resharding": resharding.op9_resharding,
     "op10_minhash": fingerprints.op10_minhash,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-SQL = {**jaccard.SQL}
+SQL = {**jaccard.SQL, **collocations.SQL}

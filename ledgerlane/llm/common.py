@@ -113,6 +113,8 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     return mix(total + np.uint64(width))
 
 
-def shingle_set(text: str | None, known: WordHashes | None = None) -> np.ndarray:
+def shingle_set(
+    text: str | None, known: WordHashes | None = None, size: int = SHINGLE_WORDS
+) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(word_hashes(text, known)))
+    return np.unique(shingle_hashes(word_hashes(text, known), size))

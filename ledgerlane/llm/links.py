@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import WordHashes, shared, shingle_set
+from ledgerlane.llm.common import SHINGLE_WORDS, WordHashes, shared, shingle_set
 from ledgerlane.operators.scale import cut
 
 STAR_ROUNDS = 2
@@ -90,7 +90,7 @@ def _filter_words(ids: DataFrame) -> tuple[np.ndarray, int]:
     return found, power
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """class, shingles (sorted little-endian 64-bit numbers) of the documents in ``ids``, and few more.
 
     Texts of other documents are passed over by a filter inside the scan, not shuffled.
@@ -102,7 +102,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         held, known = get(), WordHashes()
         for batch in batches:
             hit = _hits(batch["mark"].to_numpy(dtype=np.int64), held, power)
-            sets = [shingle_set(t, known) for t in batch["text"][hit]]
+            sets = [shingle_set(t, known, size) for t in batch["text"][hit]]
             yield pd.DataFrame(
                 {
                     "class": pd.Series([set_class(s) for s in sets], dtype="int64"),

@@ -4,6 +4,7 @@ from ledgerlane.llm import (
     collocations,
     decontamination,
     fingerprints,
+    hamming,
     jaccard,
     language,
     packing,
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_resharding": resharding.op9_resharding,
     "op10_minhash": fingerprints.op10_minhash,
+    "op11_hamming": hamming.op11_hamming,
     "op13_collocations": collocations.op13_collocations,
 }
 
-SQL = {**jaccard.SQL, **collocations.SQL}
+SQL = {**jaccard.SQL, **hamming.SQL, **collocations.SQL}

@@ -11,6 +11,7 @@ from ledgerlane.llm import (
     pii,
     quality,
     resharding,
+    search,
     toxicity,
     urls,
 )
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_resharding": resharding.op9_resharding,
     "op10_minhash": fingerprints.op10_minhash,
     "op11_hamming": hamming.op11_hamming,
+    "op12_search": search.op12_search,
     "op13_collocations": collocations.op13_collocations,
 }
 
-SQL = {**jaccard.SQL, **hamming.SQL, **collocations.SQL}
+SQL = {**jaccard.SQL, **hamming.SQL, **search.SQL, **collocations.SQL}

@@ -51,8 +51,10 @@ def permutations(count: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:count] | np.uint64(1), seeds[count:]
 
 
-def signatures(sets: list[np.ndarray], count: int = PERMUTATIONS) -> np.ndarray:
-    """One row of ``count`` 16-bit numbers per shingle array; repeats in it do no harm."""
+def signatures(
+    sets: list[np.ndarray], count: int = PERMUTATIONS, kind: type = np.uint16
+) -> np.ndarray:
+    """One row of ``count`` numbers of 16 (or of a kind's) bits per shingle array; repeats do no harm."""
     factor, shift = permutations(count)
     least = np.full((len(sets), count), np.iinfo(np.uint64).max, dtype=np.uint64)
 
@@ -76,8 +78,8 @@ def signatures(sets: list[np.ndarray], count: int = PERMUTATIONS) -> np.ndarray:
             held += len(part)
     if held:
         settle(rows, parts)
-    out = (mix(least) >> np.uint64(48)).astype(np.uint16)
-    out[[len(s) == 0 for s in sets]] = np.iinfo(np.uint16).max
+    out = (mix(least) >> np.uint64(64 - np.iinfo(kind).bits)).astype(kind)
+    out[[len(s) == 0 for s in sets]] = np.iinfo(kind).max
     return out
 
 

@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set is its distinct four-word shingles; its signature has 128 MinHash symbols of 16 bits.
+A document's set is its distinct four-word shingles; its signature has 128 MinHash symbols of 32 bits.
 Two signatures are near when at most ``APART`` symbols differ. The signature is split into chunks; by the
 pigeonhole principle, two near signatures differ in at most ``errors`` symbols in some chunk (with the
 numbers here: in at least ``AGREEING`` chunks). Instead of listing all values that a chunk may have after
@@ -11,10 +11,14 @@ What shares a key is compared by distance, and what is near enough is confirmed
 estimates similarity: a pair at exactly 0.80 differs in 25.6 symbols on average, and lies beyond 47 with a
 probability of 4 in 1,000,000 (binomial tail); closer pairs, far less.
 
+A document with fewer than 128 - 47 symbols that any other set has at the same place has no near one: only the
+others are indexed, which leaves out most documents that share no more than a passage.
+
 As in ``links``, equal sets are one class, and the answer is the classes' connected components. Every key first
-compares its classes with one centre, twice, so that a group of thousands of copies falls into one component in
-a linear number of pairs. Keys that still hold several components are compared in full, but for pairs inside
-the key's largest component; pairs that meet in fewer than ``AGREEING`` keys are no near pairs.
+compares its classes with one centre, in three turns, so that a group of thousands of copies falls into one
+component in a linear number of pairs. Then symbols, and shingles, count only where another component has them:
+classes with enough of both that still share a key are compared in full, but for pairs inside the key's largest
+component. Pairs that agree in fewer than ``AGREEING`` chunks are no near pairs.
 
 Defined cases: a NULL text counts as empty; a document without words has no shingles, is linked with nothing and
 is kept; one with fewer than four words is one shingle of the whole sequence; repeated rows give one result row
@@ -45,7 +49,10 @@ APART = 47
 """Symbols in which near signatures differ at most."""
 
 CHUNKS = 26
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+PEELS = 2
+"""Times that classes go which cannot link to what is left."""
+
 TOGETHER = 200
 """Documents whose signatures are computed together."""
 
@@ -57,18 +64,25 @@ AGREEING = CHUNKS - APART // (ERRORS + 1)
 """Chunks in which near signatures differ in ``ERRORS`` symbols at most: each other one needs more."""
 
 
-def chunk_keys(marks: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -> np.ndarray:
-    """One row of 64-bit keys for each row of symbols: each chunk without each choice of its errors."""
+def chunk_keys(marks: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of symbols its 64-bit keys: each chunk without each choice of its errors. And for
+    each key the name of what it leaves out, 0 for a chunk's first choice.
+
+    Equal chunks have all keys in common, but only the first choice leaves out what is named alike: a chunk
+    counts once where keys meet whose names differ or are 0.
+    """
     places = np.arange(1, marks.shape[1] + 1, dtype=np.uint64)
     terms = (marks.astype(np.uint64) + np.uint64(1)) * (mix(places) | np.uint64(1))
     edges = np.linspace(0, marks.shape[1], chunks + 1).astype(int)
-    keys, tag = [], 0
+    keys, names, tag = [], [], 0
     for low, high in zip(edges, edges[1:]):
         whole = terms[:, low:high].sum(axis=1)
-        for left_out in combinations(range(low, high), errors):
+        for choice, left_out in enumerate(combinations(range(low, high), errors)):
             tag += 1
-            keys.append(mix(whole - terms[:, list(left_out)].sum(axis=1) + mix(np.uint64([tag]))))
-    return np.stack(keys, axis=1)
+            gone = terms[:, list(left_out)].sum(axis=1)
+            keys.append(mix(whole - gone + mix(np.uint64([tag]))))
+            names.append(gone if choice else np.zeros(len(marks), dtype=np.uint64))
+    return np.stack(keys, axis=1), np.stack(names, axis=1)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -85,7 +99,7 @@ def signed(docs: DataFrame) -> DataFrame:
                         "doc_id": part["doc_id"].to_numpy(),
                         "n_shingles": [len(s) for s in sets],
                         "class": [set_class(s) for s in sets],
-                        "signature": [m.astype("<u2").tobytes() for m in signatures(sets)],
+                        "signature": [m.astype("<u4").tobytes() for m in signatures(sets, kind=np.uint32)],
                     }
                 )
 
@@ -98,25 +112,82 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _marks(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), PERMUTATIONS)
+    return np.frombuffer(b"".join(column), dtype="<u4").reshape(len(column), PERMUTATIONS)
 
 
 def indexed(classes: DataFrame) -> DataFrame:
-    """key, class, n: the chunk keys of each class."""
+    """key, without, class, n: the chunk keys of each class and the names of what they leave out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                keys = chunk_keys(_marks(batch["signature"])).view(np.int64)
+                keys, names = chunk_keys(_marks(batch["signature"]))
                 yield pd.DataFrame(
                     {
-                        "key": keys.ravel(),
+                        "key": keys.view(np.int64).ravel(),
+                        "without": names.view(np.int64).ravel(),
                         "class": np.repeat(batch["class"].to_numpy(), keys.shape[1]),
                         "n": np.repeat(batch["n"].to_numpy(), keys.shape[1]),
                     }
                 )
 
-    return classes.select("class", "n", "signature").mapInPandas(run, "key long, class long, n long")
+    return classes.select("class", "n", "signature").mapInPandas(run, "key long, without long, class long, n long")
+
+
+def symbols(classes: DataFrame) -> DataFrame:
+    """symbol, class, comp: a name of each symbol at its place, for each class with a component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                marks = _marks(batch["signature"]).astype(np.int64)
+                named = marks | (np.arange(PERMUTATIONS, dtype=np.int64) << 32)
+                yield pd.DataFrame(
+                    {
+                        "symbol": named.ravel(),
+                        "class": np.repeat(batch["class"].to_numpy(), PERMUTATIONS),
+                        "comp": np.repeat(batch["comp"].to_numpy(), PERMUTATIONS),
+                    }
+                )
+
+    return classes.select("class", "comp", "signature").mapInPandas(run, "symbol long, class long, comp long")
+
+
+def not_alone(classes: DataFrame) -> DataFrame:
+    """class, held: those with enough symbols that a class of another component has at the same place too."""
+    found = symbols(classes).groupBy("symbol").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    shared = found.where("lo != hi").select("symbol")
+    held = symbols(classes).join(shared, "symbol").groupBy("class").agg(F.count(F.lit(1)).alias("held"))
+    return held.where(F.col("held") >= PERMUTATIONS - APART)
+
+
+def in_others(sets: DataFrame) -> DataFrame:
+    """class, comp, n, shared: how many shingles a class of another component has too.
+
+    ``sets`` has class, comp and shingles. Classes that cannot have the similarity by this are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                yield pd.DataFrame(
+                    {
+                        "shingle": np.frombuffer(row["shingles"], dtype="<u8").view(np.int64),
+                        "class": row["class"],
+                        "comp": row["comp"],
+                    }
+                )
+
+    share, whole = LIKENESS
+    each = sets.mapInPandas(run, "shingle long, class long, comp long")
+    found = each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    held = each.join(found.where("lo != hi").select("shingle"), "shingle")
+    held = held.groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    return (
+        sets.select("class", "comp", size.alias("n")).join(held, "class")
+        .where(whole * F.col("shared") >= share * F.col("n"))
+    )
 
 
 def near(pairs: DataFrame, classes: DataFrame, apart: int = APART) -> DataFrame:
@@ -159,13 +230,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.max("signature").alias("signature"),
         )
     )
-    repeated = indexed(classes).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    entries = cut(indexed(classes).join(repeated, "key"))
+    first = cut(not_alone(classes.withColumn("comp", F.col("class"))))
+    active = cut(classes.join(first, "class"))
+    sets = cut(shingle_sets(docs, active.select("doc_id"), SHINGLE))
+    repeated = indexed(active).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    entries = cut(indexed(active).join(repeated, "key").join(first, "class"))
     labels = cut(entries.select("class").distinct().withColumn("comp", F.col("class")))
     tested = None
     for turn in range(STAR_ROUNDS):
         live = entries.join(labels, "class")
-        centre = F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "class", "comp", "n")
+        # First the class with the fewest symbols of its own, as the text that others are copies of has.
+        own = -F.col("held") if turn == 0 else F.lit(0)
+        draw = F.xxhash64("class", F.lit(turn), "key" if turn else F.lit(0))
+        centre = F.struct(own.alias("own"), draw.alias("draw"), "class", "comp", "n")
         centres = (
             live.groupBy("key")
             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(centre).alias("at"))
@@ -176,24 +253,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = met.select(*_pair("class", "other")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = merge(labels, _confirmed(docs, pairs, classes))
-    live = cut(entries.join(labels, "class"))
+        labels = merge(labels, cut(verify(near(pairs, active), sets, *LIKENESS)))
+
+    # What is left must be able to link to another component, by symbols and by shingles.
+    left = not_alone(active.join(labels, "class")).select("class")
+    left = cut(labels.join(left, "class"))
+    for _ in range(PEELS):
+        left = cut(in_others(left.select("class", "comp").join(sets, "class")))
+    live = entries.select("key", "without", "class").join(left, "class")
     largest = (
         live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
         .groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
         .where("comps > 1").select("key", F.col("top.comp").alias("top"))
     )
     apart = cut(live.join(largest, "key"))
-    others = apart.select("key", F.col("class").alias("other"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"), "top")
-    # A pair without a class of the largest component meets from both sides: once is enough.
-    once = (F.col("other_comp") == F.col("top")) | (F.col("class") < F.col("other"))
+    others = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in ("class", "comp", "n", "shared", "without", "top")])
+    once = [
+        # A pair without a class of the largest component would meet from both sides.
+        (F.col("other_comp") == F.col("other_top")) | (F.col("class") < F.col("other_class")),
+        (F.col("without") == 0) | (F.col("without") != F.col("other_without")),
+    ]
+    share, whole = LIKENESS
+    common = F.least("shared", "other_shared")
+    possible = whole * common >= share * (F.col("n") + F.col("other_n") - common)
     met = (
         apart.where("comp != top").drop("top").join(others, "key")
-        .where((F.col("comp") != F.col("other_comp")) & once & _alike("n", "other_n"))
+        .where((F.col("comp") != F.col("other_comp")) & once[0] & once[1] & _alike("n", "other_n") & possible)
     )
-    pairs = met.groupBy(*_pair("class", "other")).agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= AGREEING)
-    pairs = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    labels = merge(labels, _confirmed(docs, pairs, classes))
+    pairs = met.groupBy(*_pair("class", "other_class")).agg(F.count(F.lit(1)).alias("chunks"))
+    pairs = cut(pairs.where(F.col("chunks") >= AGREEING).select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    labels = merge(labels, cut(verify(near(pairs, active), sets, *LIKENESS)))
 
     heads = classes.select("class", "doc_id").join(labels, "class", "left")
     heads = heads.select("class", "doc_id", F.coalesce("comp", "class").alias("comp"))
@@ -204,14 +293,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that are near and have the similarity on their whole sets."""
-    pairs = cut(near(pairs, classes))
-    either = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = shingle_sets(docs, classes.join(either, "class", "left_semi").select("doc_id"), SHINGLE)
-    return cut(verify(pairs, sets, *LIKENESS))
-
-
 def op11_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -3,8 +3,10 @@
 A sample of the documents proposes phrases at a lowered threshold, level by level. One pass over all
 documents then counts, exactly, the proposals and their negative border: every phrase whose two parts,
 without its last and without its first word, are proposals. A phrase of the border that turns out
-frequent is a failure of the sample: it joins the proposals, and a further pass counts what can be
-reached through it, until no pass finds a failure. So no frequent phrase is missed, whatever the sample.
+frequent is a failure of the sample: it joins the proposals, and an expansion pass counts what can be
+reached through it. That pass takes all it counts for proposals at once, so it closes the expansion: a phrase
+that is counted in neither pass has a part that is in neither, or that is not frequent. So no frequent phrase
+is missed, whatever the sample.
 
 Passes count 64-bit names of phrases; equal names only raise a count, so what they call frequent holds
 all that is. A last pass counts those phrases by their words, and its counts alone are results. Which
@@ -19,6 +21,7 @@ very long text is hashed in slices and counted in blocks that overlap by the lon
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +51,9 @@ LOWERED = 0.5
 BLOCK_WORDS = 1 << 20
 """Words counted together in a task before anything is sent."""
 
+HELD_PHRASES = 300_000
+"""Phrases that a task adds up before it sends them."""
+
 SLICE = 1 << 20
 FILTER_BITS = (16, 27)
 """Least and most bits, as powers of two, of the filter of proposals."""
@@ -55,18 +61,20 @@ FILTER_BITS = (16, 27)
 FEW_LANGS = 10_000
 """Langs whose sizes are broadcast; more are joined."""
 
-_SPLIT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-_END = b"\n"
+_END = b"\xff"
+"""Stands for the end of a piece. No UTF-8 text has this byte, so it is no word."""
+
+_SPLIT = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 
 def words_of(text: str | None) -> Iterator[list[bytes]]:
-    """Lower-cased words of a text in slices; each piece ends with a line feed, which no word can be."""
+    """Lower-cased words of a text in slices; each piece ends with ``_END``."""
     raw = (text or "").encode("utf-8").lower().translate(_SPLIT)
     start = 0
     while start < len(raw):
         gap = raw.find(b" ", start + SLICE)
         end = len(raw) if gap < 0 else gap
-        yield list(filter(None, raw[start:end].replace(_END, b" \n ").split(b" ")))
+        yield raw[start:end].replace(_END, b" \xff ").split()
         start = end
     yield [_END]
 
@@ -155,7 +163,10 @@ def _seeds(names: list[str]) -> np.ndarray:
 
 
 def _counting(before, now, levels: range, longest: int):
-    """Counts of the runs that are countable with the filter ``now`` and were not with ``before``."""
+    """Counts of the runs that are countable with the filter ``now``, and whether it lets them through.
+
+    With ``before``: of those only that were not countable with it, and what they reach in their turn.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         old, new = before and before.value, now and now.value
@@ -167,6 +178,7 @@ def _counting(before, now, levels: range, longest: int):
                 if before is not None:
                     done, was = reached(was, k, names, inside, old)
                     fresh = fresh & ~done
+                    through = through | fresh
                 if k in levels:
                     at = np.flatnonzero(fresh[:starts])
                     keys, first, n = np.unique(names[at], return_index=True, return_counts=True)
@@ -210,25 +222,36 @@ def _naming(kept, longest: int):
     """Counts by words of the runs whose name the filter lets through; no words: all of a lang's words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, windows = kept.value, Windows(longest, True)
+        bits, windows, held = kept.value, Windows(longest, True), Counter()
+
+        def sent() -> pd.DataFrame:
+            phrases = [p.decode("utf-8") for _, p in held]
+            return pd.DataFrame(
+                {
+                    "lang": np.array([windows.names[x] for x, _ in held], dtype=object),
+                    "phrase": np.array(phrases, dtype=object),
+                    "words": np.array([p.count(" ") + 1 if p else 0 for p in phrases], dtype=np.int32),
+                    "n": np.array(list(held.values()), dtype=np.int64),
+                },
+                dtype=object,
+            ).astype({"words": np.int32, "n": np.int64})
+
         for hashes, langs, words, starts in windows.blocks(batches):
             through = None
             for k, names, inside in runs(hashes, langs, _seeds(windows.names), longest):
                 _, through = reached(through, k, names, inside, bits)
                 if k == 1:
                     every = np.bincount(langs[:starts][inside[:starts]], minlength=len(windows.names))
-                    yield pd.DataFrame({"lang": windows.names, "phrase": "", "words": 0, "n": every})
+                    held.update({(x, b""): int(n) for x, n in enumerate(every)})
                 at = np.flatnonzero(through[:starts])
                 _, first, n = np.unique(names[at], return_index=True, return_counts=True)
                 spots = at[first]
-                yield pd.DataFrame(
-                    {
-                        "lang": [windows.names[x] for x in langs[spots]],
-                        "phrase": [b" ".join(words[i : i + k]).decode("utf-8") for i in spots.tolist()],
-                        "words": k,
-                        "n": n,
-                    }
-                )
+                for x, i, times in zip(langs[spots].tolist(), spots.tolist(), n.tolist()):
+                    held[x, b" ".join(words[i : i + k])] += times
+            if len(held) > HELD_PHRASES:
+                yield sent()
+                held.clear()
+        yield sent()
 
     return run
 
@@ -257,18 +280,14 @@ def frequent_phrases(
         held = send(bits)
     power = (64 * len(bits)).bit_length() - 1
 
-    found, before, passes = None, None, 0
-    while True:
-        passes += 1
-        counted = _counts(texts, before, held, range(1, longest + 1), least, longest)
-        found = counted if found is None else found.unionByName(counted)
-        failed = counted.where(~F.col("known") & (F.col("words") < longest))
-        if before is not None:
-            before.destroy()
-        if failed.isEmpty():
-            break
-        bits = bits | _filter(failed, power)
-        before, held = held, send(bits)
+    found = _counts(texts, None, held, range(1, longest + 1), least, longest)
+    failed = found.where(~F.col("known") & (F.col("words") < longest))
+    passes = 1
+    if not failed.isEmpty():
+        passes = 2
+        more = send(bits | _filter(failed, power))
+        found = found.unionByName(_counts(texts, held, more, range(2, longest + 1), least, longest))
+        more.destroy()
     held.destroy()
 
     found = found.select("key")

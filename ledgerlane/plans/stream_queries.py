@@ -64,17 +64,23 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
         F.when(c % 3 == 0, F.concat("text", F.lit(" Please send a copy.")))
         .otherwise(F.col("text"))
         .alias("text"),
+        F.lit(dt.datetime(2026, 7, 14)).alias("sent_at"),  # the table has no times
     )
 
 
-def stream_recovery(spark, sf_dir) -> DataFrame:
-    """All conversations through the stateful stream, whatever files the given table lies in.
+SHUFFLED_TRIGGERS = 6
+"""Triggers over which the turns of a conversation are spread."""
+
 
-    A trigger handles the turns it has in order, so each conversation is first put whole into one file.
+def stream_recovery(spark, sf_dir) -> DataFrame:
+    """All conversations through the stateful stream, their turns dealt over files and triggers by hash:
+    later turns mostly arrive first, and wait in state for theirs.
     """
     folder = _folder(spark, "conversations")
     table = derived.table(spark, sf_dir, "conversations")
-    stream = _as_stream(table.repartition("conv_id"), f"{folder}/input")
+    files = max(2 * SHUFFLED_TRIGGERS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = table.repartition(files, F.xxhash64("conv_id", "turn"))
+    stream = _as_stream(dealt, f"{folder}/input", -(-files // SHUFFLED_TRIGGERS))
     query = (
         conversations.conversation_stream(conversation_messages(stream))
         .writeStream.format("parquet")

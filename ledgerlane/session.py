@@ -11,11 +11,15 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Times are recorded and compared in UTC.
     "spark.sql.session.timeZone": "UTC",
+    # States of streams lie on disk, entry by entry; maps and timers of a key need this store.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
-        if spark.conf.get(name) != value:
+        if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
     return spark

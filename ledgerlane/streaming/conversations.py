@@ -1,9 +1,14 @@
-"""Supplier conversations as a keyed stateful stream.
+"""Supplier conversations as a keyed stateful stream, right whatever the order of arrival.
 
-Replies are classified as columns before the state step, so the state function only moves a small
-record of fixed size. What was said is written out message by message (``transcript``) and not
-carried in state, so a long conversation costs no more per message than a short one. Messages of
-one trigger are taken in order; the source's trigger limit bounds how many there are.
+Replies are classified as columns before the state step. A conversation's state is a small record of
+fixed size and a map of the messages that came before their turn: a message is handled when all earlier
+ones were, and a repeated one not at all. The map lies in the state store entry by entry, so neither a long
+conversation nor a large trigger is gathered in memory. What was said is written out message by message
+(``transcript``) and not carried in state.
+
+Event time ends what would wait for ever: ``WAIT_DAYS`` after the last message, by the watermark, a missing
+turn is given up and what waits behind it is handled in order; a conversation with nothing waiting is
+forgotten. Messages behind the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.fixed_values import REPLY_KINDS, TEXT_DOCUMENTS_BODY, TEXT_FIRST_CONTACT_BODY
@@ -26,8 +31,17 @@ from ledgerlane.operators.recovery import (
     next_stage,
 )
 
-MESSAGE_FIELDS = ("exception_id", "vendor_gstin", "cycle", "contacted", "ord", "text")
-STATE_TYPES = "stage string, cycle int, sent int, contacted boolean, last_kind string"
+MESSAGE_FIELDS = ("exception_id", "vendor_gstin", "cycle", "contacted", "ord", "text", "sent_at")
+WAIT_DAYS = 30
+"""Days after a conversation's last message when it stops waiting, or is forgotten."""
+
+STATE_TYPES = (
+    "stage string, cycle int, sent int, contacted boolean, following bigint, latest bigint, timer bigint"
+)
+EARLY_FIELDS = ("vendor_gstin", "cycle", "contacted", "text", "kind", "flagged")
+EARLY_TYPES = (
+    "vendor_gstin string, cycle int, contacted boolean, text string, kind string, flagged boolean"
+)
 OUTPUT_TYPES = (
     "exception_id string, vendor_gstin string, ord bigint, reply_kind string, flagged boolean, "
     "text string, action string, requires_human boolean, reason string, draft string, "
@@ -63,36 +77,99 @@ def transitions(spark: SparkSession, config: ReconConfig = DEFAULTS) -> dict[tup
     return {tuple(r)[:5]: (r.step.kind, r.step.requires_human, r.step.reason, r.after) for r in rows.collect()}
 
 
-def advance(table: dict[tuple, tuple], cap: int):
-    """The state function over a table of steps."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, cycle, sent, contacted, kind = state.get if state.exists else ("DRAFTED", 0, 0, False, None)
-        columns = [part.split()[0] for part in OUTPUT_TYPES.split(", ")]
-        rows = []
-        for m in pd.concat(list(batches)).sort_values("ord").to_dict("records"):
-            if m["cycle"] > cycle:  # a new cycle starts its own count
-                cycle, sent = int(m["cycle"]), 0
-            contacted, kind = bool(contacted or m["contacted"]), m["kind"]
-            action, human, reason, after = table[stage == "RESOLVED", sent >= cap, contacted, cycle >= 2, kind]
-            goes_out = action == "send" and not human
-            sent += goes_out
-            stage = after or stage
-            heads = {(True, False): (DOCUMENTS_SUBJECT, TEXT_DOCUMENTS_BODY), (True, True): (FIRST_SUBJECT, TEXT_FIRST_CONTACT_BODY)}
-            subject, body = heads.get((action == "send", human), (None, None))
-            rows.append(
-                {
-                    **m, "reply_kind": kind, "flagged": bool(m["flagged"]), "action": action,
-                    "text": "" if kind == "NO_REPLY" else m["text"][:TRANSCRIPT_CHARS],
-                    "requires_human": human, "reason": reason, "stage": stage, "cycle": cycle,
-                    "draft": f"{subject}{key[0]}\n\n{body}" if subject else "",
-                    "sent": sent, "contacted": contacted,
-                }
-            )
-        state.update((stage, cycle, sent, contacted, kind))
-        yield pd.DataFrame(rows)[columns]
-
-    return run
+class Conversations(StatefulProcessor):
+    """Steps of conversations by a table of the rules. Turns are numbered from 0."""
+
+    def __init__(self, table: dict[tuple, tuple], cap: int, wait_days: int = WAIT_DAYS):
+        self.table, self.cap, self.wait = table, cap, wait_days * 86_400_000
+        self.columns = [part.split()[0] for part in OUTPUT_TYPES.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", STATE_TYPES)
+        self.early = handle.getMapState("early", "ord bigint", EARLY_TYPES)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        for batch in rows:
+            said = []
+            for m in batch.sort_values("ord").to_dict("records"):
+                self.latest = max(self.latest, int(m["at"]))
+                if m["ord"] == self.following:
+                    said.append(self._step(key[0], m))
+                    said += self._in_turn(key[0])
+                elif m["ord"] > self.following and not self.early.containsKey((int(m["ord"]),)):
+                    self.early.updateValue((int(m["ord"]),), _plain(m))
+            yield pd.DataFrame(said, columns=self.columns)
+        self._store(self.latest + self.wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        waiting = sorted(k[0] for k in self.early.keys())
+        if not waiting:
+            self.record.clear()
+            return
+        said = []
+        for place in waiting:  # gaps are given up
+            if place >= self.following:
+                self.following = place
+                said += self._in_turn(key[0])
+        yield pd.DataFrame(said, columns=self.columns)
+        self.timer = None
+        self._store(timerValues.getCurrentWatermarkInMs() + self.wait)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> None:
+        start = ("DRAFTED", 0, 0, False, 0, 0, None)
+        found = self.record.get() if self.record.exists() else start
+        self.stage, self.cycle, self.sent, self.contacted, self.following, self.latest, self.timer = found
+
+    def _store(self, timer: int) -> None:
+        if self.timer is not None and self.timer != timer:
+            self.handle.deleteTimer(self.timer)
+        if self.timer != timer:
+            self.handle.registerTimer(timer)
+        self.record.update(
+            (self.stage, self.cycle, self.sent, self.contacted, self.following, self.latest, timer)
+        )
+
+    def _in_turn(self, exception_id: str) -> list[dict]:
+        """Steps of the messages that waited for the ones just handled."""
+        said = []
+        while self.early.containsKey((self.following,)):
+            place = (self.following,)
+            m = dict(zip(EARLY_FIELDS, self.early.getValue(place)))
+            self.early.removeKey(place)
+            said.append(self._step(exception_id, {**m, "exception_id": exception_id, "ord": place[0]}))
+        return said
+
+    def _step(self, exception_id: str, m: dict) -> dict:
+        if m["cycle"] > self.cycle:  # a new cycle starts its own count
+            self.cycle, self.sent = int(m["cycle"]), 0
+        self.contacted = bool(self.contacted or m["contacted"])
+        kind, resolved, late = m["kind"], self.stage == "RESOLVED", self.cycle >= 2
+        action, human, reason, after = self.table[resolved, self.sent >= self.cap, self.contacted, late, kind]
+        self.sent += action == "send" and not human
+        self.stage = after or self.stage
+        self.following = int(m["ord"]) + 1
+        heads = {(True, False): (DOCUMENTS_SUBJECT, TEXT_DOCUMENTS_BODY), (True, True): (FIRST_SUBJECT, TEXT_FIRST_CONTACT_BODY)}
+        subject, body = heads.get((action == "send", human), (None, None))
+        return {
+            **{name: m[name] for name in ("exception_id", "vendor_gstin", "ord")},
+            "reply_kind": kind, "flagged": bool(m["flagged"]), "action": action,
+            "text": "" if kind == "NO_REPLY" else m["text"][:TRANSCRIPT_CHARS],
+            "requires_human": human, "reason": reason, "stage": self.stage, "cycle": self.cycle,
+            "draft": f"{subject}{exception_id}\n\n{body}" if subject else "",
+            "sent": self.sent, "contacted": self.contacted,
+        }
+
+
+def _plain(m: dict) -> tuple:
+    """A message's fields for the state store."""
+    types = (str, int, bool, str, str, bool)
+    return tuple(None if m[f] is None else t(m[f]) for f, t in zip(EARLY_FIELDS, types))
 
 
 def transcript(steps: DataFrame) -> DataFrame:
@@ -120,13 +197,20 @@ def transcript(steps: DataFrame) -> DataFrame:
     )
 
 
-def conversation_stream(messages: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
-    """Decisions for a stream of messages with ``MESSAGE_FIELDS``."""
-    step = advance(transitions(messages.sparkSession, config), config.max_messages_per_cycle)
+def conversation_stream(
+    messages: DataFrame, config: ReconConfig = DEFAULTS, late: str = "1 day", wait_days: int = WAIT_DAYS
+) -> DataFrame:
+    """Decisions for a stream of messages with ``MESSAGE_FIELDS``, in any order.
+
+    The session's state store must be RocksDB (``prepare_session`` sets it).
+    """
+    step = Conversations(transitions(messages.sparkSession, config), config.max_messages_per_cycle, wait_days)
     reply = classify_reply_rules(F.col("text"))
-    read = messages.select(*MESSAGE_FIELDS, reply.alias("r")).select(
-        *MESSAGE_FIELDS, F.col("r.kind").alias("kind"), F.col("r.flagged").alias("flagged")
+    read = (
+        messages.withWatermark("sent_at", late)
+        .select(*MESSAGE_FIELDS, F.unix_millis("sent_at").alias("at"), reply.alias("r"))
+        .select(*MESSAGE_FIELDS, "at", F.col("r.kind").alias("kind"), F.col("r.flagged").alias("flagged"))
     )
-    return read.groupBy("exception_id").applyInPandasWithState(
-        step, OUTPUT_TYPES, STATE_TYPES, "append", GroupStateTimeout.NoTimeout
+    return read.groupBy("exception_id").transformWithStateInPandas(
+        step, OUTPUT_TYPES, outputMode="Append", timeMode="EventTime"
     )

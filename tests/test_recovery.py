@@ -87,29 +87,29 @@ def messages(spark):
     ]
     return spark.createDataFrame(
         rows, "exception_id string, vendor_gstin string, cycle int, contacted boolean, ord bigint, text string"
+    ).withColumn("sent_at", F.lit("2026-07-14").cast("timestamp"))
+
+
+def run_stream(spark, folder, schema, **options):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = (
+        conversations.conversation_stream(stream, **options)
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 def test_conversation_state_survives_a_restart(spark, messages, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-
-    def run():
-        stream = spark.readStream.schema(messages.schema).parquet(source)
-        query = (
-            conversations.conversation_stream(stream)
-            .writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", str(tmp_path / "checkpoint"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-
+    source = str(tmp_path / "in")
     messages.where("ord < 2").write.mode("append").parquet(source)
-    run()
+    run_stream(spark, tmp_path, messages.schema)
     messages.where("ord >= 2").write.mode("append").parquet(source)
-    run()
-    steps = spark.read.parquet(out)
+    steps = run_stream(spark, tmp_path, messages.schema)
     got = {(r.exception_id, r.ord): (r.action, r.stage, r.sent) for r in steps.collect()}
     assert got == {
         ("E1", 0): ("send", "AWAITING_APPROVAL", 0),
@@ -127,6 +127,38 @@ def test_conversation_state_survives_a_restart(spark, messages, tmp_path):
     ]
 
 
+def test_turns_in_any_order_and_repeated_give_the_same_steps(spark, messages, tmp_path):
+    ordered, mixed = tmp_path / "ordered", tmp_path / "mixed"
+    messages.coalesce(1).write.parquet(f"{ordered}/in")
+    for turn in (3, 1, 4, 0, 1, 2, 0):  # one file each, the last two turns of a conversation before the first
+        messages.where(f"ord = {turn}").coalesce(1).write.mode("append").parquet(f"{mixed}/in")
+    want, got = (
+        sorted(map(tuple, run_stream(spark, folder, messages.schema).collect())) for folder in (ordered, mixed)
+    )
+    assert got == want and len(got) == 6
+
+
+def test_a_missing_turn_is_given_up_and_a_conversation_forgotten(spark, messages, tmp_path):
+    def write(turns, day, case="E1"):
+        rows = messages.where(F.col("ord").isin(turns) & (F.col("exception_id") == "E1"))
+        rows = rows.withColumn("exception_id", F.lit(case)).withColumn("sent_at", F.lit(day).cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def steps():
+        return sorted((r.exception_id, r.ord) for r in run_stream(spark, tmp_path, messages.schema).collect())
+
+    write([0, 2, 4], "2026-07-14")
+    write([0], "2026-08-01", "E8")
+    assert steps() == [("E1", 0), ("E8", 0)]  # turns 2 and 4 wait for 1 and 3
+    write([0], "2026-09-20", "E9")
+    write([0], "2026-09-21", "E9")
+    assert steps() == [("E1", 0), ("E1", 2), ("E1", 4), ("E8", 0), ("E9", 0)]
+    write([1], "2026-09-22", "E8")
+    write([1], "2026-09-23", "E8")
+    # E8 was forgotten: its second turn is as early as any, and waits.
+    assert steps() == [("E1", 0), ("E1", 2), ("E1", 4), ("E8", 0), ("E9", 0)]
+
+
 def test_submission_stream_applies_each_key_once(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "state")
     rows = [("T", "07-2026", f"E{i % 6}", "ACCEPT", "2026.07", i) for i in range(14)]

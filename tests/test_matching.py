@@ -61,6 +61,46 @@ def test_passes_equal_the_walk(spark, route, taxes, days, seed):
     assert got == set(models.tolerant_walk(books, portal))
 
 
+def test_contested_ties_take_few_rounds(spark, monkeypatch):
+    """100,000 lines on three cells: two days of books tie for one day of portal lines."""
+    import datetime as dt
+
+    from ledgerlane.operators import rounds
+
+    day = dt.date(2026, 7, 14)
+    made = spark.range(100_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("h"), (F.col("id") % 4).alias("kind")
+    )
+
+    def lines(kinds, prefix):
+        at = F.when(F.col("kind") == 0, day - dt.timedelta(2)).when(F.col("kind") == 1, day + dt.timedelta(2)).otherwise(day)
+        return made.where(F.col("kind").isin(kinds)).select(
+            F.lit("G").alias("gstin_key"), F.lit("7").alias("num_key"), F.lit(50).cast("decimal(18,2)").alias("total_tax"),
+            at.alias("invoice_date"), F.concat(F.lit(prefix), "h").alias("line_id"),
+        )
+
+    books, portal = cut(lines([0, 1], "B")), cut(lines([2, 3], "P"))
+    used, calls = rounds._use, []
+    monkeypatch.setattr(rounds, "_use", lambda *a: calls.append(1) or used(*a))
+    got = suffix.assign_best_first(books, portal, ReconConfig(hot_key_rows=20_000))
+    found = sorted((r.book_id, r.portal_id) for r in got.collect())
+    # One distance for all: the walk takes both sides in id order.
+    ids = [sorted(r.line_id for r in df.collect()) for df in (books, portal)]
+    assert found == list(zip(*ids)) and len(calls) < 10
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_of_ties_equal_the_walk(spark, seed):
+    """Cells that tie in chains and lattices, with ids that interleave."""
+    rng = random.Random(seed)
+    taxes = [Decimal(100) + Decimal(i) / 4 for i in range(5)]
+    books = models.random_lines(rng, "B", 90, ["7", "7A", "7B"], taxes[::2], [0, 4, 8], ["X"])
+    portal = models.random_lines(rng, "P", 90, ["7", "7A", "7B"], taxes[1::2], [2, 6], ["X"])
+    b, p = (cut(prepare_side(models.to_df(spark, x))) for x in (books, portal))
+    taken = suffix.assign_best_first(b, p, ReconConfig(pair_group_lines=0, hot_key_rows=40))
+    assert {(r.book_id, r.portal_id) for r in taken.collect()} == set(models.tolerant_walk(books, portal))
+
+
 def test_rounds_report_the_same_details(spark):
     rng = random.Random(5)
     taxes = [Decimal("50.00"), Decimal("50.40"), Decimal("51.10")]

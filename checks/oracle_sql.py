@@ -11,6 +11,12 @@ from checks.oracle_base import with_ctes
 
 MATCH = {
     "exact_match": "SELECT bid AS book_line_id, pid AS portal_line_id FROM exact_pairs",
+    "contested_assignment": """
+SELECT b.line_id AS book_line_id, p.line_id AS portal_line_id, 2::BIGINT AS days_apart FROM (
+  SELECT o_orderpriority AS g, 'L' || printf('%012d', o_orderkey) AS line_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k
+  FROM orders WHERE o_custkey % 2 <> 0) b JOIN (
+  SELECT o_orderpriority AS g, 'L' || printf('%012d', o_orderkey) AS line_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k
+  FROM orders WHERE o_custkey % 2 = 0) p ON b.g = p.g AND b.k = p.k""",
     "fuzzy_candidates": (
         "SELECT bid AS book_line_id, pid AS portal_line_id, affinity, delta::DOUBLE AS tax_delta, "
         "gap::BIGINT AS days_apart FROM edges"

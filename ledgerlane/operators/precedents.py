@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.config import DEFAULTS, ReconConfig
-from ledgerlane.operators.scale import fan_out
+from ledgerlane.operators.scale import broadcast_if_small, cut, fan_out
 
 DIMENSIONS = 256
-QUERY_ENTRIES = 3
-"""A query is a class and an id, normally two tokens; that many entries are looked up directly."""
+USUAL_SHARE = 8
+"""An index is usual in a class when more than one in so many of its precedents has it."""
+
+LIST_ROWS = 64
+"""Precedents of a class ranked for queries that share no rare index with them, at first."""
 
 
 def with_embedding(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -58,21 +61,14 @@ def dense_weights(vector: Column) -> Column:
     )
 
 
-def lookup_dot(query: Column, weights: Column, entries: int) -> Column:
-    """Integer dot product of a sparse query with a dense vector.
-
-    The first ``entries`` query entries are plain array lookups, which compile; a query with
-    more of them is folded.
-    """
+def sparse_dot(left: Column, right: Column) -> Column:
+    """Integer dot product of two short sparse vectors."""
 
-    def term(e: Column) -> Column:
-        return e["weight"] * F.get(weights, e["idx"])
+    def weight(vector: Column, index: Column) -> Column:
+        same = F.filter(vector, lambda e: e["idx"] == index)
+        return F.aggregate(same, F.lit(0), lambda n, e: n + e["weight"])
 
-    short = F.lit(0)
-    for i in range(entries):
-        short = short + F.coalesce(term(F.get(query, F.lit(i))), F.lit(0))
-    long = F.aggregate(query, F.lit(0), lambda n, e: n + term(e))
-    return F.when(F.size(query) <= entries, short).otherwise(long)
+    return F.aggregate(left, F.lit(0), lambda n, e: n + e["weight"] * weight(right, e["idx"]))
 
 
 def sparse_cosine(dot: Column, left_norm: Column, right_norm: Column) -> Column:
@@ -112,48 +108,121 @@ def add_precedents(incoming: DataFrame, existing: DataFrame | None = None) -> Da
     )
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    asked = with_embedding(
+        queries.select("exception_class", "gstin").distinct(),
+        precedent_text(F.col("exception_class"), F.col("gstin")),
+        "q_vector",
+    )
+    name = F.concat("exception_class", F.lit(" "), F.to_json("q_vector"))
+    return asked.withColumn("q_id", F.sha2(name, 256))
+
+
+def usual_indexes(precedents: DataFrame) -> DataFrame:
+    """exception_class, usual: the indexes that more than 1/8 of a class's precedents have.
+
+    At most 256 a class. Counts are combined before the shuffle.
+    """
+    sizes = precedents.groupBy("exception_class").agg(F.count(F.lit(1)).alias("stored"))
+    held = (
+        precedents.select("exception_class", F.explode("vector.idx").alias("idx"))
+        .groupBy("exception_class", "idx").agg(F.count(F.lit(1)).alias("held"))
+    )
+    often = held.join(sizes, "exception_class").where(USUAL_SHARE * F.col("held") > F.col("stored"))
+    found = often.groupBy("exception_class").agg(F.collect_set("idx").alias("usual"))
+    return sizes.join(found, "exception_class", "left").select(
+        "exception_class", "stored", F.coalesce("usual", F.array().cast("array<int>")).alias("usual")
+    )
+
+
+def _split(vector: str) -> dict[str, Column]:
+    """A vector's entries at usual indexes of the class, and the others."""
+    among = lambda e: F.array_contains("usual", e["idx"])
+    return {"common": F.filter(vector, among), "rare": F.filter(vector, lambda e: ~among(e))}
+
+
+def posted_pairs(vectors: DataFrame, stored: DataFrame) -> DataFrame:
+    """q_id, precedent_id and score of all pairs that share a rare index: a join of postings.
+
+    ``vectors``: exception_class, q_id, q_norm, common, rare. ``stored`` adds precedent_id and norm_squared.
+    """
+    asked = vectors.select(
+        "exception_class", "q_id", "q_norm", F.col("common").alias("q_common"),
+        F.inline("rare").alias("idx", "q_weight"),
+    )
+    postings = stored.select(
+        "exception_class", "precedent_id", "norm_squared", "common", F.inline("rare").alias("idx", "weight")
+    )
+    met = postings.join(asked, ["exception_class", "idx"]).groupBy("q_id", "precedent_id").agg(
+        F.sum(F.col("weight") * F.col("q_weight")).alias("dot"),
+        *[F.first(c).alias(c) for c in ("common", "q_common", "norm_squared", "q_norm")],
+    )
+    dot = F.col("dot") + sparse_dot(F.col("q_common"), F.col("common"))
+    return met.select("q_id", "precedent_id", sparse_cosine(dot, F.col("q_norm"), F.col("norm_squared")).alias("score"))
+
+
+def _ranked(pairs: DataFrame, keys: list[str], top: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "precedent_id")
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def common_pairs(vectors: DataFrame, stored: DataFrame, top: int) -> DataFrame:
+    """q_id, precedent_id and score of the ``top`` precedents of each query that share no rare index with it.
+
+    Without one the score depends on the usual entries alone, so queries that agree on these share one
+    short list of the class, and pass over what their postings found. A list that turns out too
+    short for some queries is taken sixteen times as long for these.
+    """
+    pattern = ["exception_class", "q_common", "q_norm"]
+    vectors = vectors.withColumnRenamed("common", "q_common").select(
+        *pattern, "q_id", F.col("rare.idx").alias("q_rare")
+    )
+    found, depth = None, LIST_ROWS
+    while True:
+        asked = vectors.select(*pattern).distinct()
+        lists = stored.select(
+            "exception_class", "stored", "precedent_id", "norm_squared", "common", F.col("rare.idx").alias("rare")
+        ).join(asked, "exception_class")
+        score = sparse_cosine(sparse_dot(F.col("q_common"), F.col("common")), F.col("q_norm"), F.col("norm_squared"))
+        lists = _ranked(lists.withColumn("score", score), pattern, depth).drop("common", "norm_squared", "place")
+        met = vectors.join(lists, pattern)
+        apart = F.count_if(~F.arrays_overlap("q_rare", "rare"))
+        short = cut(
+            met.groupBy("q_id").agg(apart.alias("apart"), F.max("stored").alias("stored"))
+            .where((F.col("apart") < top) & (F.col("stored") > depth)).select("q_id")
+        )
+        enough = met.where(~F.arrays_overlap("q_rare", "rare")).join(short, "q_id", "left_anti")
+        enough = _ranked(enough, ["q_id"], top).select("q_id", "precedent_id", "score")
+        found = enough if found is None else found.unionByName(enough)
+        if short.isEmpty():
+            return found
+        vectors, depth = vectors.join(short, "q_id", "left_semi"), 16 * depth
+
+
 def search_precedents(
     queries: DataFrame, precedents: DataFrame, config: ReconConfig = DEFAULTS
 ) -> DataFrame:
     """Top precedents for each (exception_class, gstin) asked about.
 
-    Queries are reduced to distinct vectors first. A class and one id token can only give
-    2 x 256 different vectors per class, so the distinct ones are few, are broadcast after being
-    counted, and meet the precedents where those lie. The top-k window keeps only its first rows
-    per input partition before any shuffle, and texts are fetched for the hits alone.
+    Queries are reduced to distinct vectors first. Only precedents in a posting list (class, index) of a
+    rare index of the query are scored for it; the rest of a class differs by usual entries alone and
+    is ranked once for all queries that agree on them. Texts are fetched for the hits alone.
     """
-    asked = with_embedding(
-        queries.select("exception_class", "gstin").distinct(),
-        precedent_text(F.col("exception_class"), F.col("gstin")),
-        "q_vector",
+    top = config.precedents_per_query
+    asked = cut(_asked(queries))
+    classes = cut(usual_indexes(precedents))
+    classes = broadcast_if_small(classes, config.broadcast_rows)
+    vectors = asked.select("exception_class", "q_id", "q_vector").distinct().join(classes, "exception_class")
+    vectors = vectors.withColumns(_split("q_vector")).withColumn("q_norm", norm_squared(F.col("q_vector")))
+    vectors = broadcast_if_small(
+        cut(vectors.select("exception_class", "q_id", "q_norm", "common", "rare")), config.broadcast_rows
     )
-    vectors = asked.select("exception_class", "q_vector").distinct()
-    vectors = vectors.withColumn("q_norm", norm_squared(F.col("q_vector"))).withColumn(
-        "q_id", F.xxhash64("exception_class", "q_vector")
-    )
-    few = vectors.count() <= config.broadcast_rows
-    vectors = F.broadcast(vectors) if few else vectors
-    scoring = precedents.select("exception_class", "precedent_id", "weights", "norm_squared")
-    scored = scoring.join(vectors, "exception_class")
-    scored = scored.select(
-        "exception_class",
-        "q_id",
-        "q_vector",
-        "precedent_id",
-        sparse_cosine(
-            lookup_dot(F.col("q_vector"), F.col("weights"), QUERY_ENTRIES),
-            F.col("q_norm"),
-            F.col("norm_squared"),
-        ).alias("score"),
-    )
-    order = Window.partitionBy("q_id", "q_vector").orderBy(F.desc("score"), "precedent_id")
-    best = (
-        scored.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= config.precedents_per_query)
-        .drop("q_id")
-    )
-    # At most k rows per distinct vector, so as small as the vectors were.
-    best = F.broadcast(best) if few else best
+    stored = precedents.select("exception_class", "precedent_id", "norm_squared", "vector").join(classes, "exception_class")
+    stored = stored.withColumns(_split("vector")).drop("vector", "usual")
+    pairs = posted_pairs(vectors, stored).unionByName(common_pairs(vectors, stored, top))
+    best = cut(_ranked(pairs, ["q_id"], top))
+    # At most k rows per distinct vector.
+    best = broadcast_if_small(best, top * config.broadcast_rows)
     told = precedents.select(
         "precedent_id",
         F.col("gstin").alias("p_gstin"),
@@ -162,7 +231,7 @@ def search_precedents(
         "resolution",
     )
     return (
-        asked.join(told.join(best, "precedent_id"), ["exception_class", "q_vector"])
+        asked.join(told.join(best, "precedent_id"), "q_id")
         .select(
             "exception_class",
             "gstin",

@@ -48,19 +48,23 @@ def candidate_edges(
 ) -> DataFrame:
     """All acceptable pairings as a table.
 
-    An equi-join: each side offers its number and its number without one trailing letter token.
-    The tax band is a second equality (neighbouring bands are offered), so a busy number does
-    not meet itself line by line. Reported for inspection; assignment does not need it.
+    An interval join in two dimensions: each side offers its number and its number without one
+    trailing letter token, and a cell of one tax band by one date band. A book line lies in its home cell
+    alone, a portal line is offered to that cell and its neighbours, so an acceptable pair meets exactly
+    once, and lines of a busy number that are far apart in tax or date never meet. Reported for
+    inspection; assignment does not need it.
     """
     width = money.literal(max(config.tax_cap, config.tax_slack))
     band = F.floor(F.col("total_tax") / width).cast("long")
+    date_band = F.floor(F.unix_date("invoice_date") / max(config.date_window_days, 1)).cast("long")
+
+    def around(name: str):
+        return F.explode(F.array(F.col(name) - 1, F.col(name), F.col(name) + 1))
 
     def offer(df: DataFrame, side: int, prefix: str) -> DataFrame:
-        narrow = _narrow(df, side).withColumn("band", band)
+        narrow = _narrow(df, side).withColumn("band", band).withColumn("date_band", date_band)
         if side == 1:
-            narrow = narrow.withColumn(
-                "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-            )
+            narrow = narrow.withColumn("band", around("band")).withColumn("date_band", around("date_band"))
         keys = F.array(
             F.struct(F.lit(False).alias("shortened"), F.col("num_key").alias("join_key")),
             F.struct(F.lit(True).alias("shortened"), F.col("parent_key").alias("join_key")),
@@ -69,6 +73,7 @@ def candidate_edges(
             "gstin_key",
             "join_key",
             "band",
+            "date_band",
             *[
                 F.col(c).alias(f"{prefix}_{c}")
                 for c in ("shortened", "num_key", "total_tax", "invoice_date", "line_id")
@@ -81,7 +86,7 @@ def candidate_edges(
     suffixed = F.col("b_shortened") | F.col("p_shortened")
     return (
         offer(books, 0, "b")
-        .join(offer(portal, 1, "p"), ["gstin_key", "join_key", "band"])
+        .join(offer(portal, 1, "p"), ["gstin_key", "join_key", "band", "date_band"])
         .where(~(F.col("b_shortened") & F.col("p_shortened")))
         .where((gap <= config.date_window_days) & tolerance["within"])
         .select(

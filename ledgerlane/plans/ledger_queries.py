@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.operators import suffix, summaries
+from ledgerlane.operators.scale import cut
 from ledgerlane.plans import reconcile as plan
 from ledgerlane.sources import derived
 
@@ -145,7 +146,30 @@ def conservation(spark, sf_dir) -> DataFrame:
     )
 
 
+def contested_assignment(spark, sf_dir) -> DataFrame:
+    """All orders as lines of one number per priority, far above the lines that one row may score: books
+    of two days tie for portal lines of the day between, so the ids of both alone decide.
+    """
+    key, day = F.col("o_orderkey"), F.lit(derived.AS_OF)
+    lines = derived.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("gstin_key"),
+        F.lit("7").alias("num_key"),
+        F.lit(50).cast("decimal(18,2)").alias("total_tax"),
+        F.when(F.col("o_custkey") % 2 == 0, day)
+        .when(key % 2 == 0, F.date_sub(day, 2)).otherwise(F.date_add(day, 2)).alias("invoice_date"),
+        F.format_string("L%012d", key).alias("line_id"),
+    )
+    lines = cut(lines)
+    is_portal = F.col("invoice_date") == day
+    taken = suffix.assign_best_first(lines.where(~is_portal), lines.where(is_portal))
+    return taken.select(
+        F.col("book_id").alias("book_line_id"), F.col("portal_id").alias("portal_line_id"),
+        F.col("gap").cast("long").alias("days_apart"),
+    )
+
+
 QUERIES = {
+    "contested_assignment": contested_assignment,
     "reconcile_full": reconcile_full,
     "exact_match": exact_match,
     "fuzzy_candidates": fuzzy_candidates,

@@ -144,8 +144,10 @@ def embed(text):
     return vector
 
 
+@pytest.mark.parametrize("rows", [64, 1])
 @pytest.mark.parametrize("config", CONFIGS, ids=["plain", "hot"])
-def test_precedents(spark, config):
+def test_precedents(spark, config, rows, monkeypatch):
+    monkeypatch.setattr(precedents, "LIST_ROWS", rows)
     rng = random.Random(8)
     words = ["invoice", "tax/late", "swap", "₹", "credit", "a", "b"]
     cases = [
@@ -185,6 +187,27 @@ def test_precedents(spark, config):
     assert hint.count("\n") == 2 and hint.startswith("- ") and "; outcome: r" in hint
 
 
+def test_precedents_are_scored_over_postings_only(spark):
+    """2,000 cases of one class, ten of the vendor asked about: a few more than those are scored."""
+    cases = spark.range(2000).select(
+        F.format_string("C%05d", "id").alias("precedent_id"), F.lit("RCM").alias("exception_class"),
+        F.concat(F.lit("G"), (F.col("id") % 200).cast("string")).alias("gstin"),
+        F.concat(F.lit("invoice "), F.col("id").cast("string")).alias("summary"),
+        F.array(F.lit("p")).alias("probe_sequence"), F.lit("r").alias("resolution"), F.lit(True).alias("human_confirmed"),
+    )
+    stored = precedents.add_precedents(cases)
+    asked = precedents._asked(spark.createDataFrame([("RCM", "G7")], "exception_class string, gstin string"))
+    classes = precedents.usual_indexes(stored)
+    assert len(classes.first().usual) == 2  # the class and the word "invoice"
+    vectors = asked.join(classes, "exception_class").withColumns(precedents._split("q_vector"))
+    vectors = vectors.withColumn("q_norm", precedents.norm_squared(F.col("q_vector")))
+    kept = stored.join(classes, "exception_class").withColumns(precedents._split("vector"))
+    pairs = precedents.posted_pairs(vectors, kept)
+    assert 10 <= pairs.count() < 100
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join [exception_class" in plan and "idx" in plan.split("Join [exception_class")[1].split("\n")[0]
+
+
 def test_first_requests(spark):
     rows = [(i, "m", t) for i, t in enumerate(["é", "é", "x", "é", "y"])]
     df = spark.createDataFrame(rows, "ord int, model string, text string")

@@ -131,6 +131,23 @@ def test_candidate_edges_equal_pairwise_scoring(spark):
     assert got == want
 
 
+def test_candidates_far_apart_never_meet(spark):
+    """One busy number and tax over ten years: the join's rows grow with the lines, not their square."""
+    def lines(prefix, shift):
+        return spark.range(2000).select(
+            F.lit("G").alias("gstin_key"), F.lit("7").alias("num_key"), F.lit(50).cast("decimal(18,2)").alias("total_tax"),
+            F.date_add(F.lit("2016-01-01").cast("date"), (F.col("id") * 2 + shift).cast("int")).alias("invoice_date"),
+            F.format_string(prefix + "%05d", "id").alias("line_id"),
+        )
+
+    found = suffix.candidate_edges(lines("B", 0), lines("P", 1))
+    pairs = found.count()
+    assert pairs == sum(1 for i in range(2000) for j in range(max(0, i - 20), min(2000, i + 20)) if abs(2 * i - 2 * j - 1) <= 30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "date_band" in join
+
+
 def test_rank_and_index_with_hot_keys(spark):
     df = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlane.config import DEFAULTS, ReconConfig, for_row_count
 from ledgerlane.fixed_values import TEXT_UNKNOWN_IRN, TEXT_UNKNOWN_VENDOR
 from ledgerlane.functions import identifiers, money
-from ledgerlane.operators.scale import cut, lookup, rank_in_group
+from ledgerlane.operators.scale import cut, lookup
 
 REQUEST = ["exception_id", "call_id"]
 
@@ -22,13 +22,20 @@ REQUEST = ["exception_id", "call_id"]
 def summarise(
     rows: DataFrame, keys: list[str], order: list[str], shown: list[str], config: ReconConfig
 ) -> DataFrame:
-    """Per key: ``match_count`` and the first ``probe_rows`` rows in ``order``."""
-    ranked = rank_in_group(rows, keys, order, "_rank", config.hot_key_rows)
-    shown_first = F.when(F.col("_rank") <= config.probe_rows, F.struct("_rank", *shown))
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("match_count"),
-        F.array_sort(F.collect_list(shown_first)).alias("rows"),
+    """Per key: ``match_count`` and the first ``probe_rows`` rows in ``order``.
+
+    Both are combined before the shuffle: counts as partial sums, and of each key no task sends more
+    than its first rows (Spark limits a window group that is only asked for its first ranks where the rows
+    lie). So a key with a third of all rows is neither moved nor ranked as a whole.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("match_count"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = dict.fromkeys([*keys, *order, *shown])
+    first = (
+        rows.select(*kept).withColumn("_rank", place).where(F.col("_rank") <= config.probe_rows)
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", *shown))).alias("rows"))
     )
+    return counts.join(first, keys)
 
 
 def _fetch(

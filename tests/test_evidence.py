@@ -187,6 +187,23 @@ def test_precedents(spark, config, rows, monkeypatch):
     assert hint.count("\n") == 2 and hint.startswith("- ") and "; outcome: r" in hint
 
 
+def test_first_rows_are_limited_where_they_lie(spark):
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 100).cast("string")).alias("k"),
+        F.format_string("L%06d", (F.col("id") * 7919) % 20_000).alias("line_id"),
+    )
+    summary = evidence.summarise(rows, ["k"], ["line_id"], ["line_id"], ReconConfig())
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window [row_number") :]
+    # What reaches the exchange below the window was cut to the first rows of each key and task.
+    assert window.index("Final") < window.index("Exchange hashpartitioning") < window.index("Partial")
+    got = {r.k: (r.match_count, [x.line_id for x in r.rows]) for r in summary.collect()}
+    ids = {}
+    for r in rows.collect():
+        ids.setdefault(r.k, []).append(r.line_id)
+    assert got == {k: (len(v), sorted(v)[:8]) for k, v in ids.items()}
+
+
 def test_precedents_are_scored_over_postings_only(spark):
     """2,000 cases of one class, ten of the vendor asked about: a few more than those are scored."""
     cases = spark.range(2000).select(

@@ -95,7 +95,6 @@ def run_cycle(
     config: ReconConfig = DEFAULTS,
 ) -> Cycle:
     """Run a cycle into ``folder`` (``audit`` and ``ledger`` tables)."""
-    spark = result.exceptions.sparkSession
     decisions = cut(decide_all(result, proposals, config, limit))
     cycle = digests.cycle_id(F.lit(taxpayer), F.lit(period), F.lit(config.ruleset_version))
     entries = audit.audit_entries(
@@ -103,10 +102,8 @@ def run_cycle(
     )
     log = tables.write_audit(audit.append_chain(entries), folder)
 
-    ledger = tables.read_ledger(spark, folder, [period])
     wanted = submit.to_submissions(policy.submittable(decisions), taxpayer, period, config)
-    sent = cut(submit.submit_once(wanted, ledger, config))
-    tables.append_ledger(submit.ledger_rows(sent), folder)
+    sent = tables.submit_to_ledger(wanted, folder, config)
     return Cycle(
         decisions=decisions,
         audit=log,
@@ -126,7 +123,6 @@ def apply_reviews(
     config: ReconConfig = DEFAULTS,
 ) -> DataFrame:
     """Judge approvals; record the valid ones, supersede what they replace, then submit."""
-    spark = approvals.sparkSession
     judged = cut(review.resolve_approvals(cycle.queue, approvals, config))
     resolved = global_index(judged.where("status = 'resolved'"), ["ord"], "place")
     log = cycle.audit
@@ -161,12 +157,5 @@ def apply_reviews(
     wanted = numbered.where(F.col("final_action").isin("ACCEPT", "REJECT")).select(
         "exception_id", F.col("final_action").alias("action"), F.col("ord").alias("seq")
     )
-    sent = cut(
-        submit.submit_once(
-            submit.to_submissions(wanted, taxpayer, period, config),
-            tables.read_ledger(spark, folder, [period]),
-            config,
-        )
-    )
-    tables.append_ledger(submit.ledger_rows(sent), folder)
+    sent = tables.submit_to_ledger(submit.to_submissions(wanted, taxpayer, period, config), folder, config)
     return judged.join(sent.select("ord", "outcome", "portal_reference"), "ord", "left")

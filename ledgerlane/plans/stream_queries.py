@@ -39,13 +39,16 @@ def _as_stream(df: DataFrame, folder: str, per_trigger: int = STREAM_FILES) -> D
 
 
 def stream_submit(spark, sf_dir) -> DataFrame:
-    """The ledger after the stream ran, and ran again over a repeated checkpoint-less input."""
+    """The ledger after two streams ran over the same input at the same time, and one again without its
+    checkpoint."""
     folder = _folder(spark, "submissions")
     stream = _as_stream(presented_submissions(spark, sf_dir), f"{folder}/input")
-    for attempt in ("first", "again"):
-        submissions.submission_stream(
-            stream, f"{folder}/state", f"{folder}/{attempt}"
-        ).awaitTermination()
+    for attempt in (("one", "other"), ("again",)):
+        running = [
+            submissions.submission_stream(stream, f"{folder}/state", f"{folder}/{name}") for name in attempt
+        ]
+        for query in running:
+            query.awaitTermination()
     ledger = tables.read_ledger(spark, f"{folder}/state")
     return ledger.groupBy("document_id", "action", "idempotency_key").agg(
         F.count(F.lit(1)).alias("applied_rows")

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.functions import digests, money
 from ledgerlane.operators.audit import CHAIN_TYPES, link_log, recorded_text
-from ledgerlane.operators.submit import LEDGER_TYPES
+from ledgerlane.operators.scale import cut
+from ledgerlane.operators.submit import LEDGER_TYPES, ledger_rows, submit_once
+from ledgerlane.sources import commits
 
 AUDIT_JSON_TYPES = CHAIN_TYPES.replace("chain_id string, ", "").replace(
     "amount_at_risk decimal(28,2)", "amount_at_risk string"
@@ -38,13 +41,35 @@ def write_audit(log: DataFrame, folder: str) -> DataFrame:
 
 def read_ledger(spark: SparkSession, folder: str, periods: list[str] | None = None) -> DataFrame:
     """Applied keys; of the given return periods only, so that other partitions are not read."""
-    ledger = _read_or_empty(spark, f"{folder}/ledger", LEDGER_TYPES)
+    _, names, _ = commits.live(spark, f"{folder}/ledger")
+    return _ledger_of(spark, folder, names, periods)
+
+
+def _ledger_of(spark: SparkSession, folder: str, names: list[str], periods: list[str] | None) -> DataFrame:
+    ledger = commits.read(spark, f"{folder}/ledger", LEDGER_TYPES, names)
     return ledger if periods is None else ledger.where(F.col("return_period").isin(periods))
 
 
-def append_ledger(rows: DataFrame, folder: str) -> None:
-    """Append applied keys, partitioned by period."""
-    rows.write.mode("append").partitionBy("return_period").parquet(f"{folder}/ledger")
+def submit_to_ledger(submissions: DataFrame, folder: str, config: ReconConfig = DEFAULTS) -> DataFrame:
+    """Outcome per submission, with what takes effect committed to the ledger in ``folder``.
+
+    Other jobs may submit at the same time: a key is applied by whoever commits it first. Whoever comes
+    second decides again over the ledger as it is then, and replays.
+    """
+    spark, table = submissions.sparkSession, f"{folder}/ledger"
+    submissions = cut(submissions)
+    # A key holds its period, so only the partitions of these periods are met.
+    periods = [r[0] for r in submissions.select("return_period").distinct().collect()]
+    while True:
+        number, names, _ = commits.live(spark, table)
+        sent = cut(submit_once(submissions, _ledger_of(spark, folder, names, periods), config))
+        fresh = ledger_rows(sent)
+        if fresh.isEmpty():
+            return sent
+        if commits.commit(spark, table, number + 1, [commits.write(fresh, table, "return_period")]):
+            if (number + 1) % commits.MERGE_EVERY == 0:
+                commits.merge(spark, table, LEDGER_TYPES, "return_period")
+            return sent
 
 
 def write_audit_jsonl(log: DataFrame, path: str) -> None:

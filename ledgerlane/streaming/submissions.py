@@ -1,7 +1,7 @@
 """Submission stream: every micro-batch against the durable ledger, each key applied once.
 
 A batch that is run again after a crash finds its own keys in the ledger and replays them, so
-the checkpoint and the ledger need not be committed together.
+the checkpoint and the ledger need not be committed together. Several streams may share a ledger.
 """
 
 from __future__ import annotations
@@ -10,18 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlane.config import DEFAULTS, ReconConfig
-from ledgerlane.operators import submit
-from ledgerlane.operators.scale import cut
 from ledgerlane.sources import tables
 
 
 def submit_batch(folder: str, config: ReconConfig = DEFAULTS):
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # A key holds its period, so the batch only meets the partitions of its own periods.
-        periods = [r[0] for r in batch.select("return_period").distinct().collect()]
-        ledger = tables.read_ledger(batch.sparkSession, folder, periods)
-        sent = cut(submit.submit_once(batch, ledger, config))
-        tables.append_ledger(submit.ledger_rows(sent), folder)
+        tables.submit_to_ledger(batch, folder, config)
 
     return apply
 

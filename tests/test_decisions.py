@@ -12,7 +12,7 @@ from ledgerlane import ReconConfig, reconcile
 from ledgerlane.fixed_values import DISTRIBUTION_MIX, EXCEPTION_CLASSES, GENESIS_DIGEST, TIER_OF_CLASS
 from ledgerlane.operators import audit, findings, policy, review, submit, summaries
 from ledgerlane.plans import cycle as cycle_plan
-from ledgerlane.sources import tables
+from ledgerlane.sources import commits, tables
 from ledgerlane.sources.generated import generate_cycle, pattern_length
 
 AS_OF = dt.date(2026, 7, 10)
@@ -86,11 +86,10 @@ def submissions(spark, rows):
 def test_submission_is_idempotent(spark, tmp_path, config):
     folder = str(tmp_path)
     rows = [("E1", "ACCEPT")] * 6 + [("E2", "REJECT"), ("E1", "REJECT")]
-    first = submit.submit_once(submissions(spark, rows), tables.read_ledger(spark, folder), config)
+    first = tables.submit_to_ledger(submissions(spark, rows), folder, config)
     outcomes = [r.outcome for r in first.orderBy("ord").collect()]
     assert outcomes == ["APPLIED"] + ["ALREADY_APPLIED"] * 5 + ["APPLIED", "APPLIED"]
     assert submit.exactly_once_violations(first).isEmpty()
-    tables.append_ledger(submit.ledger_rows(first), folder)
     again = submit.submit_once(submissions(spark, rows), tables.read_ledger(spark, folder), config)
     assert {r.outcome for r in again.collect()} == {"ALREADY_APPLIED"}
     key = hashlib.sha256(b"27AAPFU0939F1ZV|07-2026|E2|REJECT|2026.07").hexdigest()[:32]
@@ -103,6 +102,45 @@ def test_submission_is_idempotent(spark, tmp_path, config):
     assert submit.ims_inbox(tables.read_ledger(spark, folder), "other", "07-2026").isEmpty()
 
 
+def test_writers_that_overlap_apply_each_key_once(spark, tmp_path, monkeypatch):
+    """Three writers decide over the same ledger; each commit that comes late is decided again."""
+    import threading
+
+    folder, results, tries = str(tmp_path), {}, []
+    together, live = threading.Barrier(3), commits.live
+
+    def slow(*args):
+        state = live(*args)
+        tries.append(1)
+        if len(tries) <= 3:
+            together.wait(60)
+        return state
+
+    monkeypatch.setattr(commits, "live", slow)
+    monkeypatch.setattr(commits, "MERGE_EVERY", 2)
+
+    def run(writer):
+        rows = [(f"E{i}", "ACCEPT") for i in range(4 * writer, 4 * writer + 8)]
+        results[writer] = tables.submit_to_ledger(submissions(spark, rows), folder).collect()
+
+    threads = [threading.Thread(target=run, args=(w,)) for w in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    monkeypatch.undo()
+    ledger = tables.read_ledger(spark, folder)
+    assert sorted(r.document_id for r in ledger.collect()) == sorted(f"E{i}" for i in range(16))
+    effects = [r.document_id for rows in results.values() for r in rows if r.outcome == "APPLIED"]
+    assert sorted(effects) == sorted(f"E{i}" for i in range(16))
+    assert len(tries) > 5
+    # Merged folders hold the same rows, and a number is given once.
+    number, names, added = commits.live(spark, f"{folder}/ledger")
+    assert commits.merge(spark, f"{folder}/ledger", submit.LEDGER_TYPES, "return_period")
+    assert not commits.commit(spark, f"{folder}/ledger", number, ["other"])
+    assert tables.read_ledger(spark, folder, ["07-2026"]).count() == 16
+    assert tables.read_ledger(spark, folder, ["08-2026"]).isEmpty()
+    assert tables.submit_to_ledger(submissions(spark, [("E3", "ACCEPT")]), folder).first().outcome == "ALREADY_APPLIED"
+
+
 def entries(spark, count):
     rows = [
         ("c", i, f"E{i}", "PENDING", i % 2 == 0, ["a ₹", "b"], NOW, "2026.07", "", "", 0.5 + i / 97,

@@ -44,7 +44,7 @@ SAMPLED = 1_000_000
 """Sort keys, about, from which the edges of the shards are taken."""
 
 K1, B = 1.2, 0.75
-KNOWN_CHUNKS, KNOWN_WORDS = 400_000, 1_000_000
+KNOWN_CHUNKS, KNOWN_WORDS = 250_000, 400_000
 """Chunks between blanks, and words, whose ids a worker remembers; it starts anew beyond that."""
 
 JOINED_WORDS = 400

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import WordHashes, mix, shingle_set, small_batches, table
 from ledgerlane.llm.links import linked_classes, set_class, without_ids
+from ledgerlane.operators.scale import cut
 
 LIKENESS = (3, 4)
 """Links need this similarity or more, as a fraction."""
@@ -213,9 +214,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that link to one with a smaller id; ids must be unique."""
-    copies = jaccard_join(docs).where("component_id <> doc_id")
-    return without_ids(docs, copies).select(*docs.columns)
+    """One document of each component: the one with the least id (a NULL id comes last).
+
+    Rows are named by their place in a written table, so equal rows, repeated ids and NULL ids are
+    told apart: of equal rows one stays, and a different text that shares the id of a copy stays too.
+    """
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*docs.columns).alias("doc")))
+    joined = jaccard_join(rows.select("doc_id", F.col("doc.text").alias("text")))
+    ids = rows.select("doc_id", F.col("doc.doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"]
+    linked = cut(joined.join(ids, "doc_id"))
+    firsts = linked.groupBy("component_id").agg(first.alias("first"))
+    copies = linked.join(firsts, "component_id").where("doc_id <> first").select("doc_id")
+    return without_ids(rows, copies).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

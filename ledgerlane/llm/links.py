@@ -69,7 +69,7 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return kept
     again = docs.where(caught).where(id_filter(by_chance))
     key = by_chance.select(F.col("doc_id").alias("_kept")).distinct()
-    back = again.join(key, again["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    back = again.join(key, again["doc_id"].eqNullSafe(key["_kept"]), "left_semi")
     return kept.unionByName(back)
 
 

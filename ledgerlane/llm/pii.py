@@ -444,8 +444,9 @@ def sanitised(text: str, base: list[tuple[str, int, int]], terms) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with clean texts and their new n_chars; other columns stay. NULL texts stay."""
     found = find(docs)
-    terms = found.where("terms IS NOT NULL").select(F.col("row").alias("_row"), "terms")
-    rows = docs.withColumn("_row", row_key()).join(terms, "_row", "left")
+    terms = found.where("terms IS NOT NULL").select("row", "terms")
+    # The input's columns travel in one, so that their names cannot meet those used here.
+    rows = docs.select(row_key().alias("row"), F.struct(*docs.columns).alias("doc")).join(terms, "row", "left")
     empty = F.array().cast("array<struct<start: long, end: long, share: double>>")
 
     @F.pandas_udf("string")
@@ -455,10 +456,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
             dtype=object,
         )
 
-    rows = rows.withColumn("text", clean("text", F.coalesce("terms", empty)))
+    rows = rows.withColumn("clean", clean("doc.text", F.coalesce("terms", empty)))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

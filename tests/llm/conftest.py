@@ -16,6 +16,10 @@ DOCUMENTS = T.StructType(
         T.StructField("label", T.StringType()),
         T.StructField("shard", T.StringType()),
         T.StructField("row", T.StringType()),
+        T.StructField("terms", T.StringType()),
+        T.StructField("_row", T.StringType()),
+        T.StructField("_kept", T.StringType()),
+        T.StructField("doc", T.StringType()),
     ]
 )
 
@@ -25,7 +29,7 @@ def documents(spark):
     """A function that makes a documents table with extra columns from (doc_id, text) rows."""
 
     def make(rows):
-        full = [(i, t, None, "s", len(t or ""), "b", "l", "x", "r") for i, t in rows]
+        full = [(i, t, None, "s", len(t or ""), "b", "l", "x", "r", "t", "_r", "_k", "d") for i, t in rows]
         return spark.createDataFrame(full, DOCUMENTS)
 
     return make

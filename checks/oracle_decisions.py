@@ -174,6 +174,10 @@ SELECT ord::BIGINT AS ord, target AS exception_id, status, CASE WHEN status = 'r
     WHEN 'unnamed' THEN 'an approval must carry the name of the person making it'
     WHEN 'stale' THEN 'this case changed since the page was loaded, so the approval would apply to something other than what was reviewed; reload and read it again'
     WHEN 'bad_override' THEN 'an override must name one of ACCEPT, REJECT, PENDING' ELSE '' END AS message FROM judged""",
+    "review_batches": """
+SELECT ord::BIGINT AS ord, target AS exception_id, status, CASE WHEN status = 'resolved' THEN final ELSE '' END AS final_action,
+  CASE WHEN status = 'resolved' THEN (SELECT count(*) FROM exceptions) - 1
+    + row_number() OVER (PARTITION BY status = 'resolved' ORDER BY ord % 2, ord) ELSE -1 END::BIGINT AS entry FROM judged""",
     "review_depth": """
 SELECT (SELECT count(*) FROM queue) - count(*) AS pending, count(*) AS resolved,
   ((SELECT sum(amount_at_risk) FROM queue) - coalesce(sum(amount_at_risk), 0))::DOUBLE AS amount_awaiting_review

@@ -188,11 +188,19 @@ def validate_findings(replies: DataFrame, steps: DataFrame) -> DataFrame:
 def trace_termination(responses: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
     """Why each recorded run ended: one row per case with the label and the response it fell on.
 
-    ``responses``: case_id, idx (0-based), is_final, tool_name, arguments, tokens, elapsed. A run
-    cannot pass its step budget, so responses beyond it cannot matter and each case keeps at most
-    ``max_steps + 1`` rows, whatever the length of its log.
+    ``responses``: case_id, idx, is_final, tool_name, arguments, tokens, elapsed, and optionally ``invalid``:
+    why a final response holds no valid finding (blank or NULL: it does). Responses count in the order of
+    idx, which may have gaps. A run cannot pass its step budget, so responses beyond it cannot matter
+    and each case keeps its first ``max_steps + 1`` rows; no task sends more of a case to the shuffle.
     """
-    reachable = responses.where(F.col("idx") <= config.max_steps)
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("idx"))
+    reachable = (
+        responses.withColumn("place", place).where(F.col("place") <= config.max_steps + 1)
+        .withColumn("idx", F.col("place").cast("long") - 1).drop("place")
+    )
+    if "invalid" not in reachable.columns:
+        reachable = reachable.withColumn("invalid", F.lit(None).cast("string"))
+    invalid = F.coalesce(F.trim("invalid"), F.lit("")) != ""
     case = Window.partitionBy("case_id").orderBy("idx")
     before = case.rowsBetween(Window.unboundedPreceding, -1)
     through = case.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -206,6 +214,7 @@ def trace_termination(responses: DataFrame, config: ReconConfig = DEFAULTS) -> D
     label = (
         F.when(F.col("elapsed") > config.max_seconds, "wall_clock_timeout")
         .when(F.col("spent") > config.max_tokens, "spend_cap")
+        .when(F.col("is_final") & invalid, F.concat(F.lit("invalid_finding: "), F.trim("invalid")))
         .when(F.col("is_final"), "completed")
         .when(F.col("idx") >= config.max_steps, "step_budget_exhausted")
         .when(

@@ -114,10 +114,15 @@ def review_reasons(review_action: Column, approver: Column, note: Column) -> Col
 
 
 def resolve_approvals(
-    queue: DataFrame, approvals: DataFrame, config: ReconConfig = DEFAULTS
+    queue: DataFrame,
+    approvals: DataFrame,
+    config: ReconConfig = DEFAULTS,
+    settled: DataFrame | None = None,
 ) -> DataFrame:
     """Status of each approval, checked in order; the first valid one per card wins.
 
+    ``settled`` has the exception_id of cards that earlier batches resolved: approvals of these come late.
+
     Many approvals may name one card, so cards are looked up with hot keys apart and the winner
     is a grouped minimum.
     """
@@ -132,6 +137,11 @@ def resolve_approvals(
         "amount_at_risk",
         "audit_sequence",
     )
+    if settled is None:
+        cards = cards.withColumn("settled", F.lit(False))
+    else:
+        known = settled.select("exception_id", F.lit(True).alias("settled"))
+        cards = cards.join(known, "exception_id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     looked_up = lookup(approvals, cards, ["exception_id"], "left", config.hot_key_rows)
     name = F.trim(F.coalesce("approver", F.lit("")))
     action = final_action(F.col("review_action"), F.col("proposed_action"), F.col("override"))
@@ -141,6 +151,7 @@ def resolve_approvals(
         .withColumn(
             "fault",
             F.when(F.col("queued").isNull(), F.lit("unknown"))
+            .when(F.col("settled"), F.lit("settled"))
             .when(F.col("name") == "", F.lit("unnamed"))
             .when(
                 F.coalesce(F.col("confirmation") != F.col("current_confirmation"), F.lit(True)),
@@ -158,7 +169,7 @@ def resolve_approvals(
     later = F.col("winning_ord").isNotNull() & (F.col("ord") > F.col("winning_ord"))
     status = (
         F.when(F.col("fault") == "unknown", F.lit("unknown"))
-        .when(later, F.lit("already_resolved"))
+        .when(later | F.coalesce(F.col("fault") == "settled", F.lit(False)), F.lit("already_resolved"))
         .when(F.col("fault").isNotNull(), F.col("fault"))
         .otherwise(F.lit("resolved"))
     )
@@ -186,5 +197,5 @@ def resolve_approvals(
         .withColumn(
             "final_action", F.when(F.col("status") == "resolved", F.col("final_action"))
         )
-        .drop("fault", "winning_ord", "queued", "current_confirmation", "card_reasons")
+        .drop("fault", "winning_ord", "queued", "settled", "current_confirmation", "card_reasons")
     )

@@ -100,7 +100,9 @@ def run_cycle(
     entries = audit.audit_entries(
         decisions, cycle, F.col("seq") - 1, F.lit(recorded_at), config, approver
     )
-    log = tables.write_audit(audit.append_chain(entries), folder)
+    chained, log = cut(audit.append_chain(entries)), None
+    while log is None:
+        log = tables.write_audit(chained, folder, tables.read_audit(chained.sparkSession, folder)[0])
 
     wanted = submit.to_submissions(policy.submittable(decisions), taxpayer, period, config)
     sent = tables.submit_to_ledger(wanted, folder, config)
@@ -113,19 +115,9 @@ def run_cycle(
     )
 
 
-def apply_reviews(
-    cycle: Cycle,
-    approvals: DataFrame,
-    folder: str,
-    *,
-    period: str,
-    taxpayer: str = DEFAULT_TAXPAYER,
-    config: ReconConfig = DEFAULTS,
-) -> DataFrame:
-    """Judge approvals; record the valid ones, supersede what they replace, then submit."""
-    judged = cut(review.resolve_approvals(cycle.queue, approvals, config))
+def _recorded(log: DataFrame, judged: DataFrame, config: ReconConfig) -> tuple[DataFrame, DataFrame]:
+    """The resolved approvals with their place in the log, and the log with them."""
     resolved = global_index(judged.where("status = 'resolved'"), ["ord"], "place")
-    log = cycle.audit
     # A cycle has one chain; its length is where the new entries go on.
     (head,) = log.groupBy("chain_id").count().collect()
     numbered = resolved.withColumn("chain_id", F.lit(head["chain_id"])).withColumn(
@@ -152,7 +144,36 @@ def apply_reviews(
         F.col("audit_sequence").alias("sequence"),
         (F.col("place") + head["count"]).alias("replaced_by"),
     )
-    tables.write_audit(audit.supersede(audit.extend_chain(log, entries), pointers), folder)
+    return numbered, audit.supersede(audit.extend_chain(log, entries), pointers)
+
+
+def apply_reviews(
+    cycle: Cycle,
+    approvals: DataFrame,
+    folder: str,
+    *,
+    period: str,
+    taxpayer: str = DEFAULT_TAXPAYER,
+    config: ReconConfig = DEFAULTS,
+) -> DataFrame:
+    """Judge approvals; record the valid ones, supersede what they replace, then submit.
+
+    Batches may follow each other: each goes on from the last version of the log in ``folder`` (the cycle's
+    own where there is none), and a card whose entry that log supersedes was decided. If another
+    batch commits its version first, this one is judged again over it.
+    """
+    spark = approvals.sparkSession
+    approvals, written = cut(approvals), None
+    while written is None:
+        number, log = tables.read_audit(spark, folder)
+        log = cycle.audit if log is None else log
+        replaced = log.where("superseded_by IS NOT NULL").select(F.col("sequence").alias("audit_sequence"))
+        settled = cycle.queue.join(replaced, "audit_sequence").select("exception_id")
+        judged = cut(review.resolve_approvals(cycle.queue, approvals, config, settled))
+        numbered, after = _recorded(log, judged, config)
+        if numbered.isEmpty():
+            break
+        written = tables.write_audit(after, folder, number)
 
     wanted = numbered.where(F.col("final_action").isin("ACCEPT", "REJECT")).select(
         "exception_id", F.col("final_action").alias("action"), F.col("ord").alias("seq")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,11 @@ from ledgerlane.config import DEFAULTS
 from ledgerlane.fixed_values import DEFAULT_TAXPAYER
 from ledgerlane.functions import dates, digests, identifiers, money
 from ledgerlane.operators import audit, evidence, findings, policy, review, submit, summaries
-from ledgerlane.operators.scale import cut, rank_in_group, side_by_side
+from ledgerlane.operators.scale import cut, rank_in_group, shared_dir, side_by_side
 from ledgerlane.operators.sides import prepare_side
 from ledgerlane.plans import cycle as cycle_plan
 from ledgerlane.plans.ledger_queries import as_double, ledger, listed
-from ledgerlane.sources import derived
+from ledgerlane.sources import derived, tables
 
 RECORDED_AT = dt.datetime(2001, 7, 14, 9, 0, tzinfo=dt.timezone.utc)
 _decided: dict[tuple, DataFrame] = {}
@@ -346,6 +347,33 @@ def review_resolution(spark, sf_dir) -> DataFrame:
     )
 
 
+def review_batches(spark, sf_dir) -> DataFrame:
+    """Two batches of approvals, the first of each card and the second, against one stored log: what the
+    first resolved, the second finds decided, and every entry of the log has a number of its own.
+    """
+    folder = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    decided = decisions(spark, sf_dir)
+    entries = audit.audit_entries(decided, F.lit("cycle"), F.col("seq") - 1, F.lit(RECORDED_AT), DEFAULTS, None)
+    log = tables.write_audit(audit.append_chain(entries), folder, 0)
+    queue = cut(review.build_review_queue(decided))
+    made = cycle_plan.Cycle(decisions=decided, audit=log, queue=queue, submissions=None, outcome=None)
+    approvals = cut(derived_approvals(queue))
+    judged = [
+        cycle_plan.apply_reviews(made, approvals.where(F.col("ord") % 2 == n), folder, period=derived.PERIOD)
+        for n in (0, 1)
+    ]
+    _, last = tables.read_audit(spark, folder)
+    head = decided.count()
+    added = last.where(F.col("sequence") >= head).select(
+        "exception_id", F.col("sequence").alias("entry"), F.lit("resolved").alias("status")
+    )
+    return judged[0].unionByName(judged[1]).join(added, ["exception_id", "status"], "left").select(
+        "ord", "exception_id", "status",
+        F.coalesce("final_action", F.lit("")).alias("final_action"),
+        F.coalesce("entry", F.lit(-1)).cast("long").alias("entry"),
+    )
+
+
 def review_depth(spark, sf_dir) -> DataFrame:
     queue = review.build_review_queue(decisions(spark, sf_dir))
     resolved = review.resolve_approvals(queue, derived_approvals(queue)).where(
@@ -407,6 +435,7 @@ QUERIES = {
     "audit_history": audit_history,
     "review_queue": review_queue,
     "review_resolution": review_resolution,
+    "review_batches": review_batches,
     "review_depth": review_depth,
     "cycle_outcome": cycle_outcome,
     "case_text": case_text,

@@ -29,14 +29,24 @@ def _read_or_empty(spark: SparkSession, path: str, types: str) -> DataFrame:
         return spark.createDataFrame([], types)
 
 
-def write_audit(log: DataFrame, folder: str) -> DataFrame:
-    """Write a new version of the log and of its links beside the old ones; return the log read back."""
+def read_audit(spark: SparkSession, folder: str) -> tuple[int, DataFrame | None]:
+    """The last committed version of the log and its number; 0 and None where there is none."""
+    number, names, _ = commits.live(spark, f"{folder}/audit_versions")
+    return number, spark.read.parquet(f"{folder}/audit/version={names[-1]}") if names else None
+
+
+def write_audit(log: DataFrame, folder: str, after: int) -> DataFrame | None:
+    """Write a new version of the log and of its links beside the old ones; return the log read back.
+
+    None where another writer committed a version since number ``after``: the log was not made from it.
+    """
     version = uuid.uuid4().hex
     path = f"{folder}/audit/version={version}"
     log.write.parquet(path)
     written = log.sparkSession.read.schema(log.schema).parquet(path)
     link_log(written).write.parquet(f"{folder}/audit_links/version={version}")
-    return written
+    done = commits.commit(log.sparkSession, f"{folder}/audit_versions", after + 1, [version], base=True)
+    return written if done else None
 
 
 def read_ledger(spark: SparkSession, folder: str, periods: list[str] | None = None) -> DataFrame:

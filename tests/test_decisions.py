@@ -270,9 +270,21 @@ def test_reviews_bind_to_what_was_shown(spark, finished, tmp_path):
     applied = cycle_plan.apply_reviews(done, approvals, folder, period="07-2026").collect()
     sent = {r.ord: r.outcome for r in applied if r.outcome}
     assert sent == {4: "APPLIED"}
-    log = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/audit")
-    assert log.count() == done.audit.count() + 2
+    number, log = tables.read_audit(spark, folder)
+    assert number == 1 and log.count() == done.audit.count() + 2
     assert audit.verify_chain(log).first().intact
+    # A second batch remembers the first: nothing is decided twice, and no number is given twice.
+    third = cards[1]
+    late = [(7, reject.exception_id, "C. Roy", "APPROVE", reject.confirmation, None, ""),
+            (8, third.exception_id, "C. Roy", "APPROVE", third.confirmation, None, "")]
+    more = spark.createDataFrame([(o, e, a, k, c, NOW, v, n) for o, e, a, k, c, v, n in late], approvals.schema)
+    again = {r.ord: r.status for r in cycle_plan.apply_reviews(done, more, folder, period="07-2026").collect()}
+    assert again == {7: "already_resolved", 8: "resolved"}
+    number, longer = tables.read_audit(spark, folder)
+    assert number == 2 and longer.count() == longer.select("sequence").distinct().count() == done.audit.count() + 3
+    assert audit.verify_chain(longer).first().intact
+    # A version made from an older one is refused.
+    assert tables.write_audit(log, folder, 1) is None
     pointed = {r.sequence: r.superseded_by for r in log.where("superseded_by is not null").collect()}
     assert set(pointed) == {reject.audit_sequence, other.audit_sequence}
     left = review.queue_depth(done.queue, approvals.where("ord in (4, 5)")).first()

@@ -134,6 +134,12 @@ def test_traces_end_for_the_first_reason(spark):
         "spend": ("spend_cap", 2),
         "slow": ("wall_clock_timeout", 3),
     }
+    # Numbers with gaps count by their order, and a final response may hold no valid finding.
+    gaps = df.withColumn("idx", F.col("idx") * 7 + 3).withColumn(
+        "invalid", F.when(F.col("case_id") == "once", " no citation ").when(F.col("case_id") == "done", "")
+    )
+    again = {r.case_id: (r.terminated_because, r.steps) for r in findings.trace_termination(gaps).collect()}
+    assert again == {**got, "once": ("invalid_finding: no citation", 3)}
 
 
 def embed(text):

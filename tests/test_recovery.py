@@ -178,6 +178,27 @@ def test_submission_stream_applies_each_key_once(spark, tmp_path):
     assert submit.attempts_vs_applied(sent, ledger).where("applied_rows <> 1").isEmpty()
 
 
+def test_repeated_events_change_no_depth_and_no_files_pile_up(spark, tmp_path):
+    import glob
+
+    from ledgerlane.streaming import depth
+
+    rows = [(f"E{i}", "queued", i) for i in range(10)] + [(f"E{i}", "resolved", i) for i in range(4)]
+    df = spark.createDataFrame(rows, "exception_id string, event string, amount_at_risk int").withColumn(
+        "amount_at_risk", F.col("amount_at_risk").cast("decimal(28,2)")
+    ).withColumn("at", F.lit("2026-07-14").cast("timestamp"))
+    files = []
+    for turn in range(5):  # every second trigger repeats what was told
+        part = df.where(F.col("amount_at_risk") % 2 == turn % 2) if turn < 4 else df
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        depth.depth_stream(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        files.append(len(glob.glob(f"{tmp_path}/out/slot=*/part-*")))
+    row = depth.latest_depth(spark, f"{tmp_path}/out").first()
+    assert (row.pending, row.resolved, int(row.amount_awaiting_review)) == (6, 4, 39)
+    assert max(files) == 2
+
+
 def test_recovery_does_not_depend_on_files_or_their_order(spark, tmp_path):
     """Seven files against one; the later turns lie in the files that were written first."""
     import os

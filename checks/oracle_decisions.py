@@ -161,6 +161,18 @@ FROM gated GROUP BY cls""",
 SELECT cls AS chain_id, count(*) AS entries, NOT (cls = 'DUPLICATE' AND count(*) > 20) AS intact,
   CASE WHEN cls = 'DUPLICATE' AND count(*) > 20 THEN 'segment 1 is not the one that was linked' ELSE 'chain intact' END AS message
 FROM gated GROUP BY cls""",
+    "audit_tree": """
+SELECT cls AS chain_id, n AS entries, NOT hit AS intact, CASE WHEN hit THEN 'entries 16 to 23 are not those that were sealed' ELSE 'sealed' END AS message,
+  root, true AS grew, n - CASE WHEN hit THEN (SELECT 1 << l FROM range(40) t(l) WHERE (n >> l) & 1 = 1
+    AND 20 BETWEEN ((n >> (l + 1)) << (l + 1)) AND ((n >> (l + 1)) << (l + 1)) + (1 << l) - 1) ELSE 0 END AS proved
+FROM (SELECT cls, n, cls = 'DUPLICATE' AND n > 20 AS hit,
+    sha256('R' || n || ':' || string_agg(level || '=' || h, ',' ORDER BY level DESC)) AS root
+  FROM (WITH RECURSIVE nodes AS (
+      SELECT cls, 0 AS level, place::BIGINT AS i, sha256('L' || digest) AS h FROM chain
+      UNION ALL SELECT cls, level + 1, i // 2, sha256('N' || string_agg(h, '' ORDER BY i)) FROM nodes
+      GROUP BY cls, level + 1, i // 2 HAVING count(*) = 2) SELECT * FROM nodes)
+  JOIN (SELECT cls, count(*) AS n FROM chain GROUP BY cls) USING (cls)
+  WHERE (n >> level) & 1 = 1 AND i = (n >> level) - 1 GROUP BY cls, n)""",
     "audit_history": """
 SELECT cls AS chain_id, place::BIGINT AS sequence, exception_id, action, place::BIGINT + 1000 AS superseded_by FROM entries WHERE place % 4 = 0""",
     "review_queue": """

@@ -102,7 +102,8 @@ def run_cycle(
     )
     chained, log = cut(audit.append_chain(entries)), None
     while log is None:
-        log = tables.write_audit(chained, folder, tables.read_audit(chained.sparkSession, folder)[0])
+        number, _ = tables.read_audit(chained.sparkSession, folder)
+        log = tables.write_audit(chained, folder, number, anew=True)
 
     wanted = submit.to_submissions(policy.submittable(decisions), taxpayer, period, config)
     sent = tables.submit_to_ledger(wanted, folder, config)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlane.config import DEFAULTS
 from ledgerlane.fixed_values import DEFAULT_TAXPAYER
 from ledgerlane.functions import dates, digests, identifiers, money
-from ledgerlane.operators import audit, evidence, findings, policy, review, submit, summaries
+from ledgerlane.operators import audit, evidence, findings, hashtree, policy, review, submit, summaries
 from ledgerlane.operators.scale import cut, rank_in_group, shared_dir, side_by_side
 from ledgerlane.operators.sides import prepare_side
 from ledgerlane.plans import cycle as cycle_plan
@@ -280,6 +280,28 @@ def audit_segments(spark, sf_dir) -> DataFrame:
     return audit.verify_log(cut(audit.append_chain(forged, SEGMENT)), cut(links), segment_rows=SEGMENT)
 
 
+TREE_HEIGHT = 3
+"""Levels of a block in ``audit_tree``, so that small tables need several steps."""
+
+
+def audit_tree(spark, sf_dir) -> DataFrame:
+    """Seals of all chains: whether they grew from the log of at most 100 entries a chain, how many
+    entries of a copy with one altered entry are proved against them, and where that copy differs."""
+    log = cut(audit.append_chain(_entries(spark, sf_dir)))
+    tree = hashtree.build(log, TREE_HEIGHT)
+    sealed = cut(hashtree.seals(tree))
+    older = cut(hashtree.seals(hashtree.build(log.where("sequence < 100"), TREE_HEIGHT)))
+    grown = hashtree.verify_growth(hashtree.prove_growth(tree, older), older, sealed)
+    altered = (F.col("chain_id") == "DUPLICATE") & (F.col("sequence") == 20)
+    copy = log.withColumn("action", F.when(altered, F.lit("NO_ACTION")).otherwise(F.col("action")))
+    other = hashtree.build(copy, TREE_HEIGHT)
+    proved = hashtree.verify(hashtree.prove_entries(other, copy), sealed).groupBy("chain_id").agg(
+        F.count_if("holds").alias("proved")
+    )
+    found = hashtree.verify_seals(other, sealed, hashtree.marks(tree))
+    return found.join(sealed.select("chain_id", "root"), "chain_id").join(grown, "chain_id").join(proved, "chain_id")
+
+
 def audit_history(spark, sf_dir) -> DataFrame:
     """Superseded entries and what replaced them."""
     log = audit.append_chain(_entries(spark, sf_dir))
@@ -432,6 +454,7 @@ QUERIES = {
     "audit_digest": audit_digest,
     "audit_verify": audit_verify,
     "audit_segments": audit_segments,
+    "audit_tree": audit_tree,
     "audit_history": audit_history,
     "review_queue": review_queue,
     "review_resolution": review_resolution,

@@ -10,7 +10,8 @@ from pyspark.sql.utils import AnalysisException
 
 from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.functions import digests, money
-from ledgerlane.operators.audit import CHAIN_TYPES, link_log, recorded_text
+from ledgerlane.operators import hashtree
+from ledgerlane.operators.audit import CHAIN_TYPES, recorded_text, verify_chain
 from ledgerlane.operators.scale import cut
 from ledgerlane.operators.submit import LEDGER_TYPES, ledger_rows, submit_once
 from ledgerlane.sources import commits
@@ -35,20 +36,55 @@ def read_audit(spark: SparkSession, folder: str) -> tuple[int, DataFrame | None]
     return number, spark.read.parquet(f"{folder}/audit/version={names[-1]}") if names else None
 
 
-def write_audit(log: DataFrame, folder: str, after: int) -> DataFrame | None:
-    """Write a new version of the log and of its links beside the old ones; return the log read back.
+def _sealed(spark: SparkSession, folder: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """The seals and the marks that were written with a version of the log."""
+    return tuple(spark.read.parquet(f"{folder}/audit_{name}/version={version}") for name in ("seals", "marks"))
 
-    None where another writer committed a version since number ``after``: the log was not made from it.
+
+def write_audit(log: DataFrame, folder: str, after: int, anew: bool = False) -> DataFrame | None:
+    """Write a new version of the log, its seals and marks beside the old ones; return the log read back.
+
+    None where another writer committed a version since number ``after``: the log was not made from it. A log
+    that did not grow from the seals of the version before, entry for entry, is refused: somebody changed it.
+    A cycle that is run again starts its log ``anew``; the versions before it stay with their seals.
     """
-    version = uuid.uuid4().hex
+    spark, version = log.sparkSession, uuid.uuid4().hex
+    number, names, _ = commits.live(spark, f"{folder}/audit_versions")
+    if number != after:
+        return None
     path = f"{folder}/audit/version={version}"
     log.write.parquet(path)
-    written = log.sparkSession.read.schema(log.schema).parquet(path)
-    link_log(written).write.parquet(f"{folder}/audit_links/version={version}")
-    done = commits.commit(log.sparkSession, f"{folder}/audit_versions", after + 1, [version], base=True)
+    written = spark.read.schema(log.schema).parquet(path)
+    tree = hashtree.build(written)
+    hashtree.seals(tree).write.parquet(f"{folder}/audit_seals/version={version}")
+    hashtree.marks(tree).write.parquet(f"{folder}/audit_marks/version={version}")
+    if names and not anew:
+        older, newer = _sealed(spark, folder, names[-1])[0], _sealed(spark, folder, version)[0]
+        grown = hashtree.verify_growth(hashtree.prove_growth(tree, older), older, newer)
+        lost = [row.chain_id for row in grown.where("NOT grew").limit(20).collect()]
+        if lost:
+            raise ValueError(f"entries sealed in version {after} were changed or are gone, chains {sorted(lost)}")
+    done = commits.commit(spark, f"{folder}/audit_versions", after + 1, [version], base=True)
     return written if done else None
 
 
+def verify_audit(spark: SparkSession, folder: str, config: ReconConfig = DEFAULTS) -> DataFrame | None:
+    """Per chain of the last version, ``chain_id, entries, intact, message``: its chain, then its seal.
+
+    The seals lie beside the log. Against somebody who may write there, keep their roots elsewhere.
+    """
+    _, names, _ = commits.live(spark, f"{folder}/audit_versions")
+    if not names:
+        return None
+    log = spark.read.parquet(f"{folder}/audit/version={names[-1]}")
+    sealed = hashtree.verify_seals(hashtree.build(log), *_sealed(spark, folder, names[-1]))
+    broken = verify_chain(log, config).where("NOT intact").select("chain_id", F.col("message").alias("fault"))
+    return sealed.join(broken, "chain_id", "left").select(
+        "chain_id", "entries", (F.col("intact") & F.col("fault").isNull()).alias("intact"),
+        F.coalesce("fault", F.when(~F.col("intact"), F.col("message")), F.lit("chain intact")).alias("message"),
+    )
+
+
 def read_ledger(spark: SparkSession, folder: str, periods: list[str] | None = None) -> DataFrame:
     """Applied keys; of the given return periods only, so that other partitions are not read."""
     _, names, _ = commits.live(spark, f"{folder}/ledger")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane import ReconConfig
 from ledgerlane.operators import audit, hashtree
+from ledgerlane.sources import tables
 
 NOW = dt.datetime(2026, 7, 10, 9, 0, tzinfo=dt.timezone.utc)
 HEIGHT = 2
@@ -146,3 +147,34 @@ def test_empty_and_lost_logs(log, tree, sealed):
     assert {(r.entries, r.intact, r.message) for r in rows} == {(0, False, "no entries")}
     strange = hashtree.verify_seals(tree, sealed.limit(0), hashtree.marks(empty)).collect()
     assert {r.message for r in strange} == {"no seal"}
+
+
+def test_stored_versions_only_grow(spark, log, tmp_path):
+    folder = str(tmp_path)
+    assert tables.verify_audit(spark, folder) is None
+    short = audit.append_chain(entries(spark, {"a": 1, "e": 9}))
+    first = tables.write_audit(short, folder, 0)
+    long = audit.append_chain(entries(spark, {"a": 1, "e": 12, "g": 2}))
+    tables.write_audit(long, folder, 1)
+    found = {r.chain_id: (r.entries, r.intact, r.message) for r in tables.verify_audit(spark, folder).collect()}
+    assert found == {chain: (n, True, "chain intact") for chain, n in {"a": 1, "e": 12, "g": 2}.items()}
+    # Neither a shorter log nor another history becomes the next version, and an old number is not judged.
+    for wrong, told in ((short, "'e', 'g'"), (long.where("chain_id <> 'a'"), "'a'")):
+        with pytest.raises(ValueError, match=told):
+            tables.write_audit(wrong, folder, 2)
+    assert tables.write_audit(first, folder, 1) is None
+    assert tables.read_audit(spark, folder)[0] == 2
+
+
+def test_a_stored_log_changed_on_disk_is_found(spark, tmp_path):
+    folder = str(tmp_path)
+    whole = entries(spark, {"e": 9})
+    tables.write_audit(audit.append_chain(whole), folder, 0)
+    (path,) = (tmp_path / "audit").iterdir()
+    other = whole.withColumn("action", F.when(F.col("sequence") == 3, "ACCEPT").otherwise(F.col("action")))
+    audit.append_chain(other).write.mode("overwrite").parquet(str(path))
+    row = tables.verify_audit(spark, folder).first()
+    assert (row.intact, row.message) == (False, "entries 0 to 1023 are not those that were sealed")
+    number, log = tables.read_audit(spark, folder)
+    with pytest.raises(ValueError, match="changed or are gone"):
+        tables.write_audit(audit.append_chain(log.drop("previous_digest", "digest")), folder, number)

@@ -126,19 +126,19 @@ CTES = {
     "vendors": f"""
   SELECT body || {check_char('body')} AS gstin, c_name AS legal_name, c_custkey % 10 < 3 AS files_late,
     CASE WHEN c_custkey % 25 < 2 THEN 'REPEATED_LATE_FILING' END AS risk_flag
-  FROM (SELECT *, {gstin_of('c_custkey')} AS body FROM customer WHERE c_custkey % 50 <> 49)""",
+  FROM (SELECT *, {gstin_of('c_custkey')} AS body FROM customer)""",
     "bank": f"""
   SELECT 'BP' || id AS payment_id, gstin AS counterparty_gstin,
     (taxable + tax + (k % 3) * 0.60::DECIMAL(4,2))::{MONEY} AS amount,
     day + (k % 40 + 5)::INT AS value_date, 'NEFT Customer ' || c AS narration
-  FROM docs WHERE k % 5 <> 4""",
+  FROM docs""",
     "irn_registry": """
   SELECT irn, CASE WHEN m = 5 THEN 'CANCELLED' ELSE 'ACTIVE' END AS status
-  FROM docs WHERE irn IS NOT NULL AND k % 7 <> 0""",
+  FROM docs WHERE irn IS NOT NULL""",
     "prior_portal": f"""
   SELECT 'Q' || id AS line_id, gstin AS supplier_gstin, number AS invoice_number, tax AS total_tax,
     strftime((day - INTERVAL 1 MONTH)::DATE, '%m-%Y') AS return_period, {number_key('number')} AS n
-  FROM docs WHERE (m = 6 AND NOT second) OR m = 20""",
+  FROM docs""",
     "books": "SELECT * FROM books_all WHERE NOT rcm",
     "portal": "SELECT * FROM portal_all WHERE NOT rcm",
     # exact pass

@@ -145,7 +145,7 @@ FROM (SELECT tier, count(*) AS n, count(*) FILTER (resolved) AS s, count(*) FILT
     "truth_scores": """
 SELECT cls AS exception_class, count(*) AS cases, count(lab) AS labelled, count(*) FILTER (lab = proposed_class) AS correct
 FROM (SELECT t.cls, proposed_class, l.lab FROM traj t LEFT JOIN (SELECT 'P' || id AS key, CASE m WHEN 1 THEN 'MISSING_IN_BOOKS' WHEN 2 THEN 'AMOUNT_MISMATCH'
-  WHEN 3 THEN 'GSTIN_MISMATCH' WHEN 6 THEN 'CREDIT_NOTE_UNLINKED' END AS lab FROM docs WHERE m IN (1,2,3,6)) l
+  WHEN 3 THEN 'GSTIN_MISMATCH' WHEN 6 THEN 'CREDIT_NOTE_UNLINKED' ELSE 'DUPLICATE' END AS lab FROM docs) l
   ON l.key = regexp_extract(t.exception_id, '^E[0-9]+-(.*)$', 1)) GROUP BY cls""",
     "trajectory_summary": """
 SELECT exception_id, cls AS class, array_to_string(probes, ' -> ') AS probes, steps, resolved, 'completed' AS terminated_because,

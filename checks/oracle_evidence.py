@@ -1,6 +1,8 @@
 """Oracles for evidence lookups, findings, traces and precedents."""
 
-from checks.oracle_base import check_char, gstin_key, number_key
+from checks.oracle_base import check_char, gstin_key, gstin_of, number_key
+
+_KNOWN = "(regexp_replace(number, '^CN/', '') || CASE WHEN k % 14 = 0 THEN '/X' ELSE '' END)"
 
 EXTRA = {
     "requests": """
@@ -35,11 +37,11 @@ EXTRA = {
     WHEN TRY_CAST(json_extract_string(good, '$.confidence') AS DOUBLE) IS NULL THEN 'confidence is not a number' ELSE '' END AS failure
   FROM (SELECT *, CASE WHEN body <> '' AND json_valid(body) THEN body END AS good FROM replies)""",
     "precedents": """
-  SELECT 'C1-' || id AS precedent_id, CASE m WHEN 1 THEN 'MISSING_IN_BOOKS' WHEN 2 THEN 'AMOUNT_MISMATCH' WHEN 3 THEN 'GSTIN_MISMATCH'
+  SELECT 'C1-' || id AS precedent_id, CASE k % 4 WHEN 1 THEN 'MISSING_IN_BOOKS' WHEN 2 THEN 'AMOUNT_MISMATCH' WHEN 3 THEN 'GSTIN_MISMATCH'
       ELSE 'CREDIT_NOTE_UNLINKED' END AS cls, gstin, 'invoice ' || number || ' dated ' || day AS summary,
-    CASE WHEN m = 1 THEN 'query_purchase_register -> query_bank_ledger -> query_vendor_master' ELSE 'query_purchase_register' END AS probes,
+    CASE WHEN k % 4 = 1 THEN 'query_purchase_register -> query_bank_ledger -> query_vendor_master' ELSE 'query_purchase_register' END AS probes,
     'settled as order ' || k AS resolution
-  FROM docs WHERE m IN (1,2,3,6) AND k % 5 <> 0""",
+  FROM docs WHERE k % 5 <> 0""",
     "asked": "SELECT DISTINCT cls, supplier_gstin AS gstin FROM exceptions",
     "texts": """
   SELECT 'p' AS side, precedent_id AS id, cls, upper(cls || ' ' || gstin || ' ' || summary) AS t FROM precedents
@@ -83,19 +85,21 @@ SQL = {
         f"CASE WHEN k % 3 = 0 OR k % 97 = 0 THEN {number_key('number')} ELSE '' END", "tax", "1.00", "t.id", "id", "line_ids"),
     "probe_bank": _probe(
         "SELECT payment_id AS id, counterparty_gstin AS g, amount FROM bank", "book_gstin", None,
-        "CASE WHEN k % 4 <> 0 THEN value END", "CASE WHEN k % 5 = 0 THEN 5.00 ELSE 1.00 END", "t.id", "id", "payment_ids"),
+        "CASE WHEN k % 4 <> 0 THEN value + CASE WHEN k % 10 = 9 THEN 5000000 ELSE 0 END END", "CASE WHEN k % 5 = 0 THEN 5.00 ELSE 1.00 END", "t.id", "id", "payment_ids"),
     "probe_prior_2b": "SELECT x.*, (SELECT count(DISTINCT return_period) FROM prior_portal) AS period_count FROM (" + _probe(
         "SELECT line_id AS id, supplier_gstin AS g, n, return_period FROM prior_portal", "gstin",
-        f"CASE WHEN k % 2 = 0 THEN {number_key(chr(39).join(['regexp_replace(number, ', '^CN/', ', ', '', ')']))} ELSE '' END",
+        f"CASE WHEN k % 2 = 0 THEN {number_key(_KNOWN)} ELSE '' END",
         None, "0", "t.return_period, t.id", "id", "line_ids") + ") x",
     "probe_vendor": f"""
 SELECT exception_id, v.gstin IS NOT NULL AS known_vendor, coalesce(legal_name, '') AS legal_name, coalesce(files_late, FALSE) AS files_late,
   coalesce(risk_flag, '') AS risk_flag, formed AS gstin_well_formed, formed AND {check_char('substr(q, 1, 14)')} = substr(q, 15, 1) AS gstin_checksum_valid
 FROM (SELECT *, regexp_matches(q, '^[0-3][0-9][A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]$') AS formed
-  FROM (SELECT exception_id, {gstin_key('book_gstin')} AS q FROM requests)) LEFT JOIN vendors v ON v.gstin = q""",
+  FROM (SELECT exception_id, CASE WHEN k % 50 = 49 THEN body || {check_char('body')} ELSE {gstin_key('book_gstin')} END AS q
+    FROM (SELECT *, {gstin_of('(k + 7000001)')} AS body FROM requests))) LEFT JOIN vendors v ON v.gstin = q""",
     "probe_irn": """
 SELECT exception_id, coalesce(r.irn, '') AS irn, i.status IS NOT NULL AS known, coalesce(i.status, '') AS status,
-  coalesce(i.status = 'CANCELLED', FALSE) AS cancelled FROM requests r LEFT JOIN irn_registry i ON i.irn = r.irn""",
+  coalesce(i.status = 'CANCELLED', FALSE) AS cancelled
+FROM (SELECT exception_id, CASE WHEN k % 7 = 0 THEN 'X' || irn ELSE irn END AS irn FROM requests) r LEFT JOIN irn_registry i ON i.irn = r.irn""",
     "findings_validation": """
 SELECT exception_id, CASE WHEN failure = '' THEN 'DUPLICATE' ELSE '' END AS proposed_class,
   CASE WHEN failure = '' THEN greatest(0.0, least(1.0, TRY_CAST(json_extract_string(good, '$.confidence') AS DOUBLE))) ELSE -1.0 END::DOUBLE AS confidence,

@@ -155,9 +155,9 @@ def truth_scores(spark, sf_dir) -> DataFrame:
     documents = derived._documents(spark, sf_dir)
     planted = {1: "MISSING_IN_BOOKS", 2: "AMOUNT_MISMATCH", 3: "GSTIN_MISMATCH", 6: "CREDIT_NOTE_UNLINKED"}
     label = F.create_map(*[F.lit(x) for pair in planted.items() for x in pair])
-    truth = documents.where(F.col("m").isin(*planted)).select(
+    truth = documents.select(
         F.concat(F.lit("P"), "id").alias("exception_key"),
-        label[F.col("m").cast("int")].alias("exception_class"),
+        F.coalesce(label[F.col("m").cast("int")], F.lit("DUPLICATE")).alias("exception_class"),
     )
     scored = evaluation.score_against_truth(
         trajectories(spark, sf_dir).select("exception_id", "exception_class", "proposed_class"),

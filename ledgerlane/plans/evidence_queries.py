@@ -16,8 +16,15 @@ from ledgerlane.plans.ledger_queries import ledger
 from ledgerlane.sources import derived
 
 
+STRANGER = 7_000_001
+"""Added to an order key, it gives a supplier that no customer is."""
+
+
 def probe_requests(spark, sf_dir) -> DataFrame:
-    """One request of each kind per exception, with and without each filter."""
+    """One request of each kind per exception, with and without each filter.
+
+    Some ask for what the tables do not hold; the tables themselves are whole.
+    """
     k = F.col("k")
     number = F.coalesce("book.invoice_number", "portal.invoice_number")
     value = F.coalesce(
@@ -59,7 +66,7 @@ def probe_bank(spark, sf_dir) -> DataFrame:
     k = F.col("k")
     asked = probe_requests(spark, sf_dir).withColumns(
         {
-            "amount": F.when(k % 4 != 0, F.col("value")),
+            "amount": F.when(k % 4 != 0, F.col("value") + F.when(k % 10 == 9, 5_000_000).otherwise(0)).cast(money.MONEY),
             "tolerance": F.when(k % 5 == 0, F.lit(5)).cast(money.MONEY),
             "gstin": F.col("book_gstin"),
         }
@@ -72,7 +79,9 @@ def probe_bank(spark, sf_dir) -> DataFrame:
 
 
 def probe_vendor(spark, sf_dir) -> DataFrame:
-    asked = probe_requests(spark, sf_dir).withColumn("gstin", F.col("book_gstin"))
+    k = F.col("k")
+    strange = derived.with_supplier_gstin(probe_requests(spark, sf_dir).drop("gstin"), k + STRANGER)
+    asked = strange.withColumn("gstin", F.when(k % 50 == 49, F.col("gstin")).otherwise(F.col("book_gstin")))
     found = evidence.probe_vendor_master(asked, derived.vendors(spark, sf_dir))
     return found.select(
         "exception_id",
@@ -86,7 +95,9 @@ def probe_vendor(spark, sf_dir) -> DataFrame:
 
 
 def probe_prior_2b(spark, sf_dir) -> DataFrame:
-    number = F.when(F.col("k") % 2 == 0, F.regexp_replace("number", "^CN/", ""))
+    k = F.col("k")
+    known = F.regexp_replace("number", "^CN/", "")
+    number = F.when(k % 14 == 0, F.concat(known, F.lit("/X"))).when(k % 2 == 0, known)
     asked = probe_requests(spark, sf_dir).withColumn("invoice_number", number)
     return evidence.probe_prior_2b(asked, derived.prior_portal(spark, sf_dir)).select(
         "exception_id",
@@ -97,9 +108,9 @@ def probe_prior_2b(spark, sf_dir) -> DataFrame:
 
 
 def probe_irn(spark, sf_dir) -> DataFrame:
-    found = evidence.probe_irn_status(
-        probe_requests(spark, sf_dir), derived.irn_registry(spark, sf_dir)
-    )
+    unknown = F.when(F.col("k") % 7 == 0, F.concat(F.lit("X"), "irn")).otherwise(F.col("irn"))
+    asked = probe_requests(spark, sf_dir).withColumn("irn", unknown)
+    found = evidence.probe_irn_status(asked, derived.irn_registry(spark, sf_dir))
     return found.select(
         "exception_id",
         "irn",
@@ -190,19 +201,18 @@ def prompt_dedupe(spark, sf_dir) -> DataFrame:
 
 
 def derived_precedents(spark, sf_dir) -> DataFrame:
-    k, m = F.col("k"), F.col("m")
+    k = F.col("k")
     cls = (
-        F.when(m == 1, "MISSING_IN_BOOKS")
-        .when(m == 2, "AMOUNT_MISMATCH")
-        .when(m == 3, "GSTIN_MISMATCH")
+        F.when(k % 4 == 1, "MISSING_IN_BOOKS")
+        .when(k % 4 == 2, "AMOUNT_MISMATCH")
+        .when(k % 4 == 3, "GSTIN_MISMATCH")
         .otherwise("CREDIT_NOTE_UNLINKED")
     )
     path = F.when(
-        m == 1, F.array(*[F.lit(p) for p in REFERENCE_PROBES["MISSING_IN_BOOKS"]])
+        k % 4 == 1, F.array(*[F.lit(p) for p in REFERENCE_PROBES["MISSING_IN_BOOKS"]])
     ).otherwise(F.array(F.lit("query_purchase_register")))
     return (
         derived._documents(spark, sf_dir)
-        .where(m.isin(1, 2, 3, 6))
         .select(
             F.concat(F.lit("C1-"), "id").alias("precedent_id"),
             cls.alias("exception_class"),

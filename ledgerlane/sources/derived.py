@@ -260,7 +260,7 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     styles = F.array(*[F.lit(s) for s in ("slash", "dash", "plain", "compact")])
     return (
-        with_supplier_gstin(table(spark, sf_dir, "customer").where(c % 50 != 49), c)
+        with_supplier_gstin(table(spark, sf_dir, "customer"), c)
         .select(
             "gstin",
             F.col("c_name").alias("legal_name"),
@@ -277,7 +277,6 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = F.col("taxable") + F.col("tax") + (k % 3) * F.lit("0.60").cast("decimal(4,2)")
     return (
         _documents(spark, sf_dir)
-        .where(k % 5 != 4)
         .select(
             F.concat(F.lit("BP"), "id").alias("payment_id"),
             F.col("gstin").alias("counterparty_gstin"),
@@ -291,7 +290,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def irn_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _documents(spark, sf_dir)
-        .where(F.col("irn").isNotNull() & (F.col("k") % 7 != 0))
+        .where(F.col("irn").isNotNull())
         .select(
             "irn",
             F.when(F.col("m") == 5, F.lit("CANCELLED")).otherwise(F.lit("ACTIVE")).alias("status"),
@@ -300,11 +299,10 @@ def irn_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier-period lines: originals of the referencing credit notes, and other documents."""
+    """Earlier-period lines, one per document."""
     earlier = F.add_months("day", -1)
     return (
         _documents(spark, sf_dir)
-        .where(((F.col("m") == 6) & ~F.col("second")) | (F.col("m") == 20))
         .select(
             F.concat(F.lit("Q"), "id").alias("line_id"),
             F.col("gstin").alias("supplier_gstin"),

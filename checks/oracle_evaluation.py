@@ -118,21 +118,21 @@ FROM (SELECT cycle, count(*) AS exceptions, count(*) FILTER (resolved AND NOT hu
   GROUP BY cycle)""",
     "stp_curve": f"""
 SELECT round(step / 20.0::DOUBLE, 2) AS confidence_floor, round(n::DOUBLE / total, 4) AS straight_through_rate, CASE WHEN n > 0 THEN {r4('s::DOUBLE / n')} END AS precision,
-  CASE WHEN n > 0 THEN {r4(low('s', 'nullif(n, 0)'))} END AS precision_ci_low, n AS n_auto
+  CASE WHEN n > 0 THEN {r4(low('s', 'nullif(n, 0)'))} END AS precision_ci_low, n AS n_auto, '' AS note
 FROM (SELECT step, count(*) AS total, count(*) FILTER (confidence >= step / 20.0::DOUBLE) AS n, count(*) FILTER (confidence >= step / 20.0::DOUBLE AND proposed_class = cls) AS s
-  FROM traj, (SELECT unnest(range(0, 21)) AS step) GROUP BY step)""",
+  FROM traj, (SELECT unnest(range(0, 21)) AS step) WHERE k % 11 <> 0 GROUP BY step)""",
     "trajectory_scores": f"""
 SELECT n AS cases_scored, {r4('s::DOUBLE / n')} AS first_probe_accuracy, {r4(low('s', 'n'))} AS ci_low, {r4(high('s', 'n'))} AS ci_high,
-  round(o, 4) AS mean_reference_overlap, round(e, 3) AS mean_steps_over_reference
+  round(o, 4) AS mean_reference_overlap, round(e, 3) AS mean_steps_over_reference, '' AS note
 FROM (SELECT count(*) AS n, count(*) FILTER (t.probes[1] = p.probes[1]) AS s, avg(len(list_intersect(t.probes, p.probes))::DOUBLE / len(p.probes)) AS o,
-  avg((steps - len(p.probes))::DOUBLE) AS e FROM traj t JOIN playbook p USING (cls) WHERE steps > 0)""",
+  avg((steps - len(p.probes))::DOUBLE) AS e FROM traj t JOIN playbook p USING (cls) WHERE steps > 0 AND k % 11 <> 0)""",
     "consistency": """
 SELECT count(*) AS cases, count(*) FILTER (r > 1) AS unstable_outcome, count(*) FILTER (p > 1) AS unstable_probe_path, count(*) FILTER (a > 1) AS unstable_action,
   round(count(*) FILTER (r > 1)::DOUBLE / count(*), 4) AS unstable_outcome_rate, round(count(*) FILTER (p > 1)::DOUBLE / count(*), 4) AS unstable_probe_path_rate,
-  round(count(*) FILTER (a > 1)::DOUBLE / count(*), 4) AS unstable_action_rate
+  round(count(*) FILTER (a > 1)::DOUBLE / count(*), 4) AS unstable_action_rate, '' AS note
 FROM (SELECT exception_id, count(DISTINCT (k + n) % 7 <> 0) AS r, count(DISTINCT array_to_string(list_slice(probes, 1, (9 - n * (k % 2))::INT), '>')) AS p,
   count(DISTINCT CASE WHEN k % 5 = 0 AND n = 1 THEN 'NONE' ELSE coalesce(proposed_action, 'NONE') END) AS a
-  FROM traj, (SELECT unnest(range(0, 3)) AS n) GROUP BY exception_id)""",
+  FROM traj, (SELECT unnest(range(0, 3)) AS n) WHERE k % 11 <> 0 GROUP BY exception_id)""",
     "groundedness": "SELECT exception_id, share AS grounded_fraction, 2::BIGINT AS claims FROM grounded",
     "tier_summary": f"""
 SELECT tier, n AS cases, s AS resolved, {r4('s::DOUBLE / n')} AS resolved_rate, {r4(low('s', 'n'))} AS resolved_ci_low, {r4(high('s', 'n'))} AS resolved_ci_high,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.fixed_values import REFERENCE_PROBES, TEXT_NOT_MEASURED
+from ledgerlane.fixed_values import REFERENCE_PROBES, TEXT_NOT_MEASURED, TEXT_REPEATS_NOT_MEASURED
 from ledgerlane.functions.statistics import claim_is_grounded, rounded, wilson
 from ledgerlane.operators.policy import route
 from ledgerlane.operators.scale import side_by_side
@@ -157,20 +157,23 @@ def floor_step(confidence: Column, steps: int) -> Column:
     return F.when((guess + 1) / float(steps) <= confidence, guess + 1).otherwise(guess)
 
 
-def straight_through_curve(
-    scored: DataFrame, measured: bool = True, steps: int = 20
-) -> DataFrame:
-    """Rate and precision as the confidence floor moves.
+def measured_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a live provider: those whose column ``measured`` is true. Without the column there are none."""
+    return rows.where(F.col("measured") if "measured" in rows.columns else F.lit(False))
 
-    ``scored``: confidence, correct. Without live measurements there is nothing to report, and
-    the curve is one row that says so.
+
+def straight_through_curve(scored: DataFrame, steps: int = 20) -> DataFrame:
+    """Rate and precision as the confidence floor moves, over the measured cases only.
+
+    ``scored``: confidence, correct, measured. Where nothing was measured there is nothing to report: the
+    curve is one row that says so.
     """
+    scored = measured_rows(scored).select("confidence", "correct")
     columns = ("confidence_floor", "straight_through_rate", "precision", "precision_ci_low")
-    if not measured:
-        row = [F.lit(None).cast("double").alias(name) for name in columns]
-        return scored.sparkSession.range(1).select(
-            *row, F.lit(0).cast("long").alias("n_auto"), F.lit(TEXT_NOT_MEASURED).alias("note")
-        )
+    refusal = scored.agg(F.count(F.lit(1)).alias("n_auto")).where("n_auto = 0").select(
+        *[F.lit(None).cast("double").alias(name) for name in columns],
+        "n_auto", F.lit(TEXT_NOT_MEASURED).alias("note"),
+    )
     shape = scored.groupBy(floor_step(F.col("confidence"), steps).alias("top")).agg(
         F.count(F.lit(1)).alias("cases"), F.count_if("correct").alias("right")
     )
@@ -194,7 +197,7 @@ def straight_through_curve(
         F.when(some, precision["ci_low"]).alias("precision_ci_low"),
         "n_auto",
         F.lit("").alias("note"),
-    )
+    ).unionByName(refusal)
 
 
 def reference_path(exception_class: Column) -> Column:
@@ -208,56 +211,45 @@ def reference_path(exception_class: Column) -> Column:
     return table[exception_class]
 
 
-def trajectory_scores(trajectories: DataFrame, measured: bool = True) -> DataFrame:
-    """First-probe accuracy, overlap with the reference path, steps beyond it."""
-    if not measured:
-        empty = [
-            F.lit(None).cast("double").alias(name)
-            for name in (
-                "first_probe_accuracy",
-                "ci_low",
-                "ci_high",
-                "mean_reference_overlap",
-                "mean_steps_over_reference",
-            )
-        ]
-        return trajectories.sparkSession.range(1).select(
-            F.lit(0).cast("long").alias("cases_scored"), *empty,
-            F.lit(TEXT_NOT_MEASURED).alias("note"),
-        )
+def trajectory_scores(trajectories: DataFrame) -> DataFrame:
+    """First-probe accuracy, overlap with the reference path, steps beyond it, over the measured cases.
+
+    Where nothing was measured all figures are NULL and ``note`` says why.
+    """
+    trajectories = measured_rows(trajectories)
     reference = F.col("reference")
-    scored = trajectories.withColumn("reference", reference_path(F.col("exception_class"))).where(
-        reference.isNotNull() & (F.size("probes") > 0)
-    )
-    summary = scored.agg(
-        F.count(F.lit(1)).alias("cases_scored"),
-        F.count_if(F.col("probes")[0] == reference[0]).alias("first_right"),
-        F.avg(F.size(F.array_intersect("probes", reference)) / F.size(reference)).alias("overlap"),
-        F.avg((F.size("probes") - F.size(reference)).cast("double")).alias("excess"),
+    usable = reference.isNotNull() & (F.size("probes") > 0)
+    summary = trajectories.withColumn("reference", reference_path(F.col("exception_class"))).agg(
+        F.count(F.lit(1)).alias("measured"),
+        F.count_if(usable).alias("cases_scored"),
+        F.count_if(usable & (F.get("probes", F.lit(0)) == reference[0])).alias("first_right"),
+        F.avg(F.when(usable, F.size(F.array_intersect("probes", reference)) / F.size(reference))).alias("overlap"),
+        F.avg(F.when(usable, (F.size("probes") - F.size(reference)).cast("double"))).alias("excess"),
     )
+    some = F.col("cases_scored") > 0
     first = rounded(wilson(F.col("first_right"), F.col("cases_scored")))
     return summary.select(
         "cases_scored",
-        first["point"].alias("first_probe_accuracy"),
-        first["ci_low"].alias("ci_low"),
-        first["ci_high"].alias("ci_high"),
+        F.when(some, first["point"]).alias("first_probe_accuracy"),
+        F.when(some, first["ci_low"]).alias("ci_low"),
+        F.when(some, first["ci_high"]).alias("ci_high"),
         F.round("overlap", 4).alias("mean_reference_overlap"),
         F.round("excess", 3).alias("mean_steps_over_reference"),
-        F.lit("").alias("note"),
+        F.when(F.col("measured") > 0, F.lit("")).otherwise(F.lit(TEXT_NOT_MEASURED)).alias("note"),
     )
 
 
 def consistency(runs: DataFrame) -> DataFrame:
-    """How often repeats of a case disagree (``exception_id, resolved, path, action``).
+    """How often repeats of a case disagree (``exception_id, resolved, path, action, measured``).
 
-    Two different values exist exactly when minimum and maximum differ, so repeats need not be
+    Only measured repeats count: a scripted or replayed answer is always the same. Two different values exist exactly when minimum and maximum differ, so repeats need not be
     collected.
     """
 
     def moved(name: str) -> Column:
         return (F.min(name) != F.max(name)).alias(f"{name}_moved")
 
-    per_case = runs.groupBy("exception_id").agg(
+    per_case = measured_rows(runs).groupBy("exception_id").agg(
         moved("resolved"), moved("path"), moved("action")
     )
     cases = F.col("cases")
@@ -271,7 +263,8 @@ def consistency(runs: DataFrame) -> DataFrame:
         F.count_if("path_moved").alias("unstable_probe_path"),
         F.count_if("action_moved").alias("unstable_action"),
     ).select(
-        "*", share("unstable_outcome"), share("unstable_probe_path"), share("unstable_action")
+        "*", share("unstable_outcome"), share("unstable_probe_path"), share("unstable_action"),
+        F.when(cases > 0, F.lit("")).otherwise(F.lit(TEXT_REPEATS_NOT_MEASURED)).alias("note"),
     )
 
 

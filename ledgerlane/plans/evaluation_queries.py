@@ -44,6 +44,7 @@ def trajectories(spark, sf_dir) -> DataFrame:
         (k % 3000 + 1000).alias("tokens"),
         (k % 100 / 10.0).alias("seconds"),
         F.lit("completed").alias("terminated_because"),
+        (k % 11 != 0).alias("measured"),
     )
 
 
@@ -113,13 +114,13 @@ def memory_curve(spark, sf_dir) -> DataFrame:
 
 def stp_curve(spark, sf_dir) -> DataFrame:
     scored = trajectories(spark, sf_dir).select(
-        "confidence", (F.col("proposed_class") == F.col("exception_class")).alias("correct")
+        "confidence", (F.col("proposed_class") == F.col("exception_class")).alias("correct"), "measured"
     )
-    return evaluation.straight_through_curve(scored).drop("note")
+    return evaluation.straight_through_curve(scored)
 
 
 def trajectory_scores(spark, sf_dir) -> DataFrame:
-    return evaluation.trajectory_scores(trajectories(spark, sf_dir)).drop("note")
+    return evaluation.trajectory_scores(trajectories(spark, sf_dir))
 
 
 def consistency(spark, sf_dir) -> DataFrame:
@@ -127,9 +128,10 @@ def consistency(spark, sf_dir) -> DataFrame:
     repeats = F.explode(F.sequence(F.lit(0), F.lit(2)))
     runs = (
         trajectories(spark, sf_dir)
-        .select("exception_id", "k", "probes", "proposed_action", repeats.alias("n"))
+        .select("exception_id", "k", "probes", "proposed_action", "measured", repeats.alias("n"))
         .select(
             "exception_id",
+            "measured",
             ((k + n) % 7 != 0).alias("resolved"),
             F.array_join(F.slice("probes", 1, 9 - (n * (k % 2)).cast("int")), ">").alias("path"),
             F.when((k % 5 == 0) & (n == 1), F.lit("NONE"))

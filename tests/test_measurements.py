@@ -44,13 +44,22 @@ def test_floor_steps_are_exact(spark):
 
 
 def test_scripted_data_is_not_measured(spark):
-    scored = trajectories(spark).select("confidence", F.lit(True).alias("correct"))
-    row = evaluation.straight_through_curve(scored, measured=False).first()
-    assert row.precision is None and row.n_auto == 0 and row.note.startswith("not measured")
-    row = evaluation.trajectory_scores(trajectories(spark), measured=False).first()
-    assert row.cases_scored == 0 and row.first_probe_accuracy is None
+    """Without the column, or with none that is true, no figure is given."""
+    plain = trajectories(spark)
+    for rows in (plain, plain.withColumn("measured", F.lit(False)), plain.withColumn("measured", F.lit(None).cast("boolean"))):
+        scored = rows.withColumn("correct", F.lit(True))
+        (row,) = evaluation.straight_through_curve(scored).collect()
+        assert row.precision is None and row.n_auto == 0 and row.note.startswith("not measured: requires")
+        (row,) = evaluation.trajectory_scores(rows).collect()
+        assert row.cases_scored == 0 and row.first_probe_accuracy is None and row.note.startswith("not measured")
+    scored = plain.withColumn("correct", F.lit(True)).withColumn("measured", F.lit(True))
     live = evaluation.straight_through_curve(scored).orderBy("confidence_floor").collect()
     assert [r.n_auto for r in live][::5] == [4, 3, 2, 1, 0] and live[-1].precision is None
+    assert {r.note for r in live} == {""} and len(live) == 21
+    some = scored.withColumn("measured", F.col("exception_id") != "E1")
+    assert evaluation.straight_through_curve(some).agg(F.max("n_auto")).first()[0] == 3
+    row = evaluation.trajectory_scores(some).first()
+    assert (row.cases_scored, row.first_probe_accuracy, row.note) == (evaluation.trajectory_scores(scored).first().cases_scored - 1, 0.0, "")
 
 
 def test_tiering_arms(spark):
@@ -68,6 +77,9 @@ def test_consistency_counts_moving_cases(spark):
         "exception_id string, resolved boolean, path string, action string",
     )
     row = evaluation.consistency(runs).first()
+    assert (row.cases, row.unstable_outcome_rate) == (0, None) and row.note.startswith("not measured")
+    row = evaluation.consistency(runs.withColumn("measured", F.lit(True))).first()
+    assert row.note == ""
     assert (row.cases, row.unstable_outcome, row.unstable_probe_path, row.unstable_action) == (2, 1, 1, 1)
 
 

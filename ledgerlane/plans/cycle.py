@@ -2,12 +2,15 @@
 
 The audit table is written before the submission ledger. A run that stops in between leaves a
 recorded decision with an unknown outcome; running again presents the same keys and applies
-nothing twice.
+nothing twice. What is about to be written is noted first, so the steps of every attempt can be read
+afterwards (``cycle_attempts``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -93,20 +96,34 @@ def run_cycle(
     limit: int | None = None,
     approver: str | None = None,
     config: ReconConfig = DEFAULTS,
+    after_write: Callable[[str], None] | None = None,
 ) -> Cycle:
-    """Run a cycle into ``folder`` (``audit`` and ``ledger`` tables)."""
+    """Run a cycle into ``folder`` (``audit`` and ``ledger`` tables).
+
+    It may stop anywhere and be run again with the same arguments. A stored log that begins with the cycle's
+    entries is kept, with what reviews added to it; another one is started anew. ``after_write`` is called
+    with the name of each table once it is written.
+    """
+    spark, attempt = result.exceptions.sparkSession, uuid.uuid4().hex
+    written = after_write or (lambda step: None)
     decisions = cut(decide_all(result, proposals, config, limit))
     cycle = digests.cycle_id(F.lit(taxpayer), F.lit(period), F.lit(config.ruleset_version))
     entries = audit.audit_entries(
         decisions, cycle, F.col("seq") - 1, F.lit(recorded_at), config, approver
     )
-    chained, log = cut(audit.append_chain(entries)), None
+    chained = cut(audit.append_chain(entries))
+    tables.intend(spark, folder, attempt, "audit")
+    log = tables.grown_from(chained, folder)
     while log is None:
-        number, _ = tables.read_audit(chained.sparkSession, folder)
+        number, _ = tables.read_audit(spark, folder)
         log = tables.write_audit(chained, folder, number, anew=True)
+    written("audit")
 
     wanted = submit.to_submissions(policy.submittable(decisions), taxpayer, period, config)
+    tables.intend(spark, folder, attempt, "ledger")
     sent = tables.submit_to_ledger(wanted, folder, config)
+    written("ledger")
+    tables.intend(spark, folder, attempt, "done")
     return Cycle(
         decisions=decisions,
         audit=log,
@@ -116,6 +133,14 @@ def run_cycle(
     )
 
 
+def cycle_attempts(spark, folder: str) -> DataFrame:
+    """Attempts at the cycle in ``folder``: the last step each came to, and whether it ended."""
+    last = F.max_by("step", "place")
+    return tables.read_intents(spark, folder).groupBy("attempt").agg(
+        F.min("place").alias("place"), last.alias("last_step"), (last == "done").alias("ended")
+    )
+
+
 def _recorded(log: DataFrame, judged: DataFrame, config: ReconConfig) -> tuple[DataFrame, DataFrame]:
     """The resolved approvals with their place in the log, and the log with them."""
     resolved = global_index(judged.where("status = 'resolved'"), ["ord"], "place")

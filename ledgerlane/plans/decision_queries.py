@@ -421,6 +421,42 @@ def cycle_outcome(spark, sf_dir) -> DataFrame:
     )
 
 
+class _Stopped(Exception):
+    """A cycle was made to stop."""
+
+
+def cycle_crashes(spark, sf_dir) -> DataFrame:
+    """A cycle that stops after each of its writes, and is run again each time until it ends."""
+    folder = f"{shared_dir(spark)}/crashes-{uuid.uuid4().hex}"
+    result, proposals = ledger(spark, sf_dir)[1], cut(derived_findings(spark, sf_dir).drop("k"))
+    for last in ("audit", "ledger", ""):
+
+        def stop(step: str, last: str = last) -> None:
+            if step == last:
+                raise _Stopped(step)
+
+        try:
+            done = cycle_plan.run_cycle(
+                result, folder, as_of=derived.AS_OF, recorded_at=RECORDED_AT, period=derived.PERIOD,
+                proposals=proposals, approver="J. Rao", after_write=stop,
+            )
+        except _Stopped:
+            continue
+    number, log = tables.read_audit(spark, folder)
+    attempts = cycle_plan.cycle_attempts(spark, folder).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if("ended").alias("ended")
+    )
+    stored = tables.read_ledger(spark, folder).groupBy("idempotency_key").count().agg(
+        F.sum("count").alias("applied"), F.count_if(F.col("count") > 1).alias("duplicates")
+    )
+    sent = done.submissions.agg(
+        F.count_if(submit.took_effect()).alias("applied_last"), F.count_if(~submit.took_effect()).alias("replayed_last")
+    )
+    entries = log.agg(F.count(F.lit(1)).alias("entries")).withColumn("versions", F.lit(number).cast("long"))
+    sound = tables.verify_audit(spark, folder).agg(F.bool_and("intact").alias("intact"))
+    return side_by_side(attempts, stored, sent, entries, sound)
+
+
 def case_text(spark, sf_dir) -> DataFrame:
     return exceptions_with_key(spark, sf_dir).select(
         "exception_id",
@@ -461,6 +497,7 @@ QUERIES = {
     "review_batches": review_batches,
     "review_depth": review_depth,
     "cycle_outcome": cycle_outcome,
+    "cycle_crashes": cycle_crashes,
     "case_text": case_text,
     "playbook_findings": playbook_findings,
 }

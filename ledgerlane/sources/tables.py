@@ -68,6 +68,32 @@ def write_audit(log: DataFrame, folder: str, after: int, anew: bool = False) ->
     return written if done else None
 
 
+def grown_from(log: DataFrame, folder: str) -> DataFrame | None:
+    """The last version of the stored log if it begins with the entries of ``log``, else None."""
+    spark = log.sparkSession
+    _, stored = read_audit(spark, folder)
+    if stored is None:
+        return None
+    tree, wanted = hashtree.build(stored), hashtree.seals(hashtree.build(log))
+    grown = hashtree.verify_growth(hashtree.prove_growth(tree, wanted), wanted, hashtree.seals(tree))
+    return stored if grown.where("NOT grew").isEmpty() else None
+
+
+def intend(spark: SparkSession, folder: str, attempt: str, step: str) -> None:
+    """Note, before it is done, what an attempt at a cycle is about to write."""
+    while True:
+        number, _, _ = commits.live(spark, f"{folder}/intents")
+        if commits.commit(spark, f"{folder}/intents", number + 1, [f"{attempt}/{step}"]):
+            return
+
+
+def read_intents(spark: SparkSession, folder: str) -> DataFrame:
+    """``place, attempt, step`` of everything that was intended, in order."""
+    _, names, _ = commits.live(spark, f"{folder}/intents")
+    rows = [(place, *name.split("/")) for place, name in enumerate(names)]
+    return spark.createDataFrame(rows, "place bigint, attempt string, step string")
+
+
 def verify_audit(spark: SparkSession, folder: str, config: ReconConfig = DEFAULTS) -> DataFrame | None:
     """Per chain of the last version, ``chain_id, entries, intact, message``: its chain, then its seal.
 

@@ -230,8 +230,15 @@ def test_cycle_decides_and_records_everything(spark, finished):
     assert (outcome.replayed, outcome.exactly_once_violations) == (0, 0)
     assert (outcome.days_to_cutoff, outcome.queued_for_human) == (4, done.queue.count())
 
-    again = cycle_plan.run_cycle(result, folder, **arguments).outcome.first()
+    rerun = cycle_plan.run_cycle(result, folder, **arguments)
+    again = rerun.outcome.first()
     assert (again.submitted, again.replayed) == (0, outcome.submitted)
+    # The stored log is the cycle's own, so it is kept; other entries start another.
+    assert tables.read_audit(spark, folder)[0] == 1 and rerun.audit.count() == count
+    attempts = cycle_plan.cycle_attempts(spark, folder).orderBy("place").collect()
+    assert [(r.last_step, r.ended) for r in attempts] == [("done", True)] * 2
+    other = tables.grown_from(audit.append_chain(entries(spark, 3)), folder)
+    assert other is None
     short = cycle_plan.run_cycle(result, folder, limit=20, **arguments)
     assert short.outcome.first().exceptions == 20
 

@@ -116,6 +116,11 @@ FROM weights w WHERE side = 'p' GROUP BY w.id""",
     "precedent_hints": """
 SELECT cls AS exception_class, gstin, string_agg('- ' || summary || ' (probes: ' || probes || '; outcome: ' || resolution || ')', chr(10) ORDER BY place) AS hint
 FROM hits GROUP BY cls, gstin""",
+    "case_briefs": """
+SELECT exception_id, case_text || coalesce(chr(10) || chr(10) || 'Similar cases resolved previously:' || chr(10) || hint, '') AS brief
+FROM case_lines c LEFT JOIN (SELECT cls, gstin,
+    string_agg('- ' || summary || ' (probes: ' || probes || '; outcome: ' || resolution || ')', chr(10) ORDER BY place) AS hint
+  FROM hits GROUP BY cls, gstin) h ON h.cls = c.cls AND h.gstin = c.supplier_gstin""",
     "dense_cosine": """
 SELECT vec_id, round(dot / sqrt(nv * nm), 4) AS cosine FROM (
   SELECT vec_id, sum(x * m) AS dot, sum(x * x) AS nv, sum(m * m) AS nm

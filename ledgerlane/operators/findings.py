@@ -14,8 +14,10 @@ from ledgerlane.fixed_values import (
     PLAYBOOK_ACTIONS,
     REFERENCE_PROBES,
     TEXT_PLAYBOOK_CLAIM,
+    TEXT_SIMILAR_CASES,
 )
 from ledgerlane.functions import digests, money
+from ledgerlane.operators.scale import lookup
 
 EVIDENCE_TYPE = "array<struct<tool_call_id:string,tool_name:string,claim:string>>"
 FINDING_TYPE = (
@@ -61,6 +63,22 @@ def describe_exception() -> Column:
     )
 
 
+def case_briefs(exceptions: DataFrame, hints: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
+    """``exception_id, brief``: what is asked about each exception, with similar cases where there are any.
+
+    ``hints`` (``exception_class, gstin, hint``) has one row per class and supplier. A supplier with very many
+    exceptions meets its few hints by broadcast. A supplier that is NULL or has no hint leaves the case text alone.
+    """
+    cases = exceptions.select(
+        "exception_id", "exception_class", F.col("supplier_gstin").alias("gstin"), describe_exception().alias("text")
+    )
+    similar = F.concat(F.lit(TEXT_SIMILAR_CASES + "\n"), "hint")
+    found = lookup(cases, hints, ["exception_class", "gstin"], "left", config.hot_key_rows)
+    return found.select(
+        "exception_id", F.concat_ws("\n\n", "text", F.when(F.col("hint") != "", similar)).alias("brief")
+    )
+
+
 def call_id(index: Column, tool: Column) -> Column:
     return F.concat(F.lit("tc"), F.format_string("%02d", index), F.lit("-"), tool)
 

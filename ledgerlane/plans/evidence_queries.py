@@ -264,6 +264,11 @@ def precedent_hints(spark, sf_dir) -> DataFrame:
     return precedents.precedent_hint(_hits(spark, sf_dir))
 
 
+def case_briefs(spark, sf_dir) -> DataFrame:
+    """The brief of every exception, with the precedents that its class and supplier find."""
+    return findings.case_briefs(ledger(spark, sf_dir)[1].exceptions, precedent_hints(spark, sf_dir))
+
+
 def dense_cosine(spark, sf_dir) -> DataFrame:
     """Each embedding against the mean vector of its label."""
     vectors = derived.table(spark, sf_dir, "embeddings")
@@ -292,5 +297,6 @@ QUERIES = {
     "hash_embedding": hash_embedding,
     "precedent_top3": precedent_top3,
     "precedent_hints": precedent_hints,
+    "case_briefs": case_briefs,
     "dense_cosine": dense_cosine,
 }

@@ -251,3 +251,19 @@ def test_a_wide_tolerance_costs_no_more(spark):
     wide, narrow = sorted(evidence.probe_bank_ledger(requests, bank).collect())
     assert wide.match_count == 201 and [r.payment_id for r in wide.rows] == [f"P{i:03d}" for i in range(8)]
     assert narrow.match_count == 1 and narrow.rows[0].payment_id == "Q1"
+
+
+def test_briefs_carry_similar_cases(spark):
+    line = "struct<invoice_number:string,invoice_date:date,supplier_gstin:string,taxable:decimal(28,2),total_tax:decimal(28,2),irn:string>"
+    rows = [("E1", "RCM", "g", "d", None, None), ("E2", "RCM", "h", "", None, None), ("E3", "RCM", None, "", None, None),
+            ("E4", "DUPLICATE", "g", "", None, None)]
+    cases = spark.createDataFrame(
+        rows, f"exception_id string, exception_class string, supplier_gstin string, detail string, book {line}, portal {line}"
+    )
+    hints = spark.createDataFrame([("RCM", "g", "- one\n- two"), ("RCM", "h", "")], "exception_class string, gstin string, hint string")
+    rest = "No counterpart in the purchase register.\nNo counterpart in the GSTR-2B."
+    want = {f"E{i}": f"Exception E{i} classified by rules as {r[1]}.\n" + ("d\n" if i == 1 else "") + rest for i, r in enumerate(rows, 1)}
+    want["E1"] += "\n\nSimilar cases resolved previously:\n- one\n- two"
+    for config in (ReconConfig(), ReconConfig(hot_key_rows=1)):
+        got = findings.case_briefs(cases, hints, config).collect()
+        assert len(got) == 4 and {r.exception_id: r.brief for r in got} == want

@@ -21,6 +21,16 @@ EXTRA = {
     CASE WHEN d IS NOT NULL AND m IS NOT NULL THEN d || ' needs day-first, ' || m || ' needs month-first' ELSE coalesce(d, m, '') END AS evidence FROM evidence""",
 }
 
+EXTRA["filed"] = """
+  SELECT * EXCLUDE (source, row_number, n), 'register-' || s || '/' || printf('%05d', (row_number - 2) % n) || CASE WHEN s % 2 = 0 THEN '.xlsx' ELSE '.csv' END AS source,
+    (row_number - 2) // n + 2 AS row_number
+  FROM (SELECT *, ceil(count(*) OVER (PARTITION BY s) / 100000.0)::BIGINT AS n FROM sheet)"""
+"""The same registers dealt over files, each read on its own."""
+
+EXTRA["filed_rows"] = EXTRA["read_rows"].replace("FROM sheet", "FROM filed")
+EXTRA["filed_evidence"] = EXTRA["evidence"].replace("FROM sheet", "FROM filed")
+EXTRA["filed_orders"] = EXTRA["orders_read"].replace("FROM evidence", "FROM filed_evidence")
+
 SQL = {
     "ingest_headers": """
 SELECT DISTINCT source, CASE WHEN s = 4 THEN 'cgst|igst|invoice_date|invoice_number|reverse_charge|taxable'
@@ -44,3 +54,10 @@ SELECT source, refused, seen AS rows_seen, rejected, CASE WHEN refused THEN '' E
 FROM (SELECT o.*, s IN (3, 4, 6) AS refused, coalesce(r.seen, 0) AS seen, coalesce(r.rejected, 0) AS rejected FROM orders_read o
   LEFT JOIN (SELECT s, count(*) AS seen, count(*) FILTER (reason IS NOT NULL) AS rejected FROM read_rows GROUP BY s) r USING (s))""",
 }
+
+SQL["register_files"] = SQL["ingest_lines"].replace("FROM read_rows", "FROM filed_rows")
+SQL["register_files_report"] = (
+    SQL["ingest_report"].replace("FROM orders_read o", "FROM filed_orders o")
+    .replace("SELECT s, count(*) AS seen", "SELECT s, source, count(*) AS seen").replace("FROM read_rows GROUP BY s)", "FROM filed_rows GROUP BY s, source)")
+    .replace("USING (s)", "USING (s, source)")
+)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.config import DEFAULTS
 from ledgerlane.functions import cells as read
 from ledgerlane.operators import ingest
-from ledgerlane.operators.scale import cut, rank_in_group
-from ledgerlane.sources import derived
+from ledgerlane.operators.scale import cut, rank_in_group, shared_dir
+from ledgerlane.sources import derived, registers
 
 HEADINGS = (
     ("Supplier GSTIN", "Invoice No", "Invoice Date", "Taxable Value", "CGST", "SGST", "IGST",
@@ -105,6 +107,39 @@ def loaded(spark, sf_dir) -> ingest.Ingest:
     return _loaded[key]
 
 
+FILE_ROWS = 100_000
+"""Rows at most of a register that is written as one file."""
+
+
+def filed_rows(spark, sf_dir, file_rows: int = FILE_ROWS) -> DataFrame:
+    """The registers dealt over files, workbooks and delimited text in turn; each file has the heading."""
+    rows = cut(sheet_rows(spark, sf_dir))
+    body, place = rows.where("row_number > 1"), F.col("row_number") - 2
+    # One row per register; there are seven.
+    sizes = F.broadcast(body.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("files")))
+    dealt = body.join(sizes, "source").select(
+        "source", (place % F.col("files")).alias("part"), (F.floor(place / F.col("files")) + 2).alias("row_number"), "cells"
+    )
+    headings = rows.where("row_number = 1").join(sizes, "source").select(
+        "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("files") - 1)).alias("part"), "row_number", "cells"
+    )
+    kind = F.when(F.substring("source", -1, 1).cast("int") % 2 == 0, "xlsx").otherwise("csv")
+    name = F.concat("source", F.format_string("/%05d.", "part"), kind)
+    return headings.unionByName(dealt).select(name.alias("source"), "row_number", "cells")
+
+
+def loaded_files(spark, sf_dir, file_rows: int = FILE_ROWS) -> ingest.Ingest:
+    """The registers written as files below the run's folder, read back and loaded; sources as below that folder."""
+    key = ("files", file_rows, *derived.state(spark, sf_dir))
+    if key not in _loaded:
+        folder = f"{shared_dir(spark)}/registers-{uuid.uuid4().hex}"
+        registers.write_registers(filed_rows(spark, sf_dir, file_rows), folder)
+        read_back = registers.read_registers(spark, folder)
+        named = read_back.withColumn("source", F.regexp_extract("source", "([^/]+/[^/]+)$", 1))
+        _loaded[key] = ingest.load_registers(cut(named))
+    return _loaded[key]
+
+
 def forget_runs() -> None:
     _loaded.clear()
 
@@ -144,8 +179,8 @@ def ingest_dates(spark, sf_dir) -> DataFrame:
     ).select("source", F.col("order").alias("date_order"), "evidence")
 
 
-def ingest_lines(spark, sf_dir) -> DataFrame:
-    return loaded(spark, sf_dir).lines.select(
+def _lines(done: ingest.Ingest) -> DataFrame:
+    return done.lines.select(
         "source",
         "line_id",
         "supplier_gstin",
@@ -157,14 +192,9 @@ def ingest_lines(spark, sf_dir) -> DataFrame:
     )
 
 
-def ingest_rejected(spark, sf_dir) -> DataFrame:
-    return loaded(spark, sf_dir).rejected.select("source", "row", "reason")
-
-
-def ingest_report(spark, sf_dir) -> DataFrame:
-    report = loaded(spark, sf_dir).file_report
+def _report(done: ingest.Ingest) -> DataFrame:
     refused = F.col("refusal").isNotNull()
-    return report.select(
+    return done.file_report.select(
         "source",
         refused.alias("refused"),
         F.when(refused, F.lit(0)).otherwise(F.col("rows_seen")).alias("rows_seen"),
@@ -173,6 +203,27 @@ def ingest_report(spark, sf_dir) -> DataFrame:
     )
 
 
+def ingest_lines(spark, sf_dir) -> DataFrame:
+    return _lines(loaded(spark, sf_dir))
+
+
+def ingest_rejected(spark, sf_dir) -> DataFrame:
+    return loaded(spark, sf_dir).rejected.select("source", "row", "reason")
+
+
+def ingest_report(spark, sf_dir) -> DataFrame:
+    return _report(loaded(spark, sf_dir))
+
+
+def register_files(spark, sf_dir, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Lines of the registers read from workbooks and delimited files."""
+    return _lines(loaded_files(spark, sf_dir, file_rows))
+
+
+def register_files_report(spark, sf_dir, file_rows: int = FILE_ROWS) -> DataFrame:
+    return _report(loaded_files(spark, sf_dir, file_rows))
+
+
 QUERIES = {
     "ingest_headers": ingest_headers,
     "ingest_amounts": ingest_amounts,
@@ -180,4 +231,6 @@ QUERIES = {
     "ingest_lines": ingest_lines,
     "ingest_rejected": ingest_rejected,
     "ingest_report": ingest_report,
+    "register_files": register_files,
+    "register_files_report": register_files_report,
 }

@@ -1,206 +1,272 @@
-"""Directories of registers as sheet rows: ``source, row_number, cells, problem``.
+"""Folders of registers as sheet rows: ``source, row_number, cells, problem``.
 
-``source`` is the path of a file, so equal names in two folders stay apart. A file that cannot be
-read as a whole gives one row with row number 0 and its problem; ``load_registers`` refuses it.
+A Python data source, ``register``, reads and writes delimited text and workbooks. Reading streams each
+file in one task, small files several to a task, and is never as large as a file in memory: a register
+larger than a task should handle is split into files outside. ``source`` is the path of a file, so equal
+names in two folders stay apart. A file that cannot be read to its end gives one row with row number 0
+and its problem; ``load_registers`` refuses it.
 
-Delimited text follows one rule at every size. Files are read as lines, wherever Spark splits them.
-Whether a line begins inside a quoted field depends on all lines before it, so each line is a map
-from two states to two states; maps are composed inside a split, then over the splits of a file,
-which gives every line its state and its record number. Only records of several lines are gathered.
+Records count as the standard reader counts them, blank lines included, since line ids carry the row's
+number; Spark's own reader leaves blank lines out.
+
+Paths are local or of any scheme that ``pyarrow.fs`` opens, reachable from every executor.
 """
 
 from __future__ import annotations
 
 import csv
-import re
+import io
+import itertools
+import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ledgerlane.operators.scale import cut
-from ledgerlane.sources.workbooks import workbook_rows
+from ledgerlane.sources import workbooks
 
-SHEET_TYPES = "source string, row_number bigint, cells array<string>, problem string"
+FORMAT = "register"
 TEXT_SUFFIXES = ("csv", "txt")
 WORKBOOK_SUFFIXES = ("xlsx",)
-RECORD_LIMIT = 131_072
-"""Characters at most in a record of several lines; an open quote is found out by it."""
-
-NOT_TEXT = "is not UTF-8 text"
-TOO_LONG = f"has a record over several lines of more than {RECORD_LIMIT} characters: a quote may be open"
-
-_RETURN = re.compile(r"(?<=\r)(?!\n)")
-
-
-def ends_inside(line: str, inside: bool) -> bool:
-    """Whether a line ends inside a quoted field, given whether it begins in one."""
-    at = 0
-    while True:
-        if inside:
-            close = line.find('"', at)
-            if close < 0:
-                return True
-            at = close + 1
-            if line.startswith('"', at):
-                at += 1  # a doubled quote stands for one
-                continue
-            inside = False
-        elif line.startswith('"', at):
-            inside, at = True, at + 1
-            continue
-        # On to the next field: a quote within one is an ordinary letter.
-        comma = line.find(",", at)
-        if comma < 0:
-            return False
-        at = comma + 1
-
-
-def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of a split with the state and the records before and after each, for either beginning."""
-    source = block = None
-    out, into, out_records, into_records, number = False, True, 0, 0, 0
-    for batch in batches:
-        rows = []
-        for path, start, raw in zip(batch["source"], batch["block"], batch["value"]):
-            if (path, start) != (source, block):
-                source, block = path, start
-                out, into, out_records, into_records, number = False, True, 0, 0, 0
-            raw = bytes(raw)
-            if start == 0 and number == 0:
-                raw = raw.removeprefix(b"\xef\xbb\xbf")
-            try:
-                text, problem = raw.decode("utf-8"), None
-            except UnicodeDecodeError:
-                text, problem = "", NOT_TEXT
-            # A lone carriage return ends a line too.
-            for part in _RETURN.split(text + "\n"):
-                before = (out, into)
-                out_records += not out
-                into_records += not into
-                if '"' in part:
-                    out, into = ends_inside(part, out), ends_inside(part, into)
-                rows.append((path, start, number, part, *before, out, into, out_records, into_records, problem))
-                number += 1
-        yield pd.DataFrame(rows, columns=LINE_COLUMNS)
-
-
-LINE_COLUMNS = [
-    "source", "block", "line", "text", "out", "into", "out_after", "into_after", "out_records", "into_records", "problem",
-]
-LINE_TYPES = (
-    "source string, block long, line long, text string, out boolean, into boolean, out_after boolean,"
-    " into_after boolean, out_records long, into_records long, problem string"
-)
-
-
-def _starts(lines: DataFrame) -> DataFrame:
-    """Per split of a file: whether it begins inside a field, and the records begun before it."""
-    last = F.struct("line", "out_after", "into_after", "out_records", "into_records")
-    ends = lines.groupBy("source", "block").agg(F.max(last).alias("e")).select(
-        "source", "block", F.col("e.out_after").alias("a"), F.col("e.into_after").alias("b"),
-        F.col("e.out_records").alias("na"), F.col("e.into_records").alias("nb"),
-    )
-    # A split either decides the state after it (both beginnings end alike), or keeps or swaps it.
-    through = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("source").orderBy("block")
-    swaps = F.sum((F.col("a") & ~F.col("b")).cast("int")).over(through) % 2
-    decided = F.when(F.col("a") == F.col("b"), (F.col("a").cast("int") + F.col("swaps")) % 2)
-    state = (F.coalesce(F.last("decided", True).over(through), F.lit(0)) + F.col("swaps")) % 2
-    known = (
-        ends.withColumn("swaps", swaps).withColumn("decided", decided).withColumn("after", state)
-        .withColumn("inside", F.coalesce(F.lag("after").over(before), F.lit(0)) == 1)
-    )
-    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    records = F.when(F.col("inside"), F.col("nb")).otherwise(F.col("na"))
-    return known.withColumn("n", records).select(
-        "source", "block", "inside", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")
-    )
-
-
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for source, number, text in zip(batch["source"], batch["row_number"], batch["text"]):
-            try:
-                rows.append((source, number, next(csv.reader([text], strict=False), []), None))
-            except csv.Error as error:
-                rows.append((source, 0, [], f"{source} cannot be read: {error}"))
-        yield pd.DataFrame(rows, columns=["source", "row_number", "cells", "problem"])
-
-
-def _suffix(path: str) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-
-
-def _paths(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below ``path``, whatever its name; contents are only read where selected."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+FIELD_LIMIT = 131_072
+"""Characters at most in one field of delimited text; an open quote is found out by it."""
+TASK_BYTES = 128 * 1024 * 1024
+"""Files are read several to a task up to this size; a larger file has a task of its own."""
+BATCH = 10_000
+
+RAW_TYPES = workbooks.RAW_TYPES + ", cells array<string>"
+_RAW = pa.schema([
+    ("source", pa.string()), ("part", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("style", pa.int64()),
+    ("kind", pa.string()), ("text", pa.string()), ("cells", pa.list_(pa.string())),
+])
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path, the path in it, and what comes before that in the whole path."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path), ""
+    store, inner = fs.FileSystem.from_uri(path)
+    return store, inner, path[: path.index(inner)] if inner in path else ""
+
+
+def _suffix(path: str) -> str:
+    return os.path.splitext(path)[1].removeprefix(".").lower()
+
+
+def _text_rows(stream, source: str) -> Iterator[tuple]:
+    """Rows of one delimited file, or its problem at last."""
+    csv.field_size_limit(FIELD_LIMIT)
+    number = 0
+    try:
+        for cells in csv.reader(io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")):
+            number += 1
+            yield "row", number, 0, 0, "", "", cells
+    except UnicodeDecodeError:
+        yield _problem(f"{source} is not UTF-8 text")
+    except csv.Error as error:
+        open_quote = "field larger" in str(error)
+        why = f"has a field of more than {FIELD_LIMIT} characters: a quote may be open" if open_quote else f"cannot be read: {error}"
+        yield _problem(f"{source} {why}")
+    else:
+        if not number:
+            yield _problem(f"{source} has a header and no rows")
+
+
+def _problem(text: str) -> tuple:
+    return "problem", 0, 0, 0, "", text, None
+
+
+def _file_rows(path: str, sheet: str | None) -> Iterator[tuple]:
+    kind = _suffix(path)
+    if kind not in TEXT_SUFFIXES + WORKBOOK_SUFFIXES:
+        known = ", ".join(TEXT_SUFFIXES + WORKBOOK_SUFFIXES)
+        yield _problem(f"{path}: files of type '{kind}' are not read; use {known}")
+        return
+    store, inner, _ = store_of(path)
+    with store.open_input_file(inner) as stream:
+        if kind in TEXT_SUFFIXES:
+            yield from _text_rows(stream, path)
+        else:
+            for row in workbooks.package_rows(stream, path, sheet):
+                yield (*row, None)
+
+
+@dataclass
+class _Files(InputPartition):
+    paths: list[str]
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.sheet = options["path"], options.get("sheetName")
+        kinds = options.get("kinds")
+        self.kinds = kinds.split(",") if kinds else None
+
+    def partitions(self) -> list[InputPartition]:
+        store, inner, before = store_of(self.path)
+        found = store.get_file_info(fs.FileSelector(inner, recursive=True))
+        files = sorted(
+            (before + info.path, info.size or 0)
+            for info in found
+            if info.type == fs.FileType.File
+            and not any(name.startswith(("_", ".")) for name in info.path[len(inner):].split("/"))
+            and (self.kinds is None or _suffix(info.path) in self.kinds)
+        )
+        tasks, size = [], TASK_BYTES
+        for path, length in files:
+            if size + length > TASK_BYTES:
+                tasks.append(_Files([]))
+                size = 0
+            tasks[-1].paths.append(path)
+            size += length
+        return tasks or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            rows = _file_rows(path, self.sheet)
+            while batch := list(itertools.islice(rows, BATCH)):
+                columns = [[path] * len(batch), *map(list, zip(*batch))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RAW)], schema=_RAW)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    attempt: str
+    names: list[str]
+
+
+class _Writer(DataSourceWriter):
+    """Rows ``source, row_number, cells``, each file's in one partition in order, to files named ``source``.
+
+    Each task writes below a folder of its own that readers pass over; the files are moved into place when all tasks
+    are done, so a lost or repeated task leaves nothing half written.
+    """
+
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        store, inner, _ = store_of(self.path)
+        attempt, names = f"_attempt-{uuid.uuid4().hex}", []
+        for name, group in itertools.groupby(rows, key=lambda r: r["source"]):
+            if name in names:
+                raise ValueError(f"rows of {name} do not lie together")
+            target = f"{inner}/{attempt}/{name}"
+            store.create_dir(os.path.dirname(target), recursive=True)
+            with store.open_output_stream(target) as out:
+                numbered = ((r["row_number"], r["cells"]) for r in group)
+                if _suffix(name) in WORKBOOK_SUFFIXES:
+                    workbooks.write_workbook(out, numbered)
+                else:
+                    write_text(out, numbered)
+            names.append(name)
+        return _Written(attempt, names)
+
+    def commit(self, messages: list) -> None:
+        store, inner, _ = store_of(self.path)
+        written = [m for m in messages if m is not None]
+        names = [name for m in written for name in m.names]
+        taken = [i.path for i in store.get_file_info([f"{inner}/{n}" for n in names]) if i.type != fs.FileType.NotFound]
+        if taken or len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError(f"files are there already: {taken[:5]}" if taken else "rows of a file lie in several partitions")
+        for message in written:
+            for name in message.names:
+                store.create_dir(os.path.dirname(f"{inner}/{name}"), recursive=True)
+                store.move(f"{inner}/{message.attempt}/{name}", f"{inner}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        store, inner, _ = store_of(self.path)
+        for message in messages:
+            if message is not None and message.names:
+                store.delete_dir(f"{inner}/{message.attempt}")
+
+
+class RegisterFiles(DataSource):
+    """Options: ``path``; reading also ``sheetName`` (else the first sheet) and ``kinds``, comma-separated suffixes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def schema(self) -> str:
+        return RAW_TYPES
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("registers are only added: use mode append")
+        return _Writer(self.options)
+
+
+def write_text(out, rows: Iterator[tuple[int, list]]) -> None:
+    """Delimited text in UTF-8; rows that are left out become blank lines."""
+    text = io.TextIOWrapper(out, encoding="utf-8", newline="")
+    writer = csv.writer(text, lineterminator="\n")
+    last = 0
+    for number, cells in rows:
+        for _ in range(last + 1, number):
+            text.write("\n")
+        writer.writerow(["" if c is None else c for c in cells])
+        last = number
+    text.flush()
+    text.detach()
+
+
+def _raw(spark: SparkSession, path: str, sheet_name: str | None, kinds: tuple[str, ...]) -> DataFrame:
+    spark.dataSource.register(RegisterFiles)
+    options = {"sheetName": sheet_name, "kinds": ",".join(kinds) or None}
+    reader = spark.read.format(FORMAT)
+    for name, value in options.items():
+        if value is not None:
+            reader = reader.option(name, value)
+    return cut(reader.load(path))
+
+
+def _text_part(raw: DataFrame) -> DataFrame:
+    """Rows of delimited files that were read to their end, and problems of files of any kind."""
+    failed = raw.where("part = 'problem'")
+    rows = raw.where("part = 'row'").select("source", F.col("a").alias("row_number"), "cells")
+    return rows.join(failed.select("source"), "source", "left_anti").withColumn("problem", F.lit(None).cast("string"))
 
 
 def read_register_csv(spark: SparkSession, path: str) -> DataFrame:
     """All ``.csv`` and ``.txt`` below ``path``, in any letter case."""
-    raw = (
-        spark.read.option("pathGlobFilter", "*.{[cC][sS][vV],[tT][xX][tT]}")
-        .option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-        .select(
-            F.col("_metadata.file_path").alias("source"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.col("value").cast("binary").alias("value"),
-        )
-    )
-    return text_rows(raw)
-
-
-def text_rows(raw: DataFrame) -> DataFrame:
-    """Sheet rows of lines ``source, block, value``: a block's lines come in order in one partition."""
-    lines = cut(raw.mapInPandas(_states, LINE_TYPES))
-    placed = lines.join(_starts(lines), ["source", "block"]).select(
-        "source", "block", "line", "text", "problem",
-        F.when(F.col("inside"), F.col("into")).otherwise(F.col("out")).alias("within"),
-        F.when(F.col("inside"), F.col("into_after")).otherwise(F.col("out_after")).alias("open"),
-        (F.col("earlier") + F.when(F.col("inside"), F.col("into_records")).otherwise(F.col("out_records"))).alias("row_number"),
-    )
-    single = placed.where("NOT within AND NOT open").select("source", "row_number", "text")
-    parts = placed.where("within OR open")
-    sizes = parts.groupBy("source", "row_number").agg(F.sum(F.length("text")).alias("size"))
-    long = cut(sizes.where(F.col("size") > RECORD_LIMIT))  # never gathered
-    several = (
-        parts.join(long, ["source", "row_number"], "left_anti")
-        .groupBy("source", "row_number")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "text"))).alias("parts"))
-        .select("source", "row_number", F.array_join("parts.text", "").alias("text"))
-    )
-    read = single.unionByName(several).mapInPandas(_cells, SHEET_TYPES)
-    undecoded = placed.where("problem IS NOT NULL").select("source", F.lit(NOT_TEXT).alias("why"))
-    failed = undecoded.unionByName(long.select("source", F.lit(TOO_LONG).alias("why"))).groupBy("source").agg(F.min("why").alias("why"))
-    problems = failed.select(
-        "source", F.lit(0).cast("long").alias("row_number"), F.array().cast("array<string>").alias("cells"),
-        F.concat("source", F.lit(" "), "why").alias("problem"),
-    )
-    # A row that cannot be parsed refuses its file as well.
-    return read.join(failed.select("source"), "source", "left_anti").unionByName(problems)
+    raw = _raw(spark, path, None, TEXT_SUFFIXES)
+    return _text_part(raw).unionByName(workbooks.problem_rows(raw))
 
 
 def read_register_xlsx(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
     """All ``.xlsx`` below ``path``, in any letter case; the first sheet of each unless one is named."""
-    files = _paths(spark, path).where(_suffix("path").isin(*WORKBOOK_SUFFIXES))
-    return workbook_rows(files.select(F.col("path").alias("source"), "content"), sheet_name)
+    return workbooks.resolved(_raw(spark, path, sheet_name, WORKBOOK_SUFFIXES))
 
 
 def read_registers(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
     """Every file below ``path``: registers as rows, other files as a problem.
 
-    Spark does not list files without a byte; they hold nothing and are not reported.
+    Files and folders whose name begins with ``_`` or ``.`` are passed over.
+    """
+    raw = _raw(spark, path, sheet_name, ())
+    return _text_part(raw).unionByName(workbooks.resolved(raw))
+
+
+def write_registers(rows: DataFrame, path: str) -> None:
+    """Sheet rows to files below ``path``: ``source`` is a file's name, which ends in ``.csv``, ``.txt`` or ``.xlsx``.
+
+    A file is written by one task.
     """
-    known = [*TEXT_SUFFIXES, *WORKBOOK_SUFFIXES]
-    files = _paths(spark, path).select(F.col("path").alias("source"))
-    kind = _suffix("source")
-    why = F.when(~kind.isin(*known), F.concat(F.lit("files of type '"), kind, F.lit("' are not read; use "), F.lit(", ".join(known))))
-    refused = files.withColumn("why", why).where("why IS NOT NULL").select(
-        "source", F.lit(0).cast("long").alias("row_number"), F.array().cast("array<string>").alias("cells"),
-        F.concat("source", F.lit(": "), "why").alias("problem"),
-    )
-    text, books = read_register_csv(spark, path), read_register_xlsx(spark, path, sheet_name)
-    return text.unionByName(books).unionByName(refused)
+    rows.sparkSession.dataSource.register(RegisterFiles)
+    together = rows.select("source", F.col("row_number").cast("long"), F.col("cells").cast("array<string>"))
+    together = together.repartition("source").sortWithinPartitions("source", "row_number")
+    together.write.format(FORMAT).mode("append").save(path)

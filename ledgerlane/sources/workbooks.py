@@ -9,10 +9,15 @@ problem row.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
+import itertools
+import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +108,7 @@ def _book(package: zipfile.ZipFile, source: str, wanted: str | None) -> Iterator
                 seen += 1
         for number, code in custom:
             yield "format", number, 0, 0, "", code
-    part = target.lstrip("/") if target.startswith("/") else "xl/" + target
+    part = posixpath.normpath(posixpath.join("/xl", target)).lstrip("/")
     row = 0
     for _, element in _events(package, part, "row"):
         row = int(element.get("r") or row + 1)
@@ -120,24 +125,28 @@ def _book(package: zipfile.ZipFile, source: str, wanted: str | None) -> Iterator
             yield "cell", row, column, int(cell.get("s", "-1")), kind, value
 
 
+def package_rows(stream, source: str, wanted: str | None) -> Iterator[tuple]:
+    """Raw rows of one package, without its source; its problem comes last."""
+    try:
+        # Some streams refuse, with an error of their own, to look for the end of a very short file.
+        if stream.read(2) != b"PK":
+            raise zipfile.BadZipFile
+        with zipfile.ZipFile(stream) as package:
+            yield from _book(package, source, wanted)
+    except zipfile.BadZipFile:
+        yield "problem", 0, 0, 0, "", f"{source} is not a zip archive, so it is not an .xlsx"
+    except Exception as error:  # noqa: BLE001  whatever is wrong with one file refuses that file
+        told = str(error) if str(error).startswith((source, "no sheet")) else f"{source} is damaged: {type(error).__name__}"
+        yield "problem", 0, 0, 0, "", told
+
+
 def _raw(wanted: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for source, content in zip(batch["source"], batch["content"]):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as package:
-                        for row in _book(package, source, wanted):
-                            rows.append((source, *row))
-                            if len(rows) >= BATCH:
-                                yield pd.DataFrame(rows, columns=_RAW)
-                                rows = []
-                except zipfile.BadZipFile:
-                    rows.append((source, "problem", 0, 0, 0, "", f"{source} is not a zip archive, so it is not an .xlsx"))
-                except Exception as error:  # noqa: BLE001  whatever is wrong with one file refuses that file
-                    told = str(error) if str(error).startswith((source, "no sheet")) else f"{source} is damaged: {type(error).__name__}"
-                    rows.append((source, "problem", 0, 0, 0, "", told))
-                yield pd.DataFrame(rows, columns=_RAW)
+                rows = package_rows(io.BytesIO(bytes(content)), source, wanted)
+                while part := [(source, *row) for row in itertools.islice(rows, BATCH)]:
+                    yield pd.DataFrame(part, columns=_RAW)
 
     return run
 
@@ -152,11 +161,23 @@ def is_date_format(code: Column) -> Column:
 
 
 def workbook_rows(files: DataFrame, sheet: str | None = None) -> DataFrame:
-    """``source, row_number, cells, problem`` of files given as ``source, content``.
+    """``source, row_number, cells, problem`` of files given as ``source, content``."""
+    return resolved(cut(files.mapInPandas(_raw(sheet), RAW_TYPES)))
+
+
+def problem_rows(raw: DataFrame) -> DataFrame:
+    """The row that stands for a file that could not be read."""
+    none = F.array().cast("array<string>")
+    return raw.where("part = 'problem'").select(
+        "source", F.lit(0).cast("long").alias("row_number"), none.alias("cells"), F.col("text").alias("problem")
+    )
+
+
+def resolved(raw: DataFrame) -> DataFrame:
+    """Sheet rows of a written table of raw rows.
 
     Rows run from 1 to the last one with text; rows that a file omits come back empty.
     """
-    raw = cut(files.mapInPandas(_raw(sheet), RAW_TYPES))
 
     def part(name: str, *columns: Column) -> DataFrame:
         return raw.where(F.col("part") == name).select("source", *columns)
@@ -202,5 +223,61 @@ def workbook_rows(files: DataFrame, sheet: str | None = None) -> DataFrame:
         inside.select("source", "row_number", "cells")
         .unionByName(empty.select("source", "row_number", none.alias("cells")))
         .withColumn("problem", F.lit(None).cast("string"))
-        .unionByName(failed.select("source", F.lit(0).cast("long").alias("row_number"), none.alias("cells"), "problem"))
+        .unionByName(problem_rows(raw))
     )
+
+
+# --- writing ------------------------------------------------------------------
+
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_SHEET = "worksheets/sheet1.xml"
+_OTHER_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    f'<Override PartName="/{BOOK}" ContentType="{_TYPE}.sheet.main+xml"/><Override PartName="/xl/{_SHEET}" ContentType="{_TYPE}.worksheet+xml"/>'
+    f'<Override PartName="/{STYLES}" ContentType="{_TYPE}.styles+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="{BOOK}"/></Relationships>',
+    BOOK: f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets><sheet name="Register" sheetId="1" r:id="r1"/></sheets></workbook>',
+    LINKS: f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="{_SHEET}"/>'
+    f'<Relationship Id="r2" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>',
+    STYLES: f'<styleSheet xmlns="{_MAIN}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders>'
+    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14" applyNumberFormat="1"/></cellXfs></styleSheet>',
+}
+
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+_ISO = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+_DAY_ZERO, _FIRST_SURE_DAY = dt.date(1899, 12, 30), dt.date(1900, 3, 1)
+
+
+def _cell_xml(value: str | None) -> str:
+    """A cell; an ISO date is kept as a day number under a date format, as spreadsheet programs keep it."""
+    if not value:
+        return "<c/>"
+    if _ISO.fullmatch(value):
+        try:
+            day = dt.date.fromisoformat(value)
+        except ValueError:
+            day = None
+        if day is not None and day >= _FIRST_SURE_DAY:
+            return f'<c s="1"><v>{(day - _DAY_ZERO).days}</v></c>'
+    if _NOT_XML.search(value):
+        raise ValueError(f"a workbook cannot hold the text {value!r}")
+    # A bare carriage return would come back as a line feed.
+    text = escape(value, {"\r": "&#13;"})
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+
+
+def write_workbook(out, rows: Iterator[tuple[int, list]]) -> None:
+    """One workbook with one sheet of ``row number, cells``, written row by row."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, text in _OTHER_PARTS.items():
+            package.writestr(name, text)
+        with package.open(f"xl/{_SHEET}", "w", force_zip64=True) as part:
+            part.write(f'<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+            for number, cells in rows:
+                if number > MOST_ROWS:
+                    raise ValueError(f"row {number} is beyond the last row")
+                part.write(f'<row r="{number}">{"".join(map(_cell_xml, cells))}</row>'.encode())
+            part.write(b"</sheetData></worksheet>")

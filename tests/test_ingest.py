@@ -138,20 +138,56 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("lines", [1, 2, 1000])
-def test_text_equals_the_standard_reader_wherever_it_is_split(spark, lines):
-    """Blocks of one line, of two, and whole files."""
-    raw = []
+def test_text_equals_the_standard_reader(spark, tmp_path):
     for i, text in enumerate(TEXTS):
-        whole = text.encode().split(b"\n")
-        whole = whole[:-1] if whole[-1] == b"" else whole
-        raw += [(f"t{i}", n - n % lines, bytearray(line)) for n, line in enumerate(whole)]
-    df = spark.createDataFrame(raw, "source string, block long, value binary").coalesce(1)
-    got = registers.text_rows(df).collect()
+        (tmp_path / f"t{i}.csv").write_bytes(text.encode())
+    got = registers.read_register_csv(spark, str(tmp_path)).collect()
     for i, text in enumerate(TEXTS):
-        ended = text if text.endswith("\n") or not text else text + "\n"
-        want = list(enumerate(csv.reader(io.StringIO(ended, newline="")), start=1))
-        assert sorted((r.row_number, r.cells) for r in got if r.source == f"t{i}") == want, text
+        mine = [r for r in got if r.source.endswith(f"/t{i}.csv")]
+        if text:
+            want = list(enumerate(csv.reader(io.StringIO(text, newline="")), start=1))
+            assert sorted((r.row_number, r.cells) for r in mine) == want, text
+        else:
+            assert [r.problem.endswith("has a header and no rows") for r in mine] == [True]
+
+
+def test_written_registers_come_back(spark, tmp_path):
+    cells = [["h", "a,b", 'q"q', "x\ny", "ä ₹", ""], ["2026-06-14", "1899-01-01", "2026-02-31", " sp ", "0.10", "<&>"], [], ["0", None, "z"]]
+    rows = [(name, n, c) for name in ("a/b.csv", "c.XLSX", "d/e/f.txt") for n, c in zip((1, 2, 3, 5), cells)]
+    folder = f"{tmp_path}/out"
+    df = spark.createDataFrame(rows, "source string, row_number long, cells array<string>")
+    registers.write_registers(df, folder)
+    back = registers.read_registers(spark, folder).collect()
+    trim = lambda cells: ",".join(c or "" for c in cells).rstrip(",")
+    want = {n: trim(c) for n, c in zip((1, 2, 3, 4, 5), [cells[0], cells[1], [], [], cells[3]])}
+    for name in ("a/b.csv", "c.XLSX", "d/e/f.txt"):
+        assert {r.row_number: trim(r.cells) for r in back if r.source == f"{folder}/{name}"} == want
+    assert len(back) == 15 and not any(r.problem for r in back)
+    # Only the files are there, and they are not written over.
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["b.csv", "c.XLSX", "f.txt"]
+    with pytest.raises(Exception, match="files are there already"):
+        registers.write_registers(df, folder)
+    with pytest.raises(Exception, match="a workbook cannot hold"):
+        bad = spark.createDataFrame([("x.xlsx", 1, ["\x01"])], df.schema)
+        registers.write_registers(bad, folder)
+    assert {p.name for p in (tmp_path / "out").rglob("*.*") if p.is_file()} >= {"b.csv", "c.XLSX", "f.txt"}
+    assert registers.read_registers(spark, folder).count() == 15
+    named = registers.read_register_xlsx(spark, folder, "None such").collect()
+    assert [r.problem for r in named] == ["no sheet named 'None such'; workbook has: Register"]
+
+
+def test_registers_of_many_files(spark):
+    """The registered queries with small files, against their SQL with the same size."""
+    from checks import compare, oracle_sql
+    from ledgerlane.plans import ingest_queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = compare.connect(sf_dir)
+    for name in ("register_files", "register_files_report"):
+        sql = oracle_sql.oracle_sql()[name].replace("100000.0", "40.0")
+        query = lambda s, d, q=ingest_queries.QUERIES[name]: q(s, d, 40)
+        verdict = compare.compare(spark, con, name, query, sql, sf_dir)
+        assert verdict.startswith("ok"), verdict
 
 
 def load(spark, files, **options):

@@ -5,6 +5,7 @@ from checks import (
     oracle_evaluation,
     oracle_evidence,
     oracle_ingest,
+    oracle_layout,
     oracle_streams,
 )
 from checks.oracle_base import with_ctes
@@ -62,5 +63,5 @@ def oracle_sql():
     return out
 
 
-MODULES = (oracle_decisions, oracle_evidence, oracle_evaluation, oracle_ingest, oracle_streams)
+MODULES = (oracle_decisions, oracle_evidence, oracle_evaluation, oracle_ingest, oracle_layout, oracle_streams)
 EXTRA = {name: text for module in MODULES for name, text in module.EXTRA.items()}

@@ -92,11 +92,14 @@ def precedent_text(exception_class: Column, gstin: Column, summary: Column | Non
     )
 
 
-def add_precedents(incoming: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Confirmed cases not stored yet, one per id, with their vectors."""
+def add_precedents(incoming: DataFrame, existing: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Confirmed cases not stored yet, one per id, with their vectors.
+
+    ``partitions``: where the stored ones are bucketed by id, their buckets, so that they need not move.
+    """
     # Hashing texts is much work for few bytes, so the rows are spread by a stated count; the
     # same exchange serves the uniqueness of ids and the check against stored ones.
-    fresh = fan_out(incoming.where("human_confirmed"), "precedent_id")
+    fresh = fan_out(incoming.where("human_confirmed"), "precedent_id", partitions)
     fresh = fresh.dropDuplicates(["precedent_id"])
     if existing is not None:
         fresh = fresh.join(existing.select("precedent_id"), "precedent_id", "left_anti")

@@ -195,13 +195,13 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def fan_out(df: DataFrame, key: str) -> DataFrame:
+def fan_out(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Spread rows that cost much more to process than to move.
 
     Adaptive execution sizes partitions by bytes and would hand a short table to one task; a
     stated partition count is left alone.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, key)
 
 

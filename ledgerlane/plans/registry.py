@@ -5,6 +5,7 @@ from ledgerlane.plans import (
     evaluation_queries,
     evidence_queries,
     ingest_queries,
+    layout_queries,
     ledger_queries,
     stream_queries,
 )
@@ -15,5 +16,6 @@ QUERIES = {
     **evidence_queries.QUERIES,
     **evaluation_queries.QUERIES,
     **ingest_queries.QUERIES,
+    **layout_queries.QUERIES,
     **stream_queries.QUERIES,
 }

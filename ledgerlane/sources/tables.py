@@ -12,7 +12,8 @@ from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.functions import digests, money
 from ledgerlane.operators import hashtree
 from ledgerlane.operators.audit import CHAIN_TYPES, recorded_text, verify_chain
-from ledgerlane.operators.scale import cut
+from ledgerlane.operators.precedents import add_precedents
+from ledgerlane.operators.scale import broadcast_if_small, cut
 from ledgerlane.operators.submit import LEDGER_TYPES, ledger_rows, submit_once
 from ledgerlane.sources import commits
 
@@ -189,10 +190,84 @@ def read_statement(spark: SparkSession, path: str, taxpayer: str, period: str) -
     )
 
 
+ROWS_A_BUCKET = 4_000_000
+"""Rows of the larger table that one bucket should hold."""
+STATEMENT_KEY = ("supplier_gstin", "invoice_number")
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for a table of so many rows: a power of two, so that tables of different ages still divide evenly."""
+    buckets = 2
+    while buckets * ROWS_A_BUCKET < rows:
+        buckets *= 2
+    return buckets
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, key: tuple[str, ...], buckets: int, partition: str | None = None) -> DataFrame:
+    """Keep a table under a name of the session's catalog, bucketed by ``key``, in folders by ``partition`` if given.
+
+    Tables with equal keys and buckets meet without an exchange. Rows are dealt as buckets are, so every folder has one
+    file a bucket. A key should be fine enough that none holds much of the table: documents, not suppliers.
+    """
+    writer = df.repartition(buckets, *key).write.format("parquet").option("path", path).bucketBy(buckets, *key).sortBy(*key)
+    if partition is not None:
+        writer = writer.partitionBy(partition)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, types: str, key: tuple[str, ...], buckets: int, partition: str | None = None) -> DataFrame:
+    """A table that ``save_bucketed`` wrote, made known to another session."""
+    columns = ", ".join(key)
+    folders = f"PARTITIONED BY ({partition})" if partition else ""
+    spark.sql(
+        f"CREATE TABLE {name} ({types}) USING parquet {folders} CLUSTERED BY ({columns}) SORTED BY ({columns})"
+        f" INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    if partition:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def open_periods(statement: DataFrame, returns: DataFrame) -> DataFrame:
+    """Statement lines of the periods whose return is open. Only their folders are read, found while the query runs.
+
+    ``returns``: return_period, status; a written table with one row a month.
+    """
+    due = broadcast_if_small(returns.where("status = 'open'").select("return_period"), DEFAULTS.broadcast_rows)
+    return statement.join(due, "return_period", "left_semi")
+
+
+def booked_against(lines: DataFrame, books: DataFrame) -> DataFrame:
+    """Statement lines with the register's lines of the same document: how many, the first, and their tax.
+
+    Both bucketed by ``STATEMENT_KEY``: neither grouping nor join moves a row. Suppliers and numbers are compared as written.
+    """
+    booked = books.groupBy(*STATEMENT_KEY).agg(
+        F.count(F.lit(1)).alias("booked"), F.min("line_id").alias("first_book"), F.sum(money.total_tax()).alias("booked_tax")
+    )
+    return lines.join(booked.hint("merge"), list(STATEMENT_KEY), "left").withColumn("booked", F.coalesce("booked", F.lit(0)))
+
+
 def write_precedents(precedents: DataFrame, path: str) -> None:
     precedents.write.mode("append").partitionBy("exception_class").parquet(path)
 
 
+def store_precedents(incoming: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Add confirmed cases to a stored table bucketed by id, laid out by class; ids in it already are passed over.
+
+    Only the incoming cases are moved to meet it. One writer at a time.
+    """
+    spark = incoming.sparkSession
+    existing = spark.table(name) if spark.catalog.tableExists(name) else None
+    fresh = cut(add_precedents(incoming, existing, buckets))
+    if existing is None:
+        return save_bucketed(fresh, name, path, ("precedent_id",), buckets, "exception_class")
+    writer = fresh.select(existing.columns).repartition(buckets, "precedent_id").write.format("parquet").mode("append")
+    writer.partitionBy("exception_class").bucketBy(buckets, "precedent_id").sortBy("precedent_id").saveAsTable(name)
+    return spark.table(name)
+
+
 def read_precedents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -2,15 +2,16 @@
 
 Bytes of every old shard and capacities of the new ones make a transport problem, solved as a
 minimum-cost flow: a byte that stays costs nothing, one that moves costs 1. The flow of each old
-shard cuts its documents, in a fixed order, into blocks; a block goes to one new shard. Documents
-are cut in levels by size, and each finer level evens out what whole documents left uneven.
+shard cuts its documents, in a fixed order, into blocks; a block goes to one new shard. Documents of
+equal text are placed as one. The largest units stay where they are while their shard has room; the
+others are cut in levels by size, and each finer level evens out what whole units left uneven.
 
-Only shard sizes reach the driver: old shards times levels. Positions are running sums over a range
-sort, with one offset per sorted partition.
+Only shard sizes, old shards times levels, and the largest units, fewer than eight a new shard, reach
+the driver. Positions are running sums over a range sort, with one offset per sorted partition.
 
 Defined cases: a NULL text has no bytes and the crc32 of an empty text; a document weighs 8 bytes
-more than its text; equal texts lie next to each other and mostly share a shard; repeated rows are
-rows of their own; an empty table gives an empty placement; extra columns are ignored.
+more than its text; equal texts of one old shard share a new one, unless all together they are larger
+than a shard; repeated rows are rows of their own; an empty table gives an empty placement; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlane.config import DEFAULTS
 from ledgerlane.llm.common import table
-from ledgerlane.operators.scale import cut
+from ledgerlane.operators.scale import cut, lookup, rank_in_group
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
@@ -29,7 +31,7 @@ ROW_BYTES = 8
 """Bytes that a document weighs besides its text."""
 
 LEVELS = (8, 64, 512)
-"""Documents above target / 8, / 64 and / 512 bytes are placed before the rest, in this order."""
+"""Units above target / 8, / 64 and / 512 bytes are placed before the rest, in this order."""
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -142,23 +144,56 @@ def blocks(
     return out
 
 
+UNIT = ["old", "text_crc32", "size"]
+"""What documents of equal text share; few others do, and those go together as well."""
+
+
+def _settle(units: list, goal: float, new_shards: int) -> tuple[list[tuple], list[int]]:
+    """A shard for each of the few large units, largest first: its own while that has room, else the emptiest."""
+    loads, found = [0] * new_shards, []
+    for u in sorted(units, key=lambda u: (-u["total"], u["old"], u["text_crc32"], u["size"])):
+        own = u["old"]
+        stays = own < new_shards and loads[own] + u["total"] <= goal
+        shard = own if stays else min(range(new_shards), key=lambda j: (loads[j], j))
+        loads[shard] += u["total"]
+        found.append((u["old"], u["text_crc32"], u["size"], shard))
+    return found, loads
+
+
 def place(rows: DataFrame, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """The weighed rows with shard and slot: sizes near equal, the fewest bytes moved."""
+    """The weighed rows with shard and slot: sizes near equal, few bytes moved.
+
+    Documents of equal text in one old shard are a unit, which goes to one new shard. Only a group larger than a
+    shard is cut, between its documents.
+    """
     spark = rows.sparkSession
     rows = cut(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    units = cut(rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")))
+    total = units.agg(F.sum("total")).first()[0] or 0
+    over = (F.col("n") > 1) & (F.col("total") * new_shards > total)
+    large = F.col("total") * LEVELS[0] * new_shards > total
+    # Large units are fewer than LEVELS[0] times the shards, whatever the input.
+    settled, loads = _settle(units.where(~over & large).collect(), total / new_shards, new_shards)
+    done = sum(loads)
+
+    weight = F.when(over, F.col("size")).otherwise(F.col("total"))
     level = F.lit(len(LEVELS))
     for k, part in reversed(list(enumerate(LEVELS))):
-        level = F.when(F.col("size") * part * new_shards > total, k).otherwise(level)
-    ordered = cut(
-        running(rows.withColumn("level", level), ["level", "old"], ["text_crc32", "doc_id"], F.col("size"), "before")
-    )
+        level = F.when(weight * part * new_shards > total, k).otherwise(level)
+    left = units.where(over | ~large).withColumn("over", over).withColumn("level", level)
+    ordered = cut(running(left, ["level", "old"], ["text_crc32", "size"], F.col("total"), "before"))
+    # Documents of a group that is cut follow one another from where it begins; there are fewer groups than shards.
+    groups = F.broadcast(ordered.where("over").select(*UNIT, "level", F.col("before").alias("first")))
+    parts = cut(running(rows.join(groups, UNIT), UNIT, ["doc_id"], F.col("size"), "inside")
+                .withColumn("before", F.col("first") + F.col("inside")).drop("first", "inside"))
+
     sizes: dict[int, dict[int, int]] = {}
-    for r in ordered.groupBy("level", "old").agg(F.sum("size").alias("size")).collect():
+    for r in ordered.groupBy("level", "old").agg(F.sum("total").alias("size")).collect():
         sizes.setdefault(r["level"], {})[r["old"]] = r["size"]
-    cuts, done, loads = [], 0, [0] * new_shards
     schema = "level int, old int, start long, stop long, shard int"
-    middle = 2 * F.col("before") + F.col("size")  # twice the middle of a document
+    cuts = []
+    units_middle = 2 * F.col("before") + F.col("total")  # twice the middle
+    parts_middle = 2 * F.col("before") + F.col("size")
     for at in sorted(sizes):
         here = sum(sizes[at].values())
         done += here
@@ -169,13 +204,19 @@ def place(rows: DataFrame, new_shards: int = NEW_SHARDS) -> DataFrame:
             less = min(rooms[k], max(1, excess // new_shards))
             rooms[k] -= less
             excess -= less
-        found = [(at, *b) for b in blocks(sizes[at], rooms, new_shards)]
-        cuts += found
-        mine = _blocked(ordered.where(F.col("level") == at), spark.createDataFrame(found, schema), middle)
-        for r in mine.groupBy("shard").agg(F.sum("size").alias("size")).collect():
+        found = spark.createDataFrame(part := [(at, *b) for b in blocks(sizes[at], rooms, new_shards)], schema)
+        cuts += part
+        mine = _blocked(ordered.where((F.col("level") == at) & ~F.col("over")), found, units_middle).select("shard", "total")
+        cut_up = _blocked(parts.where(F.col("level") == at), found, parts_middle)
+        for r in mine.unionByName(cut_up.select("shard", F.col("size").alias("total"))).groupBy("shard").agg(F.sum("total").alias("size")).collect():
             loads[r["shard"]] += r["size"]
-    placed = _blocked(ordered, spark.createDataFrame(cuts, schema), middle)
-    return running(placed, ["shard"], ["level", "old", "before"], F.lit(1), "slot").drop("level", "before")
+    everywhere = spark.createDataFrame(cuts, schema)
+    whole = _blocked(ordered.where(~F.col("over")), everywhere, units_middle).select(*UNIT, "shard")
+    first = spark.createDataFrame(settled, "old int, text_crc32 long, size long, shard int")
+    # A text may hold a third of the rows and few bytes: such units are looked up by broadcast.
+    placed = lookup(rows, whole.unionByName(first), UNIT, "inner", DEFAULTS.hot_key_rows)
+    placed = placed.unionByName(_blocked(parts, everywhere, parts_middle).select(*rows.columns, "shard"))
+    return running(placed, ["shard"], ["old", "text_crc32", "size", "doc_id"], F.lit(1), "slot")
 
 
 def _blocked(rows: DataFrame, cuts: DataFrame, middle: Column) -> DataFrame:
@@ -186,6 +227,13 @@ def _blocked(rows: DataFrame, cuts: DataFrame, middle: Column) -> DataFrame:
     return rows.join(small, same & within).drop("_level", "_old", "start", "stop")
 
 
+def least_moved(old_sizes: Sequence[int], new_shards: int = NEW_SHARDS) -> int:
+    """Bytes that any move to even shards must take at least, documents aside: one flow over whole shards."""
+    stays = [[0 if i == j else 1 for j in range(new_shards)] for i in range(len(old_sizes))]
+    flow = min_cost_flow(old_sizes, even_parts(sum(old_sizes), new_shards), stays)
+    return sum(units for i, row in enumerate(flow) for j, units in enumerate(row) if i != j)
+
+
 def moves(placed: DataFrame) -> DataFrame:
     """Bytes and rows that go from each old shard to each new one."""
     return placed.groupBy("old", "shard").agg(
@@ -194,20 +242,35 @@ def moves(placed: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the new files of the shards that gain or lose documents; ids must be unique.
+    """Write the new files of the shards that gain or lose documents.
 
-    Files lie below ``shard=N`` in slot order, in pieces of about equal row counts. Returns the
-    shards written.
+    Files lie below ``shard=N`` in slot order, in pieces of about equal row counts; the folder takes the place of
+    a column ``shard`` of the documents. Returns the shards written. ``docs`` must be the rows that were placed; ids may be NULL or repeated, as a document is
+    found by id, text and its number among equals.
     """
     touched = placed.where("old != shard")
     shards = sorted(
         r[0]
         for r in touched.select(F.explode(F.array("old", "shard")).alias("s")).distinct().collect()
     )
-    rows = docs.join(placed.where(F.col("shard").isin(shards)).select("doc_id", "shard", "slot"), "doc_id")
+    octets = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    nested = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.crc32(octets).alias("crc"),
+        (F.octet_length(octets) + ROW_BYTES).cast("long").alias("weight"),
+    )
+    named = rank_in_group(nested, ["id", "crc", "weight"], ["crc"], "nth", DEFAULTS.hot_key_rows)
+    seats = placed.select(
+        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_weight"), "shard", "slot"
+    )
+    seats = rank_in_group(seats, ["_id", "_crc", "_weight"], ["slot"], "_nth", DEFAULTS.hot_key_rows)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    for name in ("crc", "weight", "nth"):
+        same = same & (F.col(name) == F.col(f"_{name}"))
+    rows = named.join(seats.where(F.col("shard").isin(shards)), same).select("row", "shard", "slot")
     (
         rows.repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
+        .select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "shard"], "shard")
         .write.partitionBy("shard")
         .parquet(path)
     )

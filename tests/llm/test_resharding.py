@@ -60,9 +60,39 @@ def test_placement(documents):
     moved = sum(x.size for x in got if x.shard != x.old)
     old = [sum(x.size for x in got if x.old == k) for k in range(16)]
     needed = sum(max(0, s - sum(old) // 6) for s in old[:6]) + sum(old[6:])
+    assert needed == r.least_moved(old, 6)
     assert moved <= needed + 16 * 600
 
 
+def test_equal_texts_go_together(documents):
+    """Groups of copies of all sizes, and one that is larger than a shard."""
+    rows = [(i, prose(i, 10 + i % 60)) for i in range(300)]
+    for g in range(40):
+        rows += [(1000 + 100 * g + c, prose(5000 + g, 20)) for c in range(2 + g)]
+    rows += [(None, ""), (None, None), (7, ""), (7, "")]
+    rows += [(9000 + c, prose(7777, 300)) for c in range(60)]
+    got = placed_rows(documents, rows, 6)
+    assert len(got) == len(rows)
+    homes, weight = {}, {}
+    for x in got:
+        key = (x.text_crc32, x.size)
+        homes.setdefault(key, set()).add(x.shard)
+        weight[key] = weight.get(key, 0) + x.size
+    goal = sum(weight.values()) / 6
+    assert max(weight.values()) > goal
+    assert all(len(homes[k]) == 1 for k in homes if weight[k] <= goal)
+    loads = [sum(x.size for x in got if x.shard == k) for k in range(6)]
+    assert max(loads) <= 1.1 * goal and min(loads) >= 0.9 * goal
+    for k in range(6):
+        assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))
+
+
+def test_large_units_stay_while_there_is_room():
+    units = [{"old": o, "text_crc32": i, "size": s, "total": s} for i, (o, s) in enumerate([(0, 50), (0, 60), (9, 40), (1, 30)])]
+    found, loads = r._settle(units, 100, 3)
+    assert {u[1]: u[3] for u in found} == {1: 0, 0: 1, 2: 2, 3: 1} and loads == [60, 80, 40]
+
+
 def test_one_row_and_no_row(documents):
     (row,) = placed_rows(documents, [(1, None)], 24)
     assert (row.size, row.slot, row.text_crc32) == (8, 0, 0)
@@ -71,10 +101,23 @@ def test_one_row_and_no_row(documents):
 
 def test_rewritten_files_hold_their_documents(documents, tmp_path):
     rows = [(i, prose(i, 20)) for i in range(80)]
-    docs = documents(rows).drop("shard")
+    docs = documents(rows)
     placed = r.place(r.weighed(docs), 4)
     shards = r.rewrite(docs, placed, str(tmp_path / "new"))
     where = {x.doc_id: x.shard for x in placed.collect()}
     got = pq.read_table(tmp_path / "new").to_pylist()
     assert {x["doc_id"]: int(x["shard"]) for x in got} == {i: s for i, s in where.items() if s in shards}
     assert {x["doc_id"]: x["text"] for x in got}.items() <= dict(rows).items()
+
+
+def test_rewritten_rows_with_null_and_repeated_ids(documents, tmp_path):
+    rows = [(None, prose(i, 20)) for i in range(30)] + [(5, prose(i // 2, 20)) for i in range(60)] + [(None, None), (5, ""), (5, "")]
+    docs = documents(rows)
+    placed = r.place(r.weighed(docs), 4)
+    shards = r.rewrite(docs, placed, str(tmp_path / "new"))
+    got = pq.read_table(tmp_path / "new").to_pylist()
+    want = [(x.doc_id, x.text_crc32, x.shard) for x in placed.collect() if x.shard in shards]
+    name = lambda x: tuple(str(v) for v in x)
+    found = [(x["doc_id"], zlib.crc32((x["text"] or "").encode()), int(x["shard"])) for x in got]
+    assert sorted(map(name, found)) == sorted(map(name, want))
+    assert shards == sorted({s for x in placed.collect() if x.old != x.shard for s in (x.old, x.shard)})

@@ -147,20 +147,19 @@ def _split(vector: str) -> dict[str, Column]:
 def posted_pairs(vectors: DataFrame, stored: DataFrame) -> DataFrame:
     """q_id, precedent_id and score of all pairs that share a rare index: a join of postings.
 
-    ``vectors``: exception_class, q_id, q_norm, common, rare. ``stored`` adds precedent_id and norm_squared.
+    ``vectors``: exception_class, q_id, q_norm, common, rare. ``stored`` adds precedent_id and norm_squared. A pair
+    is scored once, where the first index that it shares is met, so pairs are not moved to be added up.
     """
     asked = vectors.select(
-        "exception_class", "q_id", "q_norm", F.col("common").alias("q_common"),
-        F.inline("rare").alias("idx", "q_weight"),
+        "exception_class", "q_id", "q_norm", F.col("common").alias("q_common"), F.col("rare").alias("q_rare"),
+        F.explode("rare.idx").alias("idx"),
     )
     postings = stored.select(
-        "exception_class", "precedent_id", "norm_squared", "common", F.inline("rare").alias("idx", "weight")
+        "exception_class", "precedent_id", "norm_squared", "common", "rare", F.explode("rare.idx").alias("idx")
     )
-    met = postings.join(asked, ["exception_class", "idx"]).groupBy("q_id", "precedent_id").agg(
-        F.sum(F.col("weight") * F.col("q_weight")).alias("dot"),
-        *[F.first(c).alias(c) for c in ("common", "q_common", "norm_squared", "q_norm")],
-    )
-    dot = F.col("dot") + sparse_dot(F.col("q_common"), F.col("common"))
+    shared = F.array_intersect("rare.idx", "q_rare.idx")
+    met = postings.join(asked, ["exception_class", "idx"]).where(F.col("idx") == F.array_min(shared))
+    dot = sparse_dot(F.col("q_rare"), F.col("rare")) + sparse_dot(F.col("q_common"), F.col("common"))
     return met.select("q_id", "precedent_id", sparse_cosine(dot, F.col("q_norm"), F.col("norm_squared")).alias("score"))
 
 
@@ -180,12 +179,15 @@ def common_pairs(vectors: DataFrame, stored: DataFrame, top: int) -> DataFrame:
     vectors = vectors.withColumnRenamed("common", "q_common").select(
         *pattern, "q_id", F.col("rare.idx").alias("q_rare")
     )
+    alike = ["exception_class", "common", "norm_squared"]
     found, depth = None, LIST_ROWS
     while True:
         asked = vectors.select(*pattern).distinct()
-        lists = stored.select(
-            "exception_class", "stored", "precedent_id", "norm_squared", "common", F.col("rare.idx").alias("rare")
-        ).join(asked, "exception_class")
+        # Precedents that agree on these have one score in every pattern: only the first of each kind can be listed.
+        first = F.row_number().over(Window.partitionBy(*alike).orderBy("precedent_id"))
+        lists = stored.select(*alike, "stored", "precedent_id", F.col("rare.idx").alias("rare"))
+        lists = lists.withColumn("first", first).where(F.col("first") <= depth).drop("first")
+        lists = lists.join(asked, "exception_class")
         score = sparse_cosine(sparse_dot(F.col("q_common"), F.col("common")), F.col("q_norm"), F.col("norm_squared"))
         lists = _ranked(lists.withColumn("score", score), pattern, depth).drop("common", "norm_squared", "place")
         met = vectors.join(lists, pattern)
@@ -213,6 +215,10 @@ def search_precedents(
     """
     top = config.precedents_per_query
     asked = cut(_asked(queries))
+    # Read by four steps; their vectors are hashed once.
+    precedents = cut(precedents.select(
+        "exception_class", "precedent_id", "gstin", "summary", "probe_sequence", "resolution", "vector", "norm_squared"
+    ))
     classes = cut(usual_indexes(precedents))
     classes = broadcast_if_small(classes, config.broadcast_rows)
     vectors = asked.select("exception_class", "q_id", "q_vector").distinct().join(classes, "exception_class")

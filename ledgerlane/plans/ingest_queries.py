@@ -84,7 +84,7 @@ def sheet_rows(spark, sf_dir) -> DataFrame:
         name.alias("source"), "k", F.when(k % 47 == 0, blank).otherwise(row).alias("cells")
     )
     numbered = rank_in_group(body, ["source"], ["k"], "place", DEFAULTS.hot_key_rows)
-    sources = numbered.select("source").distinct()
+    sources = body.select("source").distinct()
     table = F.create_map(
         *[
             x

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ledgerlane.operators.scale import cut
+from ledgerlane.config import DEFAULTS
+from ledgerlane.operators.scale import broadcast_if_small, cut, fan_out
 from ledgerlane.sources import workbooks
 
 FORMAT = "register"
@@ -38,12 +39,15 @@ FIELD_LIMIT = 131_072
 """Characters at most in one field of delimited text; an open quote is found out by it."""
 TASK_BYTES = 128 * 1024 * 1024
 """Files are read several to a task up to this size; a larger file has a task of its own."""
-BATCH = 10_000
+PACKED = 8
+"""What a byte of a workbook, which is compressed, counts for against one of delimited text."""
+TASKS_A_CORE = 3
 
 RAW_TYPES = workbooks.RAW_TYPES + ", cells array<string>"
 _RAW = pa.schema([
-    ("source", pa.string()), ("part", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("style", pa.int64()),
-    ("kind", pa.string()), ("text", pa.string()), ("cells", pa.list_(pa.string())),
+    ("source", pa.string()), ("part", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.string()),
+    ("places", pa.list_(pa.int64())), ("styles", pa.list_(pa.int64())), ("kinds", pa.list_(pa.string())),
+    ("texts", pa.list_(pa.string())), ("cells", pa.list_(pa.string())),
 ])
 
 
@@ -68,7 +72,7 @@ def _text_rows(stream, source: str) -> Iterator[tuple]:
     try:
         for cells in csv.reader(io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")):
             number += 1
-            yield "row", number, 0, 0, "", "", cells
+            yield "row", number, 0, "", *workbooks.NO_CELLS, cells
     except UnicodeDecodeError:
         yield _problem(f"{source} is not UTF-8 text")
     except csv.Error as error:
@@ -81,7 +85,7 @@ def _text_rows(stream, source: str) -> Iterator[tuple]:
 
 
 def _problem(text: str) -> tuple:
-    return "problem", 0, 0, 0, "", text, None
+    return "problem", 0, 0, text, *workbooks.NO_CELLS, None
 
 
 def _file_rows(path: str, sheet: str | None) -> Iterator[tuple]:
@@ -109,20 +113,24 @@ class _Reader(DataSourceReader):
         self.path, self.sheet = options["path"], options.get("sheetName")
         kinds = options.get("kinds")
         self.kinds = kinds.split(",") if kinds else None
+        self.cores = int(options.get("cores", "1"))
 
     def partitions(self) -> list[InputPartition]:
         store, inner, before = store_of(self.path)
         found = store.get_file_info(fs.FileSelector(inner, recursive=True))
         files = sorted(
-            (before + info.path, info.size or 0)
+            (before + info.path, (info.size or 0) * (PACKED if _suffix(info.path) in WORKBOOK_SUFFIXES else 1))
             for info in found
             if info.type == fs.FileType.File
             and not any(name.startswith(("_", ".")) for name in info.path[len(inner):].split("/"))
             and (self.kinds is None or _suffix(info.path) in self.kinds)
         )
-        tasks, size = [], TASK_BYTES
+        # Parsing is slow for its bytes: while files are few they are spread over all cores.
+        fair = sum(length for _, length in files) // (TASKS_A_CORE * self.cores)
+        most = min(TASK_BYTES, max(fair, 1))
+        tasks, size = [], None
         for path, length in files:
-            if size + length > TASK_BYTES:
+            if size is None or size + length > most:
                 tasks.append(_Files([]))
                 size = 0
             tasks[-1].paths.append(path)
@@ -131,8 +139,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         for path in partition.paths:
-            rows = _file_rows(path, self.sheet)
-            while batch := list(itertools.islice(rows, BATCH)):
+            for batch in workbooks.in_batches(_file_rows(path, self.sheet)):
                 columns = [[path] * len(batch), *map(list, zip(*batch))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RAW)], schema=_RAW)
 
@@ -192,7 +199,8 @@ class _Writer(DataSourceWriter):
 
 
 class RegisterFiles(DataSource):
-    """Options: ``path``; reading also ``sheetName`` (else the first sheet) and ``kinds``, comma-separated suffixes."""
+    """Options: ``path``; reading also ``sheetName`` (else the first sheet), ``kinds``, comma-separated suffixes, and
+    ``cores``, over which few files are spread."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,7 +234,8 @@ def write_text(out, rows: Iterator[tuple[int, list]]) -> None:
 
 def _raw(spark: SparkSession, path: str, sheet_name: str | None, kinds: tuple[str, ...]) -> DataFrame:
     spark.dataSource.register(RegisterFiles)
-    options = {"sheetName": sheet_name, "kinds": ",".join(kinds) or None}
+    cores = spark.sparkContext.defaultParallelism
+    options = {"sheetName": sheet_name, "kinds": ",".join(kinds) or None, "cores": str(cores)}
     reader = spark.read.format(FORMAT)
     for name, value in options.items():
         if value is not None:
@@ -238,7 +247,8 @@ def _text_part(raw: DataFrame) -> DataFrame:
     """Rows of delimited files that were read to their end, and problems of files of any kind."""
     failed = raw.where("part = 'problem'")
     rows = raw.where("part = 'row'").select("source", F.col("a").alias("row_number"), "cells")
-    return rows.join(failed.select("source"), "source", "left_anti").withColumn("problem", F.lit(None).cast("string"))
+    failed = broadcast_if_small(failed.select("source"), DEFAULTS.broadcast_rows)
+    return rows.join(failed, "source", "left_anti").withColumn("problem", F.lit(None).cast("string"))
 
 
 def read_register_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -268,5 +278,5 @@ def write_registers(rows: DataFrame, path: str) -> None:
     """
     rows.sparkSession.dataSource.register(RegisterFiles)
     together = rows.select("source", F.col("row_number").cast("long"), F.col("cells").cast("array<string>"))
-    together = together.repartition("source").sortWithinPartitions("source", "row_number")
+    together = fan_out(together, "source").sortWithinPartitions("source", "row_number")
     together.write.format(FORMAT).mode("append").save(path)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import datetime as dt
 import io
-import itertools
 import posixpath
 import re
 import zipfile
@@ -23,8 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlane.config import DEFAULTS
 from ledgerlane.functions.cells import excel_serial_to_date, strip
-from ledgerlane.operators.scale import cut
+from ledgerlane.operators.scale import broadcast_if_small, cut
 
 # --- fixed values: part names and built-in date formats of the file type ----
 
@@ -33,10 +33,15 @@ MOST_ROWS, MOST_COLUMNS = 1_048_576, 16_384
 LAST_SERIAL = 2_958_465
 BUILT_IN_DATES = [14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47]
 
-BATCH = 20_000
-RAW_TYPES = "source string, part string, a long, b long, style long, kind string, text string"
-"""``part`` says what a row is: cell (a row, b column), text (a place), format (a id), style (a
-place, b format id), epoch, sheet (a place) or problem."""
+BATCH = 100_000
+"""Cells at most that a task gathers before it hands them on, a single row aside."""
+RAW_TYPES = (
+    "source string, part string, a long, b long, text string, "
+    "places array<long>, styles array<long>, kinds array<string>, texts array<string>"
+)
+"""``part`` says what a row is: cells (a row, and its cells as four arrays), text (a place), format (a id), style (a
+place, b format id), epoch, disorder (rows or cells of the sheet do not ascend) or problem."""
+NO_CELLS = (None, None, None, None)
 
 
 def _local(tag: str) -> str:
@@ -92,10 +97,10 @@ def _book(package: zipfile.ZipFile, source: str, wanted: str | None) -> Iterator
     if wanted is not None and wanted not in sheets:
         raise ValueError(f"no sheet named {wanted!r}; workbook has: {', '.join(sheets)}")
     target = sheets[next(iter(sheets)) if wanted is None else wanted]
-    yield "epoch", 0, 0, 0, "", "1" if epoch in ("1", "true") else "0"
+    yield "epoch", 0, 0, "1" if epoch in ("1", "true") else "0", *NO_CELLS
     if TEXTS in names:
         for at, (_, item) in enumerate(_events(package, TEXTS, "si")):
-            yield "text", at, 0, 0, "", _plain_text(item)
+            yield "text", at, 0, _plain_text(item), *NO_CELLS
     if STYLES in names:
         custom, seen = [], 0
         # Cell styles come as records of the cellXfs element, which ends after them.
@@ -104,25 +109,35 @@ def _book(package: zipfile.ZipFile, source: str, wanted: str | None) -> Iterator
                 custom.append((int(element.get("numFmtId", "0")), element.get("formatCode", "")))
                 continue
             for record in element:
-                yield "style", seen, int(record.get("numFmtId", "0")), 0, "", ""
+                yield "style", seen, int(record.get("numFmtId", "0")), "", *NO_CELLS
                 seen += 1
         for number, code in custom:
-            yield "format", number, 0, 0, "", code
+            yield "format", number, 0, code, *NO_CELLS
     part = posixpath.normpath(posixpath.join("/xl", target)).lstrip("/")
-    row = 0
+    row = last = 0
+    disorder = False
     for _, element in _events(package, part, "row"):
         row = int(element.get("r") or row + 1)
         if not 0 < row <= MOST_ROWS:
             raise ValueError(f"row {row} is beyond the last row")
-        column = -1
+        column, places, styles, kinds, texts = -1, [], [], [], []
         for cell in element:
             if _local(cell.tag) != "c":
                 continue
             column = _place(cell.get("r"), column)
+            disorder |= bool(places) and column <= places[-1]
             kind = cell.get("t", "n")
             holder = "is" if kind == "inlineStr" else "v"
-            value = next((_plain_text(x) for x in cell if _local(x.tag) == holder), "")
-            yield "cell", row, column, int(cell.get("s", "-1")), kind, value
+            places.append(column)
+            styles.append(int(cell.get("s", "-1")))
+            kinds.append(kind)
+            texts.append(next((_plain_text(x) for x in cell if _local(x.tag) == holder), ""))
+        if places:
+            disorder |= row <= last
+            last = row
+            yield "cells", row, 0, "", places, styles, kinds, texts
+    if disorder:
+        yield "disorder", 0, 0, "", *NO_CELLS
 
 
 def package_rows(stream, source: str, wanted: str | None) -> Iterator[tuple]:
@@ -134,10 +149,23 @@ def package_rows(stream, source: str, wanted: str | None) -> Iterator[tuple]:
         with zipfile.ZipFile(stream) as package:
             yield from _book(package, source, wanted)
     except zipfile.BadZipFile:
-        yield "problem", 0, 0, 0, "", f"{source} is not a zip archive, so it is not an .xlsx"
+        yield "problem", 0, 0, f"{source} is not a zip archive, so it is not an .xlsx", *NO_CELLS
     except Exception as error:  # noqa: BLE001  whatever is wrong with one file refuses that file
         told = str(error) if str(error).startswith((source, "no sheet")) else f"{source} is damaged: {type(error).__name__}"
-        yield "problem", 0, 0, 0, "", told
+        yield "problem", 0, 0, told, *NO_CELLS
+
+
+def in_batches(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Raw rows in lists of bounded size; the last field that is an array tells a row's cells."""
+    part, cells = [], 0
+    for row in rows:
+        part.append(row)
+        cells += 1 + len(row[-1] or row[-2] or ())
+        if cells >= BATCH:
+            yield part
+            part, cells = [], 0
+    if part:
+        yield part
 
 
 def _raw(wanted: str | None):
@@ -145,13 +173,13 @@ def _raw(wanted: str | None):
         for batch in batches:
             for source, content in zip(batch["source"], batch["content"]):
                 rows = package_rows(io.BytesIO(bytes(content)), source, wanted)
-                while part := [(source, *row) for row in itertools.islice(rows, BATCH)]:
-                    yield pd.DataFrame(part, columns=_RAW)
+                for part in in_batches(rows):
+                    yield pd.DataFrame([(source, *row) for row in part], columns=_RAW)
 
     return run
 
 
-_RAW = ["source", "part", "a", "b", "style", "kind", "text"]
+_RAW = ["source", "part", "a", "b", "text", "places", "styles", "kinds", "texts"]
 
 
 def is_date_format(code: Column) -> Column:
@@ -176,47 +204,80 @@ def problem_rows(raw: DataFrame) -> DataFrame:
 def resolved(raw: DataFrame) -> DataFrame:
     """Sheet rows of a written table of raw rows.
 
-    Rows run from 1 to the last one with text; rows that a file omits come back empty.
+    Rows run from 1 to the last one with text; rows that a file omits come back empty. A row is resolved where it
+    was read, with what is known about its file; only cells that name a shared text, and files whose rows or
+    cells do not ascend, are taken apart and put together again.
     """
 
     def part(name: str, *columns: Column) -> DataFrame:
         return raw.where(F.col("part") == name).select("source", *columns)
 
-    failed = part("problem", F.col("text").alias("problem"))
-    cells = part("cell", F.col("a").alias("row_number"), F.col("b").alias("place"), "style", "kind", "text")
-    cells = cells.join(failed, "source", "left_anti")  # a file is read whole or not at all
-    texts = part("text", F.col("a").cast("string").alias("ref"), F.col("text").alias("shared"))
+    def few(files: DataFrame) -> DataFrame:
+        return broadcast_if_small(files, DEFAULTS.broadcast_rows)  # one row a file at most
+
+    failed = few(part("problem").distinct())
     custom = part("format", F.col("a").alias("b"), is_date_format(F.col("text")).alias("custom"))
     dated = (
         part("style", F.col("a").alias("style"), "b").join(custom, ["source", "b"], "left")
         .where(F.col("b").isin(*BUILT_IN_DATES) | F.coalesce("custom", F.lit(False)))
-        .select("source", "style", F.lit(True).alias("dated")).distinct()
+        .groupBy("source").agg(F.collect_set("style").alias("dated"))
     )
-    epochs = part("epoch", (F.col("text") == "1").alias("from_1904"))
-    shared = cells.where("kind = 's'").join(
-        texts, (cells["source"] == texts["source"]) & (strip(cells["text"]) == texts["ref"]), "left"
-    ).select(cells["source"], "row_number", "place", F.coalesce("shared", F.lit("")).alias("value"))
-    own = cells.where("kind <> 's'").join(dated, ["source", "style"], "left").join(epochs, "source", "left")
-    text = strip(F.col("text"))
-    serial = F.floor(text.try_cast("double")).cast("int")
-    dates = (F.col("kind") == "n") & F.col("dated") & serial.between(0, LAST_SERIAL)
-    day = F.when(dates, excel_serial_to_date(serial, F.col("from_1904")).cast("string"))
-    own = own.select("source", "row_number", "place", F.when(F.col("kind") == "inlineStr", F.col("text")).otherwise(F.coalesce(day, text)).alias("value"))
-    rows = (
-        shared.unionByName(own).groupBy("source", "row_number", "place").agg(F.max("value").alias("value"))
-        .groupBy("source", "row_number")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("place", "value")))).alias("m"), F.max("place").alias("width"))
+    # Files of one name are read as one, as if their rows did not ascend.
+    known = raw.where(F.col("part").isin("epoch", "disorder")).groupBy("source").agg(
+        F.max((F.col("part") == "epoch") & (F.col("text") == "1")).alias("from_1904"),
+        (F.count(F.lit(1)) > 1).alias("disorder"),
+    ).join(dated, "source", "left")
+    known = few(cut(known.withColumn("dated", F.coalesce("dated", F.array().cast("array<long>")))))
+    sheet = part("cells", F.col("a").alias("row_number"), "places", "styles", "kinds", "texts")
+    sheet = sheet.join(failed, "source", "left_anti").join(known, "source")  # a file is read whole or not at all
+
+    def own_value(style: Column, kind: Column, text: Column) -> Column:
+        bare = strip(text)
+        serial = F.floor(bare.try_cast("double")).cast("int")
+        dates = (kind == "n") & F.array_contains("dated", style) & serial.between(0, LAST_SERIAL)
+        day = F.when(dates, excel_serial_to_date(serial, F.col("from_1904")).cast("string"))
+        return F.when(kind == "inlineStr", text).otherwise(F.coalesce(day, bare))
+
+    apart = F.col("disorder") | F.array_contains("kinds", "s")
+    cell = F.arrays_zip("places", "styles", "kinds", "texts")
+    plain = sheet.where(~apart).select(
+        "source", "row_number", "places",
+        F.transform(cell, lambda c: own_value(c["styles"], c["kinds"], c["texts"])).alias("found"),
     )
-    filled = rows.select(
-        "source", "row_number",
-        F.transform(F.sequence(F.lit(0).cast("long"), "width"), lambda i: F.coalesce(F.col("m")[i], F.lit(""))).alias("cells"),
+    mixed = sheet.where(apart)
+    if not mixed.isEmpty():
+        cells = mixed.select("source", "row_number", "dated", "from_1904", F.inline(cell).alias("place", "style", "kind", "text"))
+        texts = part("text", F.col("a").cast("string").alias("ref"), F.col("text").alias("shared"))
+        shared = cells.where("kind = 's'").join(
+            texts, (cells["source"] == texts["source"]) & (strip(cells["text"]) == texts["ref"]), "left"
+        ).select(cells["source"], "row_number", "place", F.coalesce("shared", F.lit("")).alias("value"))
+        own = cells.where("kind <> 's'").select(
+            "source", "row_number", "place", own_value(F.col("style"), F.col("kind"), F.col("text")).alias("value")
+        )
+        joined = (
+            shared.unionByName(own).groupBy("source", "row_number", "place").agg(F.max("value").alias("value"))
+            .groupBy("source", "row_number").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("m"))
+        )
+        plain = plain.unionByName(joined.select("source", "row_number", F.col("m.place").alias("places"), F.col("m.value").alias("found")))
+    width = F.element_at("places", -1)
+    gapless = F.size("places") == width + 1
+    filled = F.transform(
+        F.sequence(F.lit(0).cast("long"), width),
+        lambda i: F.coalesce(F.get("found", F.array_position("places", i).cast("int") - 1), F.lit("")),
     )
-    filled = filled.withColumn("shown", F.exists("cells", lambda c: strip(c) != ""))
+    same = F.transform("found", lambda v: F.coalesce(v, F.lit("")))
+    rows = cut(plain.select("source", "row_number", F.when(gapless, same).otherwise(filled).alias("cells")))
+    shown = F.exists("cells", lambda c: strip(c) != "")
     # Rows up to the last with text; the gaps before each are empty rows.
+    last = few(cut(rows.where(shown).groupBy("source").agg(F.max("row_number").alias("last"))))
+    inside = rows.join(last, "source").where("row_number <= last")
+    gappy = inside.groupBy("source", "last").agg(F.count(F.lit(1)).alias("held")).where("held < last").select("source")
     kept = Window.partitionBy("source").orderBy("row_number")
-    last = filled.where("shown").groupBy("source").agg(F.max("row_number").alias("last"))
-    inside = filled.join(last, "source").where("row_number <= last")
-    gaps = inside.withColumn("before", F.coalesce(F.lag("row_number").over(kept), F.lit(0))).where("row_number - before > 1")
+    before = F.coalesce(F.lag("row_number").over(kept), F.lit(0))
+    gaps = (
+        inside.select("source", "row_number").join(few(cut(gappy)), "source", "left_semi")
+        .withColumn("before", before).where("row_number - before > 1")
+    )
     empty = gaps.select("source", F.explode(F.sequence(F.col("before") + 1, F.col("row_number") - 1)).alias("row_number"))
     none = F.array().cast("array<string>")
     return (

@@ -250,3 +250,33 @@ def test_caller_may_state_the_date_order(spark):
     done, report = load(spark, files, date_orders={"open": "DAY_FIRST"})
     assert report["open"].refusal is None
     assert done.lines.first().invoice_date == dt.date(2026, 2, 1)
+
+
+def test_few_files_are_spread_over_the_cores(tmp_path):
+    """Twelve small workbooks and texts: no task has them all, whatever their size."""
+    for i in range(12):
+        (tmp_path / f"r{i:02d}.{'csv' if i % 2 else 'xlsx'}").write_bytes(b"x" * 1000)
+    tasks = registers._Reader({"path": str(tmp_path), "cores": "4"}).partitions()
+    assert sorted(p for t in tasks for p in t.paths) == sorted(str(p) for p in tmp_path.iterdir())
+    assert len(tasks) >= 4 and max(len(t.paths) for t in tasks) <= 6
+
+
+def test_a_sheet_row_is_one_raw_row(spark):
+    """Rows come as they stand in the sheet; batches are bounded by cells, not by rows."""
+    content = workbook({"A": xml_rows([["a", "b", "c"]] * 5)})
+    raw = list(workbooks.package_rows(io.BytesIO(content), "b.xlsx", None))
+    assert [r[7] for r in raw if r[0] == "cells"] == [["a", "b", "c"]] * 5
+    wide = [("cells", i, 0, "", [0], [0], ["n"], ["x"] * 60_000) for i in range(4)]
+    assert [len(b) for b in workbooks.in_batches(iter(wide))] == [2, 2]
+
+
+def test_rows_and_cells_out_of_order(spark):
+    """A row that comes twice is one row, a cell that comes twice holds the larger value, and omitted rows are empty."""
+    data = (
+        '<row r="2"><c r="B2" t="str"><v>b</v></c><c r="A2" t="str"><v>a</v></c></row>'
+        '<row r="1"><c r="A1" t="str"><v>x</v></c><c r="A1" t="str"><v>y</v></c></row>'
+        '<row r="2"><c r="D2" t="str"><v>d</v></c></row>'
+        '<row r="5"><c r="B5" t="str"><v>e</v></c></row><row r="6"><c r="A6" t="str"><v> </v></c></row>'
+    )
+    got = grid(spark, workbook({"A": data}))
+    assert got == [(1, ["y"]), (2, ["a", "b", "", "d"]), (3, []), (4, []), (5, ["", "e"])]

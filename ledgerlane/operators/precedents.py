@@ -54,11 +54,21 @@ def norm_squared(vector: Column) -> Column:
 
 
 def dense_weights(vector: Column) -> Column:
-    """The sparse vector as an array of all 256 integer weights."""
-    filled = F.map_from_entries(vector)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(filled[i], F.lit(0))
-    )
+    """The sparse vector as an array of all 256 integer weights; without a vector, of zeros.
+
+    Each entry brings the zeros between it and the one before, so a vector is walked once.
+    """
+
+    def zeros(count: Column) -> Column:
+        return F.array_repeat(F.lit(0), count.cast("int"))
+
+    def stretch(entry: Column, place: Column) -> Column:
+        before = F.coalesce(F.get(vector, place - 1)["idx"], F.lit(-1))
+        return F.concat(zeros(entry["idx"] - before - 1), F.array(entry["weight"]))
+
+    last = F.coalesce(F.get(vector, F.size(vector) - 1)["idx"], F.lit(-1))
+    whole = F.concat(F.flatten(F.transform(vector, stretch)), zeros(F.lit(DIMENSIONS - 1) - last))
+    return F.coalesce(whole, zeros(F.lit(DIMENSIONS)))
 
 
 def sparse_dot(left: Column, right: Column) -> Column:
@@ -92,8 +102,8 @@ def precedent_text(exception_class: Column, gstin: Column, summary: Column | Non
     )
 
 
-def add_precedents(incoming: DataFrame, existing: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """Confirmed cases not stored yet, one per id, with their vectors.
+def new_cases(incoming: DataFrame, existing: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Confirmed cases not stored yet, one per id.
 
     ``partitions``: where the stored ones are bucketed by id, their buckets, so that they need not move.
     """
@@ -103,14 +113,23 @@ def add_precedents(incoming: DataFrame, existing: DataFrame | None = None, parti
     fresh = fresh.dropDuplicates(["precedent_id"])
     if existing is not None:
         fresh = fresh.join(existing.select("precedent_id"), "precedent_id", "left_anti")
+    return fresh
+
+
+def with_vectors(cases: DataFrame) -> DataFrame:
     text = precedent_text(F.col("exception_class"), F.col("gstin"), F.col("summary"))
     return (
-        with_embedding(fresh, text, "vector")
+        with_embedding(cases, text, "vector")
         .withColumn("norm_squared", norm_squared(F.col("vector")))
         .withColumn("weights", dense_weights(F.col("vector")))
     )
 
 
+def add_precedents(incoming: DataFrame, existing: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """``new_cases`` with their vectors."""
+    return with_vectors(new_cases(incoming, existing, partitions))
+
+
 def _asked(queries: DataFrame) -> DataFrame:
     asked = with_embedding(
         queries.select("exception_class", "gstin").distinct(),

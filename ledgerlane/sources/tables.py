@@ -12,8 +12,8 @@ from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.functions import digests, money
 from ledgerlane.operators import hashtree
 from ledgerlane.operators.audit import CHAIN_TYPES, recorded_text, verify_chain
-from ledgerlane.operators.precedents import add_precedents
-from ledgerlane.operators.scale import broadcast_if_small, cut
+from ledgerlane.operators.precedents import new_cases, with_vectors
+from ledgerlane.operators.scale import broadcast_if_small, cut, fan_out
 from ledgerlane.operators.submit import LEDGER_TYPES, ledger_rows, submit_once
 from ledgerlane.sources import commits
 
@@ -260,7 +260,8 @@ def store_precedents(incoming: DataFrame, name: str, path: str, buckets: int) ->
     """
     spark = incoming.sparkSession
     existing = spark.table(name) if spark.catalog.tableExists(name) else None
-    fresh = cut(add_precedents(incoming, existing, buckets))
+    # Buckets are few and large: what is new is spread again to be hashed.
+    fresh = cut(with_vectors(fan_out(new_cases(incoming, existing, buckets), "precedent_id")))
     if existing is None:
         return save_bucketed(fresh, name, path, ("precedent_id",), buckets, "exception_class")
     writer = fresh.select(existing.columns).repartition(buckets, "precedent_id").write.format("parquet").mode("append")

@@ -95,3 +95,36 @@ def test_precedents_are_hashed_once_and_pairs_are_not_added_up(spark):
     assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
     (pair,) = pairs.collect()
     assert abs(pair.score - 20 / (14 * 30) ** 0.5) < 1e-12
+
+
+def test_stored_precedents_are_hashed_in_more_tasks_than_buckets(spark, tmp_path):
+    from ledgerlane.sources import tables
+
+    cases = spark.range(400).select(
+        F.format_string("C%05d", "id").alias("precedent_id"), F.lit("RCM").alias("exception_class"),
+        F.lit("G").alias("gstin"), F.lit("s").alias("summary"), F.lit(True).alias("human_confirmed"),
+    )
+    asked, tasks = precedents.with_embedding, []
+
+    def noted(df, text, name):
+        tasks.append(df.rdd.getNumPartitions())
+        return asked(df, text, name)
+
+    precedents.with_embedding = noted
+    try:
+        name = f"spread_{tmp_path.name.replace('-', '_')}"
+        stored = tables.store_precedents(cases, name, str(tmp_path / "kept"), 2)
+    finally:
+        precedents.with_embedding = asked
+    assert tasks == [4] and stored.count() == 400
+
+
+def test_dense_weights(spark):
+    vectors = [None, [], [(0, 2)], [(255, -1)], [(3, 1), (4, -2), (200, 5)], [(i, i - 100) for i in range(256)]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "n int, v array<struct<idx:int,weight:int>>")
+    for row in df.select("v", precedents.dense_weights(F.col("v")).alias("w")).collect():
+        held = {e.idx: e.weight for e in row.v or []}
+        assert row.w == [held.get(i, 0) for i in range(256)]
+    text = precedents.dense_weights(F.col("v"))
+    plan = df.select(text.alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert "map_from_entries" not in plan  # built anew for each of 256 places

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerlane.config import DEFAULTS, ReconConfig
 from ledgerlane.functions import digests
 from ledgerlane.operators.audit import entry_digest
-from ledgerlane.operators.scale import cut, lookup
+from ledgerlane.operators.scale import broadcast_if_small, cut, lookup
 
 HEIGHT = 10
 
@@ -185,22 +185,29 @@ def _with_ways(tree: HashTree) -> list[DataFrame]:
     return ways
 
 
-def prove(tree: HashTree, nodes: DataFrame) -> DataFrame:
+def _asked(tree: HashTree, nodes: DataFrame, step: int) -> DataFrame:
+    """The asked nodes that lie in blocks of a step, with their block."""
+    rest = F.lit((step + 1) * tree.height) - F.col("level")
+    return nodes.where(F.floor(F.col("level") / tree.height) == step).withColumn("block", _right(F.col("index"), rest))
+
+
+def prove(tree: HashTree, nodes: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
     """``digest`` and ``path`` of the asked nodes (``chain_id, level, index``); level 0 are the entries.
 
-    Nodes that the tree does not have give no row.
+    Nodes that the tree does not have give no row. Blocks of entries that hold no asked node are left out before
+    anything moves: an older seal asks for a few of them, whatever the size of the log.
     """
+    wanted = broadcast_if_small(
+        _asked(tree, nodes, 0).select("chain_id", "block").distinct(), config.broadcast_rows
+    )
+    held = tree.steps[0].join(wanted, ["chain_id", "block"], "left_semi")
     found = None
-    for step, blocks in enumerate(_with_ways(tree)):
+    for step, blocks in enumerate(_with_ways(HashTree([held, *tree.steps[1:]], tree.height))):
         start = F.col("level") - step * tree.height
-        rest = F.lit(tree.height) - start
-        local = _low_bits(F.col("index"), rest)
+        local = _low_bits(F.col("index"), F.lit(tree.height) - start)
         own = F.get(F.get(F.col("levels"), start.cast("int")), local.cast("int"))
-        asked = nodes.where(F.floor(F.col("level") / tree.height) == step).withColumn(
-            "block", _right(F.col("index"), rest)
-        )
         path = F.concat(_beside(F.col("levels"), start, local, tree.height), "above")
-        proved = asked.join(blocks, ["chain_id", "block"]).select(
+        proved = _asked(tree, nodes, step).join(blocks, ["chain_id", "block"]).select(
             "chain_id", "level", "index", own.alias("digest"), path.alias("path")
         ).where("digest IS NOT NULL")
         found = proved if found is None else found.unionByName(proved)
@@ -213,13 +220,13 @@ def prove_entries(tree: HashTree, entries: DataFrame) -> DataFrame:
     return prove(tree, entries.select("chain_id", level, F.col("sequence").cast("long").alias("index")))
 
 
-def prove_growth(tree: HashTree, older: DataFrame) -> DataFrame:
+def prove_growth(tree: HashTree, older: DataFrame, config: ReconConfig = DEFAULTS) -> DataFrame:
     """Proofs for each peak of older seals of the same chains."""
     peaks = older.select("chain_id", "entries", F.explode("peaks").alias("peak"))
     level = F.col("peak.level")
     return prove(tree, peaks.select(
         "chain_id", level.alias("level"), (_right(F.col("entries"), level) - 1).alias("index")
-    ))
+    ), config)
 
 
 def _folded() -> Column:

@@ -178,3 +178,12 @@ def test_a_stored_log_changed_on_disk_is_found(spark, tmp_path):
     number, log = tables.read_audit(spark, folder)
     with pytest.raises(ValueError, match="changed or are gone"):
         tables.write_audit(audit.append_chain(log.drop("previous_digest", "digest")), folder, number)
+
+
+def test_an_older_seal_moves_the_blocks_it_asks_for_only(log, tree, sealed):
+    proofs = hashtree.prove_growth(tree, sealed)
+    plan = proofs._jdf.queryExecution().executedPlan().toString()
+    # Filtered where the blocks are read, so that none but the asked ones are exchanged.
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    spread = hashtree.prove_growth(tree, sealed, ReconConfig(broadcast_rows=0))
+    assert sorted(map(str, spread.collect())) == sorted(map(str, proofs.collect()))

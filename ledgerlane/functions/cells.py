@@ -15,6 +15,7 @@ from ledgerlane.functions.money import MONEY
 
 CURRENCY = r"(?i)[₹$]|\b(?:INR|RS|RS\.)\b"
 STRICT_CURRENCY = r"(?i)[₹$]|\b(?:INR|RS)\b\.?"
+PLAIN_AMOUNT = r"\A[0-9]{1,20}(?:\.[0-9]{1,2})?\z"
 AMOUNT = r"^(-?(?:[0-9]+|[0-9]*\.[0-9]{1,3}))(?:(?<=\.[0-9]{3})[0-9]+)?$"
 DAY_MONTH_YEAR = r"^([0-9]{1,2})\s*[/\-.]\s*([0-9]{1,2})\s*[/\-.]\s*([0-9]{2,4})$"
 ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
@@ -44,7 +45,8 @@ def amount_value(text: Column, strict_currency: bool = False) -> Column:
 
     Parentheses or a trailing minus negate; Dr/Cr is dropped. ``Rs. 500`` loses only ``Rs`` and
     reads as 0.50 unless ``strict_currency`` is set, which takes the point with it. One chain of
-    replacements, each used once, so the generated code stays small.
+    replacements, each used once, so the generated code stays small. Digits without any mark, as most
+    cells have them, need none of it.
     """
     bare = _without_currency(text, strict_currency)
     inner = strip(F.regexp_replace(bare, r"(?s)^\((.*)\)$", "$1"))
@@ -53,7 +55,8 @@ def amount_value(text: Column, strict_currency: bool = False) -> Column:
     digits = F.regexp_replace(unmarked, r"(?U)[,\s]", "")
     value = F.round(F.regexp_extract(digits, AMOUNT, 1).try_cast("decimal(31,3)"), 2)
     negative = bare.rlike(r"(?s)^\(.*\)$|-$")
-    return (value * F.when(negative, -1).otherwise(1)).try_cast(MONEY)
+    marked = (value * F.when(negative, -1).otherwise(1)).try_cast(MONEY)
+    return F.when(text.rlike(PLAIN_AMOUNT), text.try_cast(MONEY)).otherwise(marked)
 
 
 def _without_currency(text: Column, strict_currency: bool) -> Column:

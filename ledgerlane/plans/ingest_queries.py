@@ -80,9 +80,8 @@ def sheet_rows(spark, sf_dir) -> DataFrame:
     )
     blank = F.array(*[F.lit(" ") for _ in range(9)])
     name = F.concat(F.lit("register-"), source.cast("string"))
-    body = docs.select(
-        name.alias("source"), "k", F.when(k % 47 == 0, blank).otherwise(row).alias("cells")
-    )
+    # Counting, sampling and ranking each read the rows; their texts are made once.
+    body = cut(docs.select(name.alias("source"), "k", F.when(k % 47 == 0, blank).otherwise(row).alias("cells")))
     numbered = rank_in_group(body, ["source"], ["k"], "place", DEFAULTS.hot_key_rows)
     sources = body.select("source").distinct()
     table = F.create_map(

@@ -8,10 +8,13 @@ from decimal import Decimal
 from xml.sax.saxutils import escape
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlane.config import ReconConfig
+from ledgerlane.functions import cells
 from ledgerlane.operators import ingest
 from ledgerlane.operators.scale import cut
+from ledgerlane.plans import ingest_queries
 from ledgerlane.sources import registers, workbooks
 
 HEADERS = ["Supplier GSTIN", "Invoice No", "Invoice Date", "Taxable Value", "CGST", "SGST", "IGST", "Reverse Charge"]
@@ -280,3 +283,20 @@ def test_rows_and_cells_out_of_order(spark):
     )
     got = grid(spark, workbook({"A": data}))
     assert got == [(1, ["y"]), (2, ["a", "b", "", "d"]), (3, []), (4, []), (5, ["", "e"])]
+
+
+def test_sheet_rows_are_made_once(spark, tmp_path):
+    rows = [(k, k % 9, float(k), dt.datetime(1998, 1, 1 + k % 28)) for k in range(90)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    made = ingest_queries.sheet_rows(spark, str(tmp_path))
+    # Whatever reads the rows reads their written texts, not the orders again.
+    assert "o_totalprice" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.where("row_number > 1").count() == 90
+
+
+@pytest.mark.parametrize("text", ["0", "007", "12.5", "12.34", "1" * 20, "12.345", "12\n", " 12", "-3", "1,200.50", "²"])
+def test_plain_amounts_read_as_marked_ones(spark, text):
+    cells_of = spark.createDataFrame([(text, f"₹ {text}")], "plain string, marked string")
+    plain, marked = cells_of.select(cells.amount_value(F.col("plain")), cells.amount_value(F.col("marked"))).first()
+    assert plain == marked

@@ -253,6 +253,35 @@ def test_a_wide_tolerance_costs_no_more(spark):
     assert narrow.match_count == 1 and narrow.rows[0].payment_id == "Q1"
 
 
+def test_rows_that_nobody_asks_for_do_not_move(spark, monkeypatch):
+    """Of 4,000 lines of 400 suppliers, what three requests cannot meet is dropped before anything is summarised."""
+    books = spark.range(4000).select(
+        F.format_string("B%05d", "id").alias("line_id"),
+        F.concat(F.lit("G"), F.col("id") % 400).alias("supplier_gstin"),
+        F.concat(F.lit("INV/"), "id").alias("invoice_number"),
+        F.lit(None).cast("date").alias("invoice_date"),
+        F.col("id").cast("decimal(28,2)").alias("igst"),
+        *[F.lit(0).cast("decimal(28,2)").alias(c) for c in ("taxable", "cgst", "sgst", "cess")],
+        F.lit("INVOICE").alias("kind"), F.lit(False).alias("reverse_charge"),
+        *[F.lit(None).cast("string").alias(c) for c in ("irn", "original_invoice_number")],
+    )
+    requests = spark.createDataFrame(
+        [("E1", "c", "G7", None, None), ("E2", "c", "G7", "INV/407", None), ("E3", "c", "G9", None, Decimal("409.00"))],
+        "exception_id string, call_id string, gstin string, invoice_number string, amount decimal(28,2)",
+    )
+    taken, summarise = [], evidence.summarise
+
+    def counted(rows, *more):
+        taken.append(rows.count())
+        return summarise(rows, *more)
+
+    monkeypatch.setattr(evidence, "summarise", counted)
+    got = {r.exception_id: (r.match_count, [x.line_id for x in r.rows])
+           for r in evidence.probe_purchase_register(requests, prepare_side(books)).collect()}
+    assert got == {"E1": (10, [f"B{i:05d}" for i in range(7, 3207, 400)]), "E2": (1, ["B00407"]), "E3": (1, ["B00409"])}
+    assert len(taken) == 3 and sum(taken) < 40
+
+
 def test_briefs_carry_similar_cases(spark):
     line = "struct<invoice_number:string,invoice_date:date,supplier_gstin:string,taxable:decimal(28,2),total_tax:decimal(28,2),irn:string>"
     rows = [("E1", "RCM", "g", "d", None, None), ("E2", "RCM", "h", "", None, None), ("E3", "RCM", None, "", None, None),

@@ -8,10 +8,12 @@ reached through it. That pass takes all it counts for proposals at once, so it c
 that is counted in neither pass has a part that is in neither, or that is not frequent. So no frequent phrase
 is missed, whatever the sample.
 
-Passes count 64-bit names of phrases; equal names only raise a count, so what they call frequent holds
-all that is. A last pass counts those phrases by their words, and its counts alone are results. Which
-phrases are proposals is asked of a filter of at most 16 MB: it lets some others through, which are then
-counted too, and beyond some 10 million proposals it saves less work, but no phrase is lost by it.
+Passes count names of phrases: 64 bits and 20 more, so that two phrases of a table of billions are one by
+chance with a probability of some 1 in 100,000,000. With its count each name keeps the mark of one document that
+holds it, and a last pass spells a frequent phrase out only where it meets that mark: a phrase that every task
+meets is not sent by every task. Which phrases are proposals, and which marks theirs, is asked of filters of at
+most 16 MB: they let some others through, which are then counted or spelled too, and beyond some 10 million
+proposals they save less work, but no phrase is lost by them.
 
 Defined cases: a NULL text counts as empty, a NULL lang as ``und``; texts without words add nothing; equal
 rows count as often as they stand there; ids and extra columns are ignored (NULL or repeated ids too);
@@ -52,7 +54,13 @@ BLOCK_WORDS = 1 << 20
 """Words counted together in a task before anything is sent."""
 
 HELD_PHRASES = 300_000
-"""Phrases that a task adds up before it sends them."""
+"""Phrases that a task remembers as sent before it starts anew."""
+
+MORE_BITS = 20
+"""Bits of a phrase's name beyond the first 64."""
+
+MARKS = 1 << 15
+"""Marks of documents; documents may share one."""
 
 SLICE = 1 << 20
 FILTER_BITS = (16, 27)
@@ -93,59 +101,76 @@ class Windows:
     def __init__(self, longest: int, keep_words: bool):
         self.ahead, self.keep_words, self.known = longest - 1, keep_words, WordHashes()
         self.words: list[bytes] = []
-        self.hashes, self.langs, self.held = [], [], 0
+        self.hashes, self.langs, self.marks, self.held = [], [], [], 0
         self.names: list[str] = []
 
     def blocks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        """Hashes, langs, words of each block and how many of them start runs of it.
+        """Hashes, langs, marks, words of each block and how many of them start runs of it.
 
         The last words of a block start runs of the next one, so texts may lie in many blocks.
         """
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
+            for lang, text, mark in zip(batch["lang"], batch["text"], batch["mark"]):
                 if lang not in self.names:
                     self.names.append(lang)
                 for words in words_of(text):
-                    self._add(self.names.index(lang), words)
+                    self._add(self.names.index(lang), mark, words)
                     if self.held >= BLOCK_WORDS:
                         yield self._block(self.ahead)
         if self.held:
             yield self._block(0)
 
-    def _add(self, lang: int, words: list[bytes]) -> None:
+    def _add(self, lang: int, mark: int, words: list[bytes]) -> None:
         self.hashes.append(np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words)))
         self.langs.append(np.full(len(words), lang, dtype=np.int32))
+        self.marks.append(np.full(len(words), mark, dtype=np.int32))
         if self.keep_words:
             self.words += words
         self.held += len(words)
 
     def _block(self, ahead: int) -> tuple:
-        hashes, langs, words = np.concatenate(self.hashes), np.concatenate(self.langs), self.words
+        hashes, langs, marks, words = *map(np.concatenate, (self.hashes, self.langs, self.marks)), self.words
         starts = len(hashes) - ahead
-        self.hashes, self.langs, self.words = [hashes[starts:]], [langs[starts:]], words[starts:]
+        self.hashes, self.langs, self.marks, self.words = [hashes[starts:]], [langs[starts:]], [marks[starts:]], words[starts:]
         self.held = ahead
-        return hashes, langs, words, starts
+        return hashes, langs, marks, words, starts
 
 
 _BREAK = np.uint64(xxhash.xxh64_intdigest(_END))
+_MORE_PLACES = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
+"""Other odd factors for the places, for the bits beyond the first 64."""
 
 
 def runs(
     hashes: np.ndarray, langs: np.ndarray, seeds: np.ndarray, longest: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For k = 1, 2, ...: k, the names of the runs of k words, and which runs lie within one piece.
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1, 2, ...: k, the names of the runs of k words, their tags, and which runs lie within one piece.
 
-    One lang's run and another's have different names. A text ends with a break, so no run leaves it.
+    A tag is k and the bits of the name beyond the first 64. One lang's run and another's have different
+    names. A text ends with a break, so no run leaves it.
     """
-    total = seeds[langs]
+    total = more = seeds[langs]
     inside = np.ones(len(hashes), dtype=bool)
     for k in range(1, longest + 1):
         size = len(hashes) - k + 1
         if size <= 0:
             return
         total = total[:size] + hashes[k - 1 :] * _PLACES[k - 1]
+        more = more[:size] + hashes[k - 1 :] * _MORE_PLACES[k - 1]
         inside = inside[:size] & (hashes[k - 1 :] != _BREAK)
-        yield k, mix(total + np.uint64(k)), inside
+        tags = (more >> np.uint64(64 - MORE_BITS)).astype(np.int32) * 8 + k
+        yield k, mix(total + np.uint64(k)), tags, inside
+
+
+def distinct(names: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct (name, tag) first stands, and how often it does; a name whose tags differ may
+    be listed in several parts, whose counts add up."""
+    order = np.argsort(names, kind="stable")
+    sorted_names, sorted_tags = names[order], tags[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (sorted_names[1:] != sorted_names[:-1]) | (sorted_tags[1:] != sorted_tags[:-1])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
 
 def reached(level, k: int, names: np.ndarray, inside: np.ndarray, bits: np.ndarray | None):
@@ -171,9 +196,9 @@ def _counting(before, now, levels: range, longest: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         old, new = before and before.value, now and now.value
         windows = Windows(longest, False)
-        for hashes, langs, _, starts in windows.blocks(batches):
+        for hashes, langs, marks, _, starts in windows.blocks(batches):
             was = through = None
-            for k, names, inside in runs(hashes, langs, _seeds(windows.names), longest):
+            for k, names, tags, inside in runs(hashes, langs, _seeds(windows.names), longest):
                 fresh, through = reached(through, k, names, inside, new)
                 if before is not None:
                     done, was = reached(was, k, names, inside, old)
@@ -181,21 +206,29 @@ def _counting(before, now, levels: range, longest: int):
                     through = through | fresh
                 if k in levels:
                     at = np.flatnonzero(fresh[:starts])
-                    keys, first, n = np.unique(names[at], return_index=True, return_counts=True)
-                    known = through[at[first]]
-                    yield pd.DataFrame({"key": keys.view(np.int64), "words": k, "known": known, "n": n})
+                    first, n = distinct(names[at], tags[at])
+                    spots = at[first]
+                    yield pd.DataFrame(
+                        {
+                            "key": names[spots].view(np.int64),
+                            "tag": tags[spots],
+                            "known": through[spots],
+                            "mark": marks[spots],
+                            "n": n,
+                        }
+                    )
 
     return run
 
 
 def _counts(docs: DataFrame, before, now, levels: range, least: float, longest: int) -> DataFrame:
-    """key, words and known of the runs with ``least`` occurrences; sums are combined before the shuffle."""
+    """key, tag, known, a mark and n of the runs with ``least`` occurrences; sums are combined before the shuffle."""
     sent = docs.mapInPandas(
-        _counting(before, now, levels, longest), "key long, words int, known boolean, n long"
+        _counting(before, now, levels, longest), "key long, tag int, known boolean, mark int, n long"
     )
     return cut(
-        sent.groupBy("key", "words", "known").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).select("key", "words", "known")
+        sent.groupBy("key", "tag", "known").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+        .where(F.col("n") >= least)
     )
 
 
@@ -218,40 +251,53 @@ def _power(count: int) -> int:
     return min(FILTER_BITS[1], max(FILTER_BITS[0], (32 * count).bit_length()))
 
 
-def _naming(kept, longest: int):
-    """Counts by words of the runs whose name the filter lets through; no words: all of a lang's words."""
+def marked(key, mark):
+    """The key of a name at a document's mark, for a filter; for columns and for arrays."""
+    if isinstance(key, np.ndarray):
+        place = mark.astype(np.uint64)
+        return key ^ (place << np.uint64(1)) ^ (place << np.uint64(33))
+    place = mark.cast("long")
+    return key.bitwiseXOR(F.shiftleft(place, 1)).bitwiseXOR(F.shiftleft(place, 33))
+
+
+def _naming(kept, at_marks, longest: int):
+    """Words of the runs that the filter lets through, at the marks that the other one lets through; and for
+    each lang, without a key, the number of its words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, windows, held = kept.value, Windows(longest, True), Counter()
-
-        def sent() -> pd.DataFrame:
-            phrases = [p.decode("utf-8") for _, p in held]
-            return pd.DataFrame(
-                {
-                    "lang": np.array([windows.names[x] for x, _ in held], dtype=object),
-                    "phrase": np.array(phrases, dtype=object),
-                    "words": np.array([p.count(" ") + 1 if p else 0 for p in phrases], dtype=np.int32),
-                    "n": np.array(list(held.values()), dtype=np.int64),
-                },
-                dtype=object,
-            ).astype({"words": np.int32, "n": np.int64})
-
-        for hashes, langs, words, starts in windows.blocks(batches):
+        bits, mark_bits, windows, told, total = kept.value, at_marks.value, Windows(longest, True), set(), Counter()
+        for hashes, langs, marks, words, starts in windows.blocks(batches):
             through = None
-            for k, names, inside in runs(hashes, langs, _seeds(windows.names), longest):
+            for k, names, tags, inside in runs(hashes, langs, _seeds(windows.names), longest):
                 _, through = reached(through, k, names, inside, bits)
                 if k == 1:
                     every = np.bincount(langs[:starts][inside[:starts]], minlength=len(windows.names))
-                    held.update({(x, b""): int(n) for x, n in enumerate(every)})
+                    total.update({name: int(n) for name, n in zip(windows.names, every)})
                 at = np.flatnonzero(through[:starts])
-                _, first, n = np.unique(names[at], return_index=True, return_counts=True)
-                spots = at[first]
-                for x, i, times in zip(langs[spots].tolist(), spots.tolist(), n.tolist()):
-                    held[x, b" ".join(words[i : i + k])] += times
-            if len(held) > HELD_PHRASES:
-                yield sent()
-                held.clear()
-        yield sent()
+                at = at[hits(marked(names[at], marks[at]), mark_bits)]
+                first, _ = distinct(names[at], tags[at])
+                spots = [i for i in at[first].tolist() if (names[i], tags[i]) not in told]
+                told.update((names[i], tags[i]) for i in spots)
+                yield pd.DataFrame(
+                    {
+                        "lang": np.array([windows.names[x] for x in langs[spots].tolist()], dtype=object),
+                        "phrase": np.array([b" ".join(words[i : i + k]).decode("utf-8") for i in spots], dtype=object),
+                        "key": pd.array(names[spots].view(np.int64), dtype="Int64"),
+                        "tag": tags[spots],
+                        "n": np.zeros(len(spots), dtype=np.int64),
+                    }
+                )
+            if len(told) > HELD_PHRASES:
+                told.clear()
+        yield pd.DataFrame(
+            {
+                "lang": np.array(list(total), dtype=object),
+                "phrase": "",
+                "key": pd.array([None] * len(total), dtype="Int64"),
+                "tag": np.zeros(len(total), dtype=np.int32),
+                "n": np.array(list(total.values()), dtype=np.int64),
+            }
+        )
 
     return run
 
@@ -264,9 +310,13 @@ def frequent_phrases(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    draw = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(sample)) == 0
-    drawn = cut(docs.where(draw).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
+    named = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
+    mark = F.pmod(F.shiftright(named, 32), F.lit(MARKS)).cast("int").alias("mark")
+    texts = docs.select(
+        F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), mark
+    )
+    draw = F.pmod(named, F.lit(sample)) == 0
+    drawn = cut(docs.where(draw).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", mark))
     send = spark.sparkContext.broadcast
 
     lowered = max(1.0, LOWERED * least / sample)
@@ -281,7 +331,7 @@ def frequent_phrases(
     power = (64 * len(bits)).bit_length() - 1
 
     found = _counts(texts, None, held, range(1, longest + 1), least, longest)
-    failed = found.where(~F.col("known") & (F.col("words") < longest))
+    failed = found.where(~F.col("known") & (F.col("tag") % 8 < longest))
     passes = 1
     if not failed.isEmpty():
         passes = 2
@@ -290,15 +340,21 @@ def frequent_phrases(
         more.destroy()
     held.destroy()
 
-    found = found.select("key")
-    kept = send(_filter(found, max(power, _power(found.count()))))
-    exact = (
-        texts.mapInPandas(_naming(kept, longest), "lang string, phrase string, words int, n long")
-        .groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= least) | ((F.col("words") == 0) & (F.col("n") > 0)))
+    count = found.count()
+    kept = send(_filter(found, max(power, _power(count))))
+    at_marks = send(_filter(found.select(marked(F.col("key"), F.col("mark")).alias("key")), _power(4 * count)))
+    spelled = cut(
+        texts.mapInPandas(_naming(kept, at_marks, longest), "lang string, phrase string, key long, tag int, n long")
     )
-    exact = cut(exact)
     kept.destroy()
+    at_marks.destroy()
+    phrases = (
+        found.select("key", "tag", "n")
+        .join(spelled.where("tag > 0").select("key", "tag", "lang", "phrase").dropDuplicates(["key", "tag"]), ["key", "tag"])
+        .select("lang", "phrase", (F.col("tag") % 8).alias("words"), "n")
+    )
+    sizes = spelled.where("tag = 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
+    exact = cut(phrases.unionByName(sizes.select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "n")))
     return exact, passes
 
 

@@ -88,3 +88,24 @@ def test_empty_table(spark):
 def test_text_of_one_long_document(spark):
     rows = [(prose(7, 60_000), "en")]
     assert mined(spark, rows, 60, 50) == plain(rows, 60, 50)
+
+
+def test_a_phrase_that_every_task_meets_is_spelled_once(spark, monkeypatch):
+    rows = [(f"alpha beta gamma. own{i} beta", "en") for i in range(160)]
+    docs = spark.createDataFrame([(t, g, "p", "n", "k", "w") for t, g in rows], COLUMNS).repartition(8)
+    sent, cut = [], collocations.cut
+
+    def counted(df):
+        done = cut(df)
+        if "phrase" in done.columns:
+            sent.append(done.where("phrase != ''").count())
+        return done
+
+    monkeypatch.setattr(collocations, "cut", counted)
+    phrases, _ = collocations.frequent_phrases(docs, 100)
+    assert {(r.phrase, r.words, r.n) for r in phrases.where("words > 0").collect()} == {
+        ("alpha", 1, 160), ("beta", 1, 320), ("gamma", 1, 160),
+        ("alpha beta", 2, 160), ("beta gamma", 2, 160), ("alpha beta gamma", 3, 160),
+    }
+    # What a task spells out is written once (first), then the frequent phrases.
+    assert sent == [6, 6]

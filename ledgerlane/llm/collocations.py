@@ -8,8 +8,8 @@ reached through it. That pass takes all it counts for proposals at once, so it c
 that is counted in neither pass has a part that is in neither, or that is not frequent. So no frequent phrase
 is missed, whatever the sample.
 
-Passes count names of phrases: 64 bits and 20 more, so that two phrases of a table of billions are one by
-chance with a probability of some 1 in 100,000,000. With its count each name keeps the mark of one document that
+Passes count names of phrases: 64 bits and 20 more, made from 64-bit hashes of the words. Counts are exact but
+for two words of one hash, or two phrases of one name, which are counted as one. With its count each name keeps the mark of one document that
 holds it, and a last pass spells a frequent phrase out only where it meets that mark: a phrase that every task
 meets is not sent by every task. Which phrases are proposals, and which marks theirs, is asked of filters of at
 most 16 MB: they let some others through, which are then counted or spelled too, and beyond some 10 million

@@ -50,9 +50,12 @@ SAMPLE = 8
 LOWERED = 0.5
 """The sample's threshold, as a share of what a phrase of ``LEAST`` occurrences has there on average."""
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 """Words counted together in a task before anything is sent."""
 
+SPELLED_WORDS = 1 << 17
+"""Words held as text at a time where phrases are spelled out: fewer, as each word is an object there."""
+
 HELD_PHRASES = 300_000
 """Phrases that a task remembers as sent before it starts anew."""
 
@@ -100,6 +103,7 @@ class Windows:
 
     def __init__(self, longest: int, keep_words: bool):
         self.ahead, self.keep_words, self.known = longest - 1, keep_words, WordHashes()
+        self.most = min(BLOCK_WORDS, SPELLED_WORDS) if keep_words else BLOCK_WORDS
         self.words: list[bytes] = []
         self.hashes, self.langs, self.marks, self.held = [], [], [], 0
         self.names: list[str] = []
@@ -115,7 +119,7 @@ class Windows:
                     self.names.append(lang)
                 for words in words_of(text):
                     self._add(self.names.index(lang), mark, words)
-                    if self.held >= BLOCK_WORDS:
+                    if self.held >= self.most:
                         yield self._block(self.ahead)
         if self.held:
             yield self._block(0)

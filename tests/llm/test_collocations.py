@@ -109,3 +109,14 @@ def test_a_phrase_that_every_task_meets_is_spelled_once(spark, monkeypatch):
     }
     # What a task spells out is written once (first), then the frequent phrases.
     assert sent == [6, 6]
+
+
+def test_words_are_held_as_text_in_small_blocks():
+    import pandas as pd
+
+    texts = [" ".join(f"w{i % 97}" for i in range(1000))] * 400
+    batch = pd.DataFrame({"lang": "en", "text": texts, "mark": 1})
+    blocks = list(collocations.Windows(collocations.LONGEST, True).blocks(iter([batch])))
+    # Counting held half a million words and more at a time; as objects that many take a task's memory.
+    assert max(len(words) for _, _, _, words, _ in blocks) <= 150_000
+    assert sum(starts for *_, starts in blocks) == 400 * 1001

@@ -18,7 +18,9 @@ As in ``links``, equal sets are one class, and the answer is the classes' connec
 compares its classes with one centre, in three turns, so that a group of thousands of copies falls into one
 component in a linear number of pairs. Then symbols, and shingles, count only where another component has them:
 classes with enough of both that still share a key are compared in full, but for pairs inside the key's largest
-component. Pairs that agree in fewer than ``AGREEING`` chunks are no near pairs.
+component. A sketch of a class's shingles bounds what a pair has in common: a bit that one marks and the other does
+not stands for a shingle that is in one only. So a group of texts just below the similarity hands on few of its
+pairs; they are still compared inside the join. Pairs that agree in fewer than ``AGREEING`` chunks are no near pairs.
 
 Defined cases: a NULL text counts as empty; a document without words has no shingles, is linked with nothing and
 is kept; one with fewer than four words is one shingle of the whole sequence; repeated rows give one result row
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import WordHashes, mix, shingle_set, small_batches, table
 from ledgerlane.llm.fingerprints import PERMUTATIONS, signatures
-from ledgerlane.llm.links import merge, set_class, shingle_sets, verify
+from ledgerlane.llm.links import apart_by_sketch, merge, set_class, shingle_sets, verify
 from ledgerlane.operators.scale import cut
 
 SHINGLE = 4
@@ -53,6 +55,9 @@ STAR_ROUNDS = 3
 PEELS = 2
 """Times that classes go which cannot link to what is left."""
 
+SKETCH_WORDS = 16
+"""Words of 64 bits of a sketch. It bounds less where a set has far more shingles than bits."""
+
 TOGETHER = 200
 """Documents whose signatures are computed together."""
 
@@ -161,8 +166,9 @@ def not_alone(classes: DataFrame) -> DataFrame:
     return held.where(F.col("held") >= PERMUTATIONS - APART)
 
 
-def in_others(sets: DataFrame) -> DataFrame:
-    """class, comp, n, shared: how many shingles a class of another component has too.
+def in_others(sets: DataFrame, sketch: bool = False) -> DataFrame:
+    """class, comp, n, shared: how many shingles a class of another component has too; with a sketch
+    of these as ``bits``, if asked for.
 
     ``sets`` has class, comp and shingles. Classes that cannot have the similarity by this are left out.
     """
@@ -182,7 +188,12 @@ def in_others(sets: DataFrame) -> DataFrame:
     each = sets.mapInPandas(run, "shingle long, class long, comp long")
     found = each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     held = each.join(found.where("lo != hi").select("shingle"), "shingle")
-    held = held.groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    place = F.shiftrightunsigned("shingle", 64 - (64 * SKETCH_WORDS - 1).bit_length())
+    bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
+    bits = F.array(*[F.bit_or(F.when(F.shiftright("place", 6) == i, bit).otherwise(0)) for i in range(SKETCH_WORDS)])
+    held = held.withColumn("place", place).groupBy("class").agg(
+        F.count(F.lit(1)).alias("shared"), *([bits.alias("bits")] if sketch else [])
+    )
     size = (F.octet_length("shingles") / 8).cast("long")
     return (
         sets.select("class", "comp", size.alias("n")).join(held, "class")
@@ -239,9 +250,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = None
     for turn in range(STAR_ROUNDS):
         live = entries.join(labels, "class")
-        # First the class with the fewest symbols of its own, as the text that others are copies of has.
+        # First the class with the fewest symbols of its own, as the text that others are copies of has. Keys
+        # draw alike, so that a class meets few centres whatever the number of its keys.
         own = -F.col("held") if turn == 0 else F.lit(0)
-        draw = F.xxhash64("class", F.lit(turn), "key" if turn else F.lit(0))
+        draw = F.xxhash64("class", F.lit(turn))
         centre = F.struct(own.alias("own"), draw.alias("draw"), "class", "comp", "n")
         centres = (
             live.groupBy("key")
@@ -258,8 +270,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What is left must be able to link to another component, by symbols and by shingles.
     left = not_alone(active.join(labels, "class")).select("class")
     left = cut(labels.join(left, "class"))
-    for _ in range(PEELS):
-        left = cut(in_others(left.select("class", "comp").join(sets, "class")))
+    for turn in range(PEELS):
+        left = cut(in_others(left.select("class", "comp").join(sets, "class"), sketch=turn == PEELS - 1))
     live = entries.select("key", "without", "class").join(left, "class")
     largest = (
         live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
@@ -267,15 +279,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("comps > 1").select("key", F.col("top.comp").alias("top"))
     )
     apart = cut(live.join(largest, "key"))
-    others = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in ("class", "comp", "n", "shared", "without", "top")])
+    others = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in ("class", "comp", "n", "shared", "bits", "without", "top")])
     once = [
         # A pair without a class of the largest component would meet from both sides.
         (F.col("other_comp") == F.col("other_top")) | (F.col("class") < F.col("other_class")),
         (F.col("without") == 0) | (F.col("without") != F.col("other_without")),
     ]
-    share, whole = LIKENESS
-    common = F.least("shared", "other_shared")
-    possible = whole * common >= share * (F.col("n") + F.col("other_n") - common)
+    possible = apart_by_sketch(SKETCH_WORDS, *LIKENESS)
     met = (
         apart.where("comp != top").drop("top").join(others, "key")
         .where((F.col("comp") != F.col("other_comp")) & once[0] & once[1] & _alike("n", "other_n") & possible)

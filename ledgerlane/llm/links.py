@@ -176,7 +176,7 @@ def _possible(share: int, whole: int):
     return whole * common >= share * (F.col("n") + F.col("other_n") - common)
 
 
-def _apart(words: int, share: int, whole: int):
+def apart_by_sketch(words: int, share: int, whole: int):
     """Whether sketches allow the similarity: a bit that one set marks and the other does not stands
     for at least one element that is not in common."""
     def alone(mine: str, theirs: str):
@@ -250,7 +250,7 @@ def linked_classes(docs: DataFrame, index: DataFrame, share: int, whole: int) ->
         more = [c for c in ("shared", "bits") if c in index.columns]
         if more:
             apart = apart.join(classes.where("bits IS NOT NULL").select("class", *more).dropDuplicates(["class"]), "class")
-            allowed &= _apart(SKETCH_WORDS, share, whole)
+            allowed &= apart_by_sketch(SKETCH_WORDS, share, whole)
         apart = cut(apart)
         outside = apart.where("comp != top")
         others = apart.select("key", *_others(), *[F.col(c).alias(f"other_{c}") for c in more])

@@ -78,3 +78,22 @@ def test_each_agreeing_chunk_counts_once():
     marks[1] = marks[0]
     keys, without = hamming.chunk_keys(marks)
     assert ((keys[0] == keys[1]) & ((without[0] == 0) | (without[0] != without[1]))).sum() == hamming.CHUNKS
+
+
+def test_texts_just_below_the_similarity_hand_on_few_pairs(spark, documents, monkeypatch):
+    # Each text differs from the common one in four words of its own, so any two lie a little below the limit.
+    rng, base, rows = random.Random(3), prose(5, 160).split(), []
+    for i in range(150):
+        words = list(base)
+        for place in rng.sample(range(4, 156), 4):
+            words[place] = f"w{i}x{place}"
+        rows.append((i, " ".join(words)))
+    handed, near = [], hamming.near
+
+    def counted(pairs, classes):
+        handed.append(pairs.count())
+        return near(pairs, classes)
+
+    monkeypatch.setattr(hamming, "near", counted)
+    assert found(hamming.near_duplicates(documents(rows))) == plain(rows)
+    assert handed[-1] <= 4 * len(rows)

@@ -12,6 +12,7 @@ from ledgerlane import ReconConfig, reconcile
 from ledgerlane.fixed_values import DISTRIBUTION_MIX, EXCEPTION_CLASSES, GENESIS_DIGEST, TIER_OF_CLASS
 from ledgerlane.operators import audit, findings, policy, review, submit, summaries
 from ledgerlane.plans import cycle as cycle_plan
+from ledgerlane.plans import decision_queries
 from ledgerlane.sources import commits, tables
 from ledgerlane.sources.generated import generate_cycle, pattern_length
 
@@ -196,6 +197,53 @@ def test_segments_bound_the_chaining(spark):
     assert audit.verify_chain(heads).first().intact
 
 
+def test_whole_chains_cross_batches(spark):
+    two = entries(spark, 7).unionByName(entries(spark, 4).withColumn("chain_id", F.lit("d")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = audit.append_chain(two.repartition(3), segment_rows=None).orderBy("chain_id", "sequence").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.chain_id, r.sequence) for r in rows] == [("c", i) for i in range(7)] + [("d", i) for i in range(4)]
+    for before, row in zip([None, *rows], rows):
+        assert row.previous_digest == (before.digest if row.sequence else GENESIS_DIGEST)
+        assert row.digest == python_digest(row)
+
+
+def test_audit_digest_is_one_chain_of_all_classes(spark, monkeypatch):
+    """Entries of every class follow each other in one log, also past the length of a segment."""
+    count = audit.SEGMENT_ROWS + 3
+    classes = F.array(*[F.lit(c) for c in EXCEPTION_CLASSES])
+    decided = spark.range(count).select(
+        (F.col("id") + 1).alias("seq"),
+        F.format_string("E%06d", "id").alias("exception_id"),
+        F.element_at(classes, (F.col("id") % len(EXCEPTION_CLASSES) + 1).cast("int")).alias("exception_class"),
+        F.lit("PENDING").alias("action"),
+        F.lit(True).alias("requires_human"),
+        F.array(F.lit("why")).alias("reasons"),
+        F.lit("what").alias("detail"),
+        F.lit(None).cast(f"struct<confidence:double,evidence:{findings.EVIDENCE_TYPE}>").alias("finding"),
+        F.lit("5.00").cast("decimal(28,2)").alias("amount_at_risk"),
+    )
+    monkeypatch.setattr(decision_queries, "decisions", lambda spark, sf_dir: decided.repartition(5, "exception_id"))
+    log = decision_queries.audit_digest(spark, "no folder").orderBy("sequence").collect()
+    assert [r.sequence for r in log] == list(range(count))
+    assert len({r.chain_id for r in log}) == 1
+    previous = GENESIS_DIGEST
+    for i, row in enumerate(log):
+        investigated = TIER_OF_CLASS[EXCEPTION_CLASSES[i % len(EXCEPTION_CLASSES)]] == "TIER_2"
+        body = {
+            "sequence": i, "exception_id": f"E{i:06d}", "action": "PENDING", "requires_human": True, "reasons": ["why"],
+            "recorded_at": "2001-07-14 09:00:00+00:00", "ruleset_version": "2026.07", "model": "",
+            "prompt_digest": hashlib.sha256(b"what").hexdigest()[:16] if investigated else "", "confidence": None,
+            "evidence_call_ids": [], "approver": None, "amount_at_risk": "5.00", "previous_digest": previous,
+        }
+        text = json.dumps(body, sort_keys=True, separators=(",", ":"))
+        assert (row.exception_id, row.previous_digest) == (body["exception_id"], previous)
+        previous = hashlib.sha256(text.encode()).hexdigest()
+        assert row.digest == previous
+
+
 def test_audit_jsonl_round_trip(spark, tmp_path):
     log = audit.append_chain(entries(spark, 6))
     path = str(tmp_path / "log")
